@@ -3,7 +3,7 @@
 
 def sround(expr: str, d: int) -> str:
     """Spark's ``round`` on a double: half-up on the shortest decimal text of the value."""
-    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,12)), {d}) AS DOUBLE)"
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,20)), {d}) AS DOUBLE)"
 
 
 def trend_case(change: str) -> str:
