@@ -42,8 +42,8 @@ def format_date(c, fmt: str = "yyyy-MM-dd") -> Column:
 
 def accuracy_pct(predicted, actual) -> Column:
     """(1 - |p - a| / a) * 100, two decimals; 0 when a is 0/null or either side unparseable."""
-    p = F.try_cast(col(predicted), "double") if not isinstance(predicted, (int, float)) else F.lit(float(predicted))
-    a = F.try_cast(col(actual), "double") if not isinstance(actual, (int, float)) else F.lit(float(actual))
+    p = col(predicted).try_cast("double") if not isinstance(predicted, (int, float)) else F.lit(float(predicted))
+    a = col(actual).try_cast("double") if not isinstance(actual, (int, float)) else F.lit(float(actual))
     acc = (F.lit(1.0) - F.try_divide(F.abs(p - a), a)) * 100
     return F.coalesce(F.round(acc, 2), F.lit(0.0))
 
@@ -58,7 +58,8 @@ def accuracy_value(predicted, actual) -> Column:
 def accuracy_text(predicted, actual) -> Column:
     """Accuracy with one decimal and a percent sign; '' when missing."""
     v = accuracy_value(predicted, actual)
-    return F.coalesce(F.format_string("%.1f%%", v), F.lit(""))
+    # format_string renders null as "null", so guard it
+    return F.when(v.isNotNull(), F.format_string("%.1f%%", v)).otherwise(F.lit(""))
 
 
 def price_difference(predicted, actual) -> Column:
@@ -97,30 +98,30 @@ def impact_direction(impact) -> Column:
 
 def safe_subtract(value, arg) -> Column:
     """value - arg; an unparseable side leaves value unchanged."""
-    v, a = F.try_cast(col(value), "double"), F.try_cast(col(arg), "double")
+    v, a = col(value).try_cast("double"), col(arg).try_cast("double")
     return F.coalesce(v - a, v)
 
 
 def safe_multiply(value, arg) -> Column:
-    v, a = F.try_cast(col(value), "double"), F.try_cast(col(arg), "double")
+    v, a = col(value).try_cast("double"), col(arg).try_cast("double")
     return F.coalesce(v * a, F.lit(0.0))
 
 
 def safe_divide(value, arg) -> Column:
     """value / arg; 0 on division by zero or bad input."""
-    v, a = F.try_cast(col(value), "double"), F.try_cast(col(arg), "double")
+    v, a = col(value).try_cast("double"), col(arg).try_cast("double")
     return F.coalesce(F.try_divide(v, a), F.lit(0.0))
 
 
 def safe_abs(value) -> Column:
-    v = F.try_cast(col(value), "double")
+    v = col(value).try_cast("double")
     return F.coalesce(F.abs(v), F.lit(0.0))
 
 
 def format_price(value, symbol: str = "₹") -> Column:
     """Symbol + two decimals when numeric, the raw text otherwise."""
     v = col(value)
-    num = F.try_cast(v.cast("string"), "double")
+    num = v.cast("string").try_cast("double")
     return F.when(num.isNotNull(), F.concat(F.lit(symbol), F.format_string("%.2f", num))).otherwise(v.cast("string"))
 
 
