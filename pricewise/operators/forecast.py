@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trend_class
-from .series import KEYS, PRICE, _keys, as_of_column, nth_last, tail
+from .series import KEYS, PRICE, _keys, as_of_column, fixed_mean, money_units, nth_last, tail
 
 # Forecast constants of the app.
 DAMPING = 0.8            # trend weight decays as 0.8 ** step
@@ -44,22 +44,27 @@ def series_summary(prices: DataFrame, k: int = 30, keys=KEYS, price_col: str = P
     ks = _keys(keys)
     latest = F.max_by(F.struct("date", *latest_cols), F.struct("date", "id"))
     whole = (prices.groupBy(*ks)
-             .agg(F.count(F.lit(1)).alias("n"), F.avg(price_col).alias("series_avg"),
-                  latest.alias("_latest")))
+             .agg(F.count(F.lit(1)).alias("n"), F.sum(money_units(price_col)).alias("_s_all"),
+                  latest.alias("_latest"))
+             .withColumn("series_avg", fixed_mean("_s_all", "n")))
     kk = max(k, 8)
     t = tail(prices, kk, ks, price_col)
     rn = F.col("_rn")
     p = F.col(price_col)
+    u = money_units(price_col)
     tails = (t.groupBy(*ks)
              .agg(*[nth_last("_rn", i, price_col).alias(f"p{i}") for i in range(1, 9)],
                   F.min(F.when(rn <= 7, p)).alias("min_7"),
                   F.max(F.when(rn <= 7, p)).alias("max_7"),
-                  F.avg(F.when(rn <= 7, p)).alias("avg_7"),
+                  F.sum(F.when(rn <= 7, u)).alias("_s7"), F.count(F.when(rn <= 7, p)).alias("_n7"),
                   F.min(F.when(rn <= k, p)).alias(f"min_{k}"),
                   F.max(F.when(rn <= k, p)).alias(f"max_{k}"),
-                  F.avg(F.when(rn <= k, p)).alias(f"avg_{k}")))
+                  F.sum(F.when(rn <= k, u)).alias("_sk"), F.count(F.when(rn <= k, p)).alias("_nk"))
+             .withColumns({"avg_7": fixed_mean("_s7", "_n7"), f"avg_{k}": fixed_mean("_sk", "_nk"),
+                           "_p0_7": fixed_mean("_s7", "_n7", out_scale=2)}))
     out = whole.join(tails, ks)
-    return out.select(*ks, "n", "series_avg", F.col("_latest.date").alias("last_date"),
+    return out.select(*ks, "n", "series_avg", fixed_mean("_s_all", "n", out_scale=2).alias("series_avg_2"),
+                      F.col("_p0_7").alias("avg_7_2"), F.col("_latest.date").alias("last_date"),
                       *[F.col(f"_latest.{c}").alias(c) for c in latest_cols],
                       *[f"p{i}" for i in range(1, 9)],
                       "min_7", "max_7", "avg_7", *([f"min_{k}", f"max_{k}", f"avg_{k}"] if k != 7 else []))
@@ -79,7 +84,9 @@ def price_trend(prices: DataFrame, rows: int = 30, keys=KEYS, price_col: str = P
               nth_last("_rn", 2, price_col).alias("_prev"),
               F.min(F.when(rn <= rows, p)).alias(f"min_{rows}d"),
               F.max(F.when(rn <= rows, p)).alias(f"max_{rows}d"),
-              F.avg(F.when(rn <= rows, p)).alias(f"avg_{rows}d")))
+              F.sum(F.when(rn <= rows, money_units(price_col))).alias("_s"),
+              F.count(F.when(rn <= rows, p)).alias("_n"))
+         .withColumn(f"avg_{rows}d", fixed_mean("_s", "_n")))
     change = F.try_divide(F.col("current_price") - F.col("_prev"), F.col("_prev")) * 100
     return g.select(*ks, "current_price",
                     trend_class(F.coalesce(change, F.lit(0.0))).alias("trend"),
@@ -110,11 +117,13 @@ def latest_feature_row(prices: DataFrame, keys=KEYS, price_col: str = PRICE, min
                     lag1.alias("price_lag_1"), lag7.alias("price_lag_7"),
                     ma7.alias("price_ma_7"), ma30.alias("price_ma_30"),
                     ch1.alias("price_change_1"), ch7.alias("price_change_7"),
-                    n.alias("n_rows"), F.col("series_avg"), F.col("p7").alias("price_7_back")))
+                    n.alias("n_rows"), F.col("series_avg"), F.col("p7").alias("price_7_back"),
+                    F.when(n >= 7, F.col("avg_7_2")).otherwise(F.col("series_avg_2")).alias("price_ma_7_cents")))
 
 
-def initial_prediction(latest: DataFrame, model=None, fallback_col: str = "price_ma_7") -> DataFrame:
-    """Model prediction for each latest row; the 7-row mean where the model gives none.
+def initial_prediction(latest: DataFrame, model=None, fallback_col: str = "price_ma_7_cents") -> DataFrame:
+    """Model prediction for each latest row; the 7-row mean (exact, in cents) where the model
+    gives none.
 
     ``model`` is a fitted Spark ML ``PipelineModel`` whose output column is ``prediction``
     (see ``operators.ml``); None means the fallback path for every series.

@@ -22,6 +22,37 @@ from pyspark.sql import functions as F
 PRICE = "modal_price"
 KEYS = ("market",)
 
+# Money is fixed point: prices carry at most 4 decimals, and every mean of prices is computed
+# exactly from integer units and rounded half-up.  Float sums depend on the order rows meet
+# in, which changes with partitioning and re-execution; integer sums do not.
+MONEY_SCALE = 4
+
+
+def money_units(c, scale: int = MONEY_SCALE) -> Column:
+    cc = F.col(c) if isinstance(c, str) else c
+    return F.round(cc * (10 ** scale)).cast("long")
+
+
+def fixed_mean(sum_col: str, n_col: str, scale: int = MONEY_SCALE, out_scale: int | None = None) -> Column:
+    """Exact mean from an integer unit sum and a count, rounded half-up to ``out_scale``
+    decimals (default: the unit scale).  Null when the count is 0."""
+    out = scale if out_scale is None else out_scale
+    k = 10 ** (scale - out)
+    q = f"((abs({sum_col}) * 2 + {n_col} * {k}) div (2 * {n_col} * {k}))"
+    return F.expr(f"CASE WHEN {n_col} > 0 THEN CAST(CASE WHEN {sum_col} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
+                  f" / {10 ** out} END")
+
+
+def window_mean(df: DataFrame, name: str, price_col: str, frame: WindowSpec, full: int | None = None,
+                out_scale: int | None = None) -> DataFrame:
+    """Add ``name`` = exact mean of ``price_col`` over ``frame`` (null unless ``full`` rows when set)."""
+    s, n = f"__s_{name}", f"__n_{name}"
+    out = df.withColumns({s: F.sum(money_units(price_col)).over(frame), n: F.count(price_col).over(frame)})
+    m = fixed_mean(s, n, out_scale=out_scale)
+    if full is not None:
+        m = F.when(F.col(n) == full, m)
+    return out.withColumn(name, m).drop(s, n)
+
 
 def _keys(keys) -> list[str]:
     if keys is None:
@@ -59,10 +90,11 @@ def pooled_daily(prices: DataFrame, price_col: str = PRICE) -> DataFrame:
     un-keyed window over it is safe.
     """
     return (prices.groupBy("date")
-            .agg(F.avg(price_col).alias(price_col),
+            .agg(F.sum(money_units(price_col)).alias("__s"), F.count(price_col).alias("__n"),
                  F.min("min_price").alias("min_price"),
                  F.max("max_price").alias("max_price"),
                  F.sum("arrival_quantity").alias("arrival_quantity"))
+            .withColumn(price_col, fixed_mean("__s", "__n")).drop("__s", "__n")
             .withColumn("id", F.unix_date("date").cast("long"))
             .withColumn("market", F.lit("ALL")))
 
@@ -84,14 +116,13 @@ def lag_features(df: DataFrame, lags=(1, 7), price_col: str = PRICE, keys=KEYS,
 def rolling_mean_partial(df: DataFrame, n: int, price_col: str = PRICE, keys=KEYS, name=None) -> DataFrame:
     """Mean of the current and up to n-1 previous rows (min_periods=1)."""
     w = series_window(keys).rowsBetween(-(n - 1), 0)
-    return df.withColumn(name or f"price_ma_{n}", F.avg(price_col).over(w))
+    return window_mean(df, name or f"price_ma_{n}", price_col, w)
 
 
 def rolling_mean_full(df: DataFrame, n: int, price_col: str = PRICE, keys=KEYS, name=None) -> DataFrame:
     """Mean of exactly n rows; null until the series has n rows."""
     w = series_window(keys).rowsBetween(-(n - 1), 0)
-    return df.withColumn(name or f"price_rolling_mean_{n}",
-                         F.when(F.count(price_col).over(w) == n, F.avg(price_col).over(w)))
+    return window_mean(df, name or f"price_rolling_mean_{n}", price_col, w, full=n)
 
 
 def rolling_std_full(df: DataFrame, n: int, price_col: str = PRICE, keys=KEYS, name=None) -> DataFrame:
@@ -128,7 +159,8 @@ def tail_stats(df: DataFrame, n: int = 7, keys=KEYS, price_col: str = PRICE) ->
     t = tail(df, n, keys, price_col)
     return (t.groupBy(*_keys(keys))
             .agg(F.min(price_col).alias(f"min_{n}"), F.max(price_col).alias(f"max_{n}"),
-                 F.avg(price_col).alias(f"avg_{n}"), F.count(F.lit(1)).alias(f"rows_{n}")))
+                 F.sum(money_units(price_col)).alias("__s"), F.count(F.lit(1)).alias(f"rows_{n}"))
+            .withColumn(f"avg_{n}", fixed_mean("__s", f"rows_{n}")).drop("__s"))
 
 
 def nth_last(rn: str, k: int, price_col: str = PRICE) -> Column:

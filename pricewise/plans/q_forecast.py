@@ -6,7 +6,7 @@ from ..operators import forecast as fc
 from ..operators.series import load_recent_window
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import AS_OF_PRICES, sround, trend_case
+from .sqltext import AS_OF_PRICES, fixed_mean, sround, trend_case, units
 
 
 def _prices(spark, sf):
@@ -24,11 +24,12 @@ WITH {TAIL_CTE},
 g AS (SELECT market,
              max(CASE WHEN rn = 1 THEN modal_price END) AS current_price,
              max(CASE WHEN rn = 2 THEN modal_price END) AS prev,
-             min(modal_price) AS min_30d, max(modal_price) AS max_30d, avg(modal_price) AS avg_30d
+             min(modal_price) AS min_30d, max(modal_price) AS max_30d,
+             {fixed_mean(f"sum({units('modal_price')})", "count(*)")} AS avg_30d
       FROM t WHERE rn <= 30 GROUP BY market),
 c AS (SELECT *, (current_price - prev) / prev * 100 AS ch FROM g)
 SELECT market, current_price, {trend_case('coalesce(ch, 0)')} AS trend, min_30d, max_30d,
-       {sround('avg_30d', 4)} AS avg_30d, coalesce({sround('ch', 2)}, 0.0) AS daily_change
+       avg_30d, coalesce({sround('ch', 2)}, 0.0) AS daily_change
 FROM c""")
 def q_price_trend(spark, sf):
     return fc.price_trend(_prices(spark, sf)).withColumn("avg_30d", F.round("avg_30d", 4))

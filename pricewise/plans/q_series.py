@@ -1 +1,239 @@
-"""Registered queries."""
+"""Registered queries: per-series windows (survey 2.7) and feature encoding (2.11)."""
+
+from pyspark.sql import functions as F
+
+from ..operators import encode as E
+from ..operators import series as S
+from ..sources.canonical import table
+from .registry import query
+from .sqltext import fixed_mean, sround, units, window_mean
+
+W = "WINDOW w AS (PARTITION BY market ORDER BY date, id)"
+
+
+def P(spark, sf):
+    return table(spark, sf, "prices")
+
+
+@query("lag_features", f"""
+SELECT id, market, date, modal_price, lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
+       lag(modal_price, 30) OVER w AS price_lag_30, lag(modal_price, 90) OVER w AS price_lag_90
+FROM prices {W}""")
+def q_lag_features(spark, sf):
+    return S.lag_features(P(spark, sf).select("id", "market", "date", "modal_price"), (1, 7, 30, 90))
+
+
+@query("lag_features_pooled", f"""
+WITH d AS (SELECT date, {fixed_mean(f"sum({units('modal_price')})", "count(modal_price)")} AS modal_price
+           FROM prices GROUP BY date)
+SELECT date, {sround('modal_price', 6)} AS modal_price,
+       {sround('lag(modal_price, 1) OVER (ORDER BY date)', 6)} AS price_lag_1,
+       {sround('lag(modal_price, 7) OVER (ORDER BY date)', 6)} AS price_lag_7
+FROM d""")
+def q_lag_features_pooled(spark, sf):
+    d = S.lag_features(S.pooled_daily(P(spark, sf)), (1, 7))
+    return d.select("date", *[F.round(c, 6).alias(c) for c in ("modal_price", "price_lag_1", "price_lag_7")])
+
+
+@query("rolling_mean_partial", f"""
+SELECT id, {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')} AS price_ma_7,
+       {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} AS price_ma_30
+FROM prices {W}""")
+def q_rolling_mean_partial(spark, sf):
+    d = S.rolling_mean_partial(S.rolling_mean_partial(P(spark, sf), 7), 30)
+    return d.select("id", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"))
+
+
+@query("rolling_mean_full", f"""
+SELECT id,
+  CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+       THEN {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')} END AS price_rolling_mean_7,
+  CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) = 30
+       THEN {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} END AS price_rolling_mean_30
+FROM prices {W}""")
+def q_rolling_mean_full(spark, sf):
+    d = S.rolling_mean_full(S.rolling_mean_full(P(spark, sf), 7), 30)
+    return d.select("id", F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
+                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"))
+
+
+@query("rolling_std_full", f"""
+SELECT id, CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+       THEN {sround('stddev_samp(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 4)} END AS price_rolling_std_7
+FROM prices {W}""")
+def q_rolling_std_full(spark, sf):
+    d = S.rolling_std_full(P(spark, sf), 7)
+    return d.select("id", F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"))
+
+
+@query("pct_change", f"""
+SELECT id, {sround('(modal_price - lag(modal_price, 1) OVER w) / lag(modal_price, 1) OVER w', 10)} AS price_change_1,
+       {sround('(modal_price - lag(modal_price, 7) OVER w) / lag(modal_price, 7) OVER w', 10)} AS price_change_7
+FROM prices {W}""")
+def q_pct_change(spark, sf):
+    d = S.pct_change(S.pct_change(P(spark, sf), 1), 7)
+    return d.select("id", F.round("price_change_1", 10).alias("price_change_1"),
+                    F.round("price_change_7", 10).alias("price_change_7"))
+
+
+TAIL = """t AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices)"""
+
+
+@query("tail_stats", f"""
+WITH {TAIL}
+SELECT market, min(modal_price) AS min_7, max(modal_price) AS max_7,
+       {fixed_mean(f"sum({units('modal_price')})", "count(*)")} AS avg_7,
+       count(*) AS rows_7
+FROM t WHERE rn <= 7 GROUP BY market""")
+def q_tail_stats(spark, sf):
+    return S.tail_stats(P(spark, sf), 7).withColumn("avg_7", F.round("avg_7", 4))
+
+
+@query("nth_last_change", f"""
+WITH {TAIL}
+SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS last_price, max(CASE WHEN rn = 8 THEN modal_price END) AS price_8_back,
+       {sround('(max(CASE WHEN rn = 1 THEN modal_price END) - max(CASE WHEN rn = 8 THEN modal_price END)) / max(CASE WHEN rn = 8 THEN modal_price END) * 100', 6)} AS change_vs_8
+FROM t WHERE rn <= 8 GROUP BY market""")
+def q_nth_last_change(spark, sf):
+    return S.nth_last_change(P(spark, sf), 8).withColumn("change_vs_8", F.round("change_vs_8", 6))
+
+
+@query("chrono_split", """
+SELECT id, market, row_number() OVER w <= floor(count(*) OVER (PARTITION BY market) * 0.8) AS is_train
+FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id)""")
+def q_chrono_split(spark, sf):
+    return S.chrono_split(P(spark, sf), 0.8).select("id", "market", "is_train")
+
+
+@query("chrono_split_pooled", """
+WITH d AS (SELECT date, count(*) AS c FROM prices GROUP BY date),
+cum AS (SELECT date, sum(c) OVER (ORDER BY date) AS cs FROM d),
+cut AS (SELECT min(date) AS cd FROM cum WHERE cs >= (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM prices))
+SELECT id, date < cd AS is_train FROM prices, cut""")
+def q_chrono_split_pooled(spark, sf):
+    return S.chrono_split_pooled(P(spark, sf), 0.8).select("id", "is_train")
+
+
+@query("naive_baseline", f"""
+SELECT id, market, modal_price, lag(modal_price, 1) OVER w AS prediction FROM prices {W}""")
+def q_naive_baseline(spark, sf):
+    return S.naive_baseline(P(spark, sf)).select("id", "market", "modal_price", "prediction")
+
+
+@query("load_recent_window", """
+SELECT date, market, state, district, variety, min_price, max_price, modal_price, arrival_quantity FROM prices
+WHERE date >= CAST((SELECT max(date) FROM prices) - INTERVAL 730 DAY AS DATE)""")
+def q_load_recent_window(spark, sf):
+    return S.load_recent_window(P(spark, sf), None, 730,
+                                ["date", "market", "state", "district", "variety", "min_price", "max_price",
+                                 "modal_price", "arrival_quantity"])
+
+
+# ----------------------------------------------------------------------------- encoding
+
+@query("one_hot", """
+SELECT id, CAST(district = 'AMERICA' AS INTEGER) AS district_AMERICA, CAST(district = 'ASIA' AS INTEGER) AS district_ASIA,
+       CAST(district = 'EUROPE' AS INTEGER) AS district_EUROPE, CAST(district = 'MIDDLE EAST' AS INTEGER) AS "district_MIDDLE EAST",
+       CAST(variety = 'LARGE' AS INTEGER) AS variety_LARGE, CAST(variety = 'MEDIUM' AS INTEGER) AS variety_MEDIUM,
+       CAST(variety = 'PROMO' AS INTEGER) AS variety_PROMO, CAST(variety = 'SMALL' AS INTEGER) AS variety_SMALL,
+       CAST(variety = 'STANDARD' AS INTEGER) AS variety_STANDARD
+FROM prices""")
+def q_one_hot(spark, sf):
+    d, _ = E.one_hot(P(spark, sf).select("id", "market", "district", "variety"), ("market", "district", "variety"))
+    return d
+
+
+@query("label_encode", """
+SELECT id, CAST(dense_rank() OVER (ORDER BY market) - 1 AS INTEGER) AS market_code,
+       CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code,
+       CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_code,
+       CAST(dense_rank() OVER (ORDER BY variety) - 1 AS INTEGER) AS variety_code
+FROM prices""")
+def q_label_encode(spark, sf):
+    d, _ = E.label_encode(P(spark, sf))
+    return d.select("id", "market_code", "state_code", "district_code", "variety_code")
+
+
+@query("standard_scale", f"""
+WITH s AS (SELECT *, row_number() OVER w <= floor(count(*) OVER (PARTITION BY market) * 0.8) AS is_train
+           FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id)),
+st AS (SELECT avg(modal_price) AS m1, stddev_pop(modal_price) AS s1, avg(arrival_quantity) AS m2,
+              stddev_pop(arrival_quantity) AS s2 FROM s WHERE is_train)
+SELECT id, {sround('(modal_price - m1) / s1', 6)} AS modal_price_scaled,
+       {sround('(arrival_quantity - m2) / s2', 6)} AS arrival_quantity_scaled
+FROM s, st WHERE NOT is_train""")
+def q_standard_scale(spark, sf):
+    s = S.chrono_split(P(spark, sf), 0.8)
+    out = E.standard_scale(s.filter("is_train"), s.filter("NOT is_train"), ["modal_price", "arrival_quantity"])
+    return out.select("id", F.round("modal_price_scaled", 6).alias("modal_price_scaled"),
+                      F.round("arrival_quantity_scaled", 6).alias("arrival_quantity_scaled"))
+
+
+def _simple_sql(leak_free: bool) -> str:
+    e = 1 if leak_free else 0
+    src = "lag(modal_price, 1) OVER w" if leak_free else "modal_price"
+    p1 = f"lag(modal_price, {2 if leak_free else 1}) OVER w"
+    p7 = f"lag(modal_price, {8 if leak_free else 7}) OVER w"
+    return f"""
+WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices)
+           WHERE rn <= 365),
+f AS (SELECT id, market, date, modal_price, dayofyear(date) AS day_of_year, month(date) AS month, year(date) AS year,
+             lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
+             {window_mean('modal_price', f'w ROWS BETWEEN {6 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_7,
+             {window_mean('modal_price', f'w ROWS BETWEEN {29 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_30,
+             ({src} - {p1}) / {p1} AS price_change_1, ({src} - {p7}) / {p7} AS price_change_7
+      FROM r WINDOW w AS (PARTITION BY market ORDER BY date, id))
+SELECT id, market, date, modal_price, day_of_year, month, year, price_lag_1, price_lag_7,
+       price_ma_7, price_ma_30,
+       {sround('price_change_1', 10)} AS price_change_1, {sround('price_change_7', 10)} AS price_change_7
+FROM f WHERE price_lag_1 IS NOT NULL AND price_lag_7 IS NOT NULL AND price_ma_7 IS NOT NULL AND price_ma_30 IS NOT NULL
+  AND price_change_1 IS NOT NULL AND price_change_7 IS NOT NULL""".replace("PRECEDING AND 0 PRECEDING", "PRECEDING AND CURRENT ROW")
+
+
+def _simple(spark, sf, leak_free):
+    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
+                                   encode=False)
+    return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
+                    "price_lag_7", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"),
+                    F.round("price_change_1", 10).alias("price_change_1"),
+                    F.round("price_change_7", 10).alias("price_change_7"))
+
+
+@query("build_features_simple", _simple_sql(False))
+def q_build_features_simple(spark, sf):
+    return _simple(spark, sf, False)
+
+
+@query("build_features_simple_leak_free", _simple_sql(True))
+def q_build_features_simple_leak_free(spark, sf):
+    return _simple(spark, sf, True)
+
+
+@query("build_features_full", f"""
+WITH f AS (SELECT id, market, date, modal_price, year(date) AS year, month(date) AS month, day(date) AS day,
+                  isodow(date) - 1 AS day_of_week, dayofyear(date) AS day_of_year, weekofyear(date) AS week_of_year,
+                  quarter(date) AS quarter,
+                  CASE WHEN month(date) BETWEEN 3 AND 5 THEN 0 WHEN month(date) BETWEEN 6 AND 9 THEN 1
+                       WHEN month(date) BETWEEN 10 AND 11 THEN 2 ELSE 3 END AS season,
+                  lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
+                  lag(modal_price, 30) OVER w AS price_lag_30, lag(modal_price, 90) OVER w AS price_lag_90,
+                  CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+                       THEN {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')} END AS m7,
+                  CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+                       THEN stddev_samp(modal_price) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS s7,
+                  CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) = 30
+                       THEN {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} END AS m30,
+                  CAST(dense_rank() OVER (ORDER BY market) - 1 AS INTEGER) AS market_code,
+                  CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code
+           FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id))
+SELECT id, market, date, modal_price, year, month, day, day_of_week, day_of_year, week_of_year, quarter, season,
+       price_lag_1, price_lag_7, price_lag_30, price_lag_90, m7 AS price_rolling_mean_7,
+       {sround('s7', 4)} AS price_rolling_std_7, m30 AS price_rolling_mean_30, market_code, state_code
+FROM f WHERE price_lag_90 IS NOT NULL AND price_lag_30 IS NOT NULL AND m7 IS NOT NULL AND s7 IS NOT NULL AND m30 IS NOT NULL""")
+def q_build_features_full(spark, sf):
+    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "date", "modal_price"))
+    return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
+                    "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
+                    F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
+                    F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
+                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"), "market_code", "state_code")

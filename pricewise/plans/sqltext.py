@@ -13,3 +13,21 @@ def trend_case(change: str) -> str:
 
 AS_OF_PRICES = "(SELECT max(date) FROM prices)"
 AS_OF_PREDICTIONS = "(SELECT max(forecast_date) FROM predictions)"
+
+
+def units(col: str, scale: int = 4) -> str:
+    return f"CAST(round({col} * {10 ** scale}) AS BIGINT)"
+
+
+def fixed_mean(sum_expr: str, n_expr: str, scale: int = 4, out_scale: int | None = None) -> str:
+    """Exact half-up mean from an integer unit sum (mirrors series.fixed_mean)."""
+    out = scale if out_scale is None else out_scale
+    k = 10 ** (scale - out)
+    q = f"((abs({sum_expr}) * 2 + ({n_expr}) * {k}) // (2 * ({n_expr}) * {k}))"
+    return (f"(CASE WHEN ({n_expr}) > 0 THEN CAST(CASE WHEN ({sum_expr}) < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
+            f" / {10 ** out} END)")
+
+
+def window_mean(col: str, frame: str, scale: int = 4) -> str:
+    """Exact mean of ``col`` over a window ``frame`` text such as 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW'."""
+    return fixed_mean(f"sum({units(col, scale)}) OVER ({frame})", f"count({col}) OVER ({frame})", scale)
