@@ -233,7 +233,10 @@ def recommend(trend: DataFrame, forecast: DataFrame | None, user_types=("FARMER"
     out = (base.join(F.broadcast(rules), "direction")
            .select(*ks, "user_type", "trend", "type", "message", "confidence", "action", F.lit(0).alias("rule_order")))
     if forecast is not None and "FARMER" in user_types:
-        avg_fc = forecast.groupBy(*ks).agg(F.avg("predicted_price").alias("avg_predicted"))
+        # forecast prices are in cents: their mean is exact in fixed point
+        avg_fc = (forecast.groupBy(*ks)
+                  .agg(F.sum(money_units("predicted_price", 2)).alias("_s"), F.count("predicted_price").alias("_n"))
+                  .select(*ks, fixed_mean("_s", "_n", scale=2).alias("avg_predicted")))
         extra = (base.join(avg_fc, ks)
                  .filter(F.col("avg_predicted") > F.col("current_price") * DELAY_SELL_FACTOR)
                  .select(*ks, F.lit("FARMER").alias("user_type"), "trend", F.lit(DELAY_SELL[0]).alias("type"),
