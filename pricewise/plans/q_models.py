@@ -1 +1,98 @@
-"""Registered queries."""
+"""Registered queries: models (survey 2.11).  Model fits have no SQL equivalent and get a
+rows-only check, except one-feature OLS, which DuckDB's regr_slope / regr_intercept verify."""
+
+from pyspark.sql import functions as F
+
+from ..operators import encode as E
+from ..operators import forecast as fc
+from ..operators import ml as M
+from ..operators.series import chrono_split
+from ..sources.canonical import table
+from ..sources.files import new_output_path
+from .registry import query
+
+
+def P(spark, sf):
+    return table(spark, sf, "prices")
+
+
+def _features(spark, sf):
+    d, _ = E.build_features_simple(P(spark, sf), leak_free=True, encode=False)
+    return d
+
+
+def _split(spark, sf):
+    s = chrono_split(_features(spark, sf), 0.8)
+    return s.filter("is_train"), s.filter("NOT is_train")
+
+
+@query("train_linear_one_feature", """
+WITH f AS (SELECT modal_price AS y, lag(modal_price, 1) OVER (PARTITION BY market ORDER BY date, id) AS x FROM prices)
+SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM f WHERE x IS NOT NULL""")
+def q_train_linear_one_feature(spark, sf):
+    from ..operators.series import lag_features
+    d = lag_features(P(spark, sf), (1,)).na.drop(subset=["price_lag_1"])
+    m = M.train_linear(d, ["price_lag_1"], scale=False)
+    c = M.coefficients(m, ["price_lag_1"])
+    return c.groupBy().agg(F.round(F.max(F.when(F.col("feature") == "price_lag_1", F.col("coefficient"))), 6).alias("slope"),
+                           F.round(F.max(F.when(F.col("feature") == "intercept", F.col("coefficient"))), 4).alias("intercept"))
+
+
+@query("train_linear")
+def q_train_linear(spark, sf):
+    tr, _ = _split(spark, sf)
+    return M.coefficients(M.train_linear(tr, M.SIMPLE_FEATURES), M.SIMPLE_FEATURES)
+
+
+@query("train_random_forest")
+def q_train_random_forest(spark, sf):
+    tr, _ = _split(spark, sf)
+    return M.feature_importances(M.train_random_forest(tr, M.SIMPLE_FEATURES, trees=20, depth=8), M.SIMPLE_FEATURES)
+
+
+@query("train_boosted_trees")
+def q_train_boosted_trees(spark, sf):
+    tr, _ = _split(spark, sf)
+    return M.feature_importances(M.train_boosted_trees(tr, M.SIMPLE_FEATURES, rounds=20, depth=5), M.SIMPLE_FEATURES)
+
+
+@query("train_all")
+def q_train_all(spark, sf):
+    _, metrics = M.train_all(_features(spark, sf), M.SIMPLE_FEATURES,
+                             rf={"trees": 20, "depth": 8}, xgb={"rounds": 20, "depth": 5})
+    return metrics
+
+
+@query("train_seasonal")
+def q_train_seasonal(spark, sf):
+    return M.train_seasonal(P(spark, sf), horizon=30)
+
+
+@query("forecast_recursive")
+def q_forecast_recursive(spark, sf):
+    p = P(spark, sf)
+    m = M.train_linear(M.recursive_training_frame(p), M.RECURSIVE_FEATURES)
+    return M.forecast_recursive(m, p, horizon=12, checkpoint_every=5)
+
+
+@query("save_load_model")
+def q_save_load_model(spark, sf):
+    tr, te = _split(spark, sf)
+    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), new_output_path(spark, "model"))
+    return M.load_model(path).transform(te).select("id", "market", "prediction")
+
+
+@query("forecast_7d_model")
+def q_forecast_7d_model(spark, sf):
+    # initial prediction from a trained model (leak-free features), then the damped path
+    tr, _ = _split(spark, sf)
+    m = M.train_linear(tr, M.SIMPLE_FEATURES)
+    return fc.forecast_bands(fc.forecast_7d(P(spark, sf), model=m))
+
+
+@query("one_hot_align")
+def q_one_hot_align(spark, sf):
+    p = P(spark, sf)
+    _, layout = E.one_hot(p, ("district", "variety"))
+    latest = fc.latest_feature_row(p)
+    return E.one_hot_align(latest, layout, ("district", "variety")).select("market", *layout)
