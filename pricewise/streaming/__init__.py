@@ -1,0 +1 @@
+"""Incremental ingest of price uploads with Structured Streaming."""
