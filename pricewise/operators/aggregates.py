@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import accuracy_value, confidence_band
-from .series import as_of_column
+from .series import as_of_column, fixed_mean, money_units
+
+
+def price_mean(col: str = "modal_price") -> list[Column]:
+    """Aggregates for an exact money mean: (unit sum, count); finish with ``fixed_mean``."""
+    return [F.sum(money_units(col)).alias(f"_s_{col}"), F.count(col).alias(f"_n_{col}")]
+
+
+def finish_mean(df: DataFrame, name: str, col: str = "modal_price", default=None) -> DataFrame:
+    m = fixed_mean(f"_s_{col}", f"_n_{col}")
+    if default is not None:
+        m = F.coalesce(m, F.lit(default))
+    return df.withColumn(name, m).drop(f"_s_{col}", f"_n_{col}")
 
 
 def _count() -> Column:
@@ -21,9 +33,8 @@ def _count() -> Column:
 
 def dashboard_totals(prices: DataFrame, predictions: DataFrame, users: DataFrame) -> DataFrame:
     """counts of prices / predictions / users and the mean modal price (0 when empty)."""
-    return (prices.agg(_count().alias("total_prices"),
-                       F.coalesce(F.avg("modal_price"), F.lit(0.0)).alias("avg_price"))
-            .select("total_prices",
+    g = finish_mean(prices.agg(_count().alias("total_prices"), *price_mean()), "avg_price", default=0.0)
+    return (g.select("total_prices",
                     predictions.agg(_count()).scalar().alias("total_predictions"),
                     users.agg(_count()).scalar().alias("total_users"),
                     "avg_price"))
@@ -34,9 +45,8 @@ def price_stats(prices: DataFrame) -> DataFrame:
     row = F.struct("id", "date", "market", "modal_price")
     hi = F.max_by(row, F.struct("modal_price", (-F.col("id")).alias("nid")))
     lo = F.min_by(row, F.struct("modal_price", "id"))
-    g = prices.agg(_count().alias("total_records"),
-                   F.coalesce(F.avg("modal_price"), F.lit(0.0)).alias("avg_price"),
-                   hi.alias("hi"), lo.alias("lo"))
+    g = finish_mean(prices.agg(_count().alias("total_records"), *price_mean(), hi.alias("hi"), lo.alias("lo")),
+                    "avg_price", default=0.0)
     return g.select("total_records", "avg_price",
                     *[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("hi", "highest"), ("lo", "lowest"))
                       for c in ("id", "date", "market", "modal_price")])
@@ -48,8 +58,11 @@ def price_change_pct(prices: DataFrame, start, end) -> DataFrame:
     s = F.lit(start).cast("date") if not isinstance(start, Column) else start
     e = F.lit(end).cast("date") if not isinstance(end, Column) else end
     d = F.col("date")
-    g = prices.agg(F.avg(F.when(d.between(s, F.date_add(s, 1)), F.col("modal_price"))).alias("start_avg"),
-                   F.avg(F.when(d.between(F.date_sub(e, 1), e), F.col("modal_price"))).alias("end_avg"))
+    u = money_units("modal_price")
+    in_s, in_e = d.between(s, F.date_add(s, 1)), d.between(F.date_sub(e, 1), e)
+    g = prices.agg(F.sum(F.when(in_s, u)).alias("_ss"), F.count_if(in_s).alias("_ns"),
+                   F.sum(F.when(in_e, u)).alias("_se"), F.count_if(in_e).alias("_ne"))
+    g = g.select(fixed_mean("_ss", "_ns").alias("start_avg"), fixed_mean("_se", "_ne").alias("end_avg"))
     sa, ea = F.coalesce("start_avg", F.lit(0.0)), F.coalesce("end_avg", F.lit(0.0))
     return g.select(sa.alias("start_avg"), ea.alias("end_avg"),
                     F.when(sa > 0, F.round((ea - sa) / sa * 100, 2)).otherwise(F.lit(0.0)).alias("price_change_pct"))
@@ -176,9 +189,9 @@ def profile_numeric(df: DataFrame, col: str = "modal_price", exact_median: bool
     ``exact_median`` uses ``exact_quantile`` (bounded tasks); otherwise ``percentile_approx``.
     """
     med = exact_quantile(df, col, 0.5) if exact_median else F.percentile_approx(col, 0.5, 10000).cast("double")
-    return df.agg(F.min(col).alias("min"), F.max(col).alias("max"), F.avg(col).alias("mean"),
-                  med.alias("median"),
-                  F.stddev_samp(col).alias("std"))
+    g = df.agg(F.min(col).alias("min"), F.max(col).alias("max"), *price_mean(col), med.alias("median"),
+               F.stddev_samp(col).alias("std"))
+    return finish_mean(g, "mean", col).select("min", "max", "mean", "median", "std")
 
 
 def profile_cardinality(df: DataFrame, cols=("market", "state"), approx: bool = False) -> DataFrame:
@@ -199,7 +212,8 @@ def profile_date_span(df: DataFrame, col: str = "date") -> DataFrame:
 
 
 def avg_price_by_market(prices: DataFrame, keys=("market",), price_col: str = "modal_price") -> DataFrame:
-    return prices.groupBy(*keys).agg(F.avg(price_col).alias("avg_price"), _count().alias("n"))
+    g = prices.groupBy(*keys).agg(*price_mean(price_col), _count().alias("n"))
+    return finish_mean(g, "avg_price", price_col).select(*keys, "avg_price", "n")
 
 
 def low_cardinality_check(df: DataFrame, cols=("market", "state", "variety"), limit: int = 20) -> DataFrame:

@@ -94,31 +94,41 @@ def price_trend(prices: DataFrame, rows: int = 30, keys=KEYS, price_col: str = P
                     F.coalesce(F.round(change, 2), F.lit(0.0)).alias("daily_change"))
 
 
-def latest_feature_row(prices: DataFrame, keys=KEYS, price_col: str = PRICE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """The feature row the predictor scores: newest row + lags, means and changes.
+def _feature_exprs(price_col: str = PRICE) -> dict[str, Column]:
+    n = F.col("n")
+    own = F.col("p1")
+    d = F.col("last_date")
+    return {
+        "date": d, price_col: own,
+        "day_of_year": F.dayofyear(d), "month": F.month(d), "year": F.year(d),
+        "price_lag_1": F.when(n >= 2, F.col("p2")).otherwise(own),
+        "price_lag_7": F.when(n >= 8, F.col("p8")).otherwise(own),
+        "price_ma_7": F.when(n >= 7, F.col("avg_7")).otherwise(F.col("series_avg")),
+        "price_ma_30": F.when(n >= 30, F.col("avg_30")).otherwise(F.col("series_avg")),
+        "price_change_1": F.when(n >= 2, F.try_divide(own - F.col("p2"), F.col("p2"))).otherwise(F.lit(0.0)),
+        "price_change_7": F.when(n >= 8, F.try_divide(own - F.col("p8"), F.col("p8"))).otherwise(F.lit(0.0)),
+        "n_rows": n, "price_7_back": F.col("p7"),
+        "price_ma_7_cents": F.when(n >= 7, F.col("avg_7_2")).otherwise(F.col("series_avg_2")),
+    }
+
+
+def features_from_summary(s: DataFrame, keys=KEYS, price_col: str = PRICE) -> DataFrame:
+    """Feature columns of the newest row of every series, from a ``series_summary`` frame.
 
     Short-history defaults: lag_1 / lag_7 fall back to the row's own price, the 7/30-row
-    means to the mean of all rows, changes to 0.  Series under ``min_rows`` rows get none.
+    means to the mean of all rows, changes to 0.
     """
     ks = _keys(keys)
-    s = series_summary(prices, 30, ks, price_col)
-    n = F.col("n")
-    own = F.col("p1")
-    lag1 = F.when(n >= 2, F.col("p2")).otherwise(own)
-    lag7 = F.when(n >= 8, F.col("p8")).otherwise(own)
-    ma7 = F.when(n >= 7, F.col("avg_7")).otherwise(F.col("series_avg"))
-    ma30 = F.when(n >= 30, F.col("avg_30")).otherwise(F.col("series_avg"))
-    ch1 = F.when(n >= 2, F.try_divide(own - F.col("p2"), F.col("p2"))).otherwise(F.lit(0.0))
-    ch7 = F.when(n >= 8, F.try_divide(own - F.col("p8"), F.col("p8"))).otherwise(F.lit(0.0))
-    d = F.col("last_date")
-    return (s.filter(n >= min_rows)
-            .select(*ks, "state", "district", "variety", d.alias("date"), own.alias(price_col),
-                    F.dayofyear(d).alias("day_of_year"), F.month(d).alias("month"), F.year(d).alias("year"),
-                    lag1.alias("price_lag_1"), lag7.alias("price_lag_7"),
-                    ma7.alias("price_ma_7"), ma30.alias("price_ma_30"),
-                    ch1.alias("price_change_1"), ch7.alias("price_change_7"),
-                    n.alias("n_rows"), F.col("series_avg"), F.col("p7").alias("price_7_back"),
-                    F.when(n >= 7, F.col("avg_7_2")).otherwise(F.col("series_avg_2")).alias("price_ma_7_cents")))
+    return s.select(*ks, "state", "district", "variety", "series_avg",
+                    *[c.alias(n) for n, c in _feature_exprs(price_col).items()])
+
+
+def latest_feature_row(prices: DataFrame, keys=KEYS, price_col: str = PRICE, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The feature row the predictor scores: newest row + lags, means and changes, for every
+    series with at least ``min_rows`` rows."""
+    ks = _keys(keys)
+    return features_from_summary(series_summary(prices, 30, ks, price_col), ks, price_col) \
+        .filter(F.col("n_rows") >= min_rows)
 
 
 def initial_prediction(latest: DataFrame, model=None, fallback_col: str = "price_ma_7_cents") -> DataFrame:
@@ -154,6 +164,23 @@ def damped_path(p0: Column, trend: Column, lo: Column, hi: Column, horizon: int,
     return F.aggregate(F.sequence(F.lit(1), F.lit(horizon - 1)), F.array(p0), step)
 
 
+def forecast_paths(latest: DataFrame, horizon: int = 7, noise: float = 0.0, seed: int = 0, keys=KEYS,
+                   price_col: str = PRICE, model=None) -> DataFrame:
+    """Per series (feature rows from ``features_from_summary``): initial price, trend, bounds
+    and ``path`` = array of ``horizon`` predicted prices."""
+    ks = _keys(keys)
+    scored = initial_prediction(latest, model)
+    trend = F.try_divide(F.col(price_col) - F.col("price_7_back"), F.col("price_7_back"))
+    lo = F.greatest(F.col("series_avg") * FLOOR_FACTOR, F.lit(FLOOR_ABS))
+    hi = F.col("series_avg") * CAP_FACTOR
+    nz = (lambda i: _noise(ks, i, noise, seed)) if noise else None
+    base = scored.select("*", F.round("initial_price", 2).alias("_p0"), F.coalesce(trend, F.lit(0.0)).alias("trend"),
+                         lo.alias("lower_bound"), hi.alias("upper_bound")) \
+        .drop("initial_price").withColumnRenamed("_p0", "initial_price")
+    path = damped_path(F.col("initial_price"), F.col("trend"), F.col("lower_bound"), F.col("upper_bound"), horizon, nz)
+    return base.withColumn("path", path)
+
+
 def forecast_7d(prices: DataFrame, as_of=None, horizon: int = 7, noise: float = 0.0, seed: int = 0,
                 keys=KEYS, price_col: str = PRICE, model=None, window_days: int | None = 730) -> DataFrame:
     """Forecast ``horizon`` days for every series with at least 7 rows.
@@ -167,17 +194,9 @@ def forecast_7d(prices: DataFrame, as_of=None, horizon: int = 7, noise: float =
     hist = prices
     if window_days:
         hist = prices.filter((F.col("date") >= F.date_sub(a, window_days)) & (F.col("date") <= a))
-    latest = initial_prediction(latest_feature_row(hist, ks, price_col), model)
-    trend = F.try_divide(F.col(price_col) - F.col("price_7_back"), F.col("price_7_back"))
-    lo = F.greatest(F.col("series_avg") * FLOOR_FACTOR, F.lit(FLOOR_ABS))
-    hi = F.col("series_avg") * CAP_FACTOR
-    nz = (lambda i: _noise(ks, i, noise, seed)) if noise else None
-    base = latest.select(*ks, F.round("initial_price", 2).alias("initial_price"),
-                         F.coalesce(trend, F.lit(0.0)).alias("trend"),
-                         lo.alias("lower_bound"), hi.alias("upper_bound"))
-    path = damped_path(F.col("initial_price"), F.col("trend"), F.col("lower_bound"), F.col("upper_bound"),
-                       horizon, nz)
-    return (base.select("*", F.posexplode(path).alias("step", "predicted_price"))
+    fp = forecast_paths(latest_feature_row(hist, ks, price_col), horizon, noise, seed, ks, price_col, model)
+    return (fp.select(*ks, "initial_price", "trend", "lower_bound", "upper_bound",
+                      F.posexplode("path").alias("step", "predicted_price"))
             .withColumn("date", F.date_add(a, F.col("step") + 1)))
 
 
@@ -248,32 +267,43 @@ def recommend(trend: DataFrame, forecast: DataFrame | None, user_types=("FARMER"
 
 
 def market_analysis(prices: DataFrame, as_of=None, horizon: int = 7, keys=KEYS, price_col: str = PRICE,
-                    model=None) -> DataFrame:
+                    model=None, pct: float = BAND_PCT) -> DataFrame:
     """One record per market: latest fields, 7-row statistics, weekly change, the forecast
-    as ``array<struct>`` and the market's own trend.  Markets under 7 rows carry ``error``."""
+    as ``array<struct>`` and the market's own trend.  Markets under 7 rows carry ``error``.
+
+    Everything comes from one per-market summary (one tail window + one partial aggregate);
+    the forecast array is built in place with ``transform``, so there is no explode/collect
+    round trip and no second shuffle.
+    """
     ks = _keys(keys)
     a = as_of_column(prices, as_of)
     hist = prices.filter((F.col("date") >= F.date_sub(a, 730)) & (F.col("date") <= a))
     s = series_summary(hist, 30, ks, price_col)
-    tr = price_trend(hist, 30, ks, price_col)
-    fc = forecast_bands(forecast_7d(hist, a, horizon, keys=ks, price_col=price_col, model=model, window_days=None))
-    preds = (fc.groupBy(*ks)
-             .agg(F.array_sort(F.collect_list(F.struct("step", "date", "predicted_price", "min_price", "max_price",
-                                                         "confidence"))).alias("_p")))
-    weekly = F.round(F.try_divide(F.col("p1") - F.col("p7"), F.col("p7")) * 100, 2)
+    # features and path are added to the summary itself: one frame, no self-join
+    s = forecast_paths(s.withColumns(_feature_exprs(price_col)), horizon, keys=ks, price_col=price_col, model=model)
     enough = F.col("n") >= MIN_ROWS
-    trend_struct = F.struct(*[F.col(f"t.{c}").alias(c) for c in
-                              ("current_price", "trend", "min_30d", "max_30d", "avg_30d", "daily_change")])
-    return (s.alias("s").join(tr.alias("t"), ks).join(preds, ks, "left")
-            .select(*[F.col(f"s.{k}").alias(k) for k in ks],
+    weekly = F.round(F.try_divide(F.col("p1") - F.col("p7"), F.col("p7")) * 100, 2)
+    change = F.try_divide(F.col("p1") - F.col("p2"), F.col("p2")) * 100
+    trend_struct = F.struct(F.col("p1").alias("current_price"),
+                            trend_class(F.coalesce(change, F.lit(0.0))).alias("trend"),
+                            F.col("min_30").alias("min_30d"), F.col("max_30").alias("max_30d"),
+                            F.col("avg_30").alias("avg_30d"),
+                            F.coalesce(F.round(change, 2), F.lit(0.0)).alias("daily_change"))
+    # (a subquery cannot sit inside a lambda, so as_of travels as a column)
+    preds = F.transform(F.col("path"), lambda p, i: F.struct(
+        F.date_add(F.col("_as_of"), i + 1).alias("date"), p.alias("predicted_price"),
+        F.round(p * (1 - pct), 2).alias("min_price"), F.round(p * (1 + pct), 2).alias("max_price"),
+        F.round(F.lit(CONF_START) - F.lit(CONF_STEP) * i, 2).alias("confidence")))
+    return (s.withColumn("_as_of", a)
+            .select(*ks,
                     F.when(enough, F.col("p1")).alias("current_price"),
                     F.when(enough, F.date_format("last_date", "yyyy-MM-dd")).alias("current_date"),
-                    F.when(enough, F.col("s.state")).alias("state"),
-                    F.when(enough, F.col("s.district")).alias("district"),
-                    F.when(enough, F.col("s.variety")).alias("variety"),
+                    F.when(enough, F.col("state")).alias("state"),
+                    F.when(enough, F.col("district")).alias("district"),
+                    F.when(enough, F.col("variety")).alias("variety"),
                     F.when(enough, F.struct(F.col("min_7").alias("min_7d"), F.col("max_7").alias("max_7d"),
                                             F.col("avg_7").alias("avg_7d"))).alias("price_stats"),
                     F.when(enough, weekly).alias("weekly_change"),
-                    F.when(enough, F.transform("_p", lambda x: x.dropFields("step"))).alias("predictions"),
+                    F.when(enough, preds).alias("predictions"),
                     F.when(enough, trend_struct).alias("trend"),
-                    F.when(~enough, F.concat(F.lit("Insufficient data for "), F.col(f"s.{ks[0]}"))).alias("error")))
+                    F.when(~enough, F.concat(F.lit("Insufficient data for "), F.col(ks[0]))).alias("error")))

@@ -6,7 +6,9 @@ from ..operators import aggregates as A
 from ..operators.series import naive_baseline, rolling_mean_partial, series_window
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import AS_OF_PREDICTIONS, AS_OF_PRICES, sround
+from .sqltext import AS_OF_PREDICTIONS, AS_OF_PRICES, fixed_mean, sround, units
+
+MEAN = fixed_mean(f"sum({units('modal_price')})", 'count(modal_price)')
 
 
 def T(spark, sf, name):
@@ -17,7 +19,7 @@ def T(spark, sf, name):
 SELECT count(*) AS total_prices,
        (SELECT count(*) FROM predictions) AS total_predictions,
        (SELECT count(*) FROM users) AS total_users,
-       {sround('coalesce(avg(modal_price), 0)', 4)} AS avg_price
+       coalesce({MEAN}, 0.0) AS avg_price
 FROM prices""")
 def q_dashboard_totals(spark, sf):
     return A.dashboard_totals(T(spark, sf, "prices"), T(spark, sf, "predictions"), T(spark, sf, "users")) \
@@ -25,7 +27,7 @@ def q_dashboard_totals(spark, sf):
 
 
 @query("price_stats", f"""
-SELECT count(*) AS total_records, {sround('coalesce(avg(modal_price), 0)', 4)} AS avg_price,
+SELECT count(*) AS total_records, coalesce({MEAN}, 0.0) AS avg_price,
        arg_max(id, (modal_price, -id)) AS highest_id, arg_max(date, (modal_price, -id)) AS highest_date,
        arg_max(market, (modal_price, -id)) AS highest_market, max(modal_price) AS highest_modal_price,
        arg_min(id, (modal_price, id)) AS lowest_id, arg_min(date, (modal_price, id)) AS lowest_date,
@@ -37,10 +39,11 @@ def q_price_stats(spark, sf):
 
 @query("price_change_pct", f"""
 WITH a AS (SELECT {AS_OF_PRICES} AS e),
-g AS (SELECT avg(CASE WHEN date BETWEEN CAST(e - INTERVAL 30 DAY AS DATE) AND CAST(e - INTERVAL 29 DAY AS DATE)
-                      THEN modal_price END) AS s_avg,
-             avg(CASE WHEN date BETWEEN CAST(e - INTERVAL 1 DAY AS DATE) AND e THEN modal_price END) AS e_avg
-      FROM prices, a)
+w AS (SELECT modal_price, date BETWEEN CAST(e - INTERVAL 30 DAY AS DATE) AND CAST(e - INTERVAL 29 DAY AS DATE) AS in_s,
+             date BETWEEN CAST(e - INTERVAL 1 DAY AS DATE) AND e AS in_e FROM prices, a),
+g AS (SELECT {fixed_mean(f"sum(CASE WHEN in_s THEN {units('modal_price')} END)", 'count(*) FILTER (WHERE in_s)')} AS s_avg,
+             {fixed_mean(f"sum(CASE WHEN in_e THEN {units('modal_price')} END)", 'count(*) FILTER (WHERE in_e)')} AS e_avg
+      FROM w)
 SELECT {sround('coalesce(s_avg, 0)', 6)} AS start_avg, {sround('coalesce(e_avg, 0)', 6)} AS end_avg,
        CASE WHEN coalesce(s_avg, 0) > 0 THEN {sround('(coalesce(e_avg, 0) - s_avg) / s_avg * 100', 2)} ELSE 0.0 END
          AS price_change_pct
@@ -139,7 +142,7 @@ def q_facet_values_factor_type(spark, sf):
 
 
 @query("profile_numeric", f"""
-SELECT min(modal_price) AS min, max(modal_price) AS max, {sround('avg(modal_price)', 4)} AS mean,
+SELECT min(modal_price) AS min, max(modal_price) AS max, {MEAN} AS mean,
        {sround('quantile_cont(modal_price, 0.5)', 6)} AS median, {sround('stddev_samp(modal_price)', 4)} AS std
 FROM prices""")
 def q_profile_numeric(spark, sf):
@@ -173,7 +176,7 @@ def q_profile_date_span(spark, sf):
 
 
 @query("avg_price_by_market", f"""
-SELECT market, {sround('avg(modal_price)', 4)} AS avg_price, count(*) AS n FROM prices GROUP BY market""")
+SELECT market, {MEAN} AS avg_price, count(*) AS n FROM prices GROUP BY market""")
 def q_avg_price_by_market(spark, sf):
     return A.avg_price_by_market(T(spark, sf, "prices")).withColumn("avg_price", F.round("avg_price", 4))
 
@@ -235,3 +238,8 @@ def q_select_best_model(spark, sf):
              for c in ("naive", "weekly", "ma7")]
     m = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return A.select_best_model(m).withColumn("best_r2", F.round("best_r2", 6))
+
+
+@query("facet_values", "SELECT DISTINCT market FROM predictions")
+def q_facet_values(spark, sf):
+    return A.facet_values(T(spark, sf, "predictions"), "market")

@@ -187,3 +187,35 @@ def q_market_analysis(spark, sf):
                     F.col("trend.avg_30d").alias("avg_30d"),
                     F.when(F.col("predictions").isNotNull(), F.size("predictions")).cast("bigint").alias("n_predictions"),
                     F.element_at("predictions", -1)["predicted_price"].alias("last_predicted_price"), "error")
+
+
+_BACKTEST_AS_OF = "(SELECT CAST(max(date) - INTERVAL 7 DAY AS DATE) FROM prices)"
+
+
+@query("join_actuals", forecast_sql(_BACKTEST_AS_OF) + """
+SELECT fc.market, fc.date AS forecast_date, fc.predicted_price, o.observed_price
+FROM fc LEFT JOIN (SELECT market, date, arg_max(modal_price, id) AS observed_price FROM prices GROUP BY market, date) o
+  ON fc.market = o.market AND fc.date = o.date""")
+def q_join_actuals(spark, sf):
+    from ..operators.selection import join_actuals
+    p = _prices(spark, sf)
+    a = F.date_sub(p.agg(F.max("date")).scalar(), 7)
+    f = fc.forecast_7d(p, a).select("market", F.col("date").alias("forecast_date"), "predicted_price")
+    return join_actuals(f, p)
+
+
+@query("apply_actual_prices", forecast_sql(_BACKTEST_AS_OF) + f"""
+SELECT a.as_of AS prediction_date, fc.date AS forecast_date, fc.market, fc.predicted_price AS predicted_modal_price,
+       {sround('(0.85 - 0.05 * fc.step) * 100', 2)} AS confidence_interval, o.observed_price AS actual_price
+FROM fc CROSS JOIN a
+LEFT JOIN (SELECT market, date, arg_max(modal_price, id) AS observed_price FROM prices GROUP BY market, date) o
+  ON fc.market = o.market AND fc.date = o.date""")
+def q_apply_actual_prices(spark, sf):
+    # saved predictions made 7 days before the last date get the prices observed since
+    from ..operators.quality import apply_actual_prices
+    from ..sources.files import to_prediction_rows
+    p = _prices(spark, sf)
+    a = F.date_sub(p.agg(F.max("date")).scalar(), 7)
+    saved = to_prediction_rows(fc.forecast_7d(p, a), a)
+    return apply_actual_prices(saved, p).select("prediction_date", "forecast_date", "market", "predicted_modal_price",
+                                                "confidence_interval", "actual_price")

@@ -208,3 +208,28 @@ def q_dashboard_summary(spark, sf):
     from ..operators.summary import dashboard_summary
     p, f, _ = _summary_parts(spark, sf)
     return dashboard_summary(p, f)
+
+
+@query("scan_table", f"SELECT {PRICE_COLS} FROM prices")
+def q_scan_table(spark, sf):
+    # the generic scan (explicit schema, parquet) over the stored price table
+    return IO.scan(spark, materialize(spark, sf, ["prices"])["prices"], PRICES, "parquet")
+
+
+@query("save_model")
+def q_save_model(spark, sf):
+    # fit, write the pipeline (scaler + model in one artefact) and list what was written
+    from ..operators import ml as M
+    from .q_models import _split
+    tr, _ = _split(spark, sf)
+    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), IO.new_output_path(spark, "model"))
+    return spark.read.json(f"{path}/metadata").select("class", "uid")
+
+
+@query("load_model")
+def q_load_model(spark, sf):
+    from ..operators import ml as M
+    from .q_models import _split
+    tr, te = _split(spark, sf)
+    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), IO.new_output_path(spark, "model"))
+    return M.load_model(path).transform(te).select("id", "market", "prediction")

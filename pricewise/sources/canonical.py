@@ -181,15 +181,21 @@ BUILDERS = {
     "messages": build_messages,
 }
 
-# How each table is laid out when materialised: sorted by its series key so row-group
-# min/max statistics let market/date filters skip data.
+# How each table is laid out when materialised: range-partitioned and sorted by its series
+# key, so every file covers a narrow key range and parquet row-group min/max statistics let
+# market / date filters skip files and row groups (hash-partitioned output would put every
+# market in every file).
 _LAYOUT = {"prices": ("market", "date", "id"), "predictions": ("forecast_date", "id")}
 
 _MEMO: dict[tuple, DataFrame] = {}
 
+# Bumped whenever a builder or the layout changes, so stale copies are never reused.
+LAYOUT_VERSION = 3
+
 
 def _source_signature(sf_dir: str) -> str:
     h = hashlib.sha1(os.path.abspath(sf_dir).encode() if "://" not in sf_dir else sf_dir.encode())
+    h.update(f"layout:{LAYOUT_VERSION}".encode())
     if "://" not in sf_dir:
         for t in RAW_TABLES:
             p = os.path.join(sf_dir, f"{t}.parquet")
@@ -214,7 +220,8 @@ def materialize(spark: SparkSession, sf_dir: str, names=None, force: bool = Fals
                 pass
         df = BUILDERS[name](spark, sf_dir)
         if name in _LAYOUT:
-            df = df.sortWithinPartitions(*_LAYOUT[name])
+            key = _LAYOUT[name]
+            df = df.repartitionByRange(*key[:2]).sortWithinPartitions(*key)
         df.write.mode("overwrite").parquet(path)
         out[name] = path
     return out
