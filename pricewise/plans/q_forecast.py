@@ -74,7 +74,7 @@ k AS (SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS p1, max(CASE
              sum(CASE WHEN rn <= 7 THEN {units('modal_price')} END) AS s7, count(CASE WHEN rn <= 7 THEN 1 END) AS n7,
              sum({units('modal_price')}) AS s30, count(*) AS n30
       FROM t WHERE rn <= 30 GROUP BY market)
-SELECT s.market, d AS date, p1 AS modal_price, dayofyear(d) AS day_of_year, month(d) AS month, year(d) AS year,
+SELECT s.market, d AS date, p1 AS modal_price, CAST(dayofyear(d) AS INTEGER) AS day_of_year, CAST(month(d) AS INTEGER) AS month, CAST(year(d) AS INTEGER) AS year,
        CASE WHEN n >= 2 THEN p2 ELSE p1 END AS price_lag_1, CASE WHEN n >= 8 THEN p8 ELSE p1 END AS price_lag_7,
        CASE WHEN n >= 7 THEN {fixed_mean('s7', 'n7')} ELSE {fixed_mean('su', 'n')} END AS price_ma_7,
        CASE WHEN n >= 30 THEN {fixed_mean('s30', 'n30')} ELSE {fixed_mean('su', 'n')} END AS price_ma_30,

@@ -14,8 +14,8 @@ def T(spark, sf, name):
 
 
 @query("date_parts", """
-SELECT id, year(date) AS year, month(date) AS month, day(date) AS day, isodow(date) - 1 AS day_of_week,
-       dayofyear(date) AS day_of_year, weekofyear(date) AS week_of_year, quarter(date) AS quarter
+SELECT id, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week,
+       CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(weekofyear(date) AS INTEGER) AS week_of_year, CAST(quarter(date) AS INTEGER) AS quarter
 FROM prices""")
 def q_date_parts(spark, sf):
     p = T(spark, sf, "prices")
@@ -23,7 +23,7 @@ def q_date_parts(spark, sf):
 
 
 @query("season", """
-SELECT id, month(date) AS month,
+SELECT id, CAST(month(date) AS INTEGER) AS month,
        CASE WHEN month(date) BETWEEN 3 AND 5 THEN 0 WHEN month(date) BETWEEN 6 AND 9 THEN 1
             WHEN month(date) BETWEEN 10 AND 11 THEN 2 ELSE 3 END AS season
 FROM prices""")

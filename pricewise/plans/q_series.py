@@ -177,7 +177,7 @@ def _simple_sql(leak_free: bool) -> str:
     return f"""
 WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices)
            WHERE rn <= 365),
-f AS (SELECT id, market, date, modal_price, dayofyear(date) AS day_of_year, month(date) AS month, year(date) AS year,
+f AS (SELECT id, market, date, modal_price, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year,
              lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
              {window_mean('modal_price', f'w ROWS BETWEEN {6 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_7,
              {window_mean('modal_price', f'w ROWS BETWEEN {29 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_30,
@@ -210,9 +210,9 @@ def q_build_features_simple_leak_free(spark, sf):
 
 
 @query("build_features_full", f"""
-WITH f AS (SELECT id, market, date, modal_price, year(date) AS year, month(date) AS month, day(date) AS day,
-                  isodow(date) - 1 AS day_of_week, dayofyear(date) AS day_of_year, weekofyear(date) AS week_of_year,
-                  quarter(date) AS quarter,
+WITH f AS (SELECT id, market, date, modal_price, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, CAST(day(date) AS INTEGER) AS day,
+                  CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(weekofyear(date) AS INTEGER) AS week_of_year,
+                  CAST(quarter(date) AS INTEGER) AS quarter,
                   CASE WHEN month(date) BETWEEN 3 AND 5 THEN 0 WHEN month(date) BETWEEN 6 AND 9 THEN 1
                        WHEN month(date) BETWEEN 10 AND 11 THEN 2 ELSE 3 END AS season,
                   lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
