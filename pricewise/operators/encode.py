@@ -57,10 +57,10 @@ def one_hot_align(df: DataFrame, layout: list[str], cols=("market", "state", "va
 
 def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code"):
     """Replace nothing; add ``{col}{suffix}`` = index of the value among the sorted distinct values."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}{suffix}", stringOrderType="alphabetAsc",
-                         handleInvalid="keep") for c in cols]
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=idx).fit(df)
+    cols = list(cols)
+    # one multi-column indexer: the distinct values of every column are found in one pass
+    model = StringIndexer(inputCols=cols, outputCols=[f"{c}{suffix}" for c in cols], stringOrderType="alphabetAsc",
+                          handleInvalid="keep").fit(df)
     out = model.transform(df)
     return out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}").cast("int") for c in cols}), model
 

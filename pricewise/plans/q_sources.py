@@ -233,3 +233,16 @@ def q_load_model(spark, sf):
     tr, te = _split(spark, sf)
     path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), IO.new_output_path(spark, "model"))
     return M.load_model(path).transform(te).select("id", "market", "prediction")
+
+
+@query("stream_ingest_prices", f"""
+SELECT {PRICE_COLS.replace('id, ', '')} FROM prices WHERE contains(lower(market), '#00000005')""")
+def q_stream_ingest_prices(spark, sf):
+    # upload files exported from the price table, ingested by the file-stream job (validate +
+    # upsert per micro-batch), read back from the newest table version
+    from ..streaming.ingest import read_table, start_price_ingest
+    base = IO.new_output_path(spark, "stream")
+    IO.export_prices_csv(T(spark, sf, "prices"), f"{base}/uploads", market="#00000005")
+    start_price_ingest(spark, f"{base}/uploads", f"{base}/table", f"{base}/rejects", f"{base}/_checkpoint") \
+        .awaitTermination()
+    return read_table(spark, f"{base}/table")
