@@ -137,46 +137,58 @@ def facet_values(df: DataFrame, col: str, drop_empty: bool = False) -> DataFrame
     return out.orderBy(col)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float = 0.5, buckets: int = 64) -> Column:
-    """Exact interpolated quantile (``quantile_cont``) without one task holding all values.
-
-    1. distinct values with counts (partial aggregation; a hot value is one row);
-    2. ``buckets`` cut points from ``percentile_approx`` (a bounded array);
-    3. row counts per bucket (``buckets`` rows to the driver) locate the two ranks needed;
-    4. only the values of the bucket(s) holding those ranks are sorted.
-    Returns a literal Column with the value (a scalar computed by a few bounded jobs).
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5, values_per_bucket: int = 200_000) -> Column:
+    """Exact interpolated quantile (``quantile_cont``) without one task or the driver holding
+    all values.
+
+    1. distinct values with counts (partial aggregation; a value repeated across a third of
+       the rows is one row);
+    2. cut points from ``percentile_approx`` — about one bucket per ``values_per_bucket``
+       distinct values, so a bucket stays small however large the column grows;
+    3. row counts per bucket (one row per bucket to the driver) locate the bucket(s) holding
+       the two ranks needed;
+    4. inside those buckets only, a running count finds the exact values; two rows reach the
+       driver.
+    Returns the value as a literal Column (a scalar computed by a few bounded jobs).
     """
+    from pyspark.sql import Window
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(_count().alias("c")).cache()
+    counts = vals.groupBy("v").agg(_count().alias("c")).persist()
     try:
-        n = counts.agg(F.sum("c")).first()[0]
+        stats = counts.agg(F.sum("c").alias("n"), _count().alias("d")).first()
+        n, distinct = stats["n"], stats["d"]
         if not n:
             return F.lit(None).cast("double")
         pos = (n - 1) * q
-        k1, k2 = int(pos), min(int(pos) + (1 if pos > int(pos) else 0), n - 1)
-        cuts = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], 10000)).first()[0]
+        k1 = int(pos)
+        k2 = min(k1 + (1 if pos > k1 else 0), n - 1)
+        buckets = int(min(20_000, max(64, -(-distinct // values_per_bucket))))
+        accuracy = max(10_000, 20 * buckets)
+        cuts = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], accuracy)).first()[0]
         cuts = sorted(set(cuts or []))
-        bucket = F.lit(0)
-        for c in cuts:
-            bucket = bucket + (F.col("v") > F.lit(c)).cast("int")
-        per = {r["b"]: r["s"] for r in counts.groupBy(bucket.alias("b")).agg(F.sum("c").alias("s")).collect()}
-        cum, start, need = 0, {}, set()
-        for b in sorted(per):
+        # bucket of each value: Bucketizer binary-searches the cut points (JVM side)
+        from pyspark.ml.feature import Bucketizer
+        splits = [float("-inf"), *[float(c) for c in cuts], float("inf")]
+        keyed = (Bucketizer(splits=splits, inputCol="v", outputCol="_b").transform(counts)
+                 .withColumn("b", F.col("_b").cast("int")).drop("_b"))
+        sizes = {r["b"]: r["s"] for r in keyed.groupBy("b").agg(F.sum("c").alias("s")).collect()}
+        start, cum, need = {}, 0, set()
+        for b in sorted(sizes):
             start[b] = cum
-            if cum <= k1 < cum + per[b] or cum <= k2 < cum + per[b]:
+            if cum <= k1 < cum + sizes[b] or cum <= k2 < cum + sizes[b]:
                 need.add(b)
-            cum += per[b]
-        from pyspark.sql import Window
-        sel = counts.withColumn("b", bucket).filter(F.col("b").isin(sorted(need)))
+            cum += sizes[b]
         w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = sel.withColumn("cum", F.sum("c").over(w)).collect()
+        offs = F.create_map(*[x for b in sorted(need) for x in (F.lit(b), F.lit(start[b]))])
+        ranked = (keyed.filter(F.col("b").isin(sorted(need)))
+                  .withColumn("hi", F.sum("c").over(w) + offs[F.col("b")])
+                  .withColumn("lo", F.col("hi") - F.col("c")))
+        hit = ranked.filter(((F.col("lo") <= k1) & (F.lit(k1) < F.col("hi")))
+                            | ((F.col("lo") <= k2) & (F.lit(k2) < F.col("hi")))).select("v", "lo", "hi").collect()
 
         def at(k):
-            for r in ranked:
-                lo = start[r["b"]] + r["cum"] - r["c"]
-                if lo <= k < lo + r["c"]:
-                    return r["v"]
-            raise RuntimeError("rank not found")
+            return next(r["v"] for r in hit if r["lo"] <= k < r["hi"])
+
         v1, v2 = at(k1), at(k2)
         return F.lit(v1 + (v2 - v1) * (pos - k1))
     finally:

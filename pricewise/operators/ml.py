@@ -32,25 +32,38 @@ def _pipeline(features, estimator, scale: bool = True) -> Pipeline:
     return Pipeline(stages=[*stages, estimator])
 
 
+def _fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows persisted (memory, spilling to disk) for the estimator's
+    passes, unless the caller already cached them; lost blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+    if train.is_cached:
+        return pipeline.fit(train)
+    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline.fit(t)
+    finally:
+        t.unpersist()
+
+
 def train_linear(train: DataFrame, features, label: str = PRICE, scale: bool = True) -> PipelineModel:
     """Ordinary least squares (no regularisation) on scaled features."""
     lr = LinearRegression(featuresCol="features", labelCol=label, regParam=0.0, elasticNetParam=0.0,
                           solver="normal", standardization=False)
-    return _pipeline(features, lr, scale).fit(train)
+    return _fit(_pipeline(features, lr, scale), train)
 
 
 def train_random_forest(train: DataFrame, features, label: str = PRICE, trees: int = 100, depth: int = 10,
                         min_leaf: int = 2, seed: int = 42) -> PipelineModel:
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
                                minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed)
-    return _pipeline(features, rf, scale=False).fit(train)
+    return _fit(_pipeline(features, rf, scale=False), train)
 
 
 def train_boosted_trees(train: DataFrame, features, label: str = PRICE, rounds: int = 100, depth: int = 6,
                         rate: float = 0.05, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate,
                        subsamplingRate=subsample, featureSubsetStrategy=str(subsample), seed=seed)
-    return _pipeline(features, gbt, scale=False).fit(train)
+    return _fit(_pipeline(features, gbt, scale=False), train)
 
 
 TRAINERS = {"lr": train_linear, "rf": train_random_forest, "xgb": train_boosted_trees}

@@ -36,11 +36,34 @@ def read_prices_csv(spark: SparkSession, path: str, with_row_numbers: bool = Tru
     df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt").schema(PRICES_CSV_TEXT).csv(path))
     if with_row_numbers:
-        # file order = (input file, offset); a monotonically increasing id preserves it
-        df = df.withColumn("file_row", F.monotonically_increasing_id())
+        df = number_rows(df)
     return df
 
 
+def number_rows(df: DataFrame, name: str = "file_row", file_name: str = "source_file") -> DataFrame:
+    """Exact 0-based line number of every row within its own input file (after the header).
+
+    Rows get a monotonically increasing id (consecutive inside a partition).  The first id and
+    the row count of every (file, partition) piece — one row per input split — go to the
+    driver, which turns them into start offsets; line = offset + (id - first id of the piece).
+    One extra pass, nothing unbounded collected, no window over a whole file.
+    """
+    tagged = df.withColumns({file_name: F.col("_metadata.file_path"), "_pid": F.spark_partition_id(),
+                             "_mid": F.monotonically_increasing_id()})
+    pieces = (tagged.groupBy(file_name, "_pid").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n"))
+              .collect())
+    offsets, seen = [], {}
+    for r in sorted(pieces, key=lambda r: (r[file_name], r["first"])):
+        base = seen.get(r[file_name], 0)
+        offsets.append((r[file_name], r["_pid"], r["first"], base))
+        seen[r[file_name]] = base + r["n"]
+    spark = df.sparkSession
+    off = spark.createDataFrame(offsets, f"{file_name} string, _pid int, _first long, _base long")
+    return (tagged.join(F.broadcast(off), [file_name, "_pid"])
+            .withColumn(name, F.col("_base") + F.col("_mid") - F.col("_first"))
+            .drop("_pid", "_mid", "_first", "_base"))
+
+
 def parse_dates(df: DataFrame, col: str = "date") -> DataFrame:
     """Text -> DATE; unparseable text becomes null (ANSI would otherwise fail the job)."""
     return df.withColumn(col, F.col(col).cast("string").try_cast("date"))

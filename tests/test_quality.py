@@ -74,3 +74,15 @@ def test_check_unique_users(spark):
     cand = spark.createDataFrame([("ann", "new@x"), ("cid", "b@x"), ("dan", "d@x")], "username string, email string")
     got = {r.username: r.status for r in Q.check_unique_users(users, cand).collect()}
     assert got == {"ann": "username exists", "cid": "email exists", "dan": "accepted"}
+
+
+def test_csv_line_numbers_are_exact_per_file(spark, tmp_path):
+    from pricewise.sources.files import read_prices_csv
+    hdr = "date,market,state,district,variety,min_price,max_price,modal_price,arrival_quantity\n"
+    (tmp_path / "a.csv").write_text(hdr + "".join(f"2024-01-01,A{i},S,D,V,1,3,2,0\n" for i in range(3)))
+    (tmp_path / "b.csv").write_text(hdr + "".join(f"2024-01-02,B{i},S,D,V,1,3,{9 if i == 1 else 2},0\n" for i in range(4)))
+    df = read_prices_csv(spark, str(tmp_path))
+    got = sorted((r.market, r.file_row) for r in df.collect())
+    assert got == [("A0", 0), ("A1", 1), ("A2", 2), ("B0", 0), ("B1", 1), ("B2", 2), ("B3", 3)]
+    rep = Q.reject_report(Q.validate_prices(df)).first()
+    assert rep.errors == "Row 3: " + Q.REASON_MODAL
