@@ -237,3 +237,46 @@ def q_build_features_full(spark, sf):
                     F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
                     F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
                     F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"), "market_code", "state_code")
+
+
+# ----------------------------------------------------------------------------- long series
+# The same features computed without a per-series window (see operators/long_series.py);
+# they must give exactly the window results, so they share the oracles above.
+from ..operators import long_series as LS  # noqa: E402
+from .registry import _ORACLES  # noqa: E402
+
+
+def _same_oracle(name, like):
+    def deco(fn):
+        return query(name, _ORACLES[like])(fn)
+    return deco
+
+
+@_same_oracle("lag_features_split", "lag_features")
+def q_lag_features_split(spark, sf):
+    return LS.lag_split(P(spark, sf).select("id", "market", "date", "modal_price"), (1, 7, 30, 90))
+
+
+@query("rolling_mean_split", f"""
+SELECT id, {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW')} AS price_ma_7,
+       CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) = 30
+            THEN {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} END AS price_rolling_mean_30
+FROM prices {W}""")
+def q_rolling_mean_split(spark, sf):
+    p = P(spark, sf).select("id", "market", "date", "modal_price")
+    a = LS.rolling_mean_split(p, 7).select("id", "price_ma_7")
+    b = LS.rolling_mean_split(p, 30, full=True).select("id", "price_rolling_mean_30")
+    return a.join(b, "id")
+
+
+@query("pct_change_split", f"""
+SELECT id, {sround('(modal_price - lag(modal_price, 7) OVER w) / lag(modal_price, 7) OVER w', 10)} AS price_change_7
+FROM prices {W}""")
+def q_pct_change_split(spark, sf):
+    d = LS.pct_change_split(P(spark, sf).select("id", "market", "date", "modal_price"), 7)
+    return d.select("id", F.round("price_change_7", 10).alias("price_change_7"))
+
+
+@_same_oracle("chrono_split_split", "chrono_split")
+def q_chrono_split_split(spark, sf):
+    return LS.chrono_split_split(P(spark, sf), 0.8).select("id", "market", "is_train")
