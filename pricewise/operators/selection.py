@@ -1,7 +1,7 @@
 """Row selection, projection, joins, ordering and paging (survey 2.3, 2.4, 2.5, 2.8).
 
-Joins: the app only has key equi-joins.  Dimension-like sides whose size is fixed by
-definition (the models table, rule tables) are broadcast; everything else is left to
+Joins: the app only has key equi-joins.  Sides whose size is fixed by definition (rule
+tables) are broadcast; everything else is left to
 Spark's size-checked planning (``autoBroadcastJoinThreshold`` on estimated size, and AQE
 re-planning on measured shuffle sizes), which falls back to a sort-merge join.
 """
@@ -98,10 +98,11 @@ def join_user_type_default(users: DataFrame, profiles: DataFrame, default="GENER
 
 
 def join_prediction_model(predictions: DataFrame, models: DataFrame) -> DataFrame:
-    """Predictions with the model's name (left join on the nullable key).  The models table
-    is a handful of registered models, so it is broadcast."""
+    """Predictions with the model's name (left join on the nullable key) — one join instead of
+    a lookup per row.  The model registry grows with training runs, not with data, but has no
+    hard bound, so no hint: Spark's size check broadcasts it while it is small."""
     m = models.select(F.col("id").alias("model_used_id"), F.col("name").alias("model_name"))
-    return predictions.join(F.broadcast(m), "model_used_id", "left")
+    return predictions.join(m, "model_used_id", "left")
 
 
 def join_search_username(users: DataFrame, profiles: DataFrame, text) -> DataFrame:

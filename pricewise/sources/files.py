@@ -59,7 +59,8 @@ def number_rows(df: DataFrame, name: str = "file_row", file_name: str = "source_
         seen[r[file_name]] = base + r["n"]
     spark = df.sparkSession
     off = spark.createDataFrame(offsets, f"{file_name} string, _pid int, _first long, _base long")
-    return (tagged.join(F.broadcast(off), [file_name, "_pid"])
+    # one row per input split: Spark's size check decides whether to broadcast it
+    return (tagged.join(off, [file_name, "_pid"])
             .withColumn(name, F.col("_base") + F.col("_mid") - F.col("_first"))
             .drop("_pid", "_mid", "_first", "_base"))
 
