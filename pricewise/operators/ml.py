@@ -52,17 +52,25 @@ def train_linear(train: DataFrame, features, label: str = PRICE, scale: bool = T
     return _fit(_pipeline(features, lr, scale), train)
 
 
+# Per-task memory for a tree level's split statistics: smaller means more passes over the data
+# but a bounded buffer per task, whatever the executor heap.
+TREE_MEMORY_MB = 64
+
+
 def train_random_forest(train: DataFrame, features, label: str = PRICE, trees: int = 100, depth: int = 10,
-                        min_leaf: int = 2, seed: int = 42) -> PipelineModel:
+                        min_leaf: int = 2, seed: int = 42, memory_mb: int = TREE_MEMORY_MB) -> PipelineModel:
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth,
-                               minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed)
+                               minInstancesPerNode=min_leaf, featureSubsetStrategy="all", seed=seed,
+                               maxMemoryInMB=memory_mb)
     return _fit(_pipeline(features, rf, scale=False), train)
 
 
 def train_boosted_trees(train: DataFrame, features, label: str = PRICE, rounds: int = 100, depth: int = 6,
-                        rate: float = 0.05, subsample: float = 0.8, seed: int = 42) -> PipelineModel:
+                        rate: float = 0.05, subsample: float = 0.8, seed: int = 42,
+                        memory_mb: int = TREE_MEMORY_MB) -> PipelineModel:
     gbt = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate,
-                       subsamplingRate=subsample, featureSubsetStrategy=str(subsample), seed=seed)
+                       subsamplingRate=subsample, featureSubsetStrategy=str(subsample), seed=seed,
+                       maxMemoryInMB=memory_mb)
     return _fit(_pipeline(features, gbt, scale=False), train)
 
 
