@@ -73,23 +73,33 @@ def accuracy_grade(accuracy) -> Column:
             .when(a > 70, "Fair").otherwise("Poor"))
 
 
-def accuracy_band(accuracy, high: float = 80, mid: float = 70, inclusive: bool = False) -> Column:
-    """success / warning / danger.  Two scales exist: (>80, >70) and (>=90, >=75)."""
+def accuracy_band(accuracy, high: float = 80, mid: float = 70,
+                  labels=("bg-success", "bg-warning", "bg-danger"), missing: str = "bg-secondary") -> Column:
+    """Badge class: > high success, > mid warning, else danger; missing accuracy -> secondary."""
     a = col(accuracy)
-    hi_ok = (a >= high) if inclusive else (a > high)
-    mid_ok = (a >= mid) if inclusive else (a > mid)
-    return F.when(hi_ok, "success").when(mid_ok, "warning").otherwise("danger")
+    return (F.when(a.isNull(), missing).when(a > high, labels[0]).when(a > mid, labels[1])
+            .otherwise(labels[2]))
 
 
-def confidence_band(confidence, high: float = 80, mid: float = 60) -> Column:
-    c = col(confidence)
-    return F.when(c >= high, "high").when(c >= mid, "medium").otherwise("low")
+def accuracy_color(accuracy, high: float = 90, mid: float = 75, labels=("green", "amber", "red")) -> Column:
+    """The detail view's scale: the accuracy shown with one decimal, >= 90 / >= 75."""
+    a = F.round(col(accuracy), 1)
+    return F.when(a.isNull(), F.lit(None)).when(a >= high, labels[0]).when(a >= mid, labels[1]).otherwise(labels[2])
 
 
-def price_band(price, high: float = 3000, mid: float = 1500) -> Column:
-    """high / medium / low price class; per-kg scale uses (50, 30)."""
-    p = col(price)
-    return F.when(p > high, "high").when(p > mid, "medium").otherwise("low")
+def confidence_band(confidence, high: float = 80, mid: float = 60,
+                    labels=("confidence-high", "confidence-medium", "confidence-low")) -> Column:
+    """>= high / >= mid / else; a missing or unparseable value gives ''."""
+    c = col(confidence).cast("string").try_cast("double")
+    return (F.when(c.isNull(), "").when(c >= high, labels[0]).when(c >= mid, labels[1])
+            .otherwise(labels[2]))
+
+
+def price_band(price, high: float = 50, mid: float = 30, labels=("price-high", "price-medium", "price-low")) -> Column:
+    """> high / > mid / else (per-kg scale by default; the per-quintal page uses 3000 / 1500);
+    a missing or unparseable value gives ''."""
+    p = col(price).cast("string").try_cast("double")
+    return F.when(p.isNull(), "").when(p > high, labels[0]).when(p > mid, labels[1]).otherwise(labels[2])
 
 
 def impact_direction(impact) -> Column:

@@ -84,7 +84,8 @@ def predictions_per_day(predictions: DataFrame, as_of=None) -> DataFrame:
 
 
 def confidence_distribution(predictions: DataFrame, high: float = 80, mid: float = 60) -> DataFrame:
-    return (predictions.groupBy(confidence_band("confidence_interval", high, mid).alias("confidence_level"))
+    level = confidence_band("confidence_interval", high, mid, labels=("high", "medium", "low"))
+    return (predictions.groupBy(level.alias("confidence_level"))
             .agg(_count().alias("predictions")))
 
 

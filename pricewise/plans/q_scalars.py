@@ -79,18 +79,20 @@ def q_accuracy_grade(spark, sf):
 
 
 @query("accuracy_band", f"""
-SELECT id, CASE WHEN a > 80 THEN 'success' WHEN a > 70 THEN 'warning' ELSE 'danger' END AS band,
-       CASE WHEN a >= 90 THEN 'success' WHEN a >= 75 THEN 'warning' ELSE 'danger' END AS band_strict
+SELECT id, CASE WHEN a IS NULL THEN 'bg-secondary' WHEN a > 80 THEN 'bg-success' WHEN a > 70 THEN 'bg-warning'
+                ELSE 'bg-danger' END AS band,
+       CASE WHEN a IS NULL THEN NULL WHEN {sround('a', 1)} >= 90 THEN 'green' WHEN {sround('a', 1)} >= 75 THEN 'amber'
+            ELSE 'red' END AS color
 FROM (SELECT id, {_ACC} AS a FROM predictions)""")
 def q_accuracy_band(spark, sf):
     p = T(spark, sf, "predictions")
     a = X.accuracy_value("predicted_modal_price", "actual_price")
-    return p.select("id", X.accuracy_band(a).alias("band"), X.accuracy_band(a, 90, 75, inclusive=True).alias("band_strict"))
+    return p.select("id", X.accuracy_band(a).alias("band"), X.accuracy_color(a).alias("color"))
 
 
 @query("confidence_band", """
-SELECT id, CASE WHEN confidence_interval >= 80 THEN 'high' WHEN confidence_interval >= 60 THEN 'medium' ELSE 'low' END
-         AS confidence_class
+SELECT id, CASE WHEN confidence_interval IS NULL THEN '' WHEN confidence_interval >= 80 THEN 'confidence-high'
+                WHEN confidence_interval >= 60 THEN 'confidence-medium' ELSE 'confidence-low' END AS confidence_class
 FROM predictions""")
 def q_confidence_band(spark, sf):
     p = T(spark, sf, "predictions")
@@ -98,14 +100,15 @@ def q_confidence_band(spark, sf):
 
 
 @query("price_band", """
-SELECT id, CASE WHEN modal_price > 950 THEN 'high' WHEN modal_price > 925 THEN 'medium' ELSE 'low' END AS price_class,
-       CASE WHEN modal_price / 100 > 9.5 THEN 'high' WHEN modal_price / 100 > 9.25 THEN 'medium' ELSE 'low' END
+SELECT id, CASE WHEN modal_price > 950 THEN 'price-high' WHEN modal_price > 925 THEN 'price-medium' ELSE 'price-low' END
+         AS price_class,
+       CASE WHEN modal_price / 100 > 50 THEN 'price-high' WHEN modal_price / 100 > 30 THEN 'price-medium' ELSE 'price-low' END
          AS price_class_per_kg
 FROM prices""")
 def q_price_band(spark, sf):
     p = T(spark, sf, "prices")
     return p.select("id", X.price_band("modal_price", 950, 925).alias("price_class"),
-                    X.price_band(F.col("modal_price") / 100, 9.5, 9.25).alias("price_class_per_kg"))
+                    X.price_band(F.col("modal_price") / 100).alias("price_class_per_kg"))
 
 
 @query("impact_direction", "SELECT id, CASE WHEN impact_score - 50 > 0 THEN 'up' ELSE 'down' END AS direction FROM factors")

@@ -56,3 +56,15 @@ def test_paginate_clamps(spark):
 def test_profile_missing(spark):
     df = spark.createDataFrame([(1, None), (None, None)], "a int, b int")
     assert {r.column: r.missing for r in A.profile_missing(df).collect()} == {"a": 1, "b": 2}
+
+
+def test_band_labels_follow_the_app(spark):
+    df = spark.createDataFrame([(95.0,), (85.0,), (75.0,), (10.0,), (None,)], "x double")
+    got = df.select(X.accuracy_band("x").alias("b"), X.accuracy_grade("x").alias("g"),
+                    X.confidence_band("x").alias("c"), X.price_band("x").alias("p")).collect()
+    assert [r.b for r in got] == ["bg-success", "bg-success", "bg-warning", "bg-danger", "bg-secondary"]
+    assert [r.g for r in got] == ["Excellent", "Good", "Fair", "Poor", "Pending"]
+    assert [r.c for r in got] == ["confidence-high", "confidence-high", "confidence-medium", "confidence-low", ""]
+    assert [r.p for r in got] == ["price-high", "price-high", "price-high", "price-low", ""]
+    col = spark.createDataFrame([(89.96,), (74.94,)], "x double").select(X.accuracy_color("x").alias("c"))
+    assert [r.c for r in col.collect()] == ["green", "red"]
