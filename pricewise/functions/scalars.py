@@ -113,8 +113,9 @@ def safe_subtract(value, arg) -> Column:
 
 
 def safe_multiply(value, arg) -> Column:
+    """value * arg; an unparseable side leaves value unchanged (as a number: text -> null)."""
     v, a = col(value).try_cast("double"), col(arg).try_cast("double")
-    return F.coalesce(v * a, F.lit(0.0))
+    return F.coalesce(v * a, v)
 
 
 def safe_divide(value, arg) -> Column:
@@ -124,8 +125,8 @@ def safe_divide(value, arg) -> Column:
 
 
 def safe_abs(value) -> Column:
-    v = col(value).try_cast("double")
-    return F.coalesce(F.abs(v), F.lit(0.0))
+    """|value|; unparseable text gives null (the value is not a number to keep)."""
+    return F.abs(col(value).try_cast("double"))
 
 
 def format_price(value, symbol: str = "₹") -> Column:

@@ -120,17 +120,20 @@ def q_impact_direction(spark, sf):
 @query("safe_arith", """
 SELECT id,
        coalesce(actual_price - predicted_modal_price, actual_price) AS diff,
-       coalesce(confidence_interval * 2, 0.0) AS doubled,
+       coalesce(confidence_interval * TRY_CAST(CASE WHEN id % 3 = 0 THEN 'x' ELSE '2' END AS DOUBLE), confidence_interval)
+         AS doubled,
        coalesce(CASE WHEN confidence_interval - 50 <> 0 THEN predicted_modal_price / (confidence_interval - 50) END, 0.0)
          AS per_point,
-       coalesce(abs(TRY_CAST(market AS DOUBLE)), 0.0) AS abs_text
+       abs(TRY_CAST(market AS DOUBLE)) AS abs_text, abs(actual_price - predicted_modal_price) AS abs_diff
 FROM predictions""")
 def q_safe_arith(spark, sf):
     p = T(spark, sf, "predictions")
     return p.select("id", X.safe_subtract("actual_price", "predicted_modal_price").alias("diff"),
-                    X.safe_multiply("confidence_interval", F.lit(2)).alias("doubled"),
+                    X.safe_multiply("confidence_interval",
+                                    F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise(F.lit("2"))).alias("doubled"),
                     X.safe_divide("predicted_modal_price", F.col("confidence_interval") - 50).alias("per_point"),
-                    X.safe_abs("market").alias("abs_text"))
+                    X.safe_abs("market").alias("abs_text"),
+                    X.safe_abs(F.col("actual_price") - F.col("predicted_modal_price")).alias("abs_diff"))
 
 
 @query("format_price", f"""
