@@ -183,6 +183,25 @@ def filter_min_history(df: DataFrame, n: int = 7, keys=KEYS) -> DataFrame:
     return df.join(ok, _keys(keys), "left_semi")
 
 
+# History guards before forecasting (rows overall / per market).
+MIN_TOTAL_ROWS = 30
+LIMITED_MARKET_ROWS = 15
+MIN_SERIES_ROWS = 7
+
+
+def history_guards(prices: DataFrame, keys=KEYS) -> DataFrame:
+    """Per series: row count and status — 'insufficient' (< 7 rows, no forecast), 'limited'
+    (< 15, forecast with a warning) or 'ok' — plus the table total and whether it reaches the
+    30-row minimum for forecasting at all.  Two partial aggregates, no driver count."""
+    ks = _keys(keys)
+    total = prices.agg(F.count(F.lit(1))).scalar()
+    n = F.col("rows")
+    status = (F.when(n < MIN_SERIES_ROWS, "insufficient").when(n < LIMITED_MARKET_ROWS, "limited").otherwise("ok"))
+    return (prices.groupBy(*ks).agg(F.count(F.lit(1)).alias("rows"))
+            .select(*ks, "rows", status.alias("status"), total.alias("total_rows"),
+                    (total >= MIN_TOTAL_ROWS).alias("enough_total")))
+
+
 def chrono_split(df: DataFrame, frac: float = 0.8, keys=KEYS, name: str = "is_train") -> DataFrame:
     """Per series: the first floor(frac * rows) rows by time are training rows."""
     ks = _keys(keys)

@@ -280,3 +280,15 @@ def q_pct_change_split(spark, sf):
 @_same_oracle("chrono_split_split", "chrono_split")
 def q_chrono_split_split(spark, sf):
     return LS.chrono_split_split(P(spark, sf), 0.8).select("id", "market", "is_train")
+
+
+@query("history_guards", """
+WITH h AS (SELECT * FROM prices WHERE date >= CAST((SELECT max(date) FROM prices) - INTERVAL 730 DAY AS DATE)),
+t AS (SELECT count(*) AS total_rows FROM h)
+SELECT market, count(*) AS rows,
+       CASE WHEN count(*) < 7 THEN 'insufficient' WHEN count(*) < 15 THEN 'limited' ELSE 'ok' END AS status,
+       (SELECT total_rows FROM t) AS total_rows, (SELECT total_rows FROM t) >= 30 AS enough_total
+FROM h GROUP BY market""")
+def q_history_guards(spark, sf):
+    # guards apply to what the predictor loads: the 730 days before the last date
+    return S.history_guards(S.load_recent_window(P(spark, sf)))

@@ -84,7 +84,7 @@ def _save_predictions_sql():
     from .q_forecast import forecast_sql
     return forecast_sql() + f"""
 SELECT a.as_of AS prediction_date, fc.date AS forecast_date, market,
-       {sround('predicted_price * 0.95', 2)} AS predicted_min_price, {sround('predicted_price * 1.05', 2)} AS predicted_max_price,
+       predicted_price * 0.95 AS predicted_min_price, predicted_price * 1.05 AS predicted_max_price,
        predicted_price AS predicted_modal_price, {sround('(0.85 - 0.05 * step) * 100', 2)} AS confidence_interval,
        CAST(NULL AS BIGINT) AS model_used_id, CAST(NULL AS DOUBLE) AS actual_price
 FROM fc, a"""

@@ -92,13 +92,13 @@ def append_prices(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def to_prediction_rows(forecast: DataFrame, as_of, model_id=None) -> DataFrame:
-    """Forecast rows in the predictions table layout: modal, min x0.95, max x1.05, confidence
-    schedule x100 (the app saved a constant 85)."""
+    """Forecast rows in the predictions table layout: modal, min x0.95, max x1.05 (unrounded,
+    as the app stores them), confidence schedule x100 (the app saved a constant 85)."""
     a = F.lit(as_of).cast("date") if not hasattr(as_of, "alias") else as_of
     p = F.col("predicted_price")
     return forecast.select(
         a.alias("prediction_date"), F.col("date").alias("forecast_date"), "market",
-        F.round(p * 0.95, 2).alias("predicted_min_price"), F.round(p * 1.05, 2).alias("predicted_max_price"),
+        (p * 0.95).alias("predicted_min_price"), (p * 1.05).alias("predicted_max_price"),
         p.alias("predicted_modal_price"),
         F.round((F.lit(0.85) - F.lit(0.05) * F.col("step")) * 100, 2).alias("confidence_interval"),
         F.lit(model_id).cast("long").alias("model_used_id"), F.lit(None).cast("double").alias("actual_price"))

@@ -73,3 +73,12 @@ def test_fixed_mean_is_exact_half_up(spark):
 def test_chrono_split_floor(spark):
     s = chrono_split(series(spark, [1] * 11), 0.8)
     assert s.filter("is_train").count() == 8
+
+
+def test_history_guards(spark):
+    from pricewise.operators.series import history_guards
+    s = series(spark, [1000] * 5, "Tiny").unionByName(series(spark, [1000] * 9, "Mid")) \
+        .unionByName(series(spark, [1000] * 20, "Big"))
+    got = {r.market: (r.rows, r.status, r.total_rows, r.enough_total) for r in history_guards(s).collect()}
+    assert got == {"Tiny": (5, "insufficient", 34, True), "Mid": (9, "limited", 34, True),
+                   "Big": (20, "ok", 34, True)}
