@@ -42,3 +42,22 @@ def dashboard_summary(prices: DataFrame, factors: DataFrame, n_factors: int = 5)
         F.lit("factor").alias("section"), F.col("name").alias("label"), F.col("factor_type").alias("text"),
         F.col("impact_score").alias("value"))
     return tr.unionByName(fac)
+
+
+def historical_data(prices: DataFrame, market=None, start=None, end=None) -> DataFrame:
+    """The history page: one market (case-insensitive), optional date range, newest first."""
+    from ..functions import predicates as P
+    return (prices.filter(P.iexact("market", market) & P.date_range("date", start, end))
+            .orderBy(F.col("date").desc(), F.col("id").desc()))
+
+
+def prediction_results(predictions: DataFrame, market=None, date_range: str = "all", status: str = "all",
+                       as_of=None, limit: int = 100) -> DataFrame:
+    """The results page: market (case-insensitive), prediction made within the last
+    week/month/quarter, verified/pending, newest forecast first, first ``limit`` rows."""
+    from ..functions import predicates as P
+    from .series import as_of_column
+    a = as_of_column(predictions, as_of, "prediction_date")
+    f = (P.iexact("market", market) & P.relative_range("prediction_date", date_range, a)
+         & P.status("actual_price", status))
+    return top_recent(predictions.filter(f), limit, "forecast_date")

@@ -75,3 +75,22 @@ SELECT id, substr(market, 1, 10) AS label,
 FROM predictions ORDER BY forecast_date DESC, id DESC LIMIT 15""")
 def q_chart_top15(spark, sf):
     return S.chart_top15(T(spark, sf, "predictions"))
+
+
+@query("historical_data", f"""
+SELECT {PRICE_COLS} FROM prices WHERE lower(market) = 'supplier#000000021'
+  AND date BETWEEN DATE '1998-01-01' AND DATE '1999-06-30' ORDER BY date DESC, id DESC""")
+def q_historical_data(spark, sf):
+    from ..operators.summary import historical_data
+    return historical_data(T(spark, sf, "prices"), "SUPPLIER#000000021", "1998-01-01", "1999-06-30")
+
+
+@query("prediction_results", """
+SELECT * FROM predictions
+WHERE lower(market) = 'furniture'
+  AND prediction_date >= CAST((SELECT max(prediction_date) FROM predictions) - INTERVAL 90 DAY AS DATE)
+  AND actual_price IS NOT NULL
+ORDER BY forecast_date DESC, id DESC LIMIT 100""")
+def q_prediction_results(spark, sf):
+    from ..operators.summary import prediction_results
+    return prediction_results(T(spark, sf, "predictions"), "Furniture", "quarter", "verified")
