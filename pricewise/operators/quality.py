@@ -82,26 +82,34 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
                   id_col: str = "id") -> DataFrame:
     """Update rows whose key exists, insert the rest.  An updated row keeps the stored id.
 
-    Two shuffles by key (source dedupe, anti join); the source is usually far smaller than
-    the target, and AQE broadcasts it when its measured size allows.  Where the table format
-    supports it, the same plan is a ``MERGE INTO``.
+    Every join keeps the (usually small) upload on the build side, so Spark can broadcast it
+    when its size allows and the stored table is scanned without a shuffle:
+    ids of updated keys = target INNER JOIN source keys; kept rows = target ANTI JOIN source
+    keys.  With a large upload the same plan runs as shuffle joins.  Where the table format
+    supports it, this is a ``MERGE INTO``.
     """
     ks = list(keys)
     src = dedupe_last(source, ks, order_col) if order_col in source.columns else source
     cols = target.columns
+    src_keys = src.select(*ks)
     if id_col in cols:
-        ids = target.select(*ks, F.col(id_col).alias("_old_id"))
-        src = (src.join(ids, ks, "left")
+        hits = target.select(*ks, F.col(id_col).alias("_old_id")).join(src_keys, ks, "inner")
+        src = (src.join(hits, ks, "left")
                .withColumn(id_col, F.coalesce("_old_id", F.col(id_col) if id_col in src.columns else F.lit(None)))
                .drop("_old_id"))
-    kept = target.join(src.select(*ks), ks, "left_anti")
+    kept = target.join(src_keys, ks, "left_anti")
     return kept.unionByName(src.select(*cols))
 
 
 def check_unique_users(users: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates tagged 'username exists' / 'email exists' / 'accepted' (semi joins, no loop)."""
-    names = users.select(F.col("username").alias("_u")).distinct()
-    mails = users.select(F.col("email").alias("_e")).distinct()
+    """Candidates tagged 'username exists' / 'email exists' / 'accepted' (joins, no loop).
+
+    The stored users are matched against the candidates' names and e-mails (candidates on the
+    build side), so a short candidate list never shuffles the user table."""
+    names = (users.select(F.col("username").alias("_u"))
+             .join(candidates.select(F.col("username").alias("_u")).distinct(), "_u", "left_semi").distinct())
+    mails = (users.select(F.col("email").alias("_e"))
+             .join(candidates.select(F.col("email").alias("_e")).distinct(), "_e", "left_semi").distinct())
     c = (candidates.join(names, candidates.username == names._u, "left")
          .join(mails, candidates.email == mails._e, "left"))
     status = (F.when(F.col("_u").isNotNull(), "username exists").when(F.col("_e").isNotNull(), "email exists")
