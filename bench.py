@@ -26,8 +26,10 @@ HEADLINE = ["price_trend", "market_analysis", "forecast_7d", "forecast_bands", "
 def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session(f"local[{cpus}]", "pricewise-bench", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = build_session(f"local[{cpus}]", "pricewise-bench", shuffle_partitions=int(cpus) * 2, extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     # warm session: JIT and the parquet reader paths, untimed
