@@ -13,15 +13,15 @@ def rows(spark, data):
 
 def test_validate_rules_first_failure_wins(spark):
     df = rows(spark, [
-        (0, "2024-01-01", "Lasalgaon", "MH", "Nashik", "Red", "1000", "2000", "1500"),
-        (1, "2024-01-01", "Pimpalgaon", "MH", "Nashik", "Red", "1100", "2100", "1600"),
-        (2, "2024-01-02", "Lasalgaon", "MH", "Nashik", "Red", "1000", "2000", "2900"),   # modal above max
-        (3, "2024-01-02", None, "MH", "Nashik", "Red", "1000", "2000", "1500"),            # missing market
-        (4, "2024-01-02", "X", "MH", "Nashik", "Red", "abc", "2000", "1500"),              # text price
-        (5, "2024-01-02", "X", "MH", "Nashik", "Red", "NaN", "2000", "1500"),              # NaN price
-        (6, "2024-01-02", "X", "MH", "Nashik", "Red", "3000", "2000", "2500"),             # min > max
-        (7, "2024-01-02", "X", "MH", "Nashik", "Red", "0", "0", "0"),                      # zero
-        (8, "not a date", "X", "MH", "Nashik", "Red", "1", "2", "1"),                      # bad date
+        (0, "2024-01-01", "M1", "S1", "D1", "Red", "1000", "2000", "1500"),
+        (1, "2024-01-01", "M2", "S1", "D1", "Red", "1100", "2100", "1600"),
+        (2, "2024-01-02", "M1", "S1", "D1", "Red", "1000", "2000", "2900"),   # modal above max
+        (3, "2024-01-02", None, "S1", "D1", "Red", "1000", "2000", "1500"),            # missing market
+        (4, "2024-01-02", "X", "S1", "D1", "Red", "abc", "2000", "1500"),              # text price
+        (5, "2024-01-02", "X", "S1", "D1", "Red", "NaN", "2000", "1500"),              # NaN price
+        (6, "2024-01-02", "X", "S1", "D1", "Red", "3000", "2000", "2500"),             # min > max
+        (7, "2024-01-02", "X", "S1", "D1", "Red", "0", "0", "0"),                      # zero
+        (8, "not a date", "X", "S1", "D1", "Red", "1", "2", "1"),                      # bad date
     ])
     got = {r.file_row: r.reject_reason for r in Q.validate_prices(df).collect()}
     assert got[0] is None and got[1] is None
