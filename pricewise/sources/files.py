@@ -29,12 +29,15 @@ def read_prices_csv(spark: SparkSession, path: str, with_row_numbers: bool = Tru
     Raises ValueError listing required columns missing from the header, before any action on
     the data.  Cells stay text so that bad values become reject reasons, not job failures.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [c for c in PRICE_REQUIRED if c not in header]
+    # No user schema: with one, the CSV reader assigns columns by position, and an upload with
+    # its columns in another order would be misread.  Without one every column is text, named
+    # by the header, and selected by name.
+    raw = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    missing = [c for c in PRICE_REQUIRED if c not in raw.columns]
     if missing:
         raise ValueError(f"Missing required columns: {', '.join(missing)}")
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt").schema(PRICES_CSV_TEXT).csv(path))
+    df = raw.select(*[F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c)
+                      for c in PRICES_CSV_TEXT.fieldNames() if c != "_corrupt"])
     if with_row_numbers:
         df = number_rows(df)
     return df

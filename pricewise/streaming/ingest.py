@@ -4,31 +4,33 @@ upserted into the price table, one micro-batch at a time.
 This is the app's import (read -> required columns -> validate -> upsert + reject report)
 run incrementally.  The source is a file stream (exactly-once with the checkpoint); each
 micro-batch is validated with ``validate_prices`` and merged with ``upsert_prices`` in
-``foreachBatch``.  The table is rewritten into a fresh version folder per batch and the
-newest complete version is what readers load, so a failed batch never leaves a half-written
-table and a restarted query resumes from its checkpoint.
+``foreachBatch``.  The table is rewritten into a fresh version folder per batch; the version
+id is appended to a small version log only after the data is written, and readers load the
+newest logged version — a failed batch never exposes a half-written table, a retried batch
+rewrites its own folders, and a restarted query resumes from its checkpoint.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..operators.quality import upsert_prices, validate_prices
 from ..schemas import PRICE_COLUMNS, PRICES_CSV_TEXT
 
 
+def _versions_path(table_dir: str) -> str:
+    return f"{table_dir.rstrip('/')}/_versions"
+
+
 def latest_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Path of the newest committed version of the table (versions are v<batch id>)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table_dir)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Path of the newest committed version (a version is committed once its id is in the log)."""
+    try:
+        v = spark.read.parquet(_versions_path(table_dir)).agg(F.max("version")).first()[0]
+    except AnalysisException:
         return None
-    done = [s.getPath().getName() for s in fs.listStatus(path)
-            if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted((int(n[1:]) for n in done if n.startswith("v") and n[1:].isdigit()))
-    return f"{table_dir.rstrip('/')}/v{versions[-1]}" if versions else None
+    return f"{table_dir.rstrip('/')}/v{v}" if v is not None else None
 
 
 def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
@@ -39,7 +41,10 @@ def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
 def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rejects_dir: str, checkpoint_dir: str,
                        keys=("market", "date"), trigger: dict | None = None):
     """Start the ingest query; returns the ``StreamingQuery``."""
-    src = (spark.readStream.option("header", True).option("mode", "PERMISSIVE")
+    # A file stream needs a schema, and a schema is applied by position; enforceSchema=false makes
+    # the reader check each header against it, so a file whose columns are out of the template
+    # order fails the batch instead of being silently misread.
+    src = (spark.readStream.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").schema(PRICES_CSV_TEXT).csv(upload_dir)
            .withColumn("source_file", F.col("_metadata.file_path")))
 
@@ -47,8 +52,9 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
         # row order within the micro-batch decides which duplicate key wins
         v = validate_prices(batch.withColumn("file_row", F.monotonically_increasing_id())).cache()
         try:
+            # per-batch folders written with overwrite: a retried batch replaces its own output
             v.filter(F.col("reject_reason").isNotNull()).withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(rejects_dir)
+                .write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/batch={batch_id}")
             good = v.filter(F.col("reject_reason").isNull()).select(*PRICE_COLUMNS, "file_row")
             current = read_table(spark, table_dir)
             if current is None:
@@ -56,6 +62,8 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
             else:
                 merged = upsert_prices(current, good, keys, id_col="__none__")
             merged.select(*PRICE_COLUMNS).write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v{batch_id}")
+            # commit: the version becomes visible only after its data is complete
+            spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(_versions_path(table_dir))
         finally:
             v.unpersist()
 

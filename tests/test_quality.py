@@ -86,3 +86,12 @@ def test_csv_line_numbers_are_exact_per_file(spark, tmp_path):
     assert got == [("A0", 0), ("A1", 1), ("A2", 2), ("B0", 0), ("B1", 1), ("B2", 2), ("B3", 3)]
     rep = Q.reject_report(Q.validate_prices(df)).first()
     assert rep.errors == "Row 3: " + Q.REASON_MODAL
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    from pricewise.sources.files import read_prices_csv
+    (tmp_path / "c.csv").write_text("market,modal_price,date,state,district,variety,max_price,min_price\n"
+                                    "Q,15,2024-01-01,S,D,V,20,10\n")
+    r = Q.validate_prices(read_prices_csv(spark, str(tmp_path / "c.csv"))).first()
+    assert (r.market, r.min_price, r.modal_price, r.max_price, r.arrival_quantity, r.reject_reason) == \
+        ("Q", 10.0, 15.0, 20.0, 0.0, None)
