@@ -61,3 +61,48 @@ def prediction_results(predictions: DataFrame, market=None, date_range: str = "a
     f = (P.iexact("market", market) & P.relative_range("prediction_date", date_range, a)
          & P.status("actual_price", status))
     return top_recent(predictions.filter(f), limit, "forecast_date")
+
+
+def generate_predictions(prices: DataFrame, path: str, as_of=None, horizon: int = 7, market=None,
+                         model=None, model_id=None) -> DataFrame:
+    """The generate-predictions job: history guards (table >= 30 rows in the load window,
+    series >= 7 rows), forecast every qualifying market (or those matching ``market``), append
+    the rows to the predictions table at ``path``, and return what was written."""
+    from ..functions import predicates as P
+    from ..sources.files import save_predictions
+    from .forecast import forecast_7d
+    from .series import MIN_TOTAL_ROWS, as_of_column, load_recent_window
+    a = as_of_column(prices, as_of)
+    hist = load_recent_window(prices.filter(P.contains("market", market)), a)
+    enough = hist.agg(F.count(F.lit(1))).scalar() >= MIN_TOTAL_ROWS
+    fc = forecast_7d(hist, a, horizon, model=model, window_days=None).filter(enough)
+    save_predictions(fc, a, path, model_id)
+    return fc.sparkSession.read.parquet(path)
+
+
+def training_report(prices: DataFrame, models=("lr", "rf", "xgb"), frac: float = 0.8, **params) -> DataFrame:
+    """The training job's report: data profile, per-model test metrics on a chronological split
+    of leak-free features, the tomorrow-equals-today baseline on the same test rows, and the
+    best model — stacked as (section, name, value) rows."""
+    from .aggregates import profile_date_span, profile_numeric, regression_metrics
+    from .encode import build_features_simple
+    from .ml import SIMPLE_FEATURES, train_all
+    from .series import chrono_split
+    feats, _ = build_features_simple(prices, leak_free=True, encode=False)
+    fitted, metrics = train_all(feats, SIMPLE_FEATURES, frac=frac, models=models, **params)
+    test = chrono_split(feats, frac).filter("NOT is_train")
+    base = regression_metrics(test.withColumn("prediction", F.col("price_lag_1")), "modal_price", "prediction") \
+        .withColumn("model", F.lit("baseline"))
+    allm = metrics.unionByName(base)
+    rows = allm.select(F.lit("metric").alias("section"), F.concat_ws(".", "model", F.lit("r2")).alias("name"),
+                       F.col("r2").alias("value"))
+    rows = rows.unionByName(allm.select(F.lit("metric").alias("section"),
+                                        F.concat_ws(".", "model", F.lit("mae")).alias("name"),
+                                        F.col("mae").alias("value")))
+    best = (metrics.orderBy(F.col("r2").desc(), "model").limit(1)
+            .select(F.lit("best").alias("section"), F.col("model").alias("name"), F.col("r2").alias("value")))
+    prof = profile_numeric(prices, exact_median=False).select(
+        F.lit("profile").alias("section"), F.lit("mean").alias("name"), F.col("mean").alias("value"))
+    span = profile_date_span(prices).select(F.lit("profile").alias("section"), F.lit("days").alias("name"),
+                                            F.col("total_days").cast("double").alias("value"))
+    return rows.unionByName(best).unionByName(prof).unionByName(span)

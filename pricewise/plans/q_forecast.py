@@ -219,3 +219,17 @@ def q_apply_actual_prices(spark, sf):
     saved = to_prediction_rows(fc.forecast_7d(p, a), a)
     return apply_actual_prices(saved, p).select("prediction_date", "forecast_date", "market", "predicted_modal_price",
                                                 "confidence_interval", "actual_price")
+
+
+@query("generate_predictions", forecast_sql() + f"""
+SELECT a.as_of AS prediction_date, fc.date AS forecast_date, market,
+       predicted_price * 0.95 AS predicted_min_price, predicted_price * 1.05 AS predicted_max_price,
+       predicted_price AS predicted_modal_price, {sround('(0.85 - 0.05 * step) * 100', 2)} AS confidence_interval,
+       CAST(NULL AS BIGINT) AS model_used_id, CAST(NULL AS DOUBLE) AS actual_price
+FROM fc, a WHERE (SELECT count(*) FROM h) >= 30""")
+def q_generate_predictions(spark, sf):
+    from ..operators.summary import generate_predictions
+    from ..sources.files import new_output_path
+    out = generate_predictions(_prices(spark, sf), new_output_path(spark, "generated"))
+    return out.select("prediction_date", "forecast_date", "market", "predicted_min_price", "predicted_max_price",
+                      "predicted_modal_price", "confidence_interval", "model_used_id", "actual_price")

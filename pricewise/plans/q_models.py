@@ -97,3 +97,9 @@ def q_one_hot_align(spark, sf):
     _, layout = E.one_hot(p, ("district", "variety"))
     latest = fc.latest_feature_row(p)
     return E.one_hot_align(latest, layout, ("district", "variety")).select("market", *layout)
+
+
+@query("training_report")
+def q_training_report(spark, sf):
+    from ..operators.summary import training_report
+    return training_report(P(spark, sf))
