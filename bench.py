@@ -20,7 +20,8 @@ from pricewise.sources.canonical import materialize  # noqa: E402
 HEADLINE = ["price_trend", "market_analysis", "forecast_7d", "forecast_bands", "recommend", "latest_feature_row",
             "upsert_prices", "validate_prices", "reject_report", "rolling_mean_partial", "build_features_simple",
             "build_features_full", "regression_metrics", "dashboard_totals", "price_stats", "profile_numeric",
-            "prediction_details", "avg_accuracy", "filter_contains", "paginate", "train_linear", "forecast_recursive"]
+            "prediction_details", "avg_accuracy", "filter_contains", "paginate", "train_linear", "forecast_recursive",
+            "lag_features_split", "rolling_mean_split", "generate_predictions", "stream_ingest_prices"]
 
 
 def main():

@@ -205,11 +205,16 @@ def _source_signature(sf_dir: str) -> str:
     return h.hexdigest()[:16]
 
 
+# Literal tables are built in place, never written.
+LITERAL = {"models"}
+
+
 def materialize(spark: SparkSession, sf_dir: str, names=None, force: bool = False) -> dict[str, str]:
-    """Write the canonical tables to the shared folder once; return name -> path."""
+    """Write the canonical tables derived from the driver's data to the shared folder once;
+    return name -> path."""
     sig = _source_signature(sf_dir)
     out = {}
-    for name in names or CANONICAL:
+    for name in names or [n for n in CANONICAL if n not in LITERAL]:
         path = shared_path(spark, "pricewise-tables", sig, name)
         if not force:
             try:
@@ -232,8 +237,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (id(spark), spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
     df = _MEMO.get(key)
     if df is None:
-        path = materialize(spark, sf_dir, [name])[name]
-        df = spark.read.parquet(path)
+        if name in LITERAL:
+            df = BUILDERS[name](spark, sf_dir)
+        else:
+            df = spark.read.parquet(materialize(spark, sf_dir, [name])[name])
         _MEMO[key] = df
     return df
 
