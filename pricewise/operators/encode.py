@@ -4,8 +4,8 @@
                    semantics: sorted values, first level dropped).  The distinct values are
                    fetched to the driver only after a one-pass ``count_distinct`` proves there
                    are fewer than ``max_values`` of them.
-* ``label_encode`` 0-based rank of the sorted distinct values, via ``StringIndexer``
-                   (alphabetical order), i.e. a fitted model, not a driver loop.
+* ``label_encode`` 0-based rank of the sorted distinct values, computed distributed and exact
+                   (``value_codes``); ``label_indexer`` is the same as a Spark ML stage.
 * ``standard_scale`` fit on the training rows (mean, population std) and applied to any rows
                    through scalar subqueries: nothing is collected.
 * ``build_features_simple`` / ``build_features_full`` the two feature sets, per series.
@@ -55,14 +55,52 @@ def one_hot_align(df: DataFrame, layout: list[str], cols=("market", "state", "va
     return df.withColumns(exprs)
 
 
+def value_codes(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
+    """(value, code): code = 0-based rank of the value among the sorted distinct non-null values.
+
+    Distributed and exact: the distinct values are range-sorted and checkpointed (fixing the
+    sampled layout); one (first id, count) row per partition goes to the driver and becomes an
+    offset; code = offset + position inside the partition.  No task or driver holds all values.
+    """
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = name or f"{col}_code"
+    vals = df.select(col).filter(F.col(col).isNotNull()).distinct()
+    laid = (vals.repartitionByRange(col).sortWithinPartitions(col)
+            .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+            .checkpoint(eager=True))
+    pieces = sorted((r["_pid"], r["first"], r["n"]) for r in
+                    laid.groupBy("_pid").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n")).collect())
+    rows, base = [], 0
+    for pid, first, n in sorted(pieces, key=lambda t: t[1]):
+        rows.append((pid, first, base))
+        base += n
+    off = spark.createDataFrame(rows, "_pid int, _first long, _base long")
+    return (laid.join(F.broadcast(off), "_pid")     # one row per partition: bounded
+            .select(col, (F.col("_base") + F.col("_mid") - F.col("_first")).cast("int").alias(name)))
+
+
 def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code"):
-    """Replace nothing; add ``{col}{suffix}`` = index of the value among the sorted distinct values."""
+    """Add ``{col}{suffix}`` = index of the value among the sorted distinct values (pandas
+    ``LabelEncoder`` order) for every column, computed with ``value_codes`` and joined back.
+
+    Returns (frame, {column: codes frame}); the codes frames are the fitted encoding.
+    """
+    out, fitted = df, {}
+    for c in cols:
+        codes = value_codes(df, c, f"{c}{suffix}")
+        fitted[c] = codes
+        out = out.join(codes, c, "left")
+    return out, fitted
+
+
+def label_indexer(cols=("market", "state", "district", "variety"), suffix: str = "_code") -> StringIndexer:
+    """The same encoding as an ML stage (for Pipelines); its fit keeps the labels in the driver,
+    so prefer ``label_encode`` for very high-cardinality columns."""
     cols = list(cols)
-    # one multi-column indexer: the distinct values of every column are found in one pass
-    model = StringIndexer(inputCols=cols, outputCols=[f"{c}{suffix}" for c in cols], stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
-    out = model.transform(df)
-    return out.withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}").cast("int") for c in cols}), model
+    return StringIndexer(inputCols=cols, outputCols=[f"{c}{suffix}" for c in cols], stringOrderType="alphabetAsc",
+                         handleInvalid="keep")
 
 
 def standard_scale(train: DataFrame, data: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
