@@ -119,14 +119,27 @@ SIMPLE_LAGS = (1, 7)
 
 
 def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False, last_rows: int | None = 365,
-                          price_col: str = PRICE, encode: bool = True, max_values: int = 20):
+                          price_col: str = PRICE, encode: bool = True, max_values: int = 20,
+                          hot_series: bool = False):
     """Calendar parts, lags 1/7, partial means 7/30, changes 1/7, dummies; incomplete rows dropped.
 
     ``leak_free`` computes the means and changes from the rows *before* the current one, so no
-    feature contains the target.  Returns (features, dummy column names).
+    feature contains the target.  ``hot_series`` computes the same values without a
+    per-series window (``long_series.features_split``).  Returns (features, dummy column names).
     """
     ks = _keys(keys)
     df = last_n_rows(prices, last_rows, ks) if last_rows else prices
+    if hot_series:
+        from .long_series import features_split
+        base = features_split(df, (1, 7), (7, 30), (1, 7), ks, price_col, leak_free) \
+            .withColumns({"day_of_year": F.dayofyear("date"), "month": F.month("date"), "year": F.year("date")}) \
+            .na.drop("any", subset=["price_lag_1", "price_lag_7", "price_ma_7", "price_ma_30",
+                                    "price_change_1", "price_change_7"])
+        names: list[str] = []
+        if encode:
+            base, names = one_hot(base, [c for c in ("market", "state", "variety") if c in base.columns], max_values,
+                                  drop_source=False)
+        return base, names
     w = series_window(ks)
     p = F.col(price_col)
     src = F.lag(price_col, 1).over(w) if leak_free else p

@@ -108,3 +108,35 @@ def chrono_split_split(df: DataFrame, frac: float = 0.8, keys=KEYS, name: str =
     counts = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_cnt"))
     return (pos.join(counts, ks).withColumn(name, F.col(POS) < F.floor(F.col("_cnt") * F.lit(frac)))
             .drop(POS, "_cnt"))
+
+
+def features_split(df: DataFrame, lags=(1, 7), means=(7, 30), changes=(1, 7), keys=KEYS, price_col: str = PRICE,
+                   leak_free: bool = False, partitions: int | None = None) -> DataFrame:
+    """Lags, partial rolling means and percent changes in one go for hot series — the same values
+    as the window versions (``leak_free`` shifts means and changes one row back, as in
+    ``encode.build_features_simple``).  Positions and prefix sums are computed once; every
+    back-offset needed is one equi-join fetching that row's price and prefix sum."""
+    ks = _keys(keys)
+    sh = 1 if leak_free else 0
+    pos = series_positions(df, ks, partitions=partitions, sum_col=price_col)
+    offsets = set(lags) | {k + sh for k in changes} | {n + sh for n in means} | ({sh} if sh else set())
+    out = pos
+    for k in sorted(offsets):
+        out = out.join(_back(pos, ks, k, {price_col: f"_x{k}", "_p": f"_p{k}"}), [*ks, POS], "left")
+    cols = {}
+    for k in lags:
+        cols[f"price_lag_{k}"] = F.col(f"_x{k}")
+    for n in means:
+        top = F.col(f"_p{sh}") if sh else F.col("_p")
+        rows = F.least(F.col(POS) + 1 - sh, F.lit(n))
+        cols[f"__s{n}"] = top - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))
+        cols[f"__n{n}"] = F.when(rows > 0, rows).otherwise(F.lit(0))
+    cur = F.col(f"_x{sh}") if sh else F.col(price_col)
+    for k in changes:
+        prev = F.col(f"_x{k + sh}")
+        cols[f"price_change_{k}"] = F.try_divide(cur - prev, prev)
+    out = out.withColumns(cols)
+    out = out.withColumns({f"price_ma_{n}": fixed_mean(f"__s{n}", f"__n{n}") for n in means})
+    drop = [POS, "_p", *[f"_x{k}" for k in offsets], *[f"_p{k}" for k in offsets],
+            *[f"__s{n}" for n in means], *[f"__n{n}" for n in means]]
+    return out.drop(*drop)

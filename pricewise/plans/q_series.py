@@ -292,3 +292,22 @@ FROM h GROUP BY market""")
 def q_history_guards(spark, sf):
     # guards apply to what the predictor loads: the 730 days before the last date
     return S.history_guards(S.load_recent_window(P(spark, sf)))
+
+
+def _simple_hot(spark, sf, leak_free):
+    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
+                                   encode=False, hot_series=True)
+    return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
+                    "price_lag_7", "price_ma_7", "price_ma_30",
+                    F.round("price_change_1", 10).alias("price_change_1"),
+                    F.round("price_change_7", 10).alias("price_change_7"))
+
+
+@_same_oracle("build_features_simple_split", "build_features_simple")
+def q_build_features_simple_split(spark, sf):
+    return _simple_hot(spark, sf, False)
+
+
+@_same_oracle("build_features_simple_leak_free_split", "build_features_simple_leak_free")
+def q_build_features_simple_leak_free_split(spark, sf):
+    return _simple_hot(spark, sf, True)

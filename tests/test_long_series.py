@@ -44,3 +44,13 @@ def test_hot_series_spans_partitions(spark):
     # the hot market's rows were laid out over several partitions, not one task
     laid = hot_prices(spark).repartitionByRange(6, "market", "date", "id")
     assert laid.filter("market = 'HOT'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_feature_set_split_equals_window(spark):
+    from pricewise.operators.encode import build_features_simple
+    p = hot_prices(spark)
+    cols = ["price_lag_1", "price_lag_7", "price_ma_7", "price_ma_30", "price_change_1", "price_change_7"]
+    for leak_free in (False, True):
+        a, _ = build_features_simple(p, leak_free=leak_free, encode=False, hot_series=True, last_rows=None)
+        b, _ = build_features_simple(p, leak_free=leak_free, encode=False, last_rows=None)
+        assert by_id(a, cols) == by_id(b, cols)
