@@ -17,6 +17,12 @@ TREND_RISING = "Increasing"
 TREND_FALLING_FAST = "Decreasing Rapidly"
 TREND_FALLING = "Decreasing"
 TREND_STABLE = "Stable"
+# Display labels of the app's template filters.
+ACCURACY_GRADES = ("Excellent", "Good", "Fair", "Poor", "Pending")      # > 90, > 80, > 70, else, missing
+BADGE_CLASSES = ("bg-success", "bg-warning", "bg-danger", "bg-secondary")   # > 80, > 70, else, missing
+CONFIDENCE_CLASSES = ("confidence-high", "confidence-medium", "confidence-low")   # >= 80, >= 60, else
+PRICE_CLASSES = ("price-high", "price-medium", "price-low")             # > 50, > 30, else (per kg)
+TREND_LABELS = ("Rising", "Falling", "Stable")
 
 
 def date_parts(c) -> dict[str, Column]:
@@ -69,12 +75,13 @@ def price_difference(predicted, actual) -> Column:
 def accuracy_grade(accuracy) -> Column:
     """>90 Excellent, >80 Good, >70 Fair, else Poor; null -> Pending."""
     a = col(accuracy)
-    return (F.when(a.isNull(), "Pending").when(a > 90, "Excellent").when(a > 80, "Good")
-            .when(a > 70, "Fair").otherwise("Poor"))
+    g = ACCURACY_GRADES
+    return (F.when(a.isNull(), g[4]).when(a > 90, g[0]).when(a > 80, g[1])
+            .when(a > 70, g[2]).otherwise(g[3]))
 
 
 def accuracy_band(accuracy, high: float = 80, mid: float = 70,
-                  labels=("bg-success", "bg-warning", "bg-danger"), missing: str = "bg-secondary") -> Column:
+                  labels=BADGE_CLASSES[:3], missing: str = BADGE_CLASSES[3]) -> Column:
     """Badge class: > high success, > mid warning, else danger; missing accuracy -> secondary."""
     a = col(accuracy)
     return (F.when(a.isNull(), missing).when(a > high, labels[0]).when(a > mid, labels[1])
@@ -88,14 +95,14 @@ def accuracy_color(accuracy, high: float = 90, mid: float = 75, labels=("green",
 
 
 def confidence_band(confidence, high: float = 80, mid: float = 60,
-                    labels=("confidence-high", "confidence-medium", "confidence-low")) -> Column:
+                    labels=CONFIDENCE_CLASSES) -> Column:
     """>= high / >= mid / else; a missing or unparseable value gives ''."""
     c = col(confidence).cast("string").try_cast("double")
     return (F.when(c.isNull(), "").when(c >= high, labels[0]).when(c >= mid, labels[1])
             .otherwise(labels[2]))
 
 
-def price_band(price, high: float = 50, mid: float = 30, labels=("price-high", "price-medium", "price-low")) -> Column:
+def price_band(price, high: float = 50, mid: float = 30, labels=PRICE_CLASSES) -> Column:
     """> high / > mid / else (per-kg scale by default; the per-quintal page uses 3000 / 1500);
     a missing or unparseable value gives ''."""
     p = col(price).cast("string").try_cast("double")
@@ -164,8 +171,8 @@ def map_to_json(m) -> Column:
 
 def trend_label(trend) -> Column:
     t = col(trend)
-    return (F.when(t.contains("Increasing"), "Rising").when(t.contains("Decreasing"), "Falling")
-            .otherwise("Stable"))
+    return (F.when(t.contains("Increasing"), TREND_LABELS[0]).when(t.contains("Decreasing"), TREND_LABELS[1])
+            .otherwise(TREND_LABELS[2]))
 
 
 def trend_class(change_pct) -> Column:

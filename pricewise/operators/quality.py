@@ -19,6 +19,12 @@ REASON_BAD_PRICE = "Invalid price"
 REASON_MIN_MAX = "Min price cannot be greater than max price"
 REASON_MODAL = "Modal price must be between min and max price"
 REASON_NOT_POSITIVE = "All prices must be greater than 0"
+# Form messages.
+MSG_FACTOR_NAME = "Factor name is required"
+MSG_FACTOR_IMPACT = "Impact score must be between %g and %g"
+MSG_CONTACT_REQUIRED = "Please fill in all required fields."
+MSG_USERNAME_EXISTS = 'Username "%s" already exists'
+MSG_EMAIL_EXISTS = 'Email "%s" already exists'
 
 
 def _blank(c: str) -> Column:
@@ -114,19 +120,21 @@ def check_unique_users(users: DataFrame, candidates: DataFrame) -> DataFrame:
          .join(mails, candidates.email == mails._e, "left"))
     status = (F.when(F.col("_u").isNotNull(), "username exists").when(F.col("_e").isNotNull(), "email exists")
               .otherwise("accepted"))
-    return c.withColumn("status", status).drop("_u", "_e")
+    message = (F.when(F.col("_u").isNotNull(), F.format_string(MSG_USERNAME_EXISTS, F.col("username")))
+               .when(F.col("_e").isNotNull(), F.format_string(MSG_EMAIL_EXISTS, F.col("email"))))
+    return c.withColumns({"status": status, "message": message}).drop("_u", "_e")
 
 
 def validate_factors(df: DataFrame, lo: float = 0, hi: float = 100) -> DataFrame:
     name_missing = _blank("name")
     impact = F.col("impact_score").cast("string").try_cast("double")
-    reason = (F.when(name_missing, "Factor name is required")
-              .when(impact.isNull() | (impact < lo) | (impact > hi), f"Impact score must be between {lo:g} and {hi:g}"))
+    reason = (F.when(name_missing, MSG_FACTOR_NAME)
+              .when(impact.isNull() | (impact < lo) | (impact > hi), MSG_FACTOR_IMPACT % (lo, hi)))
     return df.withColumns({"factor_type": F.nullif(F.col("factor_type"), F.lit("")), "reject_reason": reason})
 
 
 def validate_messages(df: DataFrame) -> DataFrame:
-    reason = F.when(_blank("name") | _blank("email") | _blank("message"), "Please fill in all required fields")
+    reason = F.when(_blank("name") | _blank("email") | _blank("message"), MSG_CONTACT_REQUIRED)
     return df.withColumn("reject_reason", reason)
 
 

@@ -115,7 +115,10 @@ WITH c AS (SELECT user_id AS candidate_id,
                   CASE WHEN user_id % 4 = 0 THEN username ELSE 'new_' || username END AS username,
                   CASE WHEN user_id % 6 = 0 THEN email ELSE 'new_' || email END AS email FROM users)
 SELECT c.*, CASE WHEN EXISTS (SELECT 1 FROM users u WHERE u.username = c.username) THEN 'username exists'
-                 WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = c.email) THEN 'email exists' ELSE 'accepted' END AS status
+                 WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = c.email) THEN 'email exists' ELSE 'accepted' END AS status,
+       CASE WHEN EXISTS (SELECT 1 FROM users u WHERE u.username = c.username) THEN 'Username "' || c.username || '" already exists'
+            WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = c.email) THEN 'Email "' || c.email || '" already exists'
+       END AS message
 FROM c""")
 def q_check_unique_users(spark, sf):
     return Q.check_unique_users(T(spark, sf, "users"), candidates(spark, sf))
@@ -132,7 +135,7 @@ def q_validate_factors(spark, sf):
 
 @query("validate_messages", """
 SELECT *, CASE WHEN name IS NULL OR trim(name) = '' OR email IS NULL OR trim(email) = '' OR message IS NULL
-                    OR trim(message) = '' THEN 'Please fill in all required fields' END AS reject_reason
+                    OR trim(message) = '' THEN 'Please fill in all required fields.' END AS reject_reason
 FROM messages""")
 def q_validate_messages(spark, sf):
     return Q.validate_messages(T(spark, sf, "messages"))
