@@ -266,8 +266,13 @@ def recommend(trend: DataFrame, forecast: DataFrame | None, user_types=("FARMER"
     return out
 
 
+# Analysis error texts.
+MSG_NOT_FOUND = "Market '%s' not found in data"
+MSG_INSUFFICIENT = "Insufficient data for "
+
+
 def market_analysis(prices: DataFrame, as_of=None, horizon: int = 7, keys=KEYS, price_col: str = PRICE,
-                    model=None, pct: float = BAND_PCT) -> DataFrame:
+                    model=None, pct: float = BAND_PCT, market: str | None = None) -> DataFrame:
     """One record per market: latest fields, 7-row statistics, weekly change, the forecast
     as ``array<struct>`` and the market's own trend.  Markets under 7 rows carry ``error``.
 
@@ -277,6 +282,8 @@ def market_analysis(prices: DataFrame, as_of=None, horizon: int = 7, keys=KEYS,
     """
     ks = _keys(keys)
     a = as_of_column(prices, as_of)
+    if market is not None:
+        prices = prices.filter(F.col(ks[0]) == F.lit(market))
     hist = prices.filter((F.col("date") >= F.date_sub(a, 730)) & (F.col("date") <= a))
     s = series_summary(hist, 30, ks, price_col)
     # features and path are added to the summary itself: one frame, no self-join
@@ -294,8 +301,8 @@ def market_analysis(prices: DataFrame, as_of=None, horizon: int = 7, keys=KEYS,
         F.date_add(F.col("_as_of"), i + 1).alias("date"), p.alias("predicted_price"),
         F.round(p * (1 - pct), 2).alias("min_price"), F.round(p * (1 + pct), 2).alias("max_price"),
         F.round(F.lit(CONF_START) - F.lit(CONF_STEP) * i, 2).alias("confidence")))
-    return (s.withColumn("_as_of", a)
-            .select(*ks,
+    out = (s.withColumn("_as_of", a)
+           .select(*ks,
                     F.when(enough, F.col("p1")).alias("current_price"),
                     F.when(enough, F.date_format("last_date", "yyyy-MM-dd")).alias("current_date"),
                     F.when(enough, F.col("state")).alias("state"),
@@ -306,4 +313,10 @@ def market_analysis(prices: DataFrame, as_of=None, horizon: int = 7, keys=KEYS,
                     F.when(enough, weekly).alias("weekly_change"),
                     F.when(enough, preds).alias("predictions"),
                     F.when(enough, trend_struct).alias("trend"),
-                    F.when(~enough, F.concat(F.lit("Insufficient data for "), F.col(ks[0]))).alias("error")))
+                    F.when(~enough, F.concat(F.lit(MSG_INSUFFICIENT), F.col(ks[0]))).alias("error")))
+    if market is not None:
+        # a requested market without rows still gets its record, carrying the error
+        asked = prices.sparkSession.createDataFrame([(market,)], f"{ks[0]} string")
+        missing = asked.join(out.select(ks[0]), ks[0], "left_anti")
+        out = out.unionByName(missing.withColumn("error", F.lit(MSG_NOT_FOUND % market)), allowMissingColumns=True)
+    return out

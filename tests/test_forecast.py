@@ -82,3 +82,11 @@ def test_history_guards(spark):
     got = {r.market: (r.rows, r.status, r.total_rows, r.enough_total) for r in history_guards(s).collect()}
     assert got == {"Tiny": (5, "insufficient", 34, True), "Mid": (9, "limited", 34, True),
                    "Big": (20, "ok", 34, True)}
+
+
+def test_market_analysis_named_market(spark):
+    s = series(spark, [1000] * 9, "Big").unionByName(series(spark, [900] * 9, "Other"))
+    got = fc.market_analysis(s, market="Nope").collect()
+    assert [(r.market, r.error) for r in got] == [("Nope", "Market 'Nope' not found in data")]
+    got = fc.market_analysis(s, market="Big").collect()
+    assert [(r.market, r.current_price, r.error) for r in got] == [("Big", 1000.0, None)]
