@@ -25,6 +25,8 @@ MSG_FACTOR_IMPACT = "Impact score must be between %g and %g"
 MSG_CONTACT_REQUIRED = "Please fill in all required fields."
 MSG_USERNAME_EXISTS = 'Username "%s" already exists'
 MSG_EMAIL_EXISTS = 'Email "%s" already exists'
+MSG_IMPORTED = "Successfully imported/updated %d price records!"
+MSG_HAD_ERRORS = "%d records had errors"
 
 
 def _blank(c: str) -> Column:
@@ -70,7 +72,10 @@ def reject_report(validated: DataFrame, show: int = 5, row_col: str = "file_row"
     msg = first.select(F.array_join(lines, "<br>").alias("m")).scalar()
     more = F.when(F.col("error_count") > show,
                   F.format_string("<br>... and %d more errors", F.col("error_count") - show)).otherwise(F.lit(""))
-    return counts.select("success_count", "error_count", F.concat(F.coalesce(msg, F.lit("")), more).alias("errors"))
+    return counts.select(
+        "success_count", "error_count", F.concat(F.coalesce(msg, F.lit("")), more).alias("errors"),
+        F.when(F.col("success_count") > 0, F.format_string(MSG_IMPORTED, "success_count")).alias("success_message"),
+        F.when(F.col("error_count") > 0, F.format_string(MSG_HAD_ERRORS, "error_count")).alias("warning_message"))
 
 
 def dedupe_last(df: DataFrame, keys, order_col: str = "file_row") -> DataFrame:

@@ -62,7 +62,10 @@ c AS (SELECT count(*) FILTER (WHERE reject_reason IS NULL) AS success_count,
 SELECT success_count, error_count,
        coalesce((SELECT string_agg(line, '<br>' ORDER BY file_row) FROM f), '')
        || CASE WHEN error_count > 5 THEN '<br>... and ' || CAST(error_count - 5 AS VARCHAR) || ' more errors' ELSE '' END
-         AS errors
+         AS errors,
+       CASE WHEN success_count > 0 THEN 'Successfully imported/updated ' || CAST(success_count AS VARCHAR) || ' price records!' END
+         AS success_message,
+       CASE WHEN error_count > 0 THEN CAST(error_count AS VARCHAR) || ' records had errors' END AS warning_message
 FROM c""")
 def q_reject_report(spark, sf):
     return Q.reject_report(Q.validate_prices(actuals_upload(spark, sf)))
