@@ -55,43 +55,57 @@ def one_hot_align(df: DataFrame, layout: list[str], cols=("market", "state", "va
     return df.withColumns(exprs)
 
 
-def value_codes(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
-    """(value, code): code = 0-based rank of the value among the sorted distinct non-null values.
+def value_codes(df: DataFrame, cols, suffix: str = "_code") -> dict[str, DataFrame]:
+    """{column: (value, code)} with code = 0-based rank of the value (as text, like pandas'
+    ``LabelEncoder`` over ``astype(str)``) among the column's sorted distinct non-null values.
 
-    Distributed and exact: the distinct values are range-sorted and checkpointed (fixing the
-    sampled layout); one (first id, count) row per partition goes to the driver and becomes an
-    offset; code = offset + position inside the partition.  No task or driver holds all values.
+    Distributed and exact in one pass for all columns: the distinct (column, value) pairs are
+    stacked and given their position within their column by ``long_series.series_positions``
+    (range layout + one checkpoint + per-partition offsets).  No task or driver holds all values.
     """
-    from ..session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    name = name or f"{col}_code"
-    vals = df.select(col).filter(F.col(col).isNotNull()).distinct()
-    laid = (vals.repartitionByRange(col).sortWithinPartitions(col)
-            .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-            .checkpoint(eager=True))
-    pieces = sorted((r["_pid"], r["first"], r["n"]) for r in
-                    laid.groupBy("_pid").agg(F.min("_mid").alias("first"), F.count(F.lit(1)).alias("n")).collect())
-    rows, base = [], 0
-    for pid, first, n in sorted(pieces, key=lambda t: t[1]):
-        rows.append((pid, first, base))
-        base += n
-    off = spark.createDataFrame(rows, "_pid int, _first long, _base long")
-    return (laid.join(F.broadcast(off), "_pid")     # one row per partition: bounded
-            .select(col, (F.col("_base") + F.col("_mid") - F.col("_first")).cast("int").alias(name)))
-
-
-def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code"):
-    """Add ``{col}{suffix}`` = index of the value among the sorted distinct values (pandas
-    ``LabelEncoder`` order) for every column, computed with ``value_codes`` and joined back.
-
-    Returns (frame, {column: codes frame}); the codes frames are the fitted encoding.
+    from .long_series import POS, series_positions
+    cols = list(cols)
+    pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("string").alias("_v"))
+                                           for c in cols])).alias("_x"))
+             .select("_x.*").filter(F.col("_v").isNotNull()).distinct())
+    pos = series_positions(pairs, keys=["_col"], order=["_v"], sum_col=None)
+    return {c: pos.filter(F.col("_col") == c).select(F.col("_v").alias(f"_{c}_text"),
+                                                     F.col(POS).cast("int").alias(f"{c}{suffix}"))
+            for c in cols}
+
+
+# Columns with at most this many distinct values are encoded by a StringIndexer fit, whose
+# label list lives in the driver; above it the distributed ``value_codes`` path is used.
+MAX_DRIVER_LABELS = 100_000
+
+
+def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code",
+                 max_driver_labels: int = MAX_DRIVER_LABELS):
+    """Add ``{col}{suffix}`` = index of the value (as text) among the column's sorted distinct
+    values, for every column.
+
+    One pass counts the distinct values per column.  Columns within ``max_driver_labels`` are
+    encoded with one multi-column ``StringIndexer`` fit (labels held by the driver, bounded by
+    the check); larger ones with ``value_codes`` (nothing held by the driver).  Both give the
+    same codes.  Returns (frame, {column: fitted encoder or codes frame}).
     """
+    cols = list(cols)
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
+    small = [c for c in cols if counts[c] <= max_driver_labels]
+    large = [c for c in cols if c not in small]
     out, fitted = df, {}
-    for c in cols:
-        codes = value_codes(df, c, f"{c}{suffix}")
-        fitted[c] = codes
-        out = out.join(codes, c, "left")
+    if small:
+        model = label_indexer(small, suffix).setHandleInvalid("keep").fit(df)
+        out = model.transform(out).withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}").cast("int") for c in small})
+        # a null value is not a label: keep its code null, as on the distributed path
+        out = out.withColumns({f"{c}{suffix}": F.when(F.col(c).isNotNull(), F.col(f"{c}{suffix}")) for c in small})
+        fitted.update({c: model for c in small})
+    if large:
+        codes = value_codes(df, large, suffix)
+        for c in large:
+            t = f"_{c}_text"
+            out = out.withColumn(t, F.col(c).cast("string")).join(codes[c], t, "left").drop(t)
+        fitted.update(codes)
     return out, fitted
 
 

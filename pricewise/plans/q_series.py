@@ -311,3 +311,10 @@ def q_build_features_simple_split(spark, sf):
 @_same_oracle("build_features_simple_leak_free_split", "build_features_simple_leak_free")
 def q_build_features_simple_leak_free_split(spark, sf):
     return _simple_hot(spark, sf, True)
+
+
+@_same_oracle("label_encode_distributed", "label_encode")
+def q_label_encode_distributed(spark, sf):
+    # the path taken for columns beyond the driver-label bound, forced here for every column
+    d, _ = E.label_encode(P(spark, sf), max_driver_labels=0)
+    return d.select("id", "market_code", "state_code", "district_code", "variety_code")

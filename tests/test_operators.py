@@ -101,3 +101,10 @@ def test_models_fit_and_reload(spark, tmp_path):
     path = M.save_model(m, str(tmp_path / "m"))
     p = M.load_model(path).transform(df).filter("x = 10").first().prediction
     assert p == pytest.approx(21.0)
+
+
+def test_label_encode_paths_agree(spark, prices):
+    a, _ = E.label_encode(prices, ("market", "variety"))                       # driver-held labels
+    b, _ = E.label_encode(prices, ("market", "variety"), max_driver_labels=0)  # distributed
+    key = lambda df: sorted((r.id, r.market_code, r.variety_code) for r in df.collect())
+    assert key(a) == key(b) == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1)]
