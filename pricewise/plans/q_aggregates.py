@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
-from ..operators.series import naive_baseline, rolling_mean_partial, series_window
+from ..operators.series import naive_baseline, series_window
 from ..sources.canonical import table
 from .registry import query
 from .sqltext import AS_OF_PREDICTIONS, AS_OF_PRICES, fixed_mean, sround, units

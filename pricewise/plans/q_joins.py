@@ -1,6 +1,5 @@
 """Registered queries: joins (survey 2.5)."""
 
-from pyspark.sql import functions as F
 
 from ..operators import selection as S
 from ..sources.canonical import table

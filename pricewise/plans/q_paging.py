@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..operators import selection as S
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import sround
 
 PRICE_COLS = "id, date, market, state, district, variety, min_price, max_price, modal_price, arrival_quantity"
 
