@@ -48,6 +48,10 @@ def main():
         times[n] = round(time.time() - t, 3)
     total = round(sum(times.values()), 3)
     sfv = os.path.basename(sf.rstrip("/")).replace("sf", "")
+    try:
+        sfv = float(sfv)
+    except ValueError:
+        pass
     print(json.dumps({"metric": "total_seconds", "value": total, "unit": "sec", "queries": times, "sf": sfv}))
 
 
