@@ -181,13 +181,22 @@ def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False,
 FULL_LAGS = (1, 7, 30, 90)
 
 
-def build_features_full(prices: DataFrame, keys=KEYS, leak_free: bool = False, price_col: str = PRICE):
+def build_features_full(prices: DataFrame, keys=KEYS, leak_free: bool = False, price_col: str = PRICE,
+                        hot_series: bool = False):
     """7 calendar parts, season, lags 1/7/30/90, rolling mean 7 / std 7 / mean 30 (full windows),
-    label codes of market/state/district/variety; incomplete rows dropped."""
+    label codes of market/state/district/variety; incomplete rows dropped.  ``hot_series``
+    computes the window features without a per-series window (``long_series.features_split``;
+    the std from exact integer moments)."""
     ks = _keys(keys)
     w = series_window(ks)
     parts = date_parts("date")
     df = prices.withColumns(parts).withColumn("season", season(F.col("month")))
+    if hot_series:
+        from .long_series import features_split
+        df = features_split(df, FULL_LAGS, (), (), ks, price_col, leak_free, full_means=(7, 30), stds=(7,))
+        df = df.na.drop("any", subset=[f"price_lag_{n}" for n in FULL_LAGS]
+                        + ["price_rolling_mean_7", "price_rolling_std_7", "price_rolling_mean_30"])
+        return label_encode(df, [c for c in ("market", "state", "district", "variety") if c in df.columns])
     df = df.withColumns({f"price_lag_{n}": F.lag(price_col, n).over(w) for n in FULL_LAGS})
     end = -1 if leak_free else 0
 

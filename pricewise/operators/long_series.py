@@ -28,9 +28,10 @@ POS = "_i"
 
 
 def series_positions(df: DataFrame, keys=KEYS, order=("date", "id"), partitions: int | None = None,
-                     sum_col: str | None = PRICE) -> DataFrame:
+                     sum_col: str | None = PRICE, squares: bool = False) -> DataFrame:
     """``df`` plus ``_i`` (0-based row position within its series) and, when ``sum_col`` is
-    given, ``_p`` = exact prefix sum of its money units up to and including the row."""
+    given, ``_p`` = exact prefix sum of its money units up to and including the row (and with
+    ``squares``, ``_q`` = exact prefix sum of squared units, as DECIMAL(38,0))."""
     ks = _keys(keys)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -39,22 +40,31 @@ def series_positions(df: DataFrame, keys=KEYS, order=("date", "id"), partitions:
             .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     if sum_col:
         laid = laid.withColumn("_u", money_units(sum_col))
+        if squares:
+            laid = laid.withColumn("_u2", F.col("_u").cast("decimal(38,0)") * F.col("_u").cast("decimal(38,0)"))
     # the range bounds come from sampling: fix the layout once so every later use agrees
     laid = laid.checkpoint(eager=True)
     aggs = [F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")]
     if sum_col:
         aggs.append(F.sum("_u").alias("_s"))
+        if squares:
+            aggs.append(F.sum("_u2").cast("decimal(38,0)").alias("_s2"))
     pieces = laid.groupBy(*ks, "_pid").agg(*aggs)
     before = Window.partitionBy(*ks).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     offs = {"_off": F.coalesce(F.sum("_n").over(before), F.lit(0))}
     if sum_col:
         offs["_soff"] = F.coalesce(F.sum("_s").over(before), F.lit(0))
-    pieces = pieces.withColumns(offs).drop("_n", *(["_s"] if sum_col else []))
+        if squares:
+            offs["_qoff"] = F.coalesce(F.sum("_s2").over(before), F.lit(0)).cast("decimal(38,0)")
+    pieces = pieces.withColumns(offs).drop("_n", *(["_s"] if sum_col else []), *(["_s2"] if squares else []))
     out = laid.join(pieces, [*ks, "_pid"]).withColumn(POS, F.col("_off") + F.col("_mid") - F.col("_first"))
     if sum_col:
         inside = Window.partitionBy(*ks, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn("_p", F.col("_soff") + F.sum("_u").over(inside))
-    return out.drop("_pid", "_mid", "_first", "_off", *(["_soff", "_u"] if sum_col else []))
+        if squares:
+            out = out.withColumn("_q", (F.col("_qoff") + F.sum("_u2").over(inside)).cast("decimal(38,0)"))
+    return out.drop("_pid", "_mid", "_first", "_off", *(["_soff", "_u"] if sum_col else []),
+                    *(["_qoff", "_u2"] if squares else []))
 
 
 def _back(pos: DataFrame, keys, k: int, cols: dict[str, str]) -> DataFrame:
@@ -111,18 +121,20 @@ def chrono_split_split(df: DataFrame, frac: float = 0.8, keys=KEYS, name: str =
 
 
 def features_split(df: DataFrame, lags=(1, 7), means=(7, 30), changes=(1, 7), keys=KEYS, price_col: str = PRICE,
-                   leak_free: bool = False, partitions: int | None = None) -> DataFrame:
+                   leak_free: bool = False, partitions: int | None = None, full_means=(), stds=()) -> DataFrame:
     """Lags, partial rolling means and percent changes in one go for hot series — the same values
     as the window versions (``leak_free`` shifts means and changes one row back, as in
     ``encode.build_features_simple``).  Positions and prefix sums are computed once; every
     back-offset needed is one equi-join fetching that row's price and prefix sum."""
     ks = _keys(keys)
     sh = 1 if leak_free else 0
-    pos = series_positions(df, ks, partitions=partitions, sum_col=price_col)
-    offsets = set(lags) | {k + sh for k in changes} | {n + sh for n in means} | ({sh} if sh else set())
+    pos = series_positions(df, ks, partitions=partitions, sum_col=price_col, squares=bool(stds))
+    offsets = (set(lags) | {k + sh for k in changes} | {n + sh for n in (*means, *full_means, *stds)}
+               | ({sh} if sh else set()))
     out = pos
     for k in sorted(offsets):
-        out = out.join(_back(pos, ks, k, {price_col: f"_x{k}", "_p": f"_p{k}"}), [*ks, POS], "left")
+        fetch = {price_col: f"_x{k}", "_p": f"_p{k}", **({"_q": f"_q{k}"} if stds else {})}
+        out = out.join(_back(pos, ks, k, fetch), [*ks, POS], "left")
     cols = {}
     for k in lags:
         cols[f"price_lag_{k}"] = F.col(f"_x{k}")
@@ -135,8 +147,26 @@ def features_split(df: DataFrame, lags=(1, 7), means=(7, 30), changes=(1, 7), ke
     for k in changes:
         prev = F.col(f"_x{k + sh}")
         cols[f"price_change_{k}"] = F.try_divide(cur - prev, prev)
+    top_p = F.col(f"_p{sh}") if sh else F.col("_p")
+    top_q = (F.col(f"_q{sh}") if sh else F.col("_q")) if stds else None
+    win_rows = {n: F.least(F.col(POS) + 1 - sh, F.lit(n)) for n in (*full_means, *stds)}
+    for n in full_means:
+        cols[f"__fs{n}"] = top_p - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))
+        cols[f"__fn{n}"] = win_rows[n]
+    for n in stds:
+        s1 = (top_p - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))).cast("decimal(38,0)")
+        s2 = (top_q - F.coalesce(F.col(f"_q{n + sh}"), F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)")
+        # exact sample variance in units^2: (n*S2 - S1^2) / (n*(n-1)); then scale and sqrt
+        num = (F.lit(n).cast("decimal(38,0)") * s2 - s1 * s1)
+        var = num.cast("double") / (n * (n - 1)) / 1e8
+        cols[f"price_rolling_std_{n}"] = F.when(win_rows[n] == n, F.sqrt(var))
     out = out.withColumns(cols)
     out = out.withColumns({f"price_ma_{n}": fixed_mean(f"__s{n}", f"__n{n}") for n in means})
+    out = out.withColumns({f"price_rolling_mean_{n}": F.when(F.col(f"__fn{n}") == n, fixed_mean(f"__fs{n}", f"__fn{n}"))
+                           for n in full_means})
     drop = [POS, "_p", *[f"_x{k}" for k in offsets], *[f"_p{k}" for k in offsets],
-            *[f"__s{n}" for n in means], *[f"__n{n}" for n in means]]
+            *[f"__s{n}" for n in means], *[f"__n{n}" for n in means],
+            *[f"__fs{n}" for n in full_means], *[f"__fn{n}" for n in full_means]]
+    if stds:
+        drop += ["_q", *[f"_q{k}" for k in offsets]]
     return out.drop(*drop)

@@ -320,3 +320,12 @@ def q_label_encode_distributed(spark, sf):
     # the path taken for columns beyond the driver-label bound, forced here for every column
     d, _ = E.label_encode(P(spark, sf), max_driver_labels=0)
     return d.select("id", "market_code", "state_code", "district_code", "variety_code")
+
+
+@_same_oracle("build_features_full_split", "build_features_full")
+def q_build_features_full_split(spark, sf):
+    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "date", "modal_price"), hot_series=True)
+    return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
+                    "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
+                    "price_rolling_mean_7", F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
+                    "price_rolling_mean_30", "market_code", "state_code")

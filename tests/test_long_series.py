@@ -54,3 +54,17 @@ def test_feature_set_split_equals_window(spark):
         a, _ = build_features_simple(p, leak_free=leak_free, encode=False, hot_series=True, last_rows=None)
         b, _ = build_features_simple(p, leak_free=leak_free, encode=False, last_rows=None)
         assert by_id(a, cols) == by_id(b, cols)
+
+
+def test_full_feature_set_split_equals_window(spark):
+    import pytest
+    from pricewise.operators.encode import build_features_full
+    p = hot_prices(spark).withColumn("state", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("S"))
+    a, _ = build_features_full(p, hot_series=True)
+    b, _ = build_features_full(p)
+    exact = ["price_lag_1", "price_lag_90", "price_rolling_mean_7", "price_rolling_mean_30", "market_code"]
+    assert by_id(a, exact) == by_id(b, exact)
+    sa, sb = by_id(a, ["price_rolling_std_7"]), by_id(b, ["price_rolling_std_7"])
+    assert sa.keys() == sb.keys()
+    for k in sa:
+        assert sa[k][0] == pytest.approx(sb[k][0], rel=1e-9, abs=1e-9)
