@@ -69,15 +69,17 @@ def generate_predictions(prices: DataFrame, path: str, as_of=None, horizon: int
     series >= 7 rows), forecast every qualifying market (or those matching ``market``), append
     the rows to the predictions table at ``path``, and return what was written."""
     from ..functions import predicates as P
-    from ..sources.files import save_predictions
+    from ..sources.files import to_prediction_rows
     from .forecast import forecast_7d
     from .series import MIN_TOTAL_ROWS, as_of_column, load_recent_window
     a = as_of_column(prices, as_of)
     hist = load_recent_window(prices.filter(P.contains("market", market)), a)
     enough = hist.agg(F.count(F.lit(1))).scalar() >= MIN_TOTAL_ROWS
     fc = forecast_7d(hist, a, horizon, model=model, window_days=None).filter(enough)
-    save_predictions(fc, a, path, model_id)
-    return fc.sparkSession.read.parquet(path)
+    rows = to_prediction_rows(fc, a, model_id)
+    rows.write.mode("append").partitionBy("prediction_date").parquet(path)
+    # read back with the known schema: a guarded-out run writes no data files at all
+    return fc.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def training_report(prices: DataFrame, models=("lr", "rf", "xgb"), frac: float = 0.8, **params) -> DataFrame:

@@ -90,3 +90,13 @@ def test_market_analysis_named_market(spark):
     assert [(r.market, r.error) for r in got] == [("Nope", "Market 'Nope' not found in data")]
     got = fc.market_analysis(s, market="Big").collect()
     assert [(r.market, r.current_price, r.error) for r in got] == [("Big", 1000.0, None)]
+
+
+def test_generate_predictions_guards_and_writes(spark, tmp_path):
+    from pricewise.operators.summary import generate_predictions
+    small = series(spark, [1000] * 9, "A")                                   # 9 rows < 30: nothing written
+    assert generate_predictions(small, str(tmp_path / "p1")).count() == 0
+    big = small.unionByName(series(spark, [900] * 25, "B"))                 # 34 rows: both markets
+    out = generate_predictions(big, str(tmp_path / "p2")).collect()
+    assert sorted({r.market for r in out}) == ["A", "B"] and len(out) == 14
+    assert {r.confidence_interval for r in out} == {85.0, 80.0, 75.0, 70.0, 65.0, 60.0, 55.0}
