@@ -94,8 +94,9 @@ def q_save_predictions(spark, sf):
     p = T(spark, sf, "prices")
     a = p.agg(F.max("date")).scalar()
     path = IO.new_output_path(spark, "predictions")
-    IO.save_predictions(fc.forecast_7d(p, a), a, path)
-    back = spark.read.parquet(path)
+    f = fc.forecast_7d(p, a)
+    IO.save_predictions(f, a, path)
+    back = spark.read.schema(IO.to_prediction_rows(f, a).schema).parquet(path)
     return back.select("prediction_date", "forecast_date", "market", "predicted_min_price", "predicted_max_price",
                        "predicted_modal_price", "confidence_interval", "model_used_id", "actual_price")
 
@@ -246,4 +247,8 @@ def q_stream_ingest_prices(spark, sf):
     IO.export_prices_csv(T(spark, sf, "prices"), f"{base}/uploads", market="#00000005")
     start_price_ingest(spark, f"{base}/uploads", f"{base}/table", f"{base}/rejects", f"{base}/_checkpoint") \
         .awaitTermination()
-    return read_table(spark, f"{base}/table")
+    out = read_table(spark, f"{base}/table")
+    if out is None:      # nothing ingested: an empty table with the price columns
+        from ..schemas import PRICES
+        out = spark.createDataFrame([], PRICES).drop("id")
+    return out
