@@ -48,7 +48,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.char_length("_t") - F.char_length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"), F.size("_l").cast("long").alias("n_lines"))
-    return x.withColumn("m", m).drop("_t", "_w", "_n", "_s", "_e", "_a", "_l")
+    # Exploding one struct keeps later filters on the measures from being pushed down into (and repeating) their expressions.
+    return x.withColumn("m", F.explode(F.array(m))).drop("_t", "_w", "_n", "_s", "_e", "_a", "_l")
 
 
 def ratios() -> dict[str, Column]:
