@@ -33,11 +33,9 @@ def python_ready(spark: SparkSession) -> None:
     """Before work in Python: send the code, and bound Arrow batches by bytes as well as by rows (unless the session has a lower bound)."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        if int(spark.conf.get(key, str(1 << 62))) > ARROW_BYTES:
-            spark.conf.set(key, str(ARROW_BYTES))
-    except Exception:  # noqa: BLE001 - a Spark without the setting keeps its row bound
-        pass
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -80,11 +78,11 @@ class Rolling:
     """Polynomial hashes (mod 2**64, odd base, random byte values) of any substring of a buffer by prefix sums."""
 
     def __init__(self, seed: int, fold_case: bool = False):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        made = mix(np.arange(1, 258, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        self.values = made[:256]
         if fold_case:
             self.values[65:91] = self.values[97:123]
-        base = (int(rng.integers(1, 1 << 61)) << 3 | 5) & ((1 << 64) - 1)
+        base = (int(made[256]) << 3 | 5) & ((1 << 64) - 1)
         self.base, self.back = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.zeros(0, np.uint64)
 

@@ -18,7 +18,7 @@ def _pattern() -> str:
 
 
 def op1_secret_scans(spark, sf_dir):
-    from pricewise.llm.secrets import span_digests
+    from pricewise.llm.secret_scan import span_digests
 
     return span_digests(table(spark, sf_dir, "documents"))
 

@@ -22,7 +22,7 @@ NONE = ([], [])
 
 
 def test_secret_base_spans(odd_docs, odd_rows, no_docs):
-    from pricewise.llm.secrets import span_digests
+    from pricewise.llm.secret_scan import span_digests
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     want = []
     for r in odd_rows:
@@ -46,7 +46,7 @@ def test_secret_entropy_windows(spark):
     import math
     import random
 
-    from pricewise.llm import secrets as S
+    from pricewise.llm import secret_scan as S
     rnd = random.Random(5)
     texts = ["".join(rnd.choices(S.ALPHABET[:rnd.choice([12, 30, 62])], k=rnd.randint(20, 60))) for _ in range(60)]
     rows = spark.createDataFrame([(t,) for t in texts], "s string")
@@ -61,7 +61,7 @@ def test_secret_entropy_windows(spark):
 
 
 def test_secret_allow_list_and_redaction(spark):
-    from pricewise.llm.secrets import redact, span_digests
+    from pricewise.llm.secret_scan import redact, span_digests
     d = spark.createDataFrame([(1, "uuid 123e4567-e89b-12d3-a456-426614174000 EXAMPLEzx9Qm2Lp8Rt4Wv6Ys1", 7), (2, "é token = abcdefgh1 x", 9), (3, "plain", 5)], "doc_id bigint, text string, n_chars int")
     assert span_digests(d).where("doc_id = 1").first()["spans"] == ""
     out = {r["doc_id"]: r for r in redact(d).collect()}
