@@ -38,6 +38,20 @@ def python_ready(spark: SparkSession) -> None:
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
+#: Bits of the filter below, held as 2 ** (FILTER_BITS - 6) rows of 16 bytes: 4 MB, whatever the keys.
+FILTER_BITS = 24
+
+
+def may_hold(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """Adds ``name``: false only where ``key`` (long) is not among ``keys``.  A filter of fixed size, so that a join
+    moves few rows that find no partner; with very many keys it passes more rows and changes no result."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    words = keys.select(F.shiftright(bit(key), 6).alias("fw"), F.pmod(bit(key), F.lit(64)).cast("int").alias("fb")).groupBy("fw").agg(F.bit_or(F.expr("shiftleft(1L, fb)")).alias("fbits"))
+    x = df.withColumn("fw", F.shiftright(bit(key), 6)).join(F.broadcast(words), "fw", "left")
+    test = F.coalesce(F.getbit("fbits", F.pmod(bit(key), F.lit(64)).cast("int")) == 1, F.lit(False))
+    return x.withColumn(name, test).drop("fw", "fbits")
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of an Arrow string column; a null is an empty text."""
     import pyarrow as pa

@@ -7,8 +7,11 @@ window's anchor: the GRAM bytes with the least hash among all in it (leftmost of
 suffixes with the same anchor travel as one run.
   pass 1  anchors found once are dropped;
   pass 2  runs that agree in all bytes of all their windows are repeated as a whole;
-  pass 3  where an anchor has several such texts, one run of each is opened into single suffixes, and
-          the digit is the hash of all ``width`` bytes: what stands alone there is not repeated.
+  pass 3  where an anchor has several such texts, one run of each is cut into blocks of up to STEP
+          suffixes, aligned to the anchor; the digit is the bytes that all suffixes of a block share,
+          so suffixes of a block that stands alone are not repeated;
+  pass 4  the blocks that are left are opened into single suffixes, and the digit is the rest of their
+          bytes: what stands alone there is not repeated.
 All passes are aggregations with partial sums, so a window with a third of all places is one row per
 task.  Places are judged on the input; overlaps count; matches never cross documents.
 
@@ -23,9 +26,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricewise.llm.common import Rolling, keep, mix, python_ready, runs_of_texts, text_buffers, text_or_empty
+from pricewise.llm.common import Rolling, keep, may_hold, mix, python_ready, runs_of_texts, text_buffers, text_or_empty
 
 GRAM = 64
+STEP = 16
 #: Bytes handled at once; places inside fit into the low bits of a packed hash.
 BITS = 20
 CHUNK = 1 << BITS
@@ -100,31 +104,42 @@ def all_runs(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "k bigint, first bigint, count int, dist int, anchor bigint, context bigint")
 
 
-def opened(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """a, w (digits), k, place of each window of the asked runs (k, first, count, dist, anchor)."""
+def blocks(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """The asked runs (k, first, count, dist, anchor) in blocks: lead and core (digits), left and right (the bytes
+    beside the core), k, at (place of the last suffix), lo and hi (its suffixes are at - hi .. at - lo)."""
     lists = asked.groupBy("k").agg(F.collect_list(F.struct("first", "count", "dist", "anchor")).alias("runs"))
+    some = may_hold(docs, "k", asked.select("k"), "asked").where("asked").drop("asked")
 
     def run(batches):
         import pyarrow as pa
 
-        roll = _rolling()
+        roll, more = _rolling(), STEP - 1
         for b in batches:
             raw, off = text_buffers(b.column(1))
             for j, k in enumerate(b.column(0).to_pylist()):
                 data = raw[off[j]:off[j + 1]]
+                out: list[tuple] = []
+                cores, leads = [], []
                 for r in b.column(2)[j].values.to_pylist():
-                    x, n = r["first"], r["count"]
+                    x, n, dist = r["first"], r["count"], r["dist"]
                     sums = roll.sums(data[x:x + n - 1 + width])
-                    i = np.arange(n)
-                    digit = mix(roll.spans(sums, i, i + width))
-                    lead = mix((np.full(n, r["anchor"], np.int64).view(np.uint64)) + (r["dist"] - i).astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(digit.view(np.int64)), pa.array(np.full(n, k, np.int64)), pa.array(x + i)], names=["a", "w", "k", "place"])
+                    number = np.arange((dist - n + 1) // STEP, dist // STEP + 1)
+                    at = x + dist - STEP * number
+                    cores.append(mix(roll.spans(sums, at - x, at - x + width - more)) if n else np.zeros(0, np.uint64))
+                    leads.append(mix(np.full(len(number), r["anchor"], np.int64).view(np.uint64) + number.astype(np.uint64)))
+                    for c, p in zip(number.tolist(), at.tolist()):
+                        out.append((data[max(0, p - more):p].tobytes(), data[p - more + width:p + width].tobytes(), p, max(0, dist - n + 1 - STEP * c), min(more, dist - STEP * c)))
+                left, right, at, lo, hi = zip(*out)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(leads).view(np.int64)), pa.array(np.concatenate(cores).view(np.int64)), pa.array(left, pa.binary()), pa.array(right, pa.binary()),
+                    pa.array(np.full(len(at), k, np.int64)), pa.array(at, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["lead", "core", "left", "right", "k", "at", "lo", "hi"])
 
-    return docs.join(lists, "k").select("k", "text", "runs").mapInArrow(run, "a bigint, w bigint, k bigint, place bigint")
+    return some.join(lists, "k").select("k", "text", "runs").mapInArrow(run, "lead bigint, core bigint, left binary, right binary, k bigint, at bigint, lo int, hi int")
 
 
 def repeated(docs: DataFrame, width: int) -> DataFrame:
-    """k, runs (first, count), alone (places in those runs that are not repeated); docs: k, text, one row per k and ``times``."""
+    """k, marks of every text with repeated windows (docs: k, text): (kind, first, last) of window places - kind 0:
+    may be repeated, 1: stands alone, 2: is repeated; the larger kind holds."""
     every = keep(all_runs(docs, width), "runs")
     twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     left = keep(every.join(twice, "anchor"), "left")
@@ -132,20 +147,29 @@ def repeated(docs: DataFrame, width: int) -> DataFrame:
     texts = keep(left.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("k", "first")).alias("one")), "texts")
     several = texts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
     asked = texts.join(several, "anchor").select("one.k", "one.first", "count", "dist", "anchor")
-    single = opened(docs.dropDuplicates(["k"]), asked, width).groupBy("a", "w").agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("place").alias("place")).where("n = 1")
-    # A whole run found twice is repeated, whatever stands alone among the opened ones.
-    open_runs = left.join(texts.select(*same, "n"), same)
-    found = open_runs.groupBy("k").agg(F.collect_set(F.struct("first", "count", (F.col("n") > 1).alias("whole"))).alias("runs"))
-    alone = single.groupBy("k").agg(F.collect_list("place").alias("alone"))
-    return found.join(alone, "k", "left")
+    block = keep(blocks(docs, asked, width), "blocks")
+    alike = block.groupBy("lead", "core").agg(F.count("*").alias("n")).where("n > 1").select("lead", "core")
+    block = keep(block.join(alike, ["lead", "core"]), "alike")
+    j = F.col("j")
+    one = block.select("lead", "core", "left", "right", "k", "at", F.explode(F.sequence("lo", "hi")).alias("j"))
+    rest = F.concat(F.when(j > 0, F.substring("left", -j, j)).otherwise(F.lit(b"")), F.substring("right", F.lit(1), F.lit(STEP - 1) - j))
+    alone = one.groupBy("lead", "core", "j", rest.alias("rest")).agg(F.count("*").alias("n"), F.first(F.struct("k", (F.col("at") - j).alias("place"))).alias("one")).where("n = 1")
+    whole = left.join(texts.where("n > 1").select(*same), same)
+    mark = lambda kind, first, last: F.struct(F.lit(kind).alias("kind"), first.alias("first"), last.alias("last")).alias("mark")
+    marks = (block.select("k", mark(0, F.col("at") - F.col("hi"), F.col("at") - F.col("lo")))
+             .unionByName(alone.select("one.k", mark(1, F.col("one.place"), F.col("one.place"))))
+             .unionByName(whole.select("k", mark(2, F.col("first"), F.col("first") + F.col("count") - 1))))
+    return marks.groupBy("k").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of removed bytes), kept (the bytes that stay) for every document."""
     python_ready(docs.sparkSession)
     d = docs.select("doc_id", text_or_empty("text").alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
-    found = repeated(d.select("k", "text"), width)
-    x = d.join(found, "k", "left").select("doc_id", "text", "runs", "alone")
+    found = keep(repeated(d.select("k", "text"), width), "marks")
+    x = may_hold(d, "k", found.select("k"), "some")
+    untouched = x.where("not some").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"), F.col("text").cast("binary").alias("kept"))
+    x = x.where("some").join(found, "k", "left").select("doc_id", "text", "marks")
 
     def run(batches):
         import pyarrow as pa
@@ -160,14 +184,10 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                     spans.append([])
                     kept.append(data.tobytes())
                     continue
-                f = {n: places.values.field(n).to_numpy(zero_copy_only=False) for n in ("first", "count", "whole")}
+                kind, first, last = (places.values.field(n).to_numpy(zero_copy_only=False) for n in ("kind", "first", "last"))
                 again = np.zeros(len(data), bool)
-                for first, count in zip(f["first"][~f["whole"]], f["count"][~f["whole"]]):
-                    again[first:first + count] = True
-                if b.column(3)[j].is_valid:
-                    again[b.column(3)[j].values.to_numpy(zero_copy_only=False)] = False
-                for first, count in zip(f["first"][f["whole"]], f["count"][f["whole"]]):
-                    again[first:first + count] = True
+                for t, a, z in zip(kind.tolist(), first.tolist(), last.tolist()):  # by kind
+                    again[a:z + 1] = t != 1
                 total = np.concatenate([[0], np.cumsum(again)])
                 covered = total[1:] > total[np.maximum(np.arange(len(data)) + 1 - width, 0)]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
@@ -175,7 +195,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 kept.append(data[~covered].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    return x.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return x.mapInArrow(run, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary").unionByName(untouched)
 
 
 def removal_digests(docs: DataFrame, width: int = 400) -> DataFrame:
