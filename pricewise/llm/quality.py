@@ -25,8 +25,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Sub-buckets per power of two: a bucket is at most 1/16 wide, relative to its values.
 SUB = 16
 UPPER, REACH = 0.90, 4
-#: Least distance of a threshold from the median, in thousandths (word length: of a character).
-SLACK = {"symbols": 100, "dup_lines": 200, "repeats": 200, "word_len": 3000}
+#: Least distance of a threshold from the median, in thousandths (word length: of a character): one repeated line in a text of three is not an outlier.
+SLACK = {"symbols": 100, "dup_lines": 400, "repeats": 200, "word_len": 3000}
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
