@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._util import col
 
-NO_FILTER = (None, "", "All Markets", "all")
+NO_FILTER = (None, "", "All Markets")
 
 
 def _true() -> Column:

@@ -121,13 +121,21 @@ def check_unique_users(users: DataFrame, candidates: DataFrame) -> DataFrame:
              .join(candidates.select(F.col("username").alias("_u")).distinct(), "_u", "left_semi").distinct())
     mails = (users.select(F.col("email").alias("_e"))
              .join(candidates.select(F.col("email").alias("_e")).distinct(), "_e", "left_semi").distinct())
-    c = (candidates.join(names, candidates.username == names._u, "left")
+    c = (candidates.withColumn("_at", F.monotonically_increasing_id())
+         .join(names, candidates.username == names._u, "left")
          .join(mails, candidates.email == mails._e, "left"))
+    # users are added one at a time: a name or an e-mail belongs to the first candidate that the stored users let pass
+    first = c.filter(F.col("_u").isNull() & F.col("_e").isNull())
+    by_name = first.groupBy(F.col("username").alias("_n")).agg(F.min("_at").alias("_n_at"))
+    by_mail = first.groupBy(F.col("email").alias("_m")).agg(F.min("_at").alias("_m_at"))
+    c = (c.join(by_name, F.col("username") == F.col("_n"), "left").join(by_mail, F.col("email") == F.col("_m"), "left")
+         .withColumn("_u", F.coalesce("_u", F.when(F.col("_n_at") < F.col("_at"), F.col("username"))))
+         .withColumn("_e", F.coalesce("_e", F.when(F.col("_m_at") < F.col("_at"), F.col("email")))))
     status = (F.when(F.col("_u").isNotNull(), "username exists").when(F.col("_e").isNotNull(), "email exists")
               .otherwise("accepted"))
     message = (F.when(F.col("_u").isNotNull(), F.format_string(MSG_USERNAME_EXISTS, F.col("username")))
                .when(F.col("_e").isNotNull(), F.format_string(MSG_EMAIL_EXISTS, F.col("email"))))
-    return c.withColumns({"status": status, "message": message}).drop("_u", "_e")
+    return c.withColumns({"status": status, "message": message}).select(*candidates.columns, "status", "message")
 
 
 def validate_factors(df: DataFrame, lo: float = 0, hi: float = 100) -> DataFrame:
@@ -158,17 +166,29 @@ def delete_by_filter(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataF
     return df.filter(~hit), df.agg(F.count_if(hit).alias("deleted"))
 
 
-def update_by_key(df: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Overwrite the columns present in ``changes`` for the keys it lists (null = unchanged)."""
-    cols = [c for c in changes.columns if c != key]
-    ch = changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
+def update_by_key(df: DataFrame, changes: DataFrame, key: str = "id", order_col: str | None = None) -> DataFrame:
+    """Overwrite the columns present in ``changes`` for the keys it lists (null = unchanged).
+
+    A key listed twice changes its row once: the last by ``order_col`` holds, or the greatest where none is named."""
+    cols = [c for c in changes.columns if c not in (key, order_col)]
+    row = F.struct(*cols)
+    pick = F.max_by(row, F.col(order_col)) if order_col else F.max(row)
+    ch = changes.groupBy(key).agg(pick.alias("_c")).select(key, *[F.col(f"_c.{c}").alias(f"_new_{c}") for c in cols])
     j = df.join(ch, key, "left")
     return j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 
 
+def set_flag(df: DataFrame, ids: DataFrame, value: bool, flag: str = "is_active", key: str = "id") -> DataFrame:
+    """Set a boolean for the listed keys (mark read, activate, deactivate)."""
+    hit = ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn("_hit", F.lit(True))
+    j = df.join(hit, key, "left")
+    return j.select(*[F.when(F.col("_hit"), F.lit(value)).otherwise(F.col(c)).alias(c) if c == flag else F.col(c)
+                      for c in df.columns])
+
+
 def toggle_flag(df: DataFrame, ids: DataFrame, flag: str = "is_active", key: str = "id") -> DataFrame:
-    """Flip a boolean for the listed keys (activate/deactivate/toggle, mark read)."""
+    """Flip a boolean for the listed keys."""
     hit = ids.select(F.col(ids.columns[0]).alias(key)).distinct().withColumn("_hit", F.lit(True))
     j = df.join(hit, key, "left")
     return j.select(*[F.when(F.col("_hit"), ~F.col(c)).otherwise(F.col(c)).alias(c) if c == flag else F.col(c)

@@ -199,8 +199,24 @@ def q_toggle_user_status(spark, sf):
 
 @query("mark_messages_read", """
 SELECT id, name, email, phone, subject, user_type, message, subscribed_to_alerts, created_at,
-       CASE WHEN subject = 'de' THEN NOT is_read ELSE is_read END AS is_read
+       CASE WHEN subject = 'de' THEN TRUE ELSE is_read END AS is_read
 FROM messages""")
 def q_mark_messages_read(spark, sf):
     m = T(spark, sf, "messages")
-    return Q.toggle_flag(m, m.filter(F.col("subject") == "de").select("id"), "is_read", "id")
+    return Q.set_flag(m, m.filter(F.col("subject") == "de").select("id"), True, "is_read", "id")
+
+
+@query("activate_users", """
+SELECT user_id, username, (is_active OR user_id % 10 = 0) AS is_active FROM users""")
+def q_activate_users(spark, sf):
+    u = T(spark, sf, "users")
+    return Q.set_flag(u, u.filter(F.col("user_id") % 10 == 0).select("user_id"), True, "is_active", "user_id") \
+        .select("user_id", "username", "is_active")
+
+
+@query("deactivate_users", """
+SELECT user_id, username, (is_active AND user_id % 10 <> 0) AS is_active FROM users""")
+def q_deactivate_users(spark, sf):
+    u = T(spark, sf, "users")
+    return Q.set_flag(u, u.filter(F.col("user_id") % 10 == 0).select("user_id"), False, "is_active", "user_id") \
+        .select("user_id", "username", "is_active")

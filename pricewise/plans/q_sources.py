@@ -238,15 +238,22 @@ def q_load_model(spark, sf):
 
 
 @query("stream_ingest_prices", f"""
-SELECT {PRICE_COLS.replace('id, ', '')} FROM prices WHERE contains(lower(market), '#00000005')""")
+SELECT {PRICE_COLS.replace('id, ', '')}
+FROM (SELECT * REPLACE (arrival_quantity + CASE WHEN id % 10 = 0 THEN 1 ELSE 0 END AS arrival_quantity) FROM prices)""")
 def q_stream_ingest_prices(spark, sf):
-    # upload files exported from the price table, ingested by the file-stream job (validate +
-    # upsert per micro-batch), read back from the newest table version
+    # the whole price table as uploads, then a second upload with changed rows and rejected ones; both ingested by
+    # the file-stream job (validate + upsert per micro-batch) and read back from the newest table version
     from ..streaming.ingest import read_table, start_price_ingest
     base = IO.new_output_path(spark, "stream")
-    IO.export_prices_csv(T(spark, sf, "prices"), f"{base}/uploads", market="#00000005")
-    start_price_ingest(spark, f"{base}/uploads", f"{base}/table", f"{base}/rejects", f"{base}/_checkpoint") \
-        .awaitTermination()
+    p = T(spark, sf, "prices")
+    IO.export_prices_csv(p, f"{base}/uploads/1")
+    paths = (f"{base}/uploads/*", f"{base}/table", f"{base}/rejects", f"{base}/_checkpoint")
+    start_price_ingest(spark, *paths).awaitTermination()
+    changed = p.filter(F.col("id") % 10 < 2).withColumns({
+        "arrival_quantity": F.col("arrival_quantity") + 1,
+        "modal_price": F.when(F.col("id") % 10 == 1, F.lit(-1.0)).otherwise(F.col("modal_price"))})
+    IO.export_prices_csv(changed, f"{base}/uploads/2")
+    start_price_ingest(spark, *paths).awaitTermination()
     out = read_table(spark, f"{base}/table")
     if out is None:      # nothing ingested: an empty table with the price columns
         from ..schemas import PRICES

@@ -52,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
-        # Tests / local runs only: a cluster always names a shared folder.
+        # Tests / local runs only: on a cluster, executors could not see a folder of the driver's machine.
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="pricewise-ckpt-", dir=os.environ.get("PRICEWISE_LOCAL_DIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():

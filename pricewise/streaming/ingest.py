@@ -4,19 +4,21 @@ upserted into the price table, one micro-batch at a time.
 This is the app's import (read -> required columns -> validate -> upsert + reject report)
 run incrementally.  The source is a file stream (exactly-once with the checkpoint); each
 micro-batch is validated with ``validate_prices`` and merged with ``upsert_prices`` in
-``foreachBatch``.  The table is rewritten into a fresh version folder per batch; the version
-id is appended to a small version log only after the data is written, and readers load the
-newest logged version — a failed batch never exposes a half-written table, a retried batch
-rewrites its own folders, and a restarted query resumes from its checkpoint.
+``foreachBatch``.  The table is rewritten into a fresh version folder per attempt; its name is
+appended to a small version log only after the data is written, and readers load the newest
+logged version — a failed batch never exposes a half-written table, a replayed batch leaves
+the table as it is, and a restarted query resumes from its checkpoint.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..operators.quality import upsert_prices, validate_prices
+from ..operators.quality import dedupe_last, upsert_prices, validate_prices
 from ..schemas import PRICE_COLUMNS, PRICES_CSV_TEXT
 
 
@@ -25,12 +27,16 @@ def _versions_path(table_dir: str) -> str:
 
 
 def latest_version(spark: SparkSession, table_dir: str) -> str | None:
-    """Path of the newest committed version (a version is committed once its id is in the log)."""
+    """Path of the newest committed version (a version is committed once its folder is in the log)."""
+    newest = _newest(spark, table_dir)
+    return f"{table_dir.rstrip('/')}/{newest['folder']}" if newest else None
+
+
+def _newest(spark: SparkSession, table_dir: str):
     try:
-        v = spark.read.parquet(_versions_path(table_dir)).agg(F.max("version")).first()[0]
+        return spark.read.parquet(_versions_path(table_dir)).agg(F.max(F.struct("version", "folder")).alias("v")).first()["v"]
     except AnalysisException:
         return None
-    return f"{table_dir.rstrip('/')}/v{v}" if v is not None else None
 
 
 def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
@@ -46,24 +52,31 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
     # order fails the batch instead of being silently misread.
     src = (spark.readStream.option("header", True).option("enforceSchema", False).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt").schema(PRICES_CSV_TEXT).csv(upload_dir)
+           .withColumn("_uploaded", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start"))
            .withColumn("source_file", F.col("_metadata.file_path")))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        # row order within the micro-batch decides which duplicate key wins
-        v = validate_prices(batch.withColumn("file_row", F.monotonically_increasing_id())).cache()
+        # the latest upload decides which duplicate key wins: file time, file name, place in the file
+        order = F.struct("_uploaded", F.monotonically_increasing_id().alias("row"))
+        v = validate_prices(batch.withColumn("file_row", order).drop("_uploaded")).cache()
         try:
             # per-batch folders written with overwrite: a retried batch replaces its own output
-            v.filter(F.col("reject_reason").isNotNull()).withColumn("batch_id", F.lit(batch_id)) \
+            v.filter(F.col("reject_reason").isNotNull()).drop("file_row").withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/batch={batch_id}")
             good = v.filter(F.col("reject_reason").isNull()).select(*PRICE_COLUMNS, "file_row")
             current = read_table(spark, table_dir)
             if current is None:
-                merged = good.drop("file_row")
+                merged = dedupe_last(good, list(keys), "file_row")
             else:
                 merged = upsert_prices(current, good, keys, id_col="__none__")
-            merged.select(*PRICE_COLUMNS).write.mode("overwrite").parquet(f"{table_dir.rstrip('/')}/v{batch_id}")
+            # Each attempt has a folder of its own, and versions count on from the log: a replayed batch merges its
+            # rows again into the version that holds them, which changes nothing, and a fresh checkpoint continues.
+            newest = _newest(spark, table_dir)
+            version = newest["version"] + 1 if newest else 0
+            folder = f"v{version}-{uuid.uuid4().hex}"
+            merged.select(*PRICE_COLUMNS).write.parquet(f"{table_dir.rstrip('/')}/{folder}")
             # commit: the version becomes visible only after its data is complete
-            spark.createDataFrame([(batch_id,)], "version long").write.mode("append").parquet(_versions_path(table_dir))
+            spark.createDataFrame([(version, folder)], "version long, folder string").write.mode("append").parquet(_versions_path(table_dir))
         finally:
             v.unpersist()
 

@@ -95,3 +95,20 @@ def test_csv_columns_by_name(spark, tmp_path):
     r = Q.validate_prices(read_prices_csv(spark, str(tmp_path / "c.csv"))).first()
     assert (r.market, r.min_price, r.modal_price, r.max_price, r.arrival_quantity, r.reject_reason) == \
         ("Q", 10.0, 15.0, 20.0, 0.0, None)
+
+
+def test_flags_changes_and_candidates(spark):
+    from pricewise.functions import predicates as P
+    from pricewise.operators import quality as Q
+    m = spark.createDataFrame([(1, True), (2, False)], "id int, is_read boolean")
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "id int")
+    assert [r.is_read for r in Q.set_flag(m, ids, True, "is_read").collect()] == [True, True]
+    changes = spark.createDataFrame([(1, False, 1), (1, True, 2)], "id int, is_read boolean, at int")
+    assert sorted((r.id, r.is_read) for r in Q.update_by_key(m, changes, order_col="at").collect()) == [(1, True), (2, False)]
+    assert Q.update_by_key(m, changes.drop("at")).count() == 2
+    users = spark.createDataFrame([("old", "o@x")], "username string, email string")
+    new = spark.createDataFrame([("a", "a@x"), ("a", "b@x"), ("c", "a@x"), ("old", "z@x")], "username string, email string").coalesce(1)
+    got = {(r.username, r.email): r.status for r in Q.check_unique_users(users, new).collect()}
+    assert got == {("a", "a@x"): "accepted", ("a", "b@x"): "username exists", ("c", "a@x"): "email exists", ("old", "z@x"): "username exists"}
+    names = spark.createDataFrame([("all",), ("b",)], "name string")
+    assert names.filter(P.contains("name", "all")).count() == 1 and names.filter(~P.exact("name", "all")).count() == 1

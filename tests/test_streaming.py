@@ -13,3 +13,31 @@ def test_file_stream_upserts_and_rejects(spark, tmp_path):
     got = sorted((str(r.date), r.market, r.modal_price, r.arrival_quantity) for r in read_table(spark, table).collect())
     assert got == [("2024-01-01", "A", 18.0, 5.0), ("2024-01-02", "A", 19.0, 0.0)]
     assert [r.market for r in spark.read.parquet(rej).collect()] == ["B"]
+
+
+def test_replay_duplicates_order_and_fresh_checkpoint(spark, tmp_path):
+    """A duplicate key in the first batch, a replayed batch, two files with one key, and a fresh checkpoint."""
+    import os
+    import shutil
+    import time
+    up, table, rej, ck = (str(tmp_path / n) for n in ("up", "table", "rej", "ck"))
+    (tmp_path / "up").mkdir()
+    row = lambda price: HDR + f"2024-01-01,A,S,D,Red,10,20,{price},5\n"
+    prices = lambda: [r.modal_price for r in read_table(spark, table).collect()]
+    (tmp_path / "up" / "a.csv").write_text(row(19) + "2024-01-01,A,S,D,Red,10,20,11,5\n")
+    start_price_ingest(spark, up, table, rej, ck).awaitTermination()
+    assert prices() == [11.0]
+    for name in ("0", ".0.crc"):
+        if os.path.exists(f"{ck}/commits/{name}"):
+            shutil.move(f"{ck}/commits/{name}", str(tmp_path / f"lost{name}"))  # the batch is done, its commit is not known
+    start_price_ingest(spark, up, table, rej, ck).awaitTermination()
+    assert prices() == [11.0]
+    (tmp_path / "up" / "z_old.csv").write_text(row(12))
+    (tmp_path / "up" / "b_new.csv").write_text("\n".join(row(13).split("\n")) + "\n" * 3)
+    now = int(time.time())
+    os.utime(tmp_path / "up" / "z_old.csv", (now + 60, now + 60))
+    os.utime(tmp_path / "up" / "b_new.csv", (now + 120, now + 120))
+    start_price_ingest(spark, up, table, rej, ck).awaitTermination()
+    assert prices() == [13.0]
+    start_price_ingest(spark, up, table, rej, str(tmp_path / "ck2")).awaitTermination()  # all files again; the latest upload holds
+    assert prices() == [13.0]
