@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pricewise.llm.common import table
+from pricewise.llm.oracles import ORACLES  # noqa: F401
 
 
 def _tokenizer(name: str) -> str:
@@ -32,7 +33,7 @@ def op2_chat_formatting(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    return conversation_digests(c.unionByName(more), _tokenizer("byte_bpe_50k.tiktoken"), _pattern())
+    return conversation_digests(c.unionByName(more), _tokenizer("byte_bpe_50k.tiktoken"), _pattern()).drop("n_tokens", "loss_tokens")
 
 
 def op3_source_mixing(spark, sf_dir):
@@ -92,5 +93,3 @@ def pipeline(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_chat_formatting, op3_source_mixing, op4_quality_rules, op5_jaccard_join, op6_suffix_dedup,
     op7_token_counts, op8_sentencepiece, op9_exact_topk, op10_warc_revisits, pipeline)}
-
-ORACLES: dict[str, str] = {}
