@@ -17,7 +17,7 @@ from .series import as_of_column, fixed_mean, money_units
 
 def price_mean(col: str = "modal_price") -> list[Column]:
     """Aggregates for an exact money mean: (unit sum, count); finish with ``fixed_mean``."""
-    return [F.sum(money_units(col)).alias(f"_s_{col}"), F.count(col).alias(f"_n_{col}")]
+    return [F.sum(money_units(col)).alias(f"_s_{col}"), F.count(money_units(col)).alias(f"_n_{col}")]
 
 
 def finish_mean(df: DataFrame, name: str, col: str = "modal_price", default=None) -> DataFrame:
@@ -60,8 +60,8 @@ def price_change_pct(prices: DataFrame, start, end) -> DataFrame:
     d = F.col("date")
     u = money_units("modal_price")
     in_s, in_e = d.between(s, F.date_add(s, 1)), d.between(F.date_sub(e, 1), e)
-    g = prices.agg(F.sum(F.when(in_s, u)).alias("_ss"), F.count_if(in_s).alias("_ns"),
-                   F.sum(F.when(in_e, u)).alias("_se"), F.count_if(in_e).alias("_ne"))
+    g = prices.agg(F.sum(F.when(in_s, u)).alias("_ss"), F.count(F.when(in_s, u)).alias("_ns"),
+                   F.sum(F.when(in_e, u)).alias("_se"), F.count(F.when(in_e, u)).alias("_ne"))
     g = g.select(fixed_mean("_ss", "_ns").alias("start_avg"), fixed_mean("_se", "_ne").alias("end_avg"))
     sa, ea = F.coalesce("start_avg", F.lit(0.0)), F.coalesce("end_avg", F.lit(0.0))
     return g.select(sa.alias("start_avg"), ea.alias("end_avg"),

@@ -45,8 +45,8 @@ def series_summary(prices: DataFrame, k: int = 30, keys=KEYS, price_col: str = P
     latest = F.max_by(F.struct("date", *latest_cols), F.struct("date", "id"))
     whole = (prices.groupBy(*ks)
              .agg(F.count(F.lit(1)).alias("n"), F.sum(money_units(price_col)).alias("_s_all"),
-                  latest.alias("_latest"))
-             .withColumn("series_avg", fixed_mean("_s_all", "n")))
+                  F.count(money_units(price_col)).alias("_n_all"), latest.alias("_latest"))
+             .withColumn("series_avg", fixed_mean("_s_all", "_n_all")))
     kk = max(k, 8)
     t = tail(prices, kk, ks, price_col)
     rn = F.col("_rn")
@@ -56,14 +56,14 @@ def series_summary(prices: DataFrame, k: int = 30, keys=KEYS, price_col: str = P
              .agg(*[nth_last("_rn", i, price_col).alias(f"p{i}") for i in range(1, 9)],
                   F.min(F.when(rn <= 7, p)).alias("min_7"),
                   F.max(F.when(rn <= 7, p)).alias("max_7"),
-                  F.sum(F.when(rn <= 7, u)).alias("_s7"), F.count(F.when(rn <= 7, p)).alias("_n7"),
+                  F.sum(F.when(rn <= 7, u)).alias("_s7"), F.count(F.when(rn <= 7, u)).alias("_n7"),
                   F.min(F.when(rn <= k, p)).alias(f"min_{k}"),
                   F.max(F.when(rn <= k, p)).alias(f"max_{k}"),
-                  F.sum(F.when(rn <= k, u)).alias("_sk"), F.count(F.when(rn <= k, p)).alias("_nk"))
+                  F.sum(F.when(rn <= k, u)).alias("_sk"), F.count(F.when(rn <= k, u)).alias("_nk"))
              .withColumns({"avg_7": fixed_mean("_s7", "_n7"), f"avg_{k}": fixed_mean("_sk", "_nk"),
                            "_p0_7": fixed_mean("_s7", "_n7", out_scale=2)}))
     out = whole.join(tails, ks)
-    return out.select(*ks, "n", "series_avg", fixed_mean("_s_all", "n", out_scale=2).alias("series_avg_2"),
+    return out.select(*ks, "n", "series_avg", fixed_mean("_s_all", "_n_all", out_scale=2).alias("series_avg_2"),
                       F.col("_p0_7").alias("avg_7_2"), F.col("_latest.date").alias("last_date"),
                       *[F.col(f"_latest.{c}").alias(c) for c in latest_cols],
                       *[f"p{i}" for i in range(1, 9)],
@@ -85,7 +85,7 @@ def price_trend(prices: DataFrame, rows: int = 30, keys=KEYS, price_col: str = P
               F.min(F.when(rn <= rows, p)).alias(f"min_{rows}d"),
               F.max(F.when(rn <= rows, p)).alias(f"max_{rows}d"),
               F.sum(F.when(rn <= rows, money_units(price_col))).alias("_s"),
-              F.count(F.when(rn <= rows, p)).alias("_n"))
+              F.count(F.when(rn <= rows, money_units(price_col))).alias("_n"))
          .withColumn(f"avg_{rows}d", fixed_mean("_s", "_n")))
     change = F.try_divide(F.col("current_price") - F.col("_prev"), F.col("_prev")) * 100
     return g.select(*ks, "current_price",
@@ -254,7 +254,7 @@ def recommend(trend: DataFrame, forecast: DataFrame | None, user_types=("FARMER"
     if forecast is not None and "FARMER" in user_types:
         # forecast prices are in cents: their mean is exact in fixed point
         avg_fc = (forecast.groupBy(*ks)
-                  .agg(F.sum(money_units("predicted_price", 2)).alias("_s"), F.count("predicted_price").alias("_n"))
+                  .agg(F.sum(money_units("predicted_price", 2)).alias("_s"), F.count(money_units("predicted_price", 2)).alias("_n"))
                   .select(*ks, fixed_mean("_s", "_n", scale=2).alias("avg_predicted")))
         extra = (base.join(avg_fc, ks)
                  .filter(F.col("avg_predicted") > F.col("current_price") * DELAY_SELL_FACTOR)

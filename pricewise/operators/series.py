@@ -24,13 +24,15 @@ KEYS = ("market",)
 
 # Money is fixed point: prices carry at most 4 decimals, and every mean of prices is computed
 # exactly from integer units and rounded half-up.  Float sums depend on the order rows meet
-# in, which changes with partitioning and re-execution; integer sums do not.
+# in, which changes with partitioning and re-execution; integer sums do not.  Units are DECIMAL(18, 0)
+# (still one long each), so that their sums, DECIMAL(28, 0), hold any number of rows.
 MONEY_SCALE = 4
 
 
 def money_units(c, scale: int = MONEY_SCALE) -> Column:
+    """Integer units of a price; null for a price that is null, NaN or infinite: no mean counts such a row."""
     cc = F.col(c) if isinstance(c, str) else c
-    return F.round(cc * (10 ** scale)).cast("long")
+    return F.when(F.abs(cc) < F.lit(float("inf")), F.round(cc * (10 ** scale))).cast("decimal(18,0)")
 
 
 def fixed_mean(sum_col: str, n_col: str, scale: int = MONEY_SCALE, out_scale: int | None = None) -> Column:
@@ -47,7 +49,7 @@ def window_mean(df: DataFrame, name: str, price_col: str, frame: WindowSpec, ful
                 out_scale: int | None = None) -> DataFrame:
     """Add ``name`` = exact mean of ``price_col`` over ``frame`` (null unless ``full`` rows when set)."""
     s, n = f"__s_{name}", f"__n_{name}"
-    out = df.withColumns({s: F.sum(money_units(price_col)).over(frame), n: F.count(price_col).over(frame)})
+    out = df.withColumns({s: F.sum(money_units(price_col)).over(frame), n: F.count(money_units(price_col)).over(frame)})
     m = fixed_mean(s, n, out_scale=out_scale)
     if full is not None:
         m = F.when(F.col(n) == full, m)
@@ -90,7 +92,7 @@ def pooled_daily(prices: DataFrame, price_col: str = PRICE) -> DataFrame:
     un-keyed window over it is safe.
     """
     return (prices.groupBy("date")
-            .agg(F.sum(money_units(price_col)).alias("__s"), F.count(price_col).alias("__n"),
+            .agg(F.sum(money_units(price_col)).alias("__s"), F.count(money_units(price_col)).alias("__n"),
                  F.min("min_price").alias("min_price"),
                  F.max("max_price").alias("max_price"),
                  F.sum("arrival_quantity").alias("arrival_quantity"))
@@ -159,8 +161,9 @@ def tail_stats(df: DataFrame, n: int = 7, keys=KEYS, price_col: str = PRICE) ->
     t = tail(df, n, keys, price_col)
     return (t.groupBy(*_keys(keys))
             .agg(F.min(price_col).alias(f"min_{n}"), F.max(price_col).alias(f"max_{n}"),
-                 F.sum(money_units(price_col)).alias("__s"), F.count(F.lit(1)).alias(f"rows_{n}"))
-            .withColumn(f"avg_{n}", fixed_mean("__s", f"rows_{n}")).drop("__s"))
+                 F.sum(money_units(price_col)).alias("__s"), F.count(money_units(price_col)).alias("__n"),
+                 F.count(F.lit(1)).alias(f"rows_{n}"))
+            .withColumn(f"avg_{n}", fixed_mean("__s", "__n")).drop("__s", "__n"))
 
 
 def nth_last(rn: str, k: int, price_col: str = PRICE) -> Column:

@@ -108,3 +108,24 @@ def test_label_encode_paths_agree(spark, prices):
     b, _ = E.label_encode(prices, ("market", "variety"), max_driver_labels=0)  # distributed
     key = lambda df: sorted((r.id, r.market_code, r.variety_code) for r in df.collect())
     assert key(a) == key(b) == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1)]
+
+
+def test_means_of_very_large_sums_and_of_unknown_prices(spark):
+    """Unit sums beyond a BIGINT, and NaN, infinite and null prices, which no mean counts."""
+    from datetime import date, timedelta
+
+    from pricewise.operators import aggregates as A
+    from pricewise.operators.forecast import price_trend, series_summary
+    from pricewise.operators.series import rolling_mean_partial, tail_stats
+    schema = "id bigint, date date, market string, state string, district string, variety string, modal_price double"
+    day = lambda i: date(2024, 1, 1) + timedelta(i)
+    big = spark.createDataFrame([(i, day(i % 300), "m", "s", "d", "v", 9e13) for i in range(40)], schema)
+    assert A.price_stats(big).first()["avg_price"] == 9e13
+    assert series_summary(big).first()["series_avg"] == 9e13
+    assert {r["price_ma_30"] for r in rolling_mean_partial(big, 30).collect()} == {9e13}
+    odd = spark.createDataFrame([(i, day(i), "m", "s", "d", "v", p) for i, p in enumerate([float("nan"), 10.0, None, float("inf"), 20.0, 30.0])], schema)
+    assert A.price_stats(odd).first()["avg_price"] == 20.0
+    assert series_summary(odd).first()["series_avg"] == 20.0
+    assert price_trend(odd).first()["avg_30d"] == 20.0
+    assert tail_stats(odd, 7).select("avg_7", "rows_7").first()[:] == (20.0, 6)
+    assert [r["price_ma_3"] for r in rolling_mean_partial(odd, 3).orderBy("id").collect()] == [None, 10.0, 10.0, 10.0, 20.0, 25.0]
