@@ -8,8 +8,10 @@ dropped after it has used up its place.
 Added by the method: candidate strings (runs of 20 or more key characters) are scanned with a window
 of 20 characters.  Sliding by one changes two counts, so the sum of c * log2(c), and with it the
 Shannon entropy, is carried along.  The entropy needed depends on the candidate's character class.  A
-span reaches from the first such window to the end of the last.  Candidates that an allow-list
-matches, and spans that touch a base match, are suppressed; base matches always stay.
+span reaches from the first such window to the end of the last.  A candidate is cut at the base matches
+and the allow-listed parts in it, and each rest of 20 or more characters is scanned as a candidate of its
+own; only rests that are no secret as a whole (UUIDs, one character repeated) are left out.  Signs in front
+of a candidate or beside a cut are scanned, but do not count for its class.  Base matches always stay.
 
 Positions are code points: the texts between matches and the matches themselves are measured and
 summed up.  Defined cases: null text = empty text = no spans; ties of start are ordered by kind;
@@ -43,12 +45,15 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
 WINDOW = 20
 #: Character class of a candidate (the first that fits) -> bits a character that a window needs.
 CLASSES = (("^[0-9a-fA-F]*$", 2.9), ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", 3.6), ("^(?=.*[A-Za-z])(?=.*[0-9])", 3.5), ("", 4.15))
-#: Candidates that are no secrets: examples, UUIDs, alphabets, one character repeated.
-ALLOWED = ("(?i)example", "(?i)placeholder", "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", "(?i)0123456789|abcdefghij", r"^(.)\1*$", "^[-=_+/]|[-=_]{4}")
+#: Parts of candidates that are no secrets, cut out: examples, alphabets as far as they run, lines of signs.
+ALLOWED = ("(?i)example", "(?i)placeholder", "(?i)0123456789|abcdefghij" + "".join(f"(?:{c}" for c in "klmnopqrstuvwxyz") + ")?" * 16, "[-=_]{4,}")
+#: Candidates, or their rests, that are no secrets as a whole: UUIDs, one character repeated.
+WHOLE = ("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(.)\1*$")
+FRONT, BACK = "^[-=_+/]+", "[-=_+/]+$"
 
 
 def places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, s) of the leftmost non-overlapping matches; ``text`` is a column by name."""
+    """Array of (start, end, s) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)").alias("out"))
@@ -62,11 +67,34 @@ def places(text: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)"))
 
 
-def busy_part(s: Column) -> Column:
-    """(first, last): starts of the first and the last window of ``s`` whose entropy reaches the class's; null if none does."""
-    need = F.lit(CLASSES[-1][1])
+def rests(s: Column, base: Column, allowed: tuple[str, ...]) -> Column:
+    """Array of (start, s, core) of what the matches of ``base`` and ``allowed`` leave of candidate ``s``; ``core`` is without the signs at its ends."""
+    cuts = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    cuts = F.transform(cuts, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    if allowed:
+        known = places(s["s"], "|".join(f"(?:{p})" for p in allowed))
+        cuts = F.concat(cuts, F.transform(known, lambda k: F.struct((s["start"] + k["start"]).alias("start"), (s["start"] + k["end"]).alias("end"))))
+    # the end of the candidate as a last cut
+    cuts = F.array_append(F.array_sort(cuts), F.struct(s["end"].alias("start"), s["end"].alias("end")))
+    start = F.struct(s["start"].alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        rest = F.struct(a["pos"].alias("start"), c["start"].alias("end"))
+        return F.struct(F.greatest(a["pos"], c["end"]).alias("pos"), F.when(c["start"] - a["pos"] >= WINDOW, F.array_append(a["out"], rest)).otherwise(a["out"]).alias("out"))
+
+    def shape(r: Column) -> Column:
+        text = F.substring(s["s"], r["start"] - s["start"] + 1, r["end"] - r["start"])
+        core = F.regexp_replace(text, FRONT, "")
+        return F.struct(r["start"].alias("start"), text.alias("s"), F.when(r["end"] < s["end"], F.regexp_replace(core, BACK, "")).otherwise(core).alias("core"))
+
+    return F.filter(F.transform(F.aggregate(cuts, start, step, lambda a: a["out"]), shape), lambda r: ~_any(r["core"], WHOLE))
+
+
+def busy_part(s: Column, core: Column | None = None) -> Column:
+    """(first, last): starts of the first and the last window of ``s`` whose entropy reaches the class's (that of ``core``, if given); null if none does."""
+    need, core = F.lit(CLASSES[-1][1]), s if core is None else core
     for pattern, bits in reversed(CLASSES[:-1]):
-        need = F.when(s.rlike(pattern), F.lit(bits)).otherwise(need)
+        need = F.when(core.rlike(pattern), F.lit(bits)).otherwise(need)
     weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
     f = lambda c: F.get(weight, c)
     codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
@@ -93,8 +121,8 @@ def scan(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     shape = lambda c, n: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind_no"), s["end"].alias("end")))
     long_enough = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["s"], ASSIGN, 2)) >= LEAST_VALUE)
     x = x.withColumn("base", F.concat(shape(long_enough, 0), shape(F.col("access"), 1), shape(F.col("hex"), 2)))
-    free = lambda s: ~_any(s["s"], allowed) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    parts = F.transform(F.filter("keys", free), lambda s: F.struct(s["start"].alias("start"), busy_part(s["s"]).alias("p")))
+    left = F.flatten(F.transform("keys", lambda s: rests(s, F.col("base"), allowed)))
+    parts = F.transform(left, lambda s: F.struct(s["start"].alias("start"), busy_part(s["s"], s["core"]).alias("p")))
     added = F.transform(F.filter(parts, lambda s: s["p"].isNotNull()), lambda s: F.struct((s["start"] + s["p"]["first"]).alias("start"), F.lit(3).alias("kind_no"), (s["start"] + s["p"]["last"] + WINDOW).alias("end")))
     return x.select("d", "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.when(F.size("keys") > 0, added).otherwise(F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)")))).alias("spans"))
 

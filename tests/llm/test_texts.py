@@ -68,6 +68,29 @@ def test_secret_allow_list_and_redaction(spark):
     assert out[2]["text"] == "é [SECRET] x" and out[2]["n_chars"] == 12 and out[3]["text"] == "plain" and out[3]["n_chars"] == 5
 
 
+KEY = "Zx9Qm2Lp8Rt4Wv6Ys1Bn3Kd7Hf5Jg0Tc9Uv2Ew6Xa"
+
+
+def test_secret_beside_base_match_or_allowed_part(spark):
+    """A base match or an allow-listed part does not hide the key that it is joined to."""
+    from pricewise.llm.secret_scan import redact, span_digests
+    access, digits = "AKIA" + "Q7WERTYUIOPASDFG", "0f1e2d3c4b5a69788796a5b4"
+    upper = "9F86D081884C7D659A2FEAA0C55AD015"
+    texts = [f"é {access}/{KEY} x", f"{KEY}_token=abcdef x", *[f"{digits}{j}{KEY} x" for j in "_-/="], *[f"{KEY}{j}{digits} x" for j in "_-/="],
+             *[f"see {j}{KEY} x" for j in "-=_+/"], f"example-{KEY}", f"{KEY}----{KEY}", f"0123456789{KEY}", f"{KEY}abcdefghijklmnop placeholder", f"+{upper}", f"{upper}_token=abcdef"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in redact(d).collect()}
+    for i, t in enumerate(texts):
+        assert KEY not in out[i] and upper not in out[i], t
+        assert KEY[12:32] not in out[i], t
+    spans = {r["doc_id"]: r["spans"] for r in span_digests(d).collect()}
+    assert spans[0].startswith("access:2:22,entropy:22:") and "assign:" in spans[1] and "entropy:0:" in spans[1]
+    quiet = ["/123e4567-e89b-12d3-a456-426614174000", "==========================", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+             "abcdefghijklmnopqrstuvwxyz1234567890", "EXAMPLE-" + KEY[:18], "/" + "Q" * 30, "--------------------------------x"]
+    q = spark.createDataFrame(list(enumerate(quiet)), "doc_id bigint, text string")
+    assert [r["spans"] for r in span_digests(q).orderBy("doc_id").collect()] == [""] * len(quiet)
+
+
 def plain_measures(t):
     t = t or ""
     w = SPACE.findall(t)
