@@ -56,3 +56,13 @@ def test_csv_missing_columns(spark, tmp_path):
     p.write_text("date,market,min_price\n2024-01-01,A,1\n")
     with pytest.raises(ValueError, match="Missing required columns: state, district, variety, max_price, modal_price"):
         IO.read_prices_csv(spark, str(p))
+
+
+@needs_data
+def test_csv_round_trip_exports_the_whole_table(spark, monkeypatch):
+    paths, export = [], IO.export_prices_csv
+    monkeypatch.setattr(IO, "export_prices_csv", lambda *a, **k: paths.append(export(*a, **k)) or paths[-1])
+    n = E.queries()["scan_prices"](spark, SF).count()
+    E.queries()["read_prices_csv"](spark, SF)
+    assert spark.read.option("header", True).csv(paths[0]).count() == n > 0
+    assert E.queries()["read_prices_csv_all"](spark, SF).count() == n
