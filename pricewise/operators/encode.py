@@ -132,14 +132,15 @@ def standard_scale(train: DataFrame, data: DataFrame, cols, suffix: str = "_scal
 SIMPLE_LAGS = (1, 7)
 
 
-def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False, last_rows: int | None = 365,
+def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False, last_rows: int | None = None,
                           price_col: str = PRICE, encode: bool = True, max_values: int = 20,
                           hot_series: bool = False):
     """Calendar parts, lags 1/7, partial means 7/30, changes 1/7, dummies; incomplete rows dropped.
 
     ``leak_free`` computes the means and changes from the rows *before* the current one, so no
-    feature contains the target.  ``hot_series`` computes the same values without a
-    per-series window (``long_series.features_split``).  Returns (features, dummy column names).
+    feature contains the target.  All rows count; ``last_rows`` takes only the newest so many of
+    every series (the reference trains on the newest 365 of the whole frame).  ``hot_series``
+    computes the same values without a per-series window (``long_series.features_split``).  Returns (features, dummy column names).
     """
     ks = _keys(keys)
     df = last_n_rows(prices, last_rows, ks) if last_rows else prices
@@ -184,19 +185,20 @@ FULL_LAGS = (1, 7, 30, 90)
 def build_features_full(prices: DataFrame, keys=KEYS, leak_free: bool = False, price_col: str = PRICE,
                         hot_series: bool = False):
     """7 calendar parts, season, lags 1/7/30/90, rolling mean 7 / std 7 / mean 30 (full windows),
-    label codes of market/state/district/variety; incomplete rows dropped.  ``hot_series``
+    label codes of market/state/district/variety (fitted on all rows); incomplete rows dropped.  ``hot_series``
     computes the window features without a per-series window (``long_series.features_split``;
     the std from exact integer moments)."""
     ks = _keys(keys)
     w = series_window(ks)
     parts = date_parts("date")
-    df = prices.withColumns(parts).withColumn("season", season(F.col("month")))
+    df, model = label_encode(prices, [c for c in ("market", "state", "district", "variety") if c in prices.columns])
+    df = df.withColumns(parts).withColumn("season", season(F.col("month")))
     if hot_series:
         from .long_series import features_split
         df = features_split(df, FULL_LAGS, (), (), ks, price_col, leak_free, full_means=(7, 30), stds=(7,))
         df = df.na.drop("any", subset=[f"price_lag_{n}" for n in FULL_LAGS]
                         + ["price_rolling_mean_7", "price_rolling_std_7", "price_rolling_mean_30"])
-        return label_encode(df, [c for c in ("market", "state", "district", "variety") if c in df.columns])
+        return df, model
     df = df.withColumns({f"price_lag_{n}": F.lag(price_col, n).over(w) for n in FULL_LAGS})
     end = -1 if leak_free else 0
 
@@ -209,5 +211,4 @@ def build_features_full(prices: DataFrame, keys=KEYS, leak_free: bool = False, p
     df = df.withColumn("price_rolling_std_7", full(F.stddev_samp, 7))
     df = df.na.drop("any", subset=[f"price_lag_{n}" for n in FULL_LAGS]
                     + ["price_rolling_mean_7", "price_rolling_std_7", "price_rolling_mean_30"])
-    df, model = label_encode(df, [c for c in ("market", "state", "district", "variety") if c in df.columns])
     return df, model

@@ -194,7 +194,7 @@ FROM f WHERE price_lag_1 IS NOT NULL AND price_lag_7 IS NOT NULL AND price_ma_7
 
 def _simple(spark, sf, leak_free):
     d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
-                                   encode=False)
+                                   last_rows=365, encode=False)  # the SQL takes the newest 365 rows of every market
     return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
                     "price_lag_7", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"),
                     F.round("price_change_1", 10).alias("price_change_1"),
@@ -298,7 +298,7 @@ def q_history_guards(spark, sf):
 
 def _simple_hot(spark, sf, leak_free):
     d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
-                                   encode=False, hot_series=True)
+                                   last_rows=365, encode=False, hot_series=True)
     return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
                     "price_lag_7", "price_ma_7", "price_ma_30",
                     F.round("price_change_1", 10).alias("price_change_1"),
@@ -329,3 +329,44 @@ def q_build_features_full_split(spark, sf):
                     "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
                     "price_rolling_mean_7", F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
                     "price_rolling_mean_30", "market_code", "state_code")
+
+
+# ----------------------------------------------------------------------------- feature sets over all rows
+# All rows of every market, with the dummies (their names, comma-joined, as the columns depend on the
+# data) and all four label codes.
+
+def _simple_all_sql(leak_free: bool) -> str:
+    rows = _simple_sql(leak_free).replace("WHERE rn <= 365", "").replace("id, market, date, modal_price", "id, market, state, variety, date, modal_price")
+    dummies = ", ".join(f"CASE WHEN (SELECT count(DISTINCT {c}) FROM g) < 20 AND {c} <> (SELECT min({c}) FROM g) THEN '{c}_' || {c} END"
+                        for c in ("market", "state", "variety"))
+    return f"WITH g AS ({rows}) SELECT *, concat_ws(',', {dummies}) AS dummies FROM g"
+
+
+def _simple_all(spark, sf, leak_free, hot_series=False):
+    d, names = E.build_features_simple(P(spark, sf).select("id", "market", "state", "variety", "date", "modal_price"),
+                                       leak_free=leak_free, hot_series=hot_series)
+    return d.select("id", "market", "state", "variety", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
+                    "price_lag_7", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"),
+                    F.round("price_change_1", 10).alias("price_change_1"), F.round("price_change_7", 10).alias("price_change_7"),
+                    F.concat_ws(",", F.lit(None).cast("string"), *[F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in names]).alias("dummies"))
+
+
+def _full_all(spark, sf, hot_series=False):
+    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "district", "variety", "date", "modal_price"), hot_series=hot_series)
+    return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
+                    "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
+                    F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
+                    F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
+                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"),
+                    "market_code", "state_code", "district_code", "variety_code")
+
+
+for _name, _leak_free in (("build_features_simple", False), ("build_features_simple_leak_free", True)):
+    query(f"{_name}_all", _simple_all_sql(_leak_free))(lambda spark, sf, _l=_leak_free: _simple_all(spark, sf, _l))
+    query(f"{_name}_all_split", _simple_all_sql(_leak_free))(lambda spark, sf, _l=_leak_free: _simple_all(spark, sf, _l, True))
+
+query("build_features_full_all", f"""
+SELECT f.*, c.district_code, c.variety_code FROM ({_ORACLES["build_features_full"]}) f JOIN (
+    SELECT id, CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_code,
+           CAST(dense_rank() OVER (ORDER BY variety) - 1 AS INTEGER) AS variety_code FROM prices) c USING (id)""")(_full_all)
+query("build_features_full_all_split", _ORACLES["build_features_full_all"])(lambda spark, sf: _full_all(spark, sf, True))

@@ -129,3 +129,18 @@ def test_means_of_very_large_sums_and_of_unknown_prices(spark):
     assert price_trend(odd).first()["avg_30d"] == 20.0
     assert tail_stats(odd, 7).select("avg_7", "rows_7").first()[:] == (20.0, 6)
     assert [r["price_ma_3"] for r in rolling_mean_partial(odd, 3).orderBy("id").collect()] == [None, 10.0, 10.0, 10.0, 20.0, 25.0]
+
+
+def test_simple_features_take_every_row(spark):
+    p = spark.createDataFrame([(i, "A", D0 + dt.timedelta(days=i), 100.0 + i % 7) for i in range(400)],
+                              "id long, market string, date date, modal_price double")
+    for hot in (False, True):
+        d, _ = E.build_features_simple(p, encode=False, hot_series=hot)
+        assert sorted(r.id for r in d.select("id").collect()) == list(range(7, 400))
+
+
+def test_label_codes_count_rows_that_are_dropped(spark):
+    p = spark.createDataFrame([(i, "A", "old" if i < 50 else "recent", D0 + dt.timedelta(days=i), 100.0 + i % 7) for i in range(120)],
+                              "id long, market string, variety string, date date, modal_price double")
+    d, _ = E.build_features_full(p)
+    assert {r.variety_code for r in d.collect()} == {1}
