@@ -186,6 +186,7 @@ def train_seasonal(prices: DataFrame, holidays: DataFrame | None = None, horizon
 # ----------------------------------------------------------------------------- recursive forecast
 
 RECURSIVE_FEATURES = ["price_lag_1", "price_lag_7", "price_ma_7"]
+RECURSIVE_ROWS = 7
 
 
 def recursive_training_frame(prices: DataFrame, keys=KEYS, price_col: str = PRICE) -> DataFrame:
@@ -208,6 +209,9 @@ def forecast_recursive(model: PipelineModel, prices: DataFrame, horizon: int = 3
     ``model.transform`` over all series.  Lineage is cut with a reliable ``checkpoint`` (in
     the shared ``spark.checkpoint.dir``) every ``checkpoint_every`` steps, so a lost executor
     recomputes at most that many steps.
+
+    Forecast rows have status 'ok'.  A series with fewer than the 7 rows that the features look
+    back gives one row with status 'insufficient' and null step, price and date.
     """
     ks = _keys(keys)
     last = prices.groupBy(*ks).agg(F.max("date").alias("last_date"))
@@ -215,9 +219,10 @@ def forecast_recursive(model: PipelineModel, prices: DataFrame, horizon: int = 3
              .agg(F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("rn"), F.col(price_col).alias("p"))))
                   .alias("_t"))
              .select(*ks, F.reverse(F.transform("_t", lambda x: x["p"])).alias("hist"))
-             .filter(F.size("hist") >= 8)
              .join(last, ks)
              .withColumn("path", F.array().cast("array<double>")))
+    short = state.filter(F.size("hist") < RECURSIVE_ROWS)
+    state = state.filter(F.size("hist") >= RECURSIVE_ROWS)
     for step in range(horizon):
         feats = state.withColumns({
             "price_lag_1": F.element_at("hist", -1),
@@ -225,10 +230,14 @@ def forecast_recursive(model: PipelineModel, prices: DataFrame, horizon: int = 3
             "price_ma_7": F.aggregate(F.slice("hist", -7, 7), F.lit(0.0), lambda a, x: a + x) / 7,
         })
         scored = model.transform(feats)
+        # (a slice that starts before the array is empty, so a series of under 30 rows starts at 1)
+        longer = F.concat("hist", F.array("prediction"))
         state = scored.select(*ks, "last_date",
-                              F.slice(F.concat("hist", F.array("prediction")), -30, 30).alias("hist"),
+                              F.slice(longer, F.greatest(F.size(longer) - 29, F.lit(1)), F.lit(30)).alias("hist"),
                               F.concat("path", F.array("prediction")).alias("path"))
         if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < horizon:
             state = state.checkpoint(eager=True)
-    return state.select(*ks, F.posexplode("path").alias("step", "predicted_price"), "last_date") \
-        .withColumn("date", F.date_add("last_date", F.col("step") + 1)).drop("last_date")
+    out = state.select(*ks, F.posexplode("path").alias("step", "predicted_price"), "last_date") \
+        .withColumn("date", F.date_add("last_date", F.col("step") + 1)).drop("last_date").withColumn("status", F.lit("ok"))
+    return out.unionByName(short.select(*ks, F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("predicted_price"),
+                                        F.lit(None).cast("date").alias("date"), F.lit("insufficient").alias("status")))

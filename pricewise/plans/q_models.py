@@ -73,7 +73,7 @@ def q_train_seasonal(spark, sf):
 def q_forecast_recursive(spark, sf):
     p = P(spark, sf)
     m = M.train_linear(M.recursive_training_frame(p), M.RECURSIVE_FEATURES)
-    return M.forecast_recursive(m, p, horizon=12, checkpoint_every=5)
+    return M.forecast_recursive(m, p, checkpoint_every=5)
 
 
 @query("save_load_model")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,21 @@ def test_label_codes_count_rows_that_are_dropped(spark):
                               "id long, market string, variety string, date date, modal_price double")
     d, _ = E.build_features_full(p)
     assert {r.variety_code for r in d.collect()} == {1}
+
+
+def test_forecast_recursive_reports_short_series(spark, tmp_path):
+    from pricewise.operators import ml as M
+    rows = [(i, m, D0 + dt.timedelta(days=i), 100.0 + (i * 7) % 11) for m, n in (("A", 30), ("B", 7), ("C", 3)) for i in range(n)]
+    p = spark.createDataFrame(rows, "id long, market string, date date, modal_price double")
+    m = M.train_linear(M.recursive_training_frame(p), M.RECURSIVE_FEATURES)
+    out = M.forecast_recursive(m, p, horizon=3, checkpoint_every=0).collect()
+    assert sorted((r.market, r.step) for r in out if r.status == "ok") == [(k, i) for k in "AB" for i in range(3)]
+    assert all(r.predicted_price is not None and r.date is not None for r in out if r.status == "ok")
+    assert [tuple(r) for r in out if r.status != "ok"] == [("C", None, None, None, "insufficient")]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="driver test data not present")
+def test_forecast_recursive_query_runs_thirty_steps(spark):
+    import __spark_entry__ as Q
+    out = Q.queries()["forecast_recursive"](spark, "/root/testdata/sf0.001")
+    assert out.filter("status = 'ok'").agg(F.count_distinct("step")).first()[0] == 30
