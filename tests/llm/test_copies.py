@@ -138,3 +138,12 @@ def test_pipeline(spark, odd_docs, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     for r in rows:
         assert r["ids"] == lib.encode(r["text"]) and r["decoded"] == lib.decode(r["ids"])
+
+
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    """Near copies that share an id, or have none, leave one document a class."""
+    from pricewise.llm.jaccard import one_of_each
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a + " x"), (2, a + " y"), (None, b), (None, b + " x"), (None, b + " y"), (None, "short"), (3, "short")]
+    got = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted((i or 0, t[0]) for i, t in got) == [(0, "b"), (1, "a"), (3, "s")]
