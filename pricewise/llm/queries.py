@@ -84,6 +84,24 @@ def op10_warc_revisits(spark, sf_dir):
     return resolved_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash_dedup(spark, sf_dir):
+    from pricewise.llm.simhash import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
+def op12_embedding_whitening(spark, sf_dir):
+    from pricewise.llm.whiten import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), components=16, scale=64)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    from pricewise.llm.periods import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -92,4 +110,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scans, op2_chat_formatting, op3_source_mixing, op4_quality_rules, op5_jaccard_join, op6_suffix_dedup,
-    op7_token_counts, op8_sentencepiece, op9_exact_topk, op10_warc_revisits, pipeline)}
+    op7_token_counts, op8_sentencepiece, op9_exact_topk, op10_warc_revisits, op11_simhash_dedup, op12_embedding_whitening, op13_periodic_runs, pipeline)}

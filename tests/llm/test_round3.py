@@ -1,0 +1,237 @@
+"""SimHash classes, whitening and periodic runs against plain versions."""
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def plain_fingerprint(text, k=4):
+    import xxhash
+    w = WORD.findall((text or "").encode().lower())
+    if not w:
+        return 0
+    h = [xxhash.xxh64(b" ".join(w[i:i + k]), seed=42).intdigest() for i in range(max(1, len(w) - k + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(keys, fps, radius):
+    up = list(range(len(fps)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    arr = np.array(fps, np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(arr[:i] ^ arr[i]) <= radius).tolist():
+            a, b = root(i), root(j)
+            up[a] = b
+    least = {}
+    for i, k in enumerate(keys):
+        least.setdefault(root(i), []).append(k)
+    return [min((k for k in least[root(i)] if k is not None), default=None) for i in range(len(fps))]
+
+
+def test_simhash_classes(odd_docs, odd_rows, no_docs):
+    from pricewise.llm.simhash import near_classes
+    got = sorted(map(tuple, near_classes(odd_docs).collect()), key=str)
+    fps = [plain_fingerprint(r["text"]) for r in odd_rows]
+    ids = [r["doc_id"] for r in odd_rows]
+    want = sorted(zip(ids, [f"{f:016x}" for f in fps], plain_components(ids, fps, 4)), key=str)
+    assert got == want
+    assert len(set(r[2] for r in want)) < len(want) - 5  # some do link
+    assert near_classes(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("radius", [1, 3, 4])
+def test_simhash_links_reach_what_all_pairs_reach(spark, monkeypatch, radius, block):
+    """Dense clusters around a few centres; with blocks of eight most buckets are hot."""
+    from pricewise.llm import simhash as S
+    from pricewise.llm.components import components
+    monkeypatch.setattr(S, "BLOCK", block)
+    rnd = random.Random(radius)
+    fps = {0, (1 << 64) - 1, 1 << 63}
+    for _ in range(6):
+        c = rnd.getrandbits(64)
+        for _ in range(60):
+            x = c
+            for _ in range(rnd.randint(0, 4)):
+                x ^= 1 << rnd.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    df = spark.createDataFrame([(f,) for f in signed], "fp bigint").repartition(4)
+    got = {r["node"]: r["label"] for r in components(S.near_links(df, radius)).collect()}
+    want = plain_components(signed, fps, radius)
+    assert [got.get(s, s) for s in signed] == want
+
+
+def test_bit_sliced_distances():
+    from pricewise.llm.simhash import near_pairs
+    rnd = np.random.default_rng(3)
+    a = rnd.integers(0, 1 << 64, 150, dtype=np.uint64)
+    b = np.concatenate([a[:70] ^ (np.uint64(1) << rnd.integers(0, 64, 70).astype(np.uint64)), rnd.integers(0, 1 << 64, 61, dtype=np.uint64)])
+    b[10] ^= np.uint64(0x1F)
+    for radius in range(1, 8):
+        d = np.bitwise_count(a[:, None] ^ b[None, :])
+        assert sorted(zip(*(x.tolist() for x in near_pairs(a, b, radius)))) == sorted(zip(*(x.tolist() for x in np.nonzero(d <= radius))))
+        c = np.concatenate([a, b])
+        d = np.triu(np.bitwise_count(c[:, None] ^ c[None, :]) <= radius, 1)
+        assert sorted(zip(*(x.tolist() for x in near_pairs(c, None, radius)))) == sorted(zip(*(x.tolist() for x in np.nonzero(d))))
+
+
+def plain_whitening(vectors, k=16):
+    rows = [(i, [int(np.floor(64 * float(np.float32(c)))) + 1000000 for c in v]) for i, v in vectors if v and all(c is not None and np.isfinite(c) for c in v)]
+    fit = np.array(sorted({tuple(x) for _, x in rows}), object)
+    n, total = len(fit), fit.sum(0)
+    z = np.array([[float(n * a - s) / n for a, s in zip(x, total)] for x in fit])
+    values, vecs = np.linalg.eigh(z.T @ z / n)
+    values, vecs = values[::-1], vecs[:, ::-1]
+    out = {}
+    for at, (i, x) in enumerate(rows):
+        d = [n * a - s for a, s in zip(x, total)]
+        out[at] = (i, n, sum(e * e for e in d), np.array([float(e) / n for e in d]) @ vecs[:, :k] / np.sqrt(values[:k]))
+    return out, values[:k] / values.sum()
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rnd = np.random.default_rng(8)
+    base = rnd.normal(size=(300, 24)) @ rnd.normal(size=(24, 24)) * 0.4
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(base)]
+    rows += [(1, rows[1][1]), (1000, rows[2][1]), (None, rows[3][1]), (1001, None), (1002, [None] * 24), (1003, [float("nan")] * 24), (1004, [float("inf")] + [0.0] * 23), (1005, [0.5] * 3), (1006, []), (1007, [1e30] * 24)]
+    return rows
+
+
+def test_whitening(spark, vectors):
+    from pricewise.llm.whiten import whitened
+    df = spark.createDataFrame([(i, v, 1.0) for i, v in vectors], "vec_id bigint, embedding array<float>, whitened double").repartition(5)
+    got = whitened(df).collect()
+    want, explained = plain_whitening([(i, v) for i, v in vectors if v is not None and len(v) == 24 and 1e30 not in v])
+    assert len(got) == 16 * len(want)
+    by_key = {}
+    for r in got:
+        by_key.setdefault((r["vec_id"], r["deviation"]), {}).setdefault(r["component"], []).append(r)
+    signs = None
+    for i, n, dev, w in want.values():
+        mine = by_key[i, dev]
+        assert sorted(mine) == list(range(1, 17))
+        assert all(r["n"] == n for rs in mine.values() for r in rs)
+        mine = np.array([mine[c][0]["whitened"] for c in range(1, 17)])
+        signs = np.sign(mine * w) if signs is None else signs
+        assert np.allclose(mine, w * signs, atol=1e-8)
+    first = by_key[want[0][0], want[0][2]]
+    assert np.allclose([first[c][0]["explained"] for c in range(1, 17)], explained, rtol=1e-9)
+    assert 0 <= got[0]["identity_error"] < 1e-8
+
+
+def test_whitening_of_few_and_none(spark):
+    from pricewise.llm.whiten import whitened
+    shape = "vec_id bigint, embedding array<float>"
+    assert whitened(spark.createDataFrame([], shape)).count() == 0
+    assert whitened(spark.createDataFrame([(1, None)], shape)).count() == 0
+    assert whitened(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], shape)).count() == 0
+    two = whitened(spark.createDataFrame([(1, [1.0, 2.0, 0.0]), (2, [3.0, 1.0, 0.0])], shape)).collect()
+    assert [(r["component"], r["n"], round(abs(r["whitened"]), 9), r["explained"]) for r in two] == [(1, 2, 1.0, 1.0)] * 2
+
+
+def test_rotations_give_eigenvalues():
+    from pricewise.llm.whiten import principal
+    rnd = np.random.default_rng(5)
+    for d in (1, 2, 7, 40):
+        m = rnd.normal(size=(d, d + 3)) * np.logspace(0, -5, d)[:, None]
+        a = m @ m.T
+        values, vecs = principal(a)
+        assert np.allclose(values, np.linalg.eigvalsh(a)[::-1], rtol=1e-7, atol=1e-16)
+        assert np.allclose(vecs.T @ vecs, np.eye(len(values)), atol=1e-10)
+        assert np.allclose(vecs * values @ vecs.T, a, atol=1e-12)
+
+
+def plain_runs(w, least=12):
+    n, out = len(w), []
+    for p in range(1, n // 2 + 1):
+        i = 0
+        while i + p < n:
+            if w[i] != w[i + p]:
+                i += 1
+                continue
+            s = i
+            while i + p < n and w[i] == w[i + p]:
+                i += 1
+            if i + p - s >= max(least, 2 * p) and not any(a <= s and b >= i + p and p % q == 0 for a, b, q in out):
+                out.append((s, i + p, p))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_digests(doc_id, text):
+    w = WORD.findall((text or "").encode())
+    n = len(w)
+    if doc_id is not None and n:
+        h = zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if h % 10 == 0:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    found = plain_runs(w)
+    gone = {i for s, e, p in found for i in range(s + p, e)}
+    best = min(((s - e, s, p) for s, e, p in found), default=None)
+    of_best = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *of_best, hashlib.sha256("".join(f"{s},{e - s},{p}\n" for s, e, p in found).encode()).hexdigest(),
+            hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
+
+
+def test_run_digests(spark, odd_docs, odd_rows, no_docs):
+    from pricewise.llm.periods import run_digests
+    rnd = random.Random(2)
+    more = [(i, " ".join(rnd.choice("ab") for _ in range(rnd.randint(0, 60)))) for i in range(2000, 2150)]
+    more += [(i, "\t".join(["x Y x y"] * rnd.randint(1, 9) + ["end"] + ["k l m n o p q"] * 3)) for i in range(2200, 2230)]
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id bigint, text string")).repartition(3)
+    rows = [(r["doc_id"], r["text"]) for r in odd_rows if len((r["text"] or "").split()) < 3000] + more
+    short = {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
+    from pyspark.sql import functions as F
+    got = run_digests(docs.where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).isin(list(short))))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((plain_digests(*r) for r in rows), key=str)
+    assert run_digests(no_docs).count() == 0
+    whole = {r["doc_id"]: r for r in run_digests(odd_docs.where("doc_id = 900005")).collect()}[900005]
+    assert (whole["n_runs"], whole["start"], whole["period"]) == (1, 0, 4) or zlib.crc32(b"900005") % 10 == 0
+
+
+def plain_lyndon(s):
+    out = []
+    for i in range(len(s)):
+        j = i + 1
+        while j < len(s) and s[i:] < s[j:]:
+            j += 1
+        out.append(j - i)
+    return out
+
+
+def test_grouping_gives_lyndon_arrays():
+    from pricewise.llm.periods import lyndon_lengths
+    rnd = random.Random(1)
+    for _ in range(1500):
+        m, n = rnd.randint(1, 4), rnd.randint(1, 40)
+        s = [rnd.randrange(m) for _ in range(n)]
+        if rnd.random() < 0.4:
+            p = rnd.randint(1, 8)
+            s = [s[i % min(p, n)] for i in range(n)]
+        assert lyndon_lengths(s, m) == plain_lyndon(s)
+
+
+def test_runs_where_hashes_meet():
+    """Thue-Morse words: prefix-sum hashes of different stretches are equal there, the comparison word by word decides."""
+    from pricewise.llm.periods import runs
+    s = [bin(i).count("1") & 1 for i in range(4096)]
+    got = runs(np.array(s), np.array([0]), np.array([4096]), 6)
+    for a, b, p in got.tolist():
+        assert s[a:b - p] == s[a + p:b] and b - a >= max(6, 2 * p)
+        assert (a == 0 or s[a - 1] != s[a - 1 + p]) and (b == 4096 or s[b] != s[b - p])
