@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import accuracy_value, confidence_band
-from .series import as_of_column, fixed_mean, money_units
+from .series import as_of_column, exact_mean, price_sum, usable
 
 
 def price_mean(col: str = "modal_price") -> list[Column]:
-    """Aggregates for an exact money mean: (unit sum, count); finish with ``fixed_mean``."""
-    return [F.sum(money_units(col)).alias(f"_s_{col}"), F.count(money_units(col)).alias(f"_n_{col}")]
+    """Aggregates for an exact mean: (whole sums, count); finish with ``finish_mean``."""
+    return [price_sum(col).alias(f"_s_{col}"), F.count(usable(col)).alias(f"_n_{col}")]
 
 
 def finish_mean(df: DataFrame, name: str, col: str = "modal_price", default=None) -> DataFrame:
-    m = fixed_mean(f"_s_{col}", f"_n_{col}")
+    m = exact_mean(f"_s_{col}", f"_n_{col}")
     if default is not None:
         m = F.coalesce(m, F.lit(default))
     return df.withColumn(name, m).drop(f"_s_{col}", f"_n_{col}")
@@ -58,11 +58,11 @@ def price_change_pct(prices: DataFrame, start, end) -> DataFrame:
     s = F.lit(start).cast("date") if not isinstance(start, Column) else start
     e = F.lit(end).cast("date") if not isinstance(end, Column) else end
     d = F.col("date")
-    u = money_units("modal_price")
+    u = usable("modal_price")
     in_s, in_e = d.between(s, F.date_add(s, 1)), d.between(F.date_sub(e, 1), e)
-    g = prices.agg(F.sum(F.when(in_s, u)).alias("_ss"), F.count(F.when(in_s, u)).alias("_ns"),
-                   F.sum(F.when(in_e, u)).alias("_se"), F.count(F.when(in_e, u)).alias("_ne"))
-    g = g.select(fixed_mean("_ss", "_ns").alias("start_avg"), fixed_mean("_se", "_ne").alias("end_avg"))
+    g = prices.agg(price_sum(F.when(in_s, u)).alias("_ss"), F.count(F.when(in_s, u)).alias("_ns"),
+                   price_sum(F.when(in_e, u)).alias("_se"), F.count(F.when(in_e, u)).alias("_ne"))
+    g = g.select(exact_mean("_ss", "_ns").alias("start_avg"), exact_mean("_se", "_ne").alias("end_avg"))
     sa, ea = F.coalesce("start_avg", F.lit(0.0)), F.coalesce("end_avg", F.lit(0.0))
     return g.select(sa.alias("start_avg"), ea.alias("end_avg"),
                     F.when(sa > 0, F.round((ea - sa) / sa * 100, 2)).otherwise(F.lit(0.0)).alias("price_change_pct"))

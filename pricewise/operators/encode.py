@@ -68,7 +68,7 @@ def value_codes(df: DataFrame, cols, suffix: str = "_code") -> dict[str, DataFra
     pairs = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("string").alias("_v"))
                                            for c in cols])).alias("_x"))
              .select("_x.*").filter(F.col("_v").isNotNull()).distinct())
-    pos = series_positions(pairs, keys=["_col"], order=["_v"], sum_col=None)
+    pos = series_positions(pairs, keys=["_col"], order=["_v"])
     return {c: pos.filter(F.col("_col") == c).select(F.col("_v").alias(f"_{c}_text"),
                                                      F.col(POS).cast("int").alias(f"{c}{suffix}"))
             for c in cols}
@@ -130,6 +130,18 @@ def standard_scale(train: DataFrame, data: DataFrame, cols, suffix: str = "_scal
 
 
 SIMPLE_LAGS = (1, 7)
+SIMPLE_COMPLETE = ["price_lag_1", "price_lag_7", "price_ma_7", "price_ma_30", "price_change_1", "price_change_7"]
+
+
+def _simple_windows(df: DataFrame, keys, leak_free: bool, price_col: str) -> DataFrame:
+    w = series_window(keys)
+    end = -1 if leak_free else 0
+    src = F.lag(price_col, 1).over(w) if leak_free else F.col(price_col)
+    prev1, prev7 = (F.lag(price_col, k - end).over(w) for k in SIMPLE_LAGS)
+    out = df.withColumns({"price_lag_1": F.lag(price_col, 1).over(w), "price_lag_7": F.lag(price_col, 7).over(w),
+                          "price_change_1": F.try_divide(src - prev1, prev1), "price_change_7": F.try_divide(src - prev7, prev7)})
+    out = window_mean(out, "price_ma_7", price_col, w.rowsBetween(-6 + end, end))
+    return window_mean(out, "price_ma_30", price_col, w.rowsBetween(-29 + end, end))
 
 
 def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False, last_rows: int | None = None,
@@ -140,38 +152,18 @@ def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False,
     ``leak_free`` computes the means and changes from the rows *before* the current one, so no
     feature contains the target.  All rows count; ``last_rows`` takes only the newest so many of
     every series (the reference trains on the newest 365 of the whole frame).  ``hot_series``
-    computes the same values without a per-series window (``long_series.features_split``).  Returns (features, dummy column names).
+    computes the same values without a task that holds a whole series (``long_series.in_blocks``).
+    Returns (features, dummy column names).
     """
     ks = _keys(keys)
     df = last_n_rows(prices, last_rows, ks) if last_rows else prices
     if hot_series:
-        from .long_series import features_split
-        base = features_split(df, (1, 7), (7, 30), (1, 7), ks, price_col, leak_free) \
-            .withColumns({"day_of_year": F.dayofyear("date"), "month": F.month("date"), "year": F.year("date")}) \
-            .na.drop("any", subset=["price_lag_1", "price_lag_7", "price_ma_7", "price_ma_30",
-                                    "price_change_1", "price_change_7"])
-        names: list[str] = []
-        if encode:
-            base, names = one_hot(base, [c for c in ("market", "state", "variety") if c in base.columns], max_values,
-                                  drop_source=False)
-        return base, names
-    w = series_window(ks)
-    p = F.col(price_col)
-    src = F.lag(price_col, 1).over(w) if leak_free else p
-    base = df.withColumns({
-        "day_of_year": F.dayofyear("date"), "month": F.month("date"), "year": F.year("date"),
-        "price_lag_1": F.lag(price_col, 1).over(w), "price_lag_7": F.lag(price_col, 7).over(w),
-    })
-    end = -1 if leak_free else 0
-    base = window_mean(base, "price_ma_7", price_col, w.rowsBetween(-6 + end, end))
-    base = window_mean(base, "price_ma_30", price_col, w.rowsBetween(-29 + end, end))
-    prev1 = F.lag(price_col, 2 if leak_free else 1).over(w)
-    prev7 = F.lag(price_col, 8 if leak_free else 7).over(w)
-    base = base.withColumns({
-        "price_change_1": F.try_divide(src - prev1, prev1),
-        "price_change_7": F.try_divide(src - prev7, prev7),
-    }).na.drop("any", subset=["price_lag_1", "price_lag_7", "price_ma_7", "price_ma_30",
-                              "price_change_1", "price_change_7"])
+        from .long_series import in_blocks
+        base = in_blocks(df, 30, lambda d, k: _simple_windows(d, k, leak_free, price_col), ks)
+    else:
+        base = _simple_windows(df, ks, leak_free, price_col)
+    base = base.withColumns({"day_of_year": F.dayofyear("date"), "month": F.month("date"), "year": F.year("date")}) \
+        .na.drop("any", subset=SIMPLE_COMPLETE)
     names: list[str] = []
     if encode:
         base, names = one_hot(base, [c for c in ("market", "state", "variety") if c in base.columns], max_values,
@@ -182,33 +174,29 @@ def build_features_simple(prices: DataFrame, keys=KEYS, leak_free: bool = False,
 FULL_LAGS = (1, 7, 30, 90)
 
 
+def _full_windows(df: DataFrame, keys, leak_free: bool, price_col: str) -> DataFrame:
+    w = series_window(keys)
+    end = -1 if leak_free else 0
+    last7, last30 = w.rowsBetween(-6 + end, end), w.rowsBetween(-29 + end, end)
+    out = df.withColumns({**{f"price_lag_{n}": F.lag(price_col, n).over(w) for n in FULL_LAGS},
+                          "price_rolling_std_7": F.when(F.count(price_col).over(last7) == 7, F.stddev_samp(price_col).over(last7))})
+    out = window_mean(out, "price_rolling_mean_7", price_col, last7, full=7)
+    return window_mean(out, "price_rolling_mean_30", price_col, last30, full=30)
+
+
 def build_features_full(prices: DataFrame, keys=KEYS, leak_free: bool = False, price_col: str = PRICE,
                         hot_series: bool = False):
     """7 calendar parts, season, lags 1/7/30/90, rolling mean 7 / std 7 / mean 30 (full windows),
     label codes of market/state/district/variety (fitted on all rows); incomplete rows dropped.  ``hot_series``
-    computes the window features without a per-series window (``long_series.features_split``;
-    the std from exact integer moments)."""
+    computes the window features without a task that holds a whole series (``long_series.in_blocks``)."""
     ks = _keys(keys)
-    w = series_window(ks)
-    parts = date_parts("date")
     df, model = label_encode(prices, [c for c in ("market", "state", "district", "variety") if c in prices.columns])
-    df = df.withColumns(parts).withColumn("season", season(F.col("month")))
+    df = df.withColumns(date_parts("date")).withColumn("season", season(F.col("month")))
     if hot_series:
-        from .long_series import features_split
-        df = features_split(df, FULL_LAGS, (), (), ks, price_col, leak_free, full_means=(7, 30), stds=(7,))
-        df = df.na.drop("any", subset=[f"price_lag_{n}" for n in FULL_LAGS]
-                        + ["price_rolling_mean_7", "price_rolling_std_7", "price_rolling_mean_30"])
-        return df, model
-    df = df.withColumns({f"price_lag_{n}": F.lag(price_col, n).over(w) for n in FULL_LAGS})
-    end = -1 if leak_free else 0
-
-    def full(fn, n):
-        fr = w.rowsBetween(-(n - 1) + end, end)
-        return F.when(F.count(price_col).over(fr) == n, fn(price_col).over(fr))
-
-    df = window_mean(df, "price_rolling_mean_7", price_col, w.rowsBetween(-6 + end, end), full=7)
-    df = window_mean(df, "price_rolling_mean_30", price_col, w.rowsBetween(-29 + end, end), full=30)
-    df = df.withColumn("price_rolling_std_7", full(F.stddev_samp, 7))
+        from .long_series import in_blocks
+        df = in_blocks(df, max(FULL_LAGS), lambda d, k: _full_windows(d, k, leak_free, price_col), ks)
+    else:
+        df = _full_windows(df, ks, leak_free, price_col)
     df = df.na.drop("any", subset=[f"price_lag_{n}" for n in FULL_LAGS]
                     + ["price_rolling_mean_7", "price_rolling_std_7", "price_rolling_mean_30"])
     return df, model

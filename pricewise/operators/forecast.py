@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trend_class
-from .series import KEYS, PRICE, _keys, as_of_column, fixed_mean, money_units, nth_last, tail
+from .series import KEYS, PRICE, _keys, as_of_column, exact_mean, nth_last, price_sum, tail, usable
 
 # Forecast constants of the app.
 DAMPING = 0.8            # trend weight decays as 0.8 ** step
@@ -44,27 +44,26 @@ def series_summary(prices: DataFrame, k: int = 30, keys=KEYS, price_col: str = P
     ks = _keys(keys)
     latest = F.max_by(F.struct("date", *latest_cols), F.struct("date", "id"))
     whole = (prices.groupBy(*ks)
-             .agg(F.count(F.lit(1)).alias("n"), F.sum(money_units(price_col)).alias("_s_all"),
-                  F.count(money_units(price_col)).alias("_n_all"), latest.alias("_latest"))
-             .withColumn("series_avg", fixed_mean("_s_all", "_n_all")))
+             .agg(F.count(F.lit(1)).alias("n"), price_sum(price_col).alias("_s_all"),
+                  F.count(usable(price_col)).alias("_n_all"), latest.alias("_latest"))
+             .withColumn("series_avg", exact_mean("_s_all", "_n_all")))
     kk = max(k, 8)
     t = tail(prices, kk, ks, price_col)
     rn = F.col("_rn")
     p = F.col(price_col)
-    u = money_units(price_col)
+    u = usable(price_col)
     tails = (t.groupBy(*ks)
              .agg(*[nth_last("_rn", i, price_col).alias(f"p{i}") for i in range(1, 9)],
                   F.min(F.when(rn <= 7, p)).alias("min_7"),
                   F.max(F.when(rn <= 7, p)).alias("max_7"),
-                  F.sum(F.when(rn <= 7, u)).alias("_s7"), F.count(F.when(rn <= 7, u)).alias("_n7"),
+                  price_sum(F.when(rn <= 7, u)).alias("_s7"), F.count(F.when(rn <= 7, u)).alias("_n7"),
                   F.min(F.when(rn <= k, p)).alias(f"min_{k}"),
                   F.max(F.when(rn <= k, p)).alias(f"max_{k}"),
-                  F.sum(F.when(rn <= k, u)).alias("_sk"), F.count(F.when(rn <= k, u)).alias("_nk"))
-             .withColumns({"avg_7": fixed_mean("_s7", "_n7"), f"avg_{k}": fixed_mean("_sk", "_nk"),
-                           "_p0_7": fixed_mean("_s7", "_n7", out_scale=2)}))
+                  price_sum(F.when(rn <= k, u)).alias("_sk"), F.count(F.when(rn <= k, u)).alias("_nk"))
+             .withColumns({"avg_7": exact_mean("_s7", "_n7"), f"avg_{k}": exact_mean("_sk", "_nk")}))
     out = whole.join(tails, ks)
-    return out.select(*ks, "n", "series_avg", fixed_mean("_s_all", "_n_all", out_scale=2).alias("series_avg_2"),
-                      F.col("_p0_7").alias("avg_7_2"), F.col("_latest.date").alias("last_date"),
+    return out.select(*ks, "n", "series_avg", F.round("series_avg", 2).alias("series_avg_2"),
+                      F.round("avg_7", 2).alias("avg_7_2"), F.col("_latest.date").alias("last_date"),
                       *[F.col(f"_latest.{c}").alias(c) for c in latest_cols],
                       *[f"p{i}" for i in range(1, 9)],
                       "min_7", "max_7", "avg_7", *([f"min_{k}", f"max_{k}", f"avg_{k}"] if k != 7 else []))
@@ -84,9 +83,9 @@ def price_trend(prices: DataFrame, rows: int = 30, keys=KEYS, price_col: str = P
               nth_last("_rn", 2, price_col).alias("_prev"),
               F.min(F.when(rn <= rows, p)).alias(f"min_{rows}d"),
               F.max(F.when(rn <= rows, p)).alias(f"max_{rows}d"),
-              F.sum(F.when(rn <= rows, money_units(price_col))).alias("_s"),
-              F.count(F.when(rn <= rows, money_units(price_col))).alias("_n"))
-         .withColumn(f"avg_{rows}d", fixed_mean("_s", "_n")))
+              price_sum(F.when(rn <= rows, F.col(price_col))).alias("_s"),
+              F.count(F.when(rn <= rows, usable(price_col))).alias("_n"))
+         .withColumn(f"avg_{rows}d", exact_mean("_s", "_n")))
     change = F.try_divide(F.col("current_price") - F.col("_prev"), F.col("_prev")) * 100
     return g.select(*ks, "current_price",
                     trend_class(F.coalesce(change, F.lit(0.0))).alias("trend"),
@@ -252,10 +251,9 @@ def recommend(trend: DataFrame, forecast: DataFrame | None, user_types=("FARMER"
     out = (base.join(F.broadcast(rules), "direction")
            .select(*ks, "user_type", "trend", "type", "message", "confidence", "action", F.lit(0).alias("rule_order")))
     if forecast is not None and "FARMER" in user_types:
-        # forecast prices are in cents: their mean is exact in fixed point
         avg_fc = (forecast.groupBy(*ks)
-                  .agg(F.sum(money_units("predicted_price", 2)).alias("_s"), F.count(money_units("predicted_price", 2)).alias("_n"))
-                  .select(*ks, fixed_mean("_s", "_n", scale=2).alias("avg_predicted")))
+                  .agg(price_sum("predicted_price").alias("_s"), F.count(usable("predicted_price")).alias("_n"))
+                  .select(*ks, exact_mean("_s", "_n").alias("avg_predicted")))
         extra = (base.join(avg_fc, ks)
                  .filter(F.col("avg_predicted") > F.col("current_price") * DELAY_SELL_FACTOR)
                  .select(*ks, F.lit("FARMER").alias("user_type"), "trend", F.lit(DELAY_SELL[0]).alias("type"),

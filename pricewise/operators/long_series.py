@@ -2,110 +2,94 @@
 
 ``series.py`` computes lags and rolling means with ``Window.partitionBy(key)``: one task
 holds a whole series.  That is right for daily prices (a series is bounded by the calendar)
-but not when one key holds a large share of all rows.  The functions here give the *same*
-results without any task holding a whole series:
+but not when one key holds a large share of all rows.  Here the *same* window expressions run
+on pieces of a series:
 
 1. ``series_positions``: rows are range-partitioned and sorted by (key, order) — Spark's
    range partitioner splits a hot key across many partitions — and checkpointed, so the
    layout is fixed even if executors are lost.  Each (key, partition) piece gets its first
    row id and size; a window over the *pieces* of a key (at most one per partition) turns
    them into offsets, and every row gets its exact 0-based position ``_i`` in its series.
-2. ``lag_split``: the value k rows back is an equi-join on (key, position - k).  The join is
-   hashed on the position, so a hot series spreads over every task.
-3. ``rolling_mean_split``: exact fixed-point prefix sums (piece base + running sum inside
-   the piece), then mean = (P(i) - P(i - n)) / rows, fetching P(i - n) by the same equi-join.
+2. ``in_blocks``: positions are cut into blocks of ``BLOCK`` rows, and each block also gets a
+   copy of the ``back`` rows before it.  Windows partitioned by (key, block) then see all
+   the rows they look back on, so every feature of the row-count kind — lags, rolling means and
+   deviations, percent changes, of any values including nulls and NaN — equals the window
+   over the whole series.  One shuffle serves all features together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .series import KEYS, PRICE, _keys, fixed_mean, money_units
+from . import series as S
+from .series import KEYS, PRICE, _keys
 
-POS = "_i"
+POS, PIECE = "_i", "_block"
+#: Rows of a series that one window holds (besides its border).
+BLOCK = 1 << 16
 
 
-def series_positions(df: DataFrame, keys=KEYS, order=("date", "id"), partitions: int | None = None,
-                     sum_col: str | None = PRICE, squares: bool = False) -> DataFrame:
-    """``df`` plus ``_i`` (0-based row position within its series) and, when ``sum_col`` is
-    given, ``_p`` = exact prefix sum of its money units up to and including the row (and with
-    ``squares``, ``_q`` = exact prefix sum of squared units, as DECIMAL(38,0))."""
+def series_positions(df: DataFrame, keys=KEYS, order=("date", "id"), partitions: int | None = None) -> DataFrame:
+    """``df`` plus ``_i`` (0-based row position within its series)."""
     ks = _keys(keys)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = (df.repartitionByRange(n, *ks, *order).sortWithinPartitions(*ks, *order)
             .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
-    if sum_col:
-        laid = laid.withColumn("_u", money_units(sum_col))
-        if squares:
-            laid = laid.withColumn("_u2", F.col("_u").cast("decimal(38,0)") * F.col("_u").cast("decimal(38,0)"))
     # the range bounds come from sampling: fix the layout once so every later use agrees
     laid = laid.checkpoint(eager=True)
-    aggs = [F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n")]
-    if sum_col:
-        aggs.append(F.sum("_u").alias("_s"))
-        if squares:
-            aggs.append(F.sum("_u2").cast("decimal(38,0)").alias("_s2"))
-    pieces = laid.groupBy(*ks, "_pid").agg(*aggs)
+    pieces = laid.groupBy(*ks, "_pid").agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*ks).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    offs = {"_off": F.coalesce(F.sum("_n").over(before), F.lit(0))}
-    if sum_col:
-        offs["_soff"] = F.coalesce(F.sum("_s").over(before), F.lit(0))
-        if squares:
-            offs["_qoff"] = F.coalesce(F.sum("_s2").over(before), F.lit(0)).cast("decimal(38,0)")
-    pieces = pieces.withColumns(offs).drop("_n", *(["_s"] if sum_col else []), *(["_s2"] if squares else []))
-    out = laid.join(pieces, [*ks, "_pid"]).withColumn(POS, F.col("_off") + F.col("_mid") - F.col("_first"))
-    if sum_col:
-        inside = Window.partitionBy(*ks, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_p", F.col("_soff") + F.sum("_u").over(inside))
-        if squares:
-            out = out.withColumn("_q", (F.col("_qoff") + F.sum("_u2").over(inside)).cast("decimal(38,0)"))
-    return out.drop("_pid", "_mid", "_first", "_off", *(["_soff", "_u"] if sum_col else []),
-                    *(["_qoff", "_u2"] if squares else []))
-
-
-def _back(pos: DataFrame, keys, k: int, cols: dict[str, str]) -> DataFrame:
-    """Values of ``cols`` (source -> new name) from the row k positions back, keyed to the row."""
+    pieces = pieces.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = _join_rows(laid, pieces, [*ks, "_pid"])
+    return out.withColumn(POS, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_pid", "_mid", "_first", "_off")
+
+
+def _join_rows(df: DataFrame, more: DataFrame, keys) -> DataFrame:
+    """Inner join on keys that may be null."""
+    other = more.withColumnsRenamed({c: f"__{c}" for c in keys})
+    return df.join(other, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]).drop(*[f"__{c}" for c in keys])
+
+
+def in_blocks(df: DataFrame, back: int, build: Callable[[DataFrame, list[str]], DataFrame], keys=KEYS,
+              order=("date", "id"), partitions: int | None = None, block: int | None = None) -> DataFrame:
+    """``build(rows, keys)`` over every series without a task that holds a whole one.
+
+    ``build`` adds columns by windows partitioned by the keys it is given and ordered by ``order``,
+    looking at most ``back`` rows back and none ahead; it must keep all rows and columns.
+    """
     ks = _keys(keys)
-    return pos.select(*ks, (F.col(POS) + k).alias(POS), *[F.col(c).alias(n) for c, n in cols.items()])
+    size = max(block or BLOCK, back, 1)
+    own = F.floor(F.col(POS) / size)
+    nearly = F.col(POS) >= (own + 1) * size - back  # the next block looks back on this row
+    laid = series_positions(df, ks, order, partitions)
+    copies = laid.withColumn(PIECE, F.explode(F.when(nearly, F.array(own, own + 1)).otherwise(F.array(own))))
+    return build(copies, [*ks, PIECE]).filter(F.col(PIECE) == own).drop(PIECE, POS)
 
 
 def lag_split(df: DataFrame, lags=(1, 7), price_col: str = PRICE, keys=KEYS, prefix: str = "price_lag_",
-              partitions: int | None = None) -> DataFrame:
+              partitions: int | None = None, block: int | None = None) -> DataFrame:
     """Same result as ``series.lag_features`` with no task holding a whole series."""
-    ks = _keys(keys)
-    pos = series_positions(df, ks, partitions=partitions, sum_col=None)
-    out = pos
-    for k in lags:
-        out = out.join(_back(pos, ks, k, {price_col: f"{prefix}{k}"}), [*ks, POS], "left")
-    return out.drop(POS)
+    return in_blocks(df, max(lags), lambda d, k: S.lag_features(d, lags, price_col, k, prefix), keys, partitions=partitions, block=block)
 
 
 def rolling_mean_split(df: DataFrame, n: int, price_col: str = PRICE, keys=KEYS, name: str | None = None,
-                       full: bool = False, partitions: int | None = None) -> DataFrame:
+                       full: bool = False, partitions: int | None = None, block: int | None = None) -> DataFrame:
     """Same result as ``series.rolling_mean_partial`` (``full=False``) or
     ``rolling_mean_full`` (``full=True``): exact mean of the current and n-1 previous rows."""
-    ks = _keys(keys)
-    name = name or (f"price_rolling_mean_{n}" if full else f"price_ma_{n}")
-    pos = series_positions(df, ks, partitions=partitions, sum_col=price_col)
-    j = pos.join(_back(pos, ks, n, {"_p": "_p_back"}), [*ks, POS], "left")
-    rows = F.least(F.col(POS) + 1, F.lit(n))
-    j = j.withColumns({"_ws": F.col("_p") - F.coalesce("_p_back", F.lit(0)), "_wn": rows})
-    m = fixed_mean("_ws", "_wn")
-    if full:
-        m = F.when(F.col("_wn") == n, m)
-    return j.withColumn(name, m).drop(POS, "_p", "_p_back", "_ws", "_wn")
+    rolling = S.rolling_mean_full if full else S.rolling_mean_partial
+    return in_blocks(df, n - 1, lambda d, k: rolling(d, n, price_col, k, name), keys, partitions=partitions, block=block)
 
 
 def pct_change_split(df: DataFrame, n: int, price_col: str = PRICE, keys=KEYS, name: str | None = None,
-                     partitions: int | None = None) -> DataFrame:
+                     partitions: int | None = None, block: int | None = None) -> DataFrame:
     """Same result as ``series.pct_change``."""
-    lagged = lag_split(df, (n,), price_col, keys, prefix="_prev_", partitions=partitions)
-    prev = F.col(f"_prev_{n}")
-    return lagged.withColumn(name or f"price_change_{n}", F.try_divide(F.col(price_col) - prev, prev)).drop(f"_prev_{n}")
+    return in_blocks(df, n, lambda d, k: S.pct_change(d, n, price_col, k, name), keys, partitions=partitions, block=block)
 
 
 def chrono_split_split(df: DataFrame, frac: float = 0.8, keys=KEYS, name: str = "is_train",
@@ -114,59 +98,6 @@ def chrono_split_split(df: DataFrame, frac: float = 0.8, keys=KEYS, name: str =
     series train; the row count is a partial aggregate, the position comes from
     ``series_positions``."""
     ks = _keys(keys)
-    pos = series_positions(df, ks, partitions=partitions, sum_col=None)
+    pos = series_positions(df, ks, partitions=partitions)
     counts = df.groupBy(*ks).agg(F.count(F.lit(1)).alias("_cnt"))
-    return (pos.join(counts, ks).withColumn(name, F.col(POS) < F.floor(F.col("_cnt") * F.lit(frac)))
-            .drop(POS, "_cnt"))
-
-
-def features_split(df: DataFrame, lags=(1, 7), means=(7, 30), changes=(1, 7), keys=KEYS, price_col: str = PRICE,
-                   leak_free: bool = False, partitions: int | None = None, full_means=(), stds=()) -> DataFrame:
-    """Lags, partial rolling means and percent changes in one go for hot series — the same values
-    as the window versions (``leak_free`` shifts means and changes one row back, as in
-    ``encode.build_features_simple``).  Positions and prefix sums are computed once; every
-    back-offset needed is one equi-join fetching that row's price and prefix sum."""
-    ks = _keys(keys)
-    sh = 1 if leak_free else 0
-    pos = series_positions(df, ks, partitions=partitions, sum_col=price_col, squares=bool(stds))
-    offsets = (set(lags) | {k + sh for k in changes} | {n + sh for n in (*means, *full_means, *stds)}
-               | ({sh} if sh else set()))
-    out = pos
-    for k in sorted(offsets):
-        fetch = {price_col: f"_x{k}", "_p": f"_p{k}", **({"_q": f"_q{k}"} if stds else {})}
-        out = out.join(_back(pos, ks, k, fetch), [*ks, POS], "left")
-    cols = {}
-    for k in lags:
-        cols[f"price_lag_{k}"] = F.col(f"_x{k}")
-    for n in means:
-        top = F.col(f"_p{sh}") if sh else F.col("_p")
-        rows = F.least(F.col(POS) + 1 - sh, F.lit(n))
-        cols[f"__s{n}"] = top - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))
-        cols[f"__n{n}"] = F.when(rows > 0, rows).otherwise(F.lit(0))
-    cur = F.col(f"_x{sh}") if sh else F.col(price_col)
-    for k in changes:
-        prev = F.col(f"_x{k + sh}")
-        cols[f"price_change_{k}"] = F.try_divide(cur - prev, prev)
-    top_p = F.col(f"_p{sh}") if sh else F.col("_p")
-    top_q = (F.col(f"_q{sh}") if sh else F.col("_q")) if stds else None
-    win_rows = {n: F.least(F.col(POS) + 1 - sh, F.lit(n)) for n in (*full_means, *stds)}
-    for n in full_means:
-        cols[f"__fs{n}"] = top_p - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))
-        cols[f"__fn{n}"] = win_rows[n]
-    for n in stds:
-        s1 = (top_p - F.coalesce(F.col(f"_p{n + sh}"), F.lit(0))).cast("decimal(38,0)")
-        s2 = (top_q - F.coalesce(F.col(f"_q{n + sh}"), F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)")
-        # exact sample variance in units^2: (n*S2 - S1^2) / (n*(n-1)); then scale and sqrt
-        num = (F.lit(n).cast("decimal(38,0)") * s2 - s1 * s1)
-        var = num.cast("double") / (n * (n - 1)) / 1e8
-        cols[f"price_rolling_std_{n}"] = F.when(win_rows[n] == n, F.sqrt(var))
-    out = out.withColumns(cols)
-    out = out.withColumns({f"price_ma_{n}": fixed_mean(f"__s{n}", f"__n{n}") for n in means})
-    out = out.withColumns({f"price_rolling_mean_{n}": F.when(F.col(f"__fn{n}") == n, fixed_mean(f"__fs{n}", f"__fn{n}"))
-                           for n in full_means})
-    drop = [POS, "_p", *[f"_x{k}" for k in offsets], *[f"_p{k}" for k in offsets],
-            *[f"__s{n}" for n in means], *[f"__n{n}" for n in means],
-            *[f"__fs{n}" for n in full_means], *[f"__fn{n}" for n in full_means]]
-    if stds:
-        drop += ["_q", *[f"_q{k}" for k in offsets]]
-    return out.drop(*drop)
+    return _join_rows(pos, counts, ks).withColumn(name, F.col(POS) < F.floor(F.col("_cnt") * F.lit(frac))).drop(POS, "_cnt")

@@ -22,35 +22,42 @@ from pyspark.sql import functions as F
 PRICE = "modal_price"
 KEYS = ("market",)
 
-# Money is fixed point: prices carry at most 4 decimals, and every mean of prices is computed
-# exactly from integer units and rounded half-up.  Float sums depend on the order rows meet
-# in, which changes with partitioning and re-execution; integer sums do not.  Units are DECIMAL(18, 0)
-# (still one long each), so that their sums, DECIMAL(28, 0), hold any number of rows.
-MONEY_SCALE = 4
+# Sums of prices do not depend on the order in which rows meet.  A price is split without rounding into four whole
+# numbers - its parts from 2**31 up, from 1 up, from 2**-26 up and from 2**-52 up (what is finer, in prices under 1, is
+# cut off) - each of which is summed as a long.  A mean is then one fixed chain of operations on these four sums, so
+# it is the same full double on any partitioning, after any retry.
+_UP, _DOWN = float(1 << 31), float(1 << 26)
 
 
-def money_units(c, scale: int = MONEY_SCALE) -> Column:
-    """Integer units of a price; null for a price that is null, NaN or infinite: no mean counts such a row."""
+def usable(c) -> Column:
+    """The price; null for one that is null, NaN or infinite (or beyond 2**62): no mean counts such a row."""
     cc = F.col(c) if isinstance(c, str) else c
-    return F.when(F.abs(cc) < F.lit(float("inf")), F.round(cc * (10 ** scale))).cast("decimal(18,0)")
+    return F.when(F.abs(cc) < F.lit(float(1 << 62)), cc)
 
 
-def fixed_mean(sum_col: str, n_col: str, scale: int = MONEY_SCALE, out_scale: int | None = None) -> Column:
-    """Exact mean from an integer unit sum and a count, rounded half-up to ``out_scale``
-    decimals (default: the unit scale).  Null when the count is 0."""
-    out = scale if out_scale is None else out_scale
-    k = 10 ** (scale - out)
-    q = f"((abs({sum_col}) * 2 + {n_col} * {k}) div (2 * {n_col} * {k}))"
-    return F.expr(f"CASE WHEN {n_col} > 0 THEN CAST(CASE WHEN {sum_col} < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
-                  f" / {10 ** out} END")
+def price_sum(c, over: WindowSpec | None = None) -> Column:
+    """Exact sum of prices as a struct of whole sums (an aggregate, or a window function with ``over``); see ``exact_mean``."""
+    x = usable(c).cast("double")
+    top, whole = F.floor(x / _UP), F.floor(x)
+    rest = (x - whole) * _DOWN
+    fine = F.floor(rest)
+    parts = {"top": top, "whole": whole - top * F.lit(1 << 31), "part": fine, "fine": F.floor((rest - fine) * _DOWN)}
+    sums = {k: F.sum(v) if over is None else F.sum(v).over(over) for k, v in parts.items()}
+    return F.struct(*[v.alias(k) for k, v in sums.items()])
 
 
-def window_mean(df: DataFrame, name: str, price_col: str, frame: WindowSpec, full: int | None = None,
-                out_scale: int | None = None) -> DataFrame:
+def exact_mean(sum_col: str, n_col: str) -> Column:
+    """The mean from a ``price_sum`` and a count of usable prices; null when the count is 0."""
+    s = lambda k: F.col(f"{sum_col}.{k}").cast("double")
+    total = (s("top") * _UP + s("whole")) + (s("part") + s("fine") / _DOWN) / _DOWN
+    return F.when(F.col(n_col) > 0, total / F.col(n_col))
+
+
+def window_mean(df: DataFrame, name: str, price_col: str, frame: WindowSpec, full: int | None = None) -> DataFrame:
     """Add ``name`` = exact mean of ``price_col`` over ``frame`` (null unless ``full`` rows when set)."""
     s, n = f"__s_{name}", f"__n_{name}"
-    out = df.withColumns({s: F.sum(money_units(price_col)).over(frame), n: F.count(money_units(price_col)).over(frame)})
-    m = fixed_mean(s, n, out_scale=out_scale)
+    out = df.withColumns({s: price_sum(price_col, frame), n: F.count(usable(price_col)).over(frame)})
+    m = exact_mean(s, n)
     if full is not None:
         m = F.when(F.col(n) == full, m)
     return out.withColumn(name, m).drop(s, n)
@@ -92,11 +99,11 @@ def pooled_daily(prices: DataFrame, price_col: str = PRICE) -> DataFrame:
     un-keyed window over it is safe.
     """
     return (prices.groupBy("date")
-            .agg(F.sum(money_units(price_col)).alias("__s"), F.count(money_units(price_col)).alias("__n"),
+            .agg(price_sum(price_col).alias("__s"), F.count(usable(price_col)).alias("__n"),
                  F.min("min_price").alias("min_price"),
                  F.max("max_price").alias("max_price"),
                  F.sum("arrival_quantity").alias("arrival_quantity"))
-            .withColumn(price_col, fixed_mean("__s", "__n")).drop("__s", "__n")
+            .withColumn(price_col, exact_mean("__s", "__n")).drop("__s", "__n")
             .withColumn("id", F.unix_date("date").cast("long"))
             .withColumn("market", F.lit("ALL")))
 
@@ -161,9 +168,9 @@ def tail_stats(df: DataFrame, n: int = 7, keys=KEYS, price_col: str = PRICE) ->
     t = tail(df, n, keys, price_col)
     return (t.groupBy(*_keys(keys))
             .agg(F.min(price_col).alias(f"min_{n}"), F.max(price_col).alias(f"max_{n}"),
-                 F.sum(money_units(price_col)).alias("__s"), F.count(money_units(price_col)).alias("__n"),
+                 price_sum(price_col).alias("__s"), F.count(usable(price_col)).alias("__n"),
                  F.count(F.lit(1)).alias(f"rows_{n}"))
-            .withColumn(f"avg_{n}", fixed_mean("__s", "__n")).drop("__s", "__n"))
+            .withColumn(f"avg_{n}", exact_mean("__s", "__n")).drop("__s", "__n"))
 
 
 def nth_last(rn: str, k: int, price_col: str = PRICE) -> Column:

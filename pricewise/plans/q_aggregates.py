@@ -6,9 +6,9 @@ from ..operators import aggregates as A
 from ..operators.series import naive_baseline, series_window
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import AS_OF_PREDICTIONS, AS_OF_PRICES, fixed_mean, sround, units
+from .sqltext import AS_OF_PREDICTIONS, AS_OF_PRICES, mean, sround
 
-MEAN = fixed_mean(f"sum({units('modal_price')})", 'count(modal_price)')
+MEAN = mean("modal_price")
 
 
 def T(spark, sf, name):
@@ -22,8 +22,7 @@ SELECT count(*) AS total_prices,
        coalesce({MEAN}, 0.0) AS avg_price
 FROM prices""")
 def q_dashboard_totals(spark, sf):
-    return A.dashboard_totals(T(spark, sf, "prices"), T(spark, sf, "predictions"), T(spark, sf, "users")) \
-        .withColumn("avg_price", F.round("avg_price", 4))
+    return A.dashboard_totals(T(spark, sf, "prices"), T(spark, sf, "predictions"), T(spark, sf, "users"))
 
 
 @query("price_stats", f"""
@@ -34,25 +33,24 @@ SELECT count(*) AS total_records, coalesce({MEAN}, 0.0) AS avg_price,
        arg_min(market, (modal_price, id)) AS lowest_market, min(modal_price) AS lowest_modal_price
 FROM prices""")
 def q_price_stats(spark, sf):
-    return A.price_stats(T(spark, sf, "prices")).withColumn("avg_price", F.round("avg_price", 4))
+    return A.price_stats(T(spark, sf, "prices"))
 
 
 @query("price_change_pct", f"""
 WITH a AS (SELECT {AS_OF_PRICES} AS e),
 w AS (SELECT modal_price, date BETWEEN CAST(e - INTERVAL 30 DAY AS DATE) AND CAST(e - INTERVAL 29 DAY AS DATE) AS in_s,
              date BETWEEN CAST(e - INTERVAL 1 DAY AS DATE) AND e AS in_e FROM prices, a),
-g AS (SELECT {fixed_mean(f"sum(CASE WHEN in_s THEN {units('modal_price')} END)", 'count(*) FILTER (WHERE in_s)')} AS s_avg,
-             {fixed_mean(f"sum(CASE WHEN in_e THEN {units('modal_price')} END)", 'count(*) FILTER (WHERE in_e)')} AS e_avg
+g AS (SELECT {mean("CASE WHEN in_s THEN modal_price END")} AS s_avg,
+             {mean("CASE WHEN in_e THEN modal_price END")} AS e_avg
       FROM w)
-SELECT {sround('coalesce(s_avg, 0)', 6)} AS start_avg, {sround('coalesce(e_avg, 0)', 6)} AS end_avg,
+SELECT coalesce(s_avg, 0) AS start_avg, coalesce(e_avg, 0) AS end_avg,
        CASE WHEN coalesce(s_avg, 0) > 0 THEN {sround('(coalesce(e_avg, 0) - s_avg) / s_avg * 100', 2)} ELSE 0.0 END
          AS price_change_pct
 FROM g""")
 def q_price_change_pct(spark, sf):
     p = T(spark, sf, "prices")
     e = p.agg(F.max("date")).scalar()
-    return A.price_change_pct(p, F.date_sub(e, 30), e).select(
-        F.round("start_avg", 6).alias("start_avg"), F.round("end_avg", 6).alias("end_avg"), "price_change_pct")
+    return A.price_change_pct(p, F.date_sub(e, 30), e)
 
 
 @query("prediction_stats", f"""
@@ -147,7 +145,7 @@ SELECT min(modal_price) AS min, max(modal_price) AS max, {MEAN} AS mean,
 FROM prices""")
 def q_profile_numeric(spark, sf):
     return A.profile_numeric(T(spark, sf, "prices")).select(
-        "min", "max", F.round("mean", 4).alias("mean"), F.round("median", 6).alias("median"),
+        "min", "max", "mean", F.round("median", 6).alias("median"),
         F.round("std", 4).alias("std"))
 
 
@@ -178,7 +176,7 @@ def q_profile_date_span(spark, sf):
 @query("avg_price_by_market", f"""
 SELECT market, {MEAN} AS avg_price, count(*) AS n FROM prices GROUP BY market""")
 def q_avg_price_by_market(spark, sf):
-    return A.avg_price_by_market(T(spark, sf, "prices")).withColumn("avg_price", F.round("avg_price", 4))
+    return A.avg_price_by_market(T(spark, sf, "prices"))
 
 
 @query("low_cardinality_check", """

@@ -6,7 +6,7 @@ from ..operators import forecast as fc
 from ..operators.series import load_recent_window
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import AS_OF_PRICES, fixed_mean, sround, trend_case, units
+from .sqltext import AS_OF_PRICES, mean, sround, trend_case
 
 
 def _prices(spark, sf):
@@ -25,30 +25,29 @@ g AS (SELECT market,
              max(CASE WHEN rn = 1 THEN modal_price END) AS current_price,
              max(CASE WHEN rn = 2 THEN modal_price END) AS prev,
              min(modal_price) AS min_30d, max(modal_price) AS max_30d,
-             {fixed_mean(f"sum({units('modal_price')})", "count(*)")} AS avg_30d
+             {mean("modal_price")} AS avg_30d
       FROM t WHERE rn <= 30 GROUP BY market),
 c AS (SELECT *, (current_price - prev) / prev * 100 AS ch FROM g)
 SELECT market, current_price, {trend_case('coalesce(ch, 0)')} AS trend, min_30d, max_30d,
        avg_30d, coalesce({sround('ch', 2)}, 0.0) AS daily_change
 FROM c""")
 def q_price_trend(spark, sf):
-    return fc.price_trend(_prices(spark, sf)).withColumn("avg_30d", F.round("avg_30d", 4))
+    return fc.price_trend(_prices(spark, sf))
 
 
 def forecast_sql(as_of_expr: str = AS_OF_PRICES, horizon: int = 7, bands: bool = False) -> str:
     """DuckDB text of the forecast: the recursion unrolled into one CTE per step."""
-    u = units("modal_price")
     ctes = [f"""a AS (SELECT {as_of_expr} AS as_of)""",
             """h AS (SELECT p.* FROM prices p, a WHERE p.date >= CAST(a.as_of - INTERVAL 730 DAY AS DATE) AND p.date <= a.as_of)""",
             """ft AS (SELECT market, modal_price, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM h)""",
-            f"""fs AS (SELECT market, count(*) AS n, sum({u}) AS su FROM h GROUP BY market)""",
+            f"""fs AS (SELECT market, count(*) AS n, {mean("modal_price")} AS mu FROM h GROUP BY market)""",
             f"""fk AS (SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS p1,
                        max(CASE WHEN rn = 7 THEN modal_price END) AS p7,
-                       sum(CASE WHEN rn <= 7 THEN {u} END) AS s7, count(CASE WHEN rn <= 7 THEN 1 END) AS n7
+                       {mean("CASE WHEN rn <= 7 THEN modal_price END")} AS m7
                 FROM ft WHERE rn <= 8 GROUP BY market)""",
-            f"""c0 AS (SELECT fs.market, {fixed_mean('s7', 'n7', out_scale=2)} AS q0,
+            f"""c0 AS (SELECT fs.market, {sround('m7', 2)} AS q0,
                        coalesce((p1 - p7) / p7, 0) AS tr,
-                       greatest({fixed_mean('su', 'n')} * 0.7, 500) AS lo, {fixed_mean('su', 'n')} * 1.3 AS hi
+                       greatest(mu * 0.7, 500) AS lo, mu * 1.3 AS hi
                 FROM fs JOIN fk ON fs.market = fk.market WHERE fs.n >= 7)"""]
     for i in range(1, horizon):
         ctes.append(f"c{i} AS (SELECT *, {sround(f'greatest(least(q{i - 1} * (1.0 + tr * pow(0.8, {i})), hi), lo)', 2)}"
@@ -68,16 +67,15 @@ def forecast_sql(as_of_expr: str = AS_OF_PRICES, horizon: int = 7, bands: bool =
 @query("latest_feature_row", f"""
 WITH h AS (SELECT * FROM prices WHERE date >= CAST({AS_OF_PRICES} - INTERVAL 730 DAY AS DATE)),
 t AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM h),
-s AS (SELECT market, count(*) AS n, sum({units('modal_price')}) AS su FROM h GROUP BY market),
+s AS (SELECT market, count(*) AS n, {mean("modal_price")} AS mu FROM h GROUP BY market),
 k AS (SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS p1, max(CASE WHEN rn = 2 THEN modal_price END) AS p2,
              max(CASE WHEN rn = 8 THEN modal_price END) AS p8, max(CASE WHEN rn = 1 THEN date END) AS d,
-             sum(CASE WHEN rn <= 7 THEN {units('modal_price')} END) AS s7, count(CASE WHEN rn <= 7 THEN 1 END) AS n7,
-             sum({units('modal_price')}) AS s30, count(*) AS n30
+             {mean("CASE WHEN rn <= 7 THEN modal_price END")} AS m7, {mean("modal_price")} AS m30
       FROM t WHERE rn <= 30 GROUP BY market)
 SELECT s.market, d AS date, p1 AS modal_price, CAST(dayofyear(d) AS INTEGER) AS day_of_year, CAST(month(d) AS INTEGER) AS month, CAST(year(d) AS INTEGER) AS year,
        CASE WHEN n >= 2 THEN p2 ELSE p1 END AS price_lag_1, CASE WHEN n >= 8 THEN p8 ELSE p1 END AS price_lag_7,
-       CASE WHEN n >= 7 THEN {fixed_mean('s7', 'n7')} ELSE {fixed_mean('su', 'n')} END AS price_ma_7,
-       CASE WHEN n >= 30 THEN {fixed_mean('s30', 'n30')} ELSE {fixed_mean('su', 'n')} END AS price_ma_30,
+       CASE WHEN n >= 7 THEN m7 ELSE mu END AS price_ma_7,
+       CASE WHEN n >= 30 THEN m30 ELSE mu END AS price_ma_30,
        {sround('CASE WHEN n >= 2 THEN (p1 - p2) / p2 ELSE 0.0 END', 10)} AS price_change_1,
        {sround('CASE WHEN n >= 8 THEN (p1 - p8) / p8 ELSE 0.0 END', 10)} AS price_change_7, n AS n_rows
 FROM s JOIN k ON s.market = k.market WHERE n >= 7""")
@@ -139,7 +137,7 @@ td AS (SELECT *, CASE WHEN trend IN ('Increasing', 'Increasing Rapidly') THEN 'u
 
 
 @query("recommend", forecast_sql() + "," + _rules_sql() + "," + _TREND_SQL + f""",
-fa AS (SELECT market, {fixed_mean(f"sum({units('predicted_price', 2)})", 'count(predicted_price)', scale=2)} AS avg_predicted
+fa AS (SELECT market, {mean("predicted_price")} AS avg_predicted
        FROM fc GROUP BY market)
 SELECT td.market, rules.user_type, td.trend, rules.type, rules.message, rules.confidence, rules.action, 0 AS rule_order
 FROM td JOIN rules ON td.direction = rules.direction
@@ -159,8 +157,8 @@ ms AS (SELECT market, count(*) AS n, arg_max(state, (date, id)) AS state, arg_ma
               arg_max(variety, (date, id)) AS variety, max(date) AS last_date FROM h GROUP BY market),
 mk AS (SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS p1, max(CASE WHEN rn = 7 THEN modal_price END) AS p7,
               min(CASE WHEN rn <= 7 THEN modal_price END) AS min_7d, max(CASE WHEN rn <= 7 THEN modal_price END) AS max_7d,
-              {fixed_mean(f"sum(CASE WHEN rn <= 7 THEN {units('modal_price')} END)", 'count(CASE WHEN rn <= 7 THEN 1 END)')} AS avg_7d,
-              {fixed_mean(f"sum({units('modal_price')})", 'count(*)')} AS avg_30d,
+              {mean("CASE WHEN rn <= 7 THEN modal_price END")} AS avg_7d,
+              {mean("modal_price")} AS avg_30d,
               min(modal_price) AS min_30d, max(modal_price) AS max_30d,
               max(CASE WHEN rn = 2 THEN modal_price END) AS p2
        FROM mt WHERE rn <= 30 GROUP BY market),

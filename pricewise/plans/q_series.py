@@ -6,7 +6,7 @@ from ..operators import encode as E
 from ..operators import series as S
 from ..sources.canonical import table
 from .registry import query
-from .sqltext import fixed_mean, sround, units, window_mean
+from .sqltext import mean, sround, window_mean
 
 W = "WINDOW w AS (PARTITION BY market ORDER BY date, id)"
 
@@ -24,15 +24,14 @@ def q_lag_features(spark, sf):
 
 
 @query("lag_features_pooled", f"""
-WITH d AS (SELECT date, {fixed_mean(f"sum({units('modal_price')})", "count(modal_price)")} AS modal_price
+WITH d AS (SELECT date, {mean("modal_price")} AS modal_price
            FROM prices GROUP BY date)
-SELECT date, {sround('modal_price', 6)} AS modal_price,
-       {sround('lag(modal_price, 1) OVER (ORDER BY date)', 6)} AS price_lag_1,
-       {sround('lag(modal_price, 7) OVER (ORDER BY date)', 6)} AS price_lag_7
+SELECT date, modal_price, lag(modal_price, 1) OVER (ORDER BY date) AS price_lag_1,
+       lag(modal_price, 7) OVER (ORDER BY date) AS price_lag_7
 FROM d""")
 def q_lag_features_pooled(spark, sf):
     d = S.lag_features(S.pooled_daily(P(spark, sf)), (1, 7))
-    return d.select("date", *[F.round(c, 6).alias(c) for c in ("modal_price", "price_lag_1", "price_lag_7")])
+    return d.select("date", "modal_price", "price_lag_1", "price_lag_7")
 
 
 @query("rolling_mean_partial", f"""
@@ -41,7 +40,7 @@ SELECT id, {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT R
 FROM prices {W}""")
 def q_rolling_mean_partial(spark, sf):
     d = S.rolling_mean_partial(S.rolling_mean_partial(P(spark, sf), 7), 30)
-    return d.select("id", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"))
+    return d.select("id", "price_ma_7", "price_ma_30")
 
 
 @query("rolling_mean_full", f"""
@@ -53,8 +52,7 @@ SELECT id,
 FROM prices {W}""")
 def q_rolling_mean_full(spark, sf):
     d = S.rolling_mean_full(S.rolling_mean_full(P(spark, sf), 7), 30)
-    return d.select("id", F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
-                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"))
+    return d.select("id", "price_rolling_mean_7", "price_rolling_mean_30")
 
 
 @query("rolling_std_full", f"""
@@ -82,11 +80,11 @@ TAIL = """t AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date D
 @query("tail_stats", f"""
 WITH {TAIL}
 SELECT market, min(modal_price) AS min_7, max(modal_price) AS max_7,
-       {fixed_mean(f"sum({units('modal_price')})", "count(*)")} AS avg_7,
+       {mean("modal_price")} AS avg_7,
        count(*) AS rows_7
 FROM t WHERE rn <= 7 GROUP BY market""")
 def q_tail_stats(spark, sf):
-    return S.tail_stats(P(spark, sf), 7).withColumn("avg_7", F.round("avg_7", 4))
+    return S.tail_stats(P(spark, sf), 7)
 
 
 @query("nth_last_change", f"""
@@ -177,14 +175,12 @@ def _simple_sql(leak_free: bool) -> str:
     p1 = f"lag(modal_price, {2 if leak_free else 1}) OVER w"
     p7 = f"lag(modal_price, {8 if leak_free else 7}) OVER w"
     return f"""
-WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices)
-           WHERE rn <= 365),
-f AS (SELECT id, market, date, modal_price, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year,
+WITH f AS (SELECT id, market, date, modal_price, CAST(dayofyear(date) AS INTEGER) AS day_of_year, CAST(month(date) AS INTEGER) AS month, CAST(year(date) AS INTEGER) AS year,
              lag(modal_price, 1) OVER w AS price_lag_1, lag(modal_price, 7) OVER w AS price_lag_7,
              {window_mean('modal_price', f'w ROWS BETWEEN {6 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_7,
              {window_mean('modal_price', f'w ROWS BETWEEN {29 + e} PRECEDING AND {e} PRECEDING')} AS price_ma_30,
              ({src} - {p1}) / {p1} AS price_change_1, ({src} - {p7}) / {p7} AS price_change_7
-      FROM r WINDOW w AS (PARTITION BY market ORDER BY date, id))
+      FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id))
 SELECT id, market, date, modal_price, day_of_year, month, year, price_lag_1, price_lag_7,
        price_ma_7, price_ma_30,
        {sround('price_change_1', 10)} AS price_change_1, {sround('price_change_7', 10)} AS price_change_7
@@ -193,10 +189,9 @@ FROM f WHERE price_lag_1 IS NOT NULL AND price_lag_7 IS NOT NULL AND price_ma_7
 
 
 def _simple(spark, sf, leak_free):
-    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
-                                   last_rows=365, encode=False)  # the SQL takes the newest 365 rows of every market
+    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free, encode=False)
     return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
-                    "price_lag_7", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"),
+                    "price_lag_7", "price_ma_7", "price_ma_30",
                     F.round("price_change_1", 10).alias("price_change_1"),
                     F.round("price_change_7", 10).alias("price_change_7"))
 
@@ -236,9 +231,9 @@ def q_build_features_full(spark, sf):
     d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "date", "modal_price"))
     return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
                     "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
-                    F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
+                    "price_rolling_mean_7",
                     F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
-                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"), "market_code", "state_code")
+                    "price_rolling_mean_30", "market_code", "state_code")
 
 
 # ----------------------------------------------------------------------------- long series
@@ -265,10 +260,10 @@ SELECT id, {window_mean('modal_price', 'w ROWS BETWEEN 6 PRECEDING AND CURRENT R
             THEN {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} END AS price_rolling_mean_30
 FROM prices {W}""")
 def q_rolling_mean_split(spark, sf):
+    # both means from one layout and one shuffle
     p = P(spark, sf).select("id", "market", "date", "modal_price")
-    a = LS.rolling_mean_split(p, 7).select("id", "price_ma_7")
-    b = LS.rolling_mean_split(p, 30, full=True).select("id", "price_rolling_mean_30")
-    return a.join(b, "id")
+    means = LS.in_blocks(p, 29, lambda d, k: S.rolling_mean_full(S.rolling_mean_partial(d, 7, keys=k), 30, keys=k))
+    return means.select("id", "price_ma_7", "price_rolling_mean_30")
 
 
 @query("pct_change_split", f"""
@@ -297,8 +292,7 @@ def q_history_guards(spark, sf):
 
 
 def _simple_hot(spark, sf, leak_free):
-    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free,
-                                   last_rows=365, encode=False, hot_series=True)
+    d, _ = E.build_features_simple(P(spark, sf).select("id", "market", "date", "modal_price"), leak_free=leak_free, encode=False, hot_series=True)
     return d.select("id", "market", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
                     "price_lag_7", "price_ma_7", "price_ma_30",
                     F.round("price_change_1", 10).alias("price_change_1"),
@@ -336,7 +330,7 @@ def q_build_features_full_split(spark, sf):
 # data) and all four label codes.
 
 def _simple_all_sql(leak_free: bool) -> str:
-    rows = _simple_sql(leak_free).replace("WHERE rn <= 365", "").replace("id, market, date, modal_price", "id, market, state, variety, date, modal_price")
+    rows = _simple_sql(leak_free).replace("id, market, date, modal_price", "id, market, state, variety, date, modal_price")
     dummies = ", ".join(f"CASE WHEN (SELECT count(DISTINCT {c}) FROM g) < 20 AND {c} <> (SELECT min({c}) FROM g) THEN '{c}_' || {c} END"
                         for c in ("market", "state", "variety"))
     return f"WITH g AS ({rows}) SELECT *, concat_ws(',', {dummies}) AS dummies FROM g"
@@ -346,7 +340,7 @@ def _simple_all(spark, sf, leak_free, hot_series=False):
     d, names = E.build_features_simple(P(spark, sf).select("id", "market", "state", "variety", "date", "modal_price"),
                                        leak_free=leak_free, hot_series=hot_series)
     return d.select("id", "market", "state", "variety", "date", "modal_price", "day_of_year", "month", "year", "price_lag_1",
-                    "price_lag_7", F.round("price_ma_7", 4).alias("price_ma_7"), F.round("price_ma_30", 4).alias("price_ma_30"),
+                    "price_lag_7", "price_ma_7", "price_ma_30",
                     F.round("price_change_1", 10).alias("price_change_1"), F.round("price_change_7", 10).alias("price_change_7"),
                     F.concat_ws(",", F.lit(None).cast("string"), *[F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in names]).alias("dummies"))
 
@@ -355,9 +349,9 @@ def _full_all(spark, sf, hot_series=False):
     d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "district", "variety", "date", "modal_price"), hot_series=hot_series)
     return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
                     "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
-                    F.round("price_rolling_mean_7", 4).alias("price_rolling_mean_7"),
+                    "price_rolling_mean_7",
                     F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
-                    F.round("price_rolling_mean_30", 4).alias("price_rolling_mean_30"),
+                    "price_rolling_mean_30",
                     "market_code", "state_code", "district_code", "variety_code")
 
 

@@ -15,19 +15,15 @@ AS_OF_PRICES = "(SELECT max(date) FROM prices)"
 AS_OF_PREDICTIONS = "(SELECT max(forecast_date) FROM predictions)"
 
 
-def units(col: str, scale: int = 4) -> str:
-    return f"CAST(round({col} * {10 ** scale}) AS BIGINT)"
+def mean(expr: str, over: str = "") -> str:
+    """Exact mean (mirrors series.price_sum and series.exact_mean): four whole sums, one fixed chain of operations."""
+    up, down, x = "2147483648::DOUBLE", "67108864::DOUBLE", f"({expr})"
+    rest = f"(({x} - floor({x})) * {down})"
+    parts = (f"floor({x} / {up})", f"floor({x}) - floor({x} / {up}) * {up}", f"floor({rest})", f"floor(({rest} - floor({rest})) * {down})")
+    top, whole, part, fine = (f"CAST(CAST(sum(CAST({p} AS BIGINT)) {over} AS BIGINT) AS DOUBLE)" for p in parts)
+    return f"(CASE WHEN count({x}) {over} > 0 THEN (({top} * {up} + {whole}) + ({part} + {fine} / {down}) / {down}) / count({x}) {over} END)"
 
 
-def fixed_mean(sum_expr: str, n_expr: str, scale: int = 4, out_scale: int | None = None) -> str:
-    """Exact half-up mean from an integer unit sum (mirrors series.fixed_mean)."""
-    out = scale if out_scale is None else out_scale
-    k = 10 ** (scale - out)
-    q = f"((abs({sum_expr}) * 2 + ({n_expr}) * {k}) // (2 * ({n_expr}) * {k}))"
-    return (f"(CASE WHEN ({n_expr}) > 0 THEN CAST(CASE WHEN ({sum_expr}) < 0 THEN -{q} ELSE {q} END AS DOUBLE)"
-            f" / {10 ** out} END)")
-
-
-def window_mean(col: str, frame: str, scale: int = 4) -> str:
+def window_mean(col: str, frame: str) -> str:
     """Exact mean of ``col`` over a window ``frame`` text such as 'w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW'."""
-    return fixed_mean(f"sum({units(col, scale)}) OVER ({frame})", f"count({col}) OVER ({frame})", scale)
+    return mean(col, f"OVER ({frame})")

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from pricewise.operators import forecast as fc
-from pricewise.operators.series import chrono_split, fixed_mean
+from pricewise.operators.series import chrono_split, exact_mean, price_sum, usable
 
 D0 = dt.date(2024, 1, 1)
 
@@ -65,9 +65,23 @@ def test_market_analysis_short_series_has_error(spark):
     assert got["Big"].error is None and len(got["Big"].predictions) == 7
 
 
-def test_fixed_mean_is_exact_half_up(spark):
-    df = spark.createDataFrame([(18900100, 2)], "s long, n long")   # mean 945.0050 exactly: a tie at cents
-    assert df.select(fixed_mean("s", "n", 4, 2).alias("m")).first().m == 945.01
+def test_mean_is_exact_in_any_order(spark):
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+    rnd = random.Random(5)
+    prices = [rnd.choice([rnd.uniform(1, 2000), -rnd.uniform(1, 9e8), 0.1 + rnd.random() * 1e6, float(rnd.randrange(1 << 50))]) for _ in range(5000)]
+    rows = [(p,) for p in prices] + [(None,), (float("nan"),), (float("inf"),), (float("-inf"),)]
+    got = set()
+    for parts in (1, 7):
+        rnd.shuffle(rows)
+        g = spark.createDataFrame(rows, "p double").repartition(parts).agg(price_sum("p").alias("s"), F.count(usable("p")).alias("n"))
+        got.add(g.select(exact_mean("s", "n").alias("m")).first().m)
+    exact = sum(map(Fraction, prices)) / len(prices)
+    assert len(got) == 1 and abs(Fraction(got.pop()) / exact - 1) < Fraction(1, 1 << 50)
+    none = spark.createDataFrame([(None,)], "p double").agg(price_sum("p").alias("s"), F.count(usable("p")).alias("n"))
+    assert none.select(exact_mean("s", "n").alias("m")).first().m is None
 
 
 def test_chrono_split_floor(spark):

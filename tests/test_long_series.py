@@ -36,9 +36,45 @@ def test_split_equals_window(spark):
         by_id(S.pct_change(p, 7), ["price_change_7"])
 
 
+def same(a, b):
+    return a == b or (a != a and b != b)
+
+
+def test_split_equals_window_with_null_and_nan_rows(spark):
+    """Small blocks, so that most windows reach into a border; null, NaN and infinite prices, a null market."""
+    rnd = random.Random(9)
+    rows = [(i, D0 + dt.timedelta(days=i // 5), rnd.choice(["HOT"] * 8 + ["A", None]),
+             rnd.choice([None, float("nan"), float("inf"), 0.0, *[rnd.uniform(900, 1000)] * 8])) for i in range(700)]
+    p = spark.createDataFrame(rows, "id long, date date, market string, modal_price double")
+    for n, block in ((1, 8), (7, 8), (7, 3), (30, 64)):
+        pairs = [(LS.lag_split(p, (1, n), partitions=6, block=block), S.lag_features(p, (1, n)), f"price_lag_{n}"),
+                 (LS.rolling_mean_split(p, n, partitions=6, block=block, name="m"), S.rolling_mean_partial(p, n, name="m"), "m"),
+                 (LS.rolling_mean_split(p, n, partitions=6, block=block, name="m", full=True), S.rolling_mean_full(p, n, name="m"), "m"),
+                 (LS.pct_change_split(p, n, partitions=6, block=block), S.pct_change(p, n), f"price_change_{n}"),
+                 (LS.in_blocks(p, n - 1, lambda d, k: S.rolling_std_full(d, n, keys=k, name="m"), partitions=6, block=block), S.rolling_std_full(p, n, name="m"), "m")]
+        for a, b, c in pairs:
+            a, b = by_id(a, [c]), by_id(b, [c])
+            assert a.keys() == b.keys() and all(same(a[k][0], b[k][0]) for k in a), (n, block, c)
+
+
+def test_one_shuffle_for_all_features(spark):
+    from pricewise.operators.encode import _full_windows
+    p = hot_prices(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = LS.in_blocks(p, 90, lambda d, k: _full_windows(d, k, False, "modal_price"), partitions=6, block=256)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    by_block = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "_block" in x]
+    assert len(by_block) == 1
+    # besides that one, only the table of pieces (a row per key and partition) is dealt out
+    assert not [x for x in plan.splitlines() if "rangepartitioning" in x]
+
+
 def test_hot_series_spans_partitions(spark):
     from pyspark.sql import functions as F
-    pos = LS.series_positions(hot_prices(spark), partitions=6, sum_col=None)
+    pos = LS.series_positions(hot_prices(spark), partitions=6)
     hot = pos.filter("market = 'HOT'")
     assert sorted(r["_i"] for r in hot.select("_i").collect()) == list(range(1200))
     # the hot market's rows were laid out over several partitions, not one task
