@@ -2,10 +2,12 @@
 
 Method: a score-ordered agenda of adjacent symbol pairs.  A text is cut where no piece of the
 vocabulary can reach across (before a space mark that follows another character, and around
-characters that occur in no piece), each cut part starts as single characters, and a heap gives the
-best-scored adjacent pair, leftmost first among equals, until no pair is a piece.  Characters left
-over become byte pieces.  Parts repeat, so a worker remembers their ids; every part that enters that
-memory is first checked, once per Arrow batch, against the ``sentencepiece`` library.
+characters that occur in no piece), each cut part starts as single characters, and its agenda gives the
+best-scored adjacent pair, leftmost first among equals, until no pair is a piece.  Symbols are numbers and
+a hash table holds the pairs that merge; short parts have their agendas side by side, long ones a heap.
+Characters left over become byte pieces.  Parts repeat, so a worker remembers their ids; every part is
+checked against the ``sentencepiece`` library when it is new, all of an Arrow batch in one call.  Ids are
+decoded by the library.
 
 Defined cases: null text = empty text = no ids and an empty decoded text; ties go to the leftmost
 pair; repeated rows are encoded each for itself; an empty table gives an empty table; other columns
@@ -28,9 +30,11 @@ from pricewise.llm.common import python_ready
 MARK = "▁"
 #: Parts that a worker remembers, and the longest part that it remembers.
 REMEMBERED, LONGEST = 250_000, 64
-#: A part of up to so many symbols keeps its agenda in a plain list, a longer one in a heap.
+#: A part of up to so many symbols has its agenda beside those of other parts, a longer one in a heap of its own.
 SHORT = 40
-NEVER = float("inf")
+#: Parts handled side by side, and how much their lengths may differ.
+ROWS, STEP = 1 << 15, 4
+NEVER_RANK = np.int32(2 ** 31 - 1)
 
 
 class Memory(dict):
@@ -70,40 +74,97 @@ class Pieces:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
         self.scores = {p.piece: -p.score for p in model.pieces if p.type == kind.NORMAL}
         self.bytes = [0] * 256
-        self.raw: list[bytes] = []
         for i, p in enumerate(model.pieces):
             if p.type == kind.BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = i
-                self.raw.append(bytes([int(p.piece[3:5], 16)]))
-            elif p.type == kind.UNKNOWN:
-                self.raw.append((model.trainer_spec.unk_surface or " ⁇ ").encode())
-            elif p.type == kind.CONTROL:
-                self.raw.append(b"")
-            else:
-                self.raw.append(p.piece.replace(MARK, " ").encode())
+        self.size = len(model.pieces)
         self.fallback = model.trainer_spec.byte_fallback
         inside = {c for p in self.ids for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in inside)
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.parts = None if crossing else re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.parts = None if crossing or not alone else re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+").findall
+        #: A character that no piece holds, with its ids: parts behind it are encoded for themselves.
+        self.apart = alone[:1] if self.parts else ""
+        self.apart_ids = self.numbered([self.apart]) if self.apart else []
+        self.pairs()
         self.memory = Memory()
 
+    def pairs(self) -> None:
+        """Numbers of symbols (pieces, then the characters that only occur inside pieces) and the hash table of pairs that
+        merge: the numbers of both -> rank of the score (equal scores, equal rank) and number of the piece."""
+        number = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - number.keys()):
+            number[c] = self.size + len(number) - len(self.ids)
+        self.symbols = self.size + len(number) - len(self.ids)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        rank = {v: i for i, v in enumerate(sorted(set(self.scores.values())))}
+        for c, i in number.items():
+            if len(c) == 1:
+                self.of_char[ord(c)] = i
+        rows = [(number[p[:k]] * self.symbols + number[p[k:]], rank[self.scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in number and p[k:] in number]
+        self.bits = max(4, (4 * len(rows)).bit_length())
+        self.keys, self.ranks, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NEVER_RANK, np.int32), np.full(1 << self.bits, -1, np.int32)
+        slot = self.slot(np.array([r[0] for r in rows], np.int64)).tolist() if rows else []
+        taken = set()
+        for s, (key, r, i) in zip(slot, rows):
+            while s in taken:
+                s = s + 1 & (1 << self.bits) - 1
+            taken.add(s)
+            self.keys[s], self.ranks[s], self.made[s] = key, r, i
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def found(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Slots of pairs of symbols; the slot of a pair that does not merge is a free one (rank NEVER_RANK)."""
+        key = left.astype(np.int64) * self.symbols + right
+        key[(left < 0) | (right < 0)] = -2
+        at = self.slot(key)
+        open_ = np.flatnonzero((self.keys[at] != key) & (self.keys[at] != -1))
+        while len(open_):
+            at[open_] = at[open_] + 1 & (1 << self.bits) - 1
+            now = self.keys[at[open_]]
+            open_ = open_[(now != key[open_]) & (now != -1)]
+        return at
+
     def agenda(self, part: str) -> list[int]:
         """Ids of one part."""
-        return self.numbered(self.merged_short(part) if len(part) <= SHORT else self.merged_long(part))
-
-    def merged_short(self, part: str) -> list[str]:
-        score, sym = self.scores.get, list(part)
-        agenda = [score(a + b, NEVER) for a, b in zip(sym, sym[1:])]
-        while agenda and (best := min(agenda)) < NEVER:
-            i = agenda.index(best)
-            two = sym[i] = sym[i] + sym.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = score(sym[i - 1] + two, NEVER)
-            if i < len(agenda):
-                agenda[i] = score(two + sym[i + 1], NEVER)
-        return sym
+        return self.numbered(self.merged_long(part))
+
+    def agendas(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part of up to SHORT symbols: the agendas of all parts side by side, a row each."""
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        width = int(n.max())
+        inside = np.arange(width) < n[:, None]
+        sym = np.full(inside.shape, -1, np.int32)
+        sym[inside] = self.of_char[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        at = np.full(inside.shape, -1, np.int64)
+        at[:, :-1] = self.found(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(len(parts), -1)
+        rank = np.where(at < 0, NEVER_RANK, self.ranks[at])
+        after, before, alive = np.tile(np.arange(1, width + 1), (len(parts), 1)), np.tile(np.arange(-1, width - 1), (len(parts), 1)), inside.copy()
+        row = np.arange(len(parts))
+        while len(row):
+            i = rank[row].argmin(1)  # the best pair, the leftmost of equals
+            some = rank[row, i] < NEVER_RANK
+            row, i = row[some], i[some]
+            j = after[row, i]
+            sym[row, i], alive[row, j], rank[row, j] = self.made[at[row, i]], False, NEVER_RANK
+            k = after[row, i] = after[row, j]
+            for left, right, r in ((i, k, row), (before[row, i], i, row)):
+                ok = (left >= 0) & (right < n[r])
+                rank[r[~ok & (left >= 0)], left[~ok & (left >= 0)]] = NEVER_RANK
+                r, left, right = r[ok], left[ok], right[ok]
+                at[r, left] = self.found(sym[r, left], sym[r, right])
+                rank[r, left] = self.ranks[at[r, left]]
+            ok = k < n[row]
+            before[row[ok], k[ok]] = i[ok]
+        plain = ((sym >= 0) & (sym < self.size) | ~alive).all(1)
+        ends = np.concatenate([[0], np.cumsum(alive.sum(1))]) * 4
+        out = sym[alive].tobytes()
+        got = [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for r in np.flatnonzero(~plain).tolist():
+            got[r] = array("i", self.agenda(parts[r])).tobytes()
+        return got
 
     def merged_long(self, part: str) -> list[str]:
         scores, sym, n = self.scores, list(part), len(part)
@@ -151,14 +212,34 @@ class Pieces:
         return out
 
     def learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts that are not remembered, checked against the library in one call."""
-        made = {p: self.agenda(p) for p in parts}
-        # Parts that start with a mark and hold more: as one text, as nothing reaches from one into the next.
-        # The library puts the first mark there itself.
-        whole = [p for p in parts if self.dummy and p[0] == MARK and p[-1] != MARK] if self.parts else []
-        if whole and [i for p in whole for i in made[p]] != self.library.encode("".join(whole)[1:].replace(MARK, " ")):
-            raise AssertionError("the agenda and the library differ on some of: " + repr(whole)[:2000])
-        return {p: array("i", i).tobytes() for p, i in made.items()}
+        """Ids of parts that are not remembered, all of them checked against the library in one call."""
+        made: dict[str, bytes] = {}
+        rows: dict[int, list[str]] = {}
+        for p in parts:
+            if len(p) <= SHORT:
+                rows.setdefault((len(p) - 1) // STEP, []).append(p)
+            else:
+                made[p] = array("i", self.agenda(p)).tobytes()
+        for same in rows.values():
+            for a in range(0, len(same), ROWS):
+                made.update(zip(same[a:a + ROWS], self.agendas(same[a:a + ROWS])))
+        self.check(made)
+        return made
+
+    def check(self, made: dict[str, bytes]) -> None:
+        """The agenda's ids against the library's.  Parts stand in one text behind a character that no piece holds, which
+        nothing crosses; where there is no such character, parts are whole texts and go one by one."""
+        if self.apart:
+            text = self.apart.join(["", *made]).replace(MARK, " ")
+            between = self.library.encode(self.apart)
+            between, first = between[-len(self.apart_ids):], between[:-len(self.apart_ids)]
+            want = np.array(self.library.encode(text) if made else [], np.int32).tobytes()
+            if made and want != array("i", first).tobytes() + b"".join(array("i", between).tobytes() + m for m in made.values()):
+                raise AssertionError("the agenda and the library differ on some of: " + repr(list(made))[:2000])
+            return
+        for p, m in made.items():
+            if self.library.encode(p[int(self.dummy):].replace(MARK, " ")) != np.frombuffer(m, np.int32).tolist():
+                raise AssertionError("the agenda and the library differ on: " + repr(p)[:2000])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as the bytes of 32-bit integers."""
@@ -168,19 +249,17 @@ class Pieces:
             s = (MARK if self.dummy and t else "") + t.replace(" ", MARK)
             cut.append(split(s) if split else [s] * bool(s))
         memory.turn()
-        new = set().union(*cut) - memory.keys() - memory.old.keys() if cut else set()
-        once = self.learn(new)
+        old = memory.old
+        once = self.learn({p for p in set().union(*cut) if p not in memory and p not in old})
         kept = {p: v for p, v in once.items() if len(p) <= LONGEST}
         memory.update(kept)
         if len(kept) == len(once):
             return [b"".join(map(memory.__getitem__, parts)) for parts in cut]
         return [b"".join(once[p] if p in once else memory[p] for p in parts) for parts in cut]
 
-    def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        if self.dummy and out[:1] == b" ":
-            out = out[1:]
-        return out.decode("utf-8", "replace")
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The library's texts of lists of ids."""
+        return self.library.decode(ids)
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -211,7 +290,7 @@ def encode_decode(df: DataFrame, model_path: str, text: str = "text", ids: str =
                 values = np.frombuffer(b"".join(part), np.int32)
                 ends = np.zeros(len(part) + 1, np.int32)
                 np.cumsum([len(p) // 4 for p in part], out=ends[1:])
-                texts = [pieces.decode(values[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+                texts = pieces.decode([values[i:j].tolist() for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())])
                 cols = [batch.column(batch.schema.names.index(c)).slice(a, step) for c in got]
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.array(texts, pa.string())], names=[*got, ids, decoded])
 

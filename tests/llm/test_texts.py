@@ -157,12 +157,25 @@ def test_pieces_agenda_forms_agree():
 
     from pricewise.llm.pieces import Pieces
     p, rnd = Pieces(P.path("piece_bpe_32k.model")), random.Random(3)
-    for _ in range(3000):
-        s = "".join(rnd.choices("abetinso ▁éЖ\n\t.🙂", k=rnd.randint(0, 39)))
-        assert p.merged_short(s.replace(" ", "▁")) == p.merged_long(s.replace(" ", "▁"))
-        import numpy as np
-        ids = np.frombuffer(p.encode([s])[0], np.int32)
-        assert ids.tolist() == p.library.encode(s) and p.decode(ids) == p.library.decode(ids.tolist())
+    texts = ["".join(rnd.choices("abetinso ▁éЖ\n\t.🙂", k=rnd.randint(0, 39))) for _ in range(3000)]
+    parts = [s.replace(" ", "▁") for s in texts if s]
+    import numpy as np
+    for part, ids in zip(parts, p.agendas(parts)):
+        assert np.frombuffer(ids, np.int32).tolist() == p.agenda(part)
+    for s in texts:
+        ids = np.frombuffer(p.encode([s])[0], np.int32).tolist()
+        assert ids == p.library.encode(s) and p.decode([ids, []]) == [p.library.decode(ids), ""]
+
+
+def test_pieces_check_finds_a_difference():
+    import public_tokenizers as P
+
+    from pricewise.llm.pieces import Pieces
+    p = Pieces(P.path("piece_bpe_32k.model"))
+    for part in ("▁word", "word", "▁▁", "\n"):
+        good = p.learn({"other", part})
+        with pytest.raises(AssertionError):
+            p.check({**good, part: good[part] + good[part]})
 
 
 def test_token_histogram(odd_docs, odd_rows, no_docs, monkeypatch):
