@@ -89,9 +89,20 @@ def dedupe_last(df: DataFrame, keys, order_col: str = "file_row") -> DataFrame:
     return g.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others])
 
 
+def number_new(new: DataFrame, order, id_col: str = "id", last_id: Column | int = 0) -> DataFrame:
+    """``new`` with ids ``last_id + 1``, ``+ 2``, ... in ``order``: no gap and no duplicate, and no task that sees
+    all rows (range layout and the sizes of its pieces, see ``long_series.series_positions``)."""
+    from .long_series import POS, series_positions
+    rows = series_positions(new.drop(id_col).withColumn("_all", F.lit(0)), keys=["_all"], order=list(order))
+    base = last_id if isinstance(last_id, Column) else F.lit(last_id)
+    return rows.withColumn(id_col, (base + 1 + F.col(POS)).cast("long")).drop("_all", POS)
+
+
 def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"), order_col: str = "file_row",
-                  id_col: str = "id") -> DataFrame:
-    """Update rows whose key exists, insert the rest.  An updated row keeps the stored id.
+                  id_col: str = "id", last_id: Column | int | None = None) -> DataFrame:
+    """Update rows whose key exists, insert the rest.  An updated row keeps the stored id; an inserted row keeps an
+    id that the source gives and else gets the next one, in the order of the keys, above all ids in use
+    (``last_id``, by default the greatest of the table and the source).
 
     Every join keeps the (usually small) upload on the build side, so Spark can broadcast it
     when its size allows and the stored table is scanned without a shuffle:
@@ -105,9 +116,15 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
     src_keys = src.select(*ks)
     if id_col in cols:
         hits = target.select(*ks, F.col(id_col).alias("_old_id")).join(src_keys, ks, "inner")
-        src = (src.join(hits, ks, "left")
-               .withColumn(id_col, F.coalesce("_old_id", F.col(id_col) if id_col in src.columns else F.lit(None)))
-               .drop("_old_id"))
+        given = F.col(id_col) if id_col in src.columns else F.lit(None).cast("long")
+        if last_id is None:
+            used = target.select(id_col)
+            if id_col in src.columns:
+                used = used.unionByName(src.select(id_col))
+            last_id = used.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
+        src = src.join(hits, ks, "left").withColumn(id_col, F.coalesce("_old_id", given)).drop("_old_id")
+        new = number_new(src.filter(F.col(id_col).isNull()).select(*cols), ks, id_col, last_id)
+        src = src.filter(F.col(id_col).isNotNull()).select(*cols).unionByName(new.select(*cols))
     kept = target.join(src_keys, ks, "left_anti")
     return kept.unionByName(src.select(*cols))
 

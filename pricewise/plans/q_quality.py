@@ -97,6 +97,17 @@ def q_upsert_prices(spark, sf):
     return Q.upsert_prices(T(spark, sf, "prices"), repriced_batch(spark, sf))
 
 
+@query("upsert_prices_new_ids", f"""
+WITH {REPRICED_SQL},
+j AS (SELECT b.* REPLACE (p.id AS id) FROM b LEFT JOIN prices p ON b.market = p.market AND b.date = p.date)
+SELECT p.* FROM prices p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.market = p.market AND b.date = p.date)
+UNION ALL SELECT * FROM j WHERE id IS NOT NULL
+UNION ALL SELECT * REPLACE ((SELECT max(id) FROM prices) + row_number() OVER (ORDER BY market, date) AS id) FROM j WHERE id IS NULL""")
+def q_upsert_prices_new_ids(spark, sf):
+    # the batch names no ids: updated rows keep theirs, inserted rows get the next ones
+    return Q.upsert_prices(T(spark, sf, "prices"), repriced_batch(spark, sf).drop("id"))
+
+
 @query("anti_new_prices", f"""
 WITH {REPRICED_SQL}
 SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM prices p WHERE b.market = p.market AND b.date = p.date)""")

@@ -53,6 +53,33 @@ def test_upsert_later_rows_win_and_idempotent(spark):
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
 
 
+def test_upsert_numbers_inserted_rows(spark):
+    d = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    target = _prices(spark, [(7, d[0], "A", 10.0), (3, d[1], "A", 20.0)])
+    src = spark.createDataFrame([(x, "A", 30.0 + i, i) for i, x in enumerate(d)], "date date, market string, modal_price double, file_row long")
+    got = sorted((r.date, r.id, r.modal_price) for r in Q.upsert_prices(target, src).collect())
+    assert got == [(x, {0: 7, 1: 3}.get(i, 6 + i), 30.0 + i) for i, x in enumerate(d)]
+    given = src.withColumn("id", F.when(F.col("file_row") == 5, 100).cast("long"))
+    ids = {r.date: r.id for r in Q.upsert_prices(target, given).collect()}
+    assert ids[d[0]] == 7 and ids[d[5]] == 100 and sorted(ids[x] for x in d if x not in (d[0], d[1], d[5])) == list(range(101, 138))
+
+
+def test_csv_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    """Several files, quoted fields, and splits from a few lines to whole files."""
+    from pricewise.sources.files import read_prices_csv
+    head = "date,market,state,district,variety,min_price,max_price,modal_price,arrival_quantity\n"
+    for name, n in (("a", 700), ("b", 1), ("c", 90)):
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f'2024-01-01,"{name}, {i}",S{"x" * (i % 50)},D,Red,1,3,2,{i}\n' for i in range(n)))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("700b", "4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_prices_csv(spark, str(tmp_path)).select("market", "arrival_quantity", "file_row").collect()
+            assert len(rows) == 791 and all(int(r.arrival_quantity) == r.file_row for r in rows), size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 def test_delete_by_filter_keeps_null_predicate_rows(spark):
     df = spark.createDataFrame([(1, 90.0), (2, None), (3, 50.0)], "id long, confidence_interval double")
     kept, n = Q.delete_by_filter(df, F.col("confidence_interval") >= 80)

@@ -41,3 +41,26 @@ def test_replay_duplicates_order_and_fresh_checkpoint(spark, tmp_path):
     assert prices() == [13.0]
     start_price_ingest(spark, up, table, rej, str(tmp_path / "ck2")).awaitTermination()  # all files again; the latest upload holds
     assert prices() == [13.0]
+
+
+def test_batch_rewrites_only_its_months(spark, tmp_path):
+    """Three batches: untouched months keep their files, replaced writes go after one more batch, ids stay unique."""
+    up, table, rej, ck = (str(tmp_path / n) for n in ("up", "table", "rej", "ck"))
+    (tmp_path / "up").mkdir()
+    files = lambda month: sorted(str(f.relative_to(table)) for f in (tmp_path / "table" / "data").glob(f"*/month={month}"))
+
+    def ingest(name, *rows):
+        (tmp_path / "up" / name).write_text(HDR + "".join(f"{d},{m},S,D,Red,10,20,{p},5\n" for d, m, p in rows))
+        start_price_ingest(spark, up, table, rej, ck).awaitTermination()
+        return {(str(r.date), r.market): (r.id, r.modal_price) for r in read_table(spark, table).collect()}
+
+    one = ingest("a.csv", ("2024-01-05", "A", 11), ("2024-01-06", "A", 12), ("2024-02-01", "A", 13))
+    assert sorted(i for i, _ in one.values()) == [1, 2, 3]
+    january, february = files("2024-01"), files("2024-02")
+    two = ingest("b.csv", ("2024-02-01", "A", 14), ("2024-02-02", "B", 15))
+    assert files("2024-01") == january and len(files("2024-02")) == 2 and february[0] in files("2024-02")
+    assert two == {**one, ("2024-02-01", "A"): (one["2024-02-01", "A"][0], 14.0), ("2024-02-02", "B"): (4, 15.0)}
+    three = ingest("c.csv", ("2024-02-03", "C", 16), ("2024-03-01", "C", 17))
+    assert files("2024-01") == january and february[0] not in files("2024-02") and len(files("2024-02")) == 2
+    assert sorted(i for i, _ in three.values()) == [1, 2, 3, 4, 5, 6]
+    assert {k: three[k] for k in two} == two
