@@ -141,15 +141,16 @@ def repeated(docs: DataFrame, width: int) -> DataFrame:
     """k, marks of every text with repeated windows (docs: k, text): (kind, first, last) of window places - kind 0:
     may be repeated, 1: stands alone, 2: is repeated; the larger kind holds."""
     every = keep(all_runs(docs, width), "runs")
-    twice = every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Each list of repeated keys is a table of its own: a join with a key that a third of the rows carry can then be split.
+    twice = keep(every.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     left = keep(every.join(twice, "anchor"), "left")
     same = ["anchor", "dist", "count", "context"]
     texts = keep(left.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("k", "first")).alias("one")), "texts")
-    several = texts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    several = keep(texts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "several")
     asked = texts.join(several, "anchor").select("one.k", "one.first", "count", "dist", "anchor")
     block = keep(blocks(docs, asked, width), "blocks")
-    alike = block.groupBy("lead", "core").agg(F.count("*").alias("n")).where("n > 1").select("lead", "core")
-    block = keep(block.join(alike, ["lead", "core"]), "alike")
+    repeats = keep(block.groupBy("lead", "core").agg(F.count("*").alias("n")).where("n > 1").select("lead", "core"), "repeats")
+    block = keep(block.join(repeats, ["lead", "core"]), "alike")
     j = F.col("j")
     one = block.select("lead", "core", "left", "right", "k", "at", F.explode(F.sequence("lo", "hi")).alias("j"))
     rest = F.concat(F.when(j > 0, F.substring("left", -j, j)).otherwise(F.lit(b"")), F.substring("right", F.lit(1), F.lit(STEP - 1) - j))
