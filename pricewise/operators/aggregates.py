@@ -138,62 +138,22 @@ def facet_values(df: DataFrame, col: str, drop_empty: bool = False) -> DataFrame
     return out.orderBy(col)
 
 
-def exact_quantile(df: DataFrame, col: str, q: float = 0.5, values_per_bucket: int = 200_000) -> Column:
-    """Exact interpolated quantile (``quantile_cont``) without one task or the driver holding
-    all values.
-
-    1. distinct values with counts (partial aggregation; a value repeated across a third of
-       the rows is one row);
-    2. cut points from ``percentile_approx`` — about one bucket per ``values_per_bucket``
-       distinct values, so a bucket stays small however large the column grows;
-    3. row counts per bucket (one row per bucket to the driver) locate the bucket(s) holding
-       the two ranks needed;
-    4. inside those buckets only, a running count finds the exact values; two rows reach the
-       driver.
-    Returns the value as a literal Column (a scalar computed by a few bounded jobs).
-    """
-    from pyspark.sql import Window
+def exact_quantile(df: DataFrame, col: str, q: float = 0.5) -> Column:
+    """Exact interpolated quantile (``quantile_cont``) of the values that are neither null nor NaN.
+
+    The one or two values at the wanted places come from rank selection (``ranks.key_at``): passes of partial
+    counts that narrow the range holding a place, so no task or driver holds more than a bounded number of values.
+    Returns the value as a literal Column (a scalar computed by a few bounded jobs)."""
+    from .ranks import key_at
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    counts = vals.groupBy("v").agg(_count().alias("c")).persist()
-    try:
-        stats = counts.agg(F.sum("c").alias("n"), _count().alias("d")).first()
-        n, distinct = stats["n"], stats["d"]
-        if not n:
-            return F.lit(None).cast("double")
-        pos = (n - 1) * q
-        k1 = int(pos)
-        k2 = min(k1 + (1 if pos > k1 else 0), n - 1)
-        buckets = int(min(20_000, max(64, -(-distinct // values_per_bucket))))
-        accuracy = max(10_000, 20 * buckets)
-        cuts = counts.agg(F.percentile_approx("v", [i / buckets for i in range(1, buckets)], accuracy)).first()[0]
-        cuts = sorted(set(cuts or []))
-        # bucket of each value: Bucketizer binary-searches the cut points (JVM side)
-        from pyspark.ml.feature import Bucketizer
-        splits = [float("-inf"), *[float(c) for c in cuts], float("inf")]
-        keyed = (Bucketizer(splits=splits, inputCol="v", outputCol="_b").transform(counts)
-                 .withColumn("b", F.col("_b").cast("int")).drop("_b"))
-        sizes = {r["b"]: r["s"] for r in keyed.groupBy("b").agg(F.sum("c").alias("s")).collect()}
-        start, cum, need = {}, 0, set()
-        for b in sorted(sizes):
-            start[b] = cum
-            if cum <= k1 < cum + sizes[b] or cum <= k2 < cum + sizes[b]:
-                need.add(b)
-            cum += sizes[b]
-        w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        offs = F.create_map(*[x for b in sorted(need) for x in (F.lit(b), F.lit(start[b]))])
-        ranked = (keyed.filter(F.col("b").isin(sorted(need)))
-                  .withColumn("hi", F.sum("c").over(w) + offs[F.col("b")])
-                  .withColumn("lo", F.col("hi") - F.col("c")))
-        hit = ranked.filter(((F.col("lo") <= k1) & (F.lit(k1) < F.col("hi")))
-                            | ((F.col("lo") <= k2) & (F.lit(k2) < F.col("hi")))).select("v", "lo", "hi").collect()
-
-        def at(k):
-            return next(r["v"] for r in hit if r["lo"] <= k < r["hi"])
-
-        v1, v2 = at(k1), at(k2)
-        return F.lit(v1 + (v2 - v1) * (pos - k1))
-    finally:
-        counts.unpersist()
+    n = vals.count()
+    if not n:
+        return F.lit(None).cast("double")
+    place = (n - 1) * q
+    k = int(place)
+    (v1,), _ = key_at(vals, [("v", True)], k, n)
+    v2 = key_at(vals, [("v", True)], k + 1, n)[0][0] if place > k else v1
+    return F.lit(v1 + (v2 - v1) * (place - k))
 
 
 def profile_numeric(df: DataFrame, col: str = "modal_price", exact_median: bool = True) -> DataFrame:
@@ -247,6 +207,13 @@ def regression_metrics(df: DataFrame, y: str = "modal_price", p: str = "predicti
     return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
 
 
+def metrics_by_column(df: DataFrame, predictions, y: str = "modal_price") -> DataFrame:
+    """``regression_metrics`` of several prediction columns as one row each (``model`` = the column): the rows are
+    computed once and stacked, not read again for every column."""
+    long = df.select(y, *predictions).unpivot([y], list(predictions), "model", "prediction")
+    return regression_metrics(long, y, "prediction", by=["model"])
+
+
 def select_best_model(metrics: DataFrame, name: str = "model", r2: str = "r2") -> DataFrame:
     """The model with the highest R^2 (ties: first name) and the verdict on the set."""
     g = metrics.agg(F.min_by(name, F.struct((-F.col(r2)).alias("neg_r2"), F.col(name))).alias("best_model"),

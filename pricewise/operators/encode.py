@@ -4,16 +4,20 @@
                    semantics: sorted values, first level dropped).  The distinct values are
                    fetched to the driver only after a one-pass ``count_distinct`` proves there
                    are fewer than ``max_values`` of them.
+* ``one_hot_vectors`` the same dummies for any number of values, as one sparse vector.
 * ``label_encode`` 0-based rank of the sorted distinct values, computed distributed and exact
                    (``value_codes``); ``label_indexer`` is the same as a Spark ML stage.
-* ``standard_scale`` fit on the training rows (mean, population std) and applied to any rows
-                   through scalar subqueries: nothing is collected.
+* ``standard_scale`` fit on the training rows (mean, population std) as one row, and applied to any
+                   rows by a join with it: nothing is collected.
 * ``build_features_simple`` / ``build_features_full`` the two feature sets, per series.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StringIndexer
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,39 +78,56 @@ def value_codes(df: DataFrame, cols, suffix: str = "_code") -> dict[str, DataFra
             for c in cols}
 
 
-# Columns with at most this many distinct values are encoded by a StringIndexer fit, whose
-# label list lives in the driver; above it the distributed ``value_codes`` path is used.
-MAX_DRIVER_LABELS = 100_000
+def join_codes(df: DataFrame, codes: dict[str, DataFrame]) -> DataFrame:
+    """``df`` with the codes of ``value_codes``; a null value, or one that the codes do not know, has a null code."""
+    for c, table in codes.items():
+        t = f"_{c}_text"
+        df = df.withColumn(t, F.col(c).cast("string")).join(table, t, "left").drop(t)
+    return df
 
 
-def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code",
-                 max_driver_labels: int = MAX_DRIVER_LABELS):
-    """Add ``{col}{suffix}`` = index of the value (as text) among the column's sorted distinct
-    values, for every column.
+def label_encode(df: DataFrame, cols=("market", "state", "district", "variety"), suffix: str = "_code"):
+    """Add ``{col}{suffix}`` = index of the value (as text, in byte order) among the column's sorted distinct
+    values, for every column (``value_codes``: distributed, nothing held by the driver at any size).
+    Returns (frame, {column: codes frame})."""
+    codes = value_codes(df, list(cols), suffix)
+    return join_codes(df, codes), codes
+
+
+@dataclass
+class Dummies:
+    """A fitted one-hot layout: codes per column, their number, and the ML stages."""
+
+    codes: dict[str, DataFrame]
+    sizes: dict[str, int]
+    stages: PipelineModel
 
-    One pass counts the distinct values per column.  Columns within ``max_driver_labels`` are
-    encoded with one multi-column ``StringIndexer`` fit (labels held by the driver, bounded by
-    the check); larger ones with ``value_codes`` (nothing held by the driver).  Both give the
-    same codes.  Returns (frame, {column: fitted encoder or codes frame}).
-    """
-    cols = list(cols)
-    counts = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    small = [c for c in cols if counts[c] <= max_driver_labels]
-    large = [c for c in cols if c not in small]
-    out, fitted = df, {}
-    if small:
-        model = label_indexer(small, suffix).setHandleInvalid("keep").fit(df)
-        out = model.transform(out).withColumns({f"{c}{suffix}": F.col(f"{c}{suffix}").cast("int") for c in small})
-        # a null value is not a label: keep its code null, as on the distributed path
-        out = out.withColumns({f"{c}{suffix}": F.when(F.col(c).isNotNull(), F.col(f"{c}{suffix}")) for c in small})
-        fitted.update({c: model for c in small})
-    if large:
-        codes = value_codes(df, large, suffix)
-        for c in large:
-            t = f"_{c}_text"
-            out = out.withColumn(t, F.col(c).cast("string")).join(codes[c], t, "left").drop(t)
-        fitted.update(codes)
-    return out, fitted
+
+def one_hot_fit(df: DataFrame, cols=("market", "state", "variety"), out: str = "dummies") -> Dummies:
+    """Fit a sparse one-hot layout of any number of values (first level dropped, as in ``get_dummies(drop_first=True)``).
+
+    Values are numbered by ``value_codes``, so neither a column per value nor a list of values exists;
+    the driver knows only how many values a column has."""
+    codes = value_codes(df, list(cols), "_slot")
+    sizes = {c: t.count() for c, t in codes.items()}
+    some = [c for c in cols if sizes[c] > 1]  # one value is the dropped level
+    coded = _slots(df, codes, sizes)
+    encoder = OneHotEncoder(inputCols=[f"{c}_slot" for c in some], outputCols=[f"_{c}_vector" for c in some], dropLast=True)
+    stages = [encoder, VectorAssembler(inputCols=[f"_{c}_vector" for c in some], outputCol=out)] if some else []
+    return Dummies(codes, sizes, Pipeline(stages=stages).fit(coded))
+
+
+def _slots(df: DataFrame, codes: dict[str, DataFrame], sizes: dict[str, int]) -> DataFrame:
+    """Codes turned so that the first value is last, the slot that the encoder drops; a null or unknown value also goes there."""
+    out = join_codes(df, codes)
+    return out.withColumns({f"{c}_slot": F.when(F.col(f"{c}_slot") > 0, F.col(f"{c}_slot") - 1).otherwise(F.lit(n - 1)) for c, n in sizes.items()})
+
+
+def one_hot_vectors(df: DataFrame, fitted: Dummies) -> DataFrame:
+    """``df`` with one sparse vector of the dummies of all columns, in the order of columns and values; all zeros
+    for values that the fit did not see."""
+    out = fitted.stages.transform(_slots(df, fitted.codes, fitted.sizes))
+    return out.drop(*[f"{c}_slot" for c in fitted.codes], *[f"_{c}_vector" for c in fitted.codes])
 
 
 def label_indexer(cols=("market", "state", "district", "variety"), suffix: str = "_code") -> StringIndexer:
@@ -118,15 +139,13 @@ def label_indexer(cols=("market", "state", "district", "variety"), suffix: str =
 
 
 def standard_scale(train: DataFrame, data: DataFrame, cols, suffix: str = "_scaled") -> DataFrame:
-    """(x - mean) / std with mean and population std of the training rows (zero std -> 1)."""
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
-    out = data
-    for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
-        sd = F.when(s == 0, F.lit(1.0)).otherwise(s)
-        out = out.withColumn(f"{c}{suffix}", (F.col(c) - m) / sd)
-    return out
+    """(x - mean) / std with mean and population std of the training rows (zero std -> 1).
+
+    The fit is one row, joined to ``data``: the training rows are read once for all columns."""
+    fit = train.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
+    out = data.crossJoin(F.broadcast(fit))  # one row
+    scaled = {f"{c}{suffix}": (F.col(c) - F.col(f"__m_{c}")) / F.when(F.col(f"__s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s_{c}")) for c in cols}
+    return out.withColumns(scaled).drop(*[f"__{k}_{c}" for k in "ms" for c in cols])
 
 
 SIMPLE_LAGS = (1, 7)

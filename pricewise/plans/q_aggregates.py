@@ -231,10 +231,7 @@ SELECT arg_min(model, (-r2, model)) AS best_model, {sround('max(r2)', 6)} AS bes
             ELSE 'none positive' END AS verdict
 FROM m""")
 def q_select_best_model(spark, sf):
-    pr = _predictors(spark, sf)
-    parts = [A.regression_metrics(pr, "modal_price", c).select(F.lit(c).alias("model"), "r2")
-             for c in ("naive", "weekly", "ma7")]
-    m = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    m = A.metrics_by_column(_predictors(spark, sf), ("naive", "weekly", "ma7"))
     return A.select_best_model(m).withColumn("best_r2", F.round("best_r2", 6))
 
 

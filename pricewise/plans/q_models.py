@@ -7,6 +7,7 @@ from ..operators import encode as E
 from ..operators import forecast as fc
 from ..operators import ml as M
 from ..operators.series import chrono_split
+from ..session import stored
 from ..sources.canonical import table
 from ..sources.files import new_output_path
 from .registry import query
@@ -40,8 +41,11 @@ def q_train_linear_one_feature(spark, sf):
 
 @query("train_linear")
 def q_train_linear(spark, sf):
-    tr, _ = _split(spark, sf)
-    return M.coefficients(M.train_linear(tr, M.SIMPLE_FEATURES), M.SIMPLE_FEATURES)
+    # with the dummies of market, state and variety as one sparse vector, however many values these have
+    tr = stored(_split(spark, sf)[0], "train")
+    tr = E.one_hot_vectors(tr, E.one_hot_fit(tr))
+    names = [*M.SIMPLE_FEATURES, "dummies"]
+    return M.coefficients(M.train_linear(tr, names, scale=False), names)
 
 
 @query("train_random_forest")
@@ -69,11 +73,54 @@ def q_train_seasonal(spark, sf):
     return M.train_seasonal(P(spark, sf), horizon=30)
 
 
-@query("forecast_recursive")
+@query("least_squares_by_market", """
+WITH d AS (SELECT market, ln(modal_price) AS y, date_diff('day', (SELECT min(date) FROM prices), date) / 365.25::DOUBLE AS t FROM prices)
+SELECT market, count(*) AS n, round(regr_slope(y, t), 8) AS slope, round(regr_intercept(y, t), 7) AS intercept FROM d GROUP BY market""")
+def q_least_squares_by_market(spark, sf):
+    # the fit of the seasonal curves on two columns: log price over years, one line per market
+    p = P(spark, sf)
+    d = p.select("market", F.log("modal_price").alias("y"), (F.datediff("date", p.agg(F.min("date")).scalar()) / 365.25).alias("t"))
+    return M.least_squares(d, ["t"], "y", ["market"]).select(
+        "market", "n", F.round(F.get("coef", F.lit(1)), 8).alias("slope"), F.round(F.get("coef", F.lit(0)), 7).alias("intercept"))
+
+
+@query("train_seasonal_by_market")
+def q_train_seasonal_by_market(spark, sf):
+    return M.train_seasonal(P(spark, sf), horizon=30, keys=["market"])
+
+
+@query("forecast_recursive", """
+WITH RECURSIVE f AS (
+    SELECT modal_price AS y, lag(modal_price, 1) OVER w AS a, lag(modal_price, 7) OVER w AS b,
+           avg(modal_price) OVER (w ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS c
+    FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id)),
+s AS (SELECT var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc,
+             covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my
+      FROM f WHERE b IS NOT NULL),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+k AS MATERIALIZED (SELECT (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS ka,
+             (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS kb,
+             (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS kc, ma, mb, mc, my FROM d),
+t AS (SELECT market, date, id, modal_price, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices),
+h AS (SELECT market, count(*) AS n, list(modal_price ORDER BY date, id) AS hist FROM t WHERE rn <= 7 GROUP BY market),
+path AS (SELECT market, 0 AS step, hist FROM h WHERE n >= 7
+         UNION ALL
+         SELECT market, step + 1, list_append(hist[2:7], my + ka * (hist[7] - ma) + kb * (hist[1] - mb) + kc * (list_sum(hist) / 7 - mc)) FROM path, k WHERE step < 30)
+SELECT market, step - 1 AS step, round(hist[7], 3) AS predicted_price, CAST((SELECT max(date) FROM prices) + step AS DATE) AS date, 'ok' AS status
+FROM path WHERE step > 0
+UNION ALL SELECT market, NULL, NULL, NULL, 'insufficient' FROM h WHERE n < 7""")
 def q_forecast_recursive(spark, sf):
     p = P(spark, sf)
     m = M.train_linear(M.recursive_training_frame(p), M.RECURSIVE_FEATURES)
-    return M.forecast_recursive(m, p, checkpoint_every=5)
+    return M.forecast_recursive(m, p).withColumn("predicted_price", F.round("predicted_price", 3))
+
+
+@query("forecast_recursive_trees")
+def q_forecast_recursive_trees(spark, sf):
+    # a model that is not linear: one transform over all markets for each step
+    p = P(spark, sf)
+    m = M.train_random_forest(M.recursive_training_frame(p), M.RECURSIVE_FEATURES, trees=20, depth=6)
+    return M.forecast_recursive(m, p, horizon=7, checkpoint_every=4)
 
 
 @query("save_load_model")

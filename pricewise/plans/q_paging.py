@@ -51,6 +51,15 @@ def q_paginate_clamped(spark, sf):
     return S.paginate(T(spark, sf, "predictions"), [F.col("forecast_date").desc(), F.col("id").desc()], 5, 10**9)
 
 
+@query("paginate_middle", f"""
+SELECT {PRICE_COLS} FROM prices ORDER BY market, date DESC, id
+LIMIT 50 OFFSET (SELECT CAST(floor(count(*) / 100) AS BIGINT) * 50 FROM prices)""")
+def q_paginate_middle(spark, sf):
+    p = T(spark, sf, "prices")
+    total = p.count()
+    return S.paginate(p, ["market", "-date", "id"], 50, total // 100 + 1, total)
+
+
 @query("page_after", f"""
 SELECT {PRICE_COLS} FROM prices WHERE date < DATE '2000-01-01' OR (date = DATE '2000-01-01' AND id < 0)
 ORDER BY date DESC, id DESC LIMIT 20""")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import encode as E
 from ..operators import series as S
+from ..session import stored
 from ..sources.canonical import table
 from .registry import query
 from .sqltext import mean, sround, window_mean
@@ -143,6 +144,19 @@ def q_one_hot(spark, sf):
     return d
 
 
+@query("one_hot_vectors", """
+WITH c AS (SELECT id, dense_rank() OVER (ORDER BY market) - 1 AS m, dense_rank() OVER (ORDER BY state) - 1 AS s,
+                  dense_rank() OVER (ORDER BY variety) - 1 AS v FROM prices),
+n AS (SELECT max(m) AS m, max(s) AS s, max(v) AS v FROM c),
+x AS (SELECT id, n.m + n.s + n.v AS size, list_filter([CASE WHEN c.m > 0 THEN c.m - 1 END, CASE WHEN c.s > 0 THEN n.m + c.s - 1 END,
+                                                       CASE WHEN c.v > 0 THEN n.m + n.s + c.v - 1 END], lambda i: i IS NOT NULL) AS places FROM c, n)
+SELECT id, '(' || size || ',[' || array_to_string(places, ',') || '],[' || array_to_string(list_transform(places, lambda i: '1.0'), ',') || '])' AS dummies FROM x""")
+def q_one_hot_vectors(spark, sf):
+    # market, state and variety, however many values they have, as one sparse vector (its text: size, places, ones)
+    p = P(spark, sf).select("id", "market", "state", "variety")
+    return E.one_hot_vectors(p, E.one_hot_fit(p)).select("id", F.col("dummies").cast("string").alias("dummies"))
+
+
 @query("label_encode", """
 SELECT id, CAST(dense_rank() OVER (ORDER BY market) - 1 AS INTEGER) AS market_code,
        CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code,
@@ -155,15 +169,16 @@ def q_label_encode(spark, sf):
 
 
 @query("standard_scale", f"""
-WITH s AS (SELECT *, row_number() OVER w <= floor(count(*) OVER (PARTITION BY market) * 0.8) AS is_train
+WITH s AS MATERIALIZED (SELECT id, modal_price, arrival_quantity, row_number() OVER w <= floor(count(*) OVER (PARTITION BY market) * 0.8) AS is_train
            FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id)),
-st AS (SELECT avg(modal_price) AS m1, stddev_pop(modal_price) AS s1, avg(arrival_quantity) AS m2,
+st AS MATERIALIZED (SELECT avg(modal_price) AS m1, stddev_pop(modal_price) AS s1, avg(arrival_quantity) AS m2,
               stddev_pop(arrival_quantity) AS s2 FROM s WHERE is_train)
 SELECT id, {sround('(modal_price - m1) / s1', 6)} AS modal_price_scaled,
        {sround('(arrival_quantity - m2) / s2', 6)} AS arrival_quantity_scaled
 FROM s, st WHERE NOT is_train""")
 def q_standard_scale(spark, sf):
-    s = S.chrono_split(P(spark, sf), 0.8)
+    # the split is written once: the fit and the scaled rows read it, the windows are planned once
+    s = stored(S.chrono_split(P(spark, sf).select("id", "market", "date", "modal_price", "arrival_quantity"), 0.8), "split")
     out = E.standard_scale(s.filter("is_train"), s.filter("NOT is_train"), ["modal_price", "arrival_quantity"])
     return out.select("id", F.round("modal_price_scaled", 6).alias("modal_price_scaled"),
                       F.round("arrival_quantity_scaled", 6).alias("arrival_quantity_scaled"))
@@ -311,8 +326,7 @@ def q_build_features_simple_leak_free_split(spark, sf):
 
 @_same_oracle("label_encode_distributed", "label_encode")
 def q_label_encode_distributed(spark, sf):
-    # the path taken for columns beyond the driver-label bound, forced here for every column
-    d, _ = E.label_encode(P(spark, sf), max_driver_labels=0)
+    d = E.join_codes(P(spark, sf), E.value_codes(P(spark, sf), ("market", "state", "district", "variety")))
     return d.select("id", "market_code", "state_code", "district_code", "variety_code")
 
 

@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job wants: AQE re-plans joins/partition counts from runtime sizes,
 # skew-join splits hot keys, and Arrow speeds the few pandas hand-offs.
@@ -62,6 +62,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared folder and read back: what several jobs read is computed
+    once, and a lost executor costs a read."""
+    path = shared_path(df.sparkSession, "stored", name, unique=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
     """A path under the shared folder; ``unique`` appends a fresh id (one per write)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -327,6 +327,7 @@ def with_tables(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({DUCKDB_CTES[n].strip()})" for n in used)
     body = sql.strip()
-    if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    head = re.match(r"WITH(\s+RECURSIVE)?\b", body, re.IGNORECASE)
+    if head:
+        return f"WITH{' RECURSIVE' if head[1] else ''} {ctes},\n{body[head.end():].lstrip()}"
     return f"WITH {ctes}\n{body}"

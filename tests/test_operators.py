@@ -105,8 +105,8 @@ def test_models_fit_and_reload(spark, tmp_path):
 
 
 def test_label_encode_paths_agree(spark, prices):
-    a, _ = E.label_encode(prices, ("market", "variety"))                       # driver-held labels
-    b, _ = E.label_encode(prices, ("market", "variety"), max_driver_labels=0)  # distributed
+    a, _ = E.label_encode(prices, ("market", "variety"))                       # distributed
+    b = E.label_indexer(("market", "variety")).fit(prices).transform(prices)   # labels held by the driver
     key = lambda df: sorted((r.id, r.market_code, r.variety_code) for r in df.collect())
     assert key(a) == key(b) == [(1, 0, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1)]
 
