@@ -2,7 +2,7 @@
 
 Literal text is matched literally: ``contains`` is used instead of ``like``/``ilike`` so
 that ``%`` and ``_`` in user input are not wildcards.  Parameters that mean "no filter"
-(None, '', 'All Markets', 'all') return ``lit(True)``; Catalyst folds it away.
+(None, '', 'All Markets') return ``lit(True)``; Catalyst folds it away.
 """
 
 from __future__ import annotations

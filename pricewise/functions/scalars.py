@@ -113,16 +113,22 @@ def impact_direction(impact) -> Column:
     return F.when(col(impact) > 0, "up").otherwise("down")
 
 
-def safe_subtract(value, arg) -> Column:
-    """value - arg; an unparseable side leaves value unchanged."""
-    v, a = col(value).try_cast("double"), col(arg).try_cast("double")
-    return F.coalesce(v - a, v)
+def _or_kept(number: Column, value: Column, keep_text: bool) -> Column:
+    """The computed number, else the value itself.  A column has one type: with ``keep_text`` it is text, and text that
+    is no number stays as it is; without, the value is numeric and stays a double."""
+    return F.coalesce(number.cast("string"), value.cast("string")) if keep_text else F.coalesce(number, value.try_cast("double"))
 
 
-def safe_multiply(value, arg) -> Column:
-    """value * arg; an unparseable side leaves value unchanged (as a number: text -> null)."""
-    v, a = col(value).try_cast("double"), col(arg).try_cast("double")
-    return F.coalesce(v * a, v)
+def safe_subtract(value, arg, keep_text: bool = False) -> Column:
+    """value - arg; an unparseable side leaves value unchanged (``keep_text`` for a column of text)."""
+    v, a = col(value).cast("string").try_cast("double"), col(arg).cast("string").try_cast("double")
+    return _or_kept(v - a, col(value), keep_text)
+
+
+def safe_multiply(value, arg, keep_text: bool = False) -> Column:
+    """value * arg; an unparseable side leaves value unchanged (``keep_text`` for a column of text)."""
+    v, a = col(value).cast("string").try_cast("double"), col(arg).cast("string").try_cast("double")
+    return _or_kept(v * a, col(value), keep_text)
 
 
 def safe_divide(value, arg) -> Column:
@@ -131,9 +137,9 @@ def safe_divide(value, arg) -> Column:
     return F.coalesce(F.try_divide(v, a), F.lit(0.0))
 
 
-def safe_abs(value) -> Column:
-    """|value|; unparseable text gives null (the value is not a number to keep)."""
-    return F.abs(col(value).try_cast("double"))
+def safe_abs(value, keep_text: bool = False) -> Column:
+    """|value|; unparseable text is left unchanged (``keep_text`` for a column of text)."""
+    return _or_kept(F.abs(col(value).cast("string").try_cast("double")), col(value), keep_text)
 
 
 def format_price(value, symbol: str = "₹") -> Column:
@@ -144,9 +150,12 @@ def format_price(value, symbol: str = "₹") -> Column:
 
 
 def format_price_lakh(value) -> Column:
-    """Integer part with Indian digit grouping (12,34,567)."""
-    s = F.round(col(value), 0).cast("long").cast("string")
-    return F.regexp_replace(s, r"(\d)(?=(\d\d)+\d$)", "$1,")
+    """Indian digit grouping with up to three decimals, zeros at the end left out (12,34,567.89)."""
+    v = F.round(col(value).cast("double"), 3)
+    text = F.format_string("%.3f", F.abs(v))
+    whole = F.regexp_replace(F.substring_index(text, ".", 1), r"(\d)(?=(\d\d)+\d$)", "$1,")
+    part = F.regexp_replace(F.substring_index(text, ".", -1), "0+$", "")
+    return F.when(v.isNotNull(), F.concat(F.when(v < 0, "-").otherwise(""), whole, F.when(part != "", F.concat(F.lit("."), part)).otherwise("")))
 
 
 def truncate_text(value, n: int) -> Column:

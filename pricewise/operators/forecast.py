@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import trend_class
+from ..session import stored
 from .series import KEYS, PRICE, _keys, as_of_column, exact_mean, nth_last, price_sum, tail, usable
 
 # Forecast constants of the app.
@@ -193,10 +194,32 @@ def forecast_7d(prices: DataFrame, as_of=None, horizon: int = 7, noise: float =
     hist = prices
     if window_days:
         hist = prices.filter((F.col("date") >= F.date_sub(a, window_days)) & (F.col("date") <= a))
-    fp = forecast_paths(latest_feature_row(hist, ks, price_col), horizon, noise, seed, ks, price_col, model)
-    return (fp.select(*ks, "initial_price", "trend", "lower_bound", "upper_bound",
-                      F.posexplode("path").alias("step", "predicted_price"))
-            .withColumn("date", F.date_add(a, F.col("step") + 1)))
+    return forecast_from_summary(series_summary(hist, 30, ks, price_col), a, horizon, noise, seed, ks, price_col, model)
+
+
+def market_summary(prices: DataFrame, as_of=None, keys=KEYS, price_col: str = PRICE, window_days: int = 730) -> DataFrame:
+    """``series_summary`` of the load window, written once (one row per series): trend and forecast read it, so the
+    windows over the prices are planned and run once."""
+    a = as_of_column(prices, as_of)
+    hist = prices.filter((F.col("date") >= F.date_sub(a, window_days)) & (F.col("date") <= a))
+    return stored(series_summary(hist, 30, keys, price_col), "summary")
+
+
+def trend_from_summary(s: DataFrame, keys=KEYS) -> DataFrame:
+    """``price_trend`` from a summary row: keys, current_price, trend, daily_change."""
+    change = F.try_divide(F.col("p1") - F.col("p2"), F.col("p2")) * 100
+    return s.select(*_keys(keys), F.col("p1").alias("current_price"), trend_class(F.coalesce(change, F.lit(0.0))).alias("trend"),
+                    F.coalesce(F.round(change, 2), F.lit(0.0)).alias("daily_change"))
+
+
+def forecast_from_summary(s: DataFrame, as_of: Column, horizon: int = 7, noise: float = 0.0, seed: int = 0, keys=KEYS,
+                          price_col: str = PRICE, model=None) -> DataFrame:
+    """``forecast_7d`` from a summary row."""
+    ks = _keys(keys)
+    rows = features_from_summary(s, ks, price_col).filter(F.col("n_rows") >= MIN_ROWS)
+    fp = forecast_paths(rows, horizon, noise, seed, ks, price_col, model)
+    return (fp.select(*ks, "initial_price", "trend", "lower_bound", "upper_bound", F.posexplode("path").alias("step", "predicted_price"))
+            .withColumn("date", F.date_add(as_of, F.col("step") + 1)))
 
 
 def forecast_bands(fc: DataFrame, pct: float = BAND_PCT) -> DataFrame:

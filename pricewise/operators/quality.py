@@ -129,16 +129,20 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
     return kept.unionByName(src.select(*cols))
 
 
-def check_unique_users(users: DataFrame, candidates: DataFrame) -> DataFrame:
+def check_unique_users(users: DataFrame, candidates: DataFrame, order_col: str | None = None) -> DataFrame:
     """Candidates tagged 'username exists' / 'email exists' / 'accepted' (joins, no loop).
 
+    Of candidates that share a name or an e-mail the first by ``order_col`` (unique) holds; without one, the
+    first as the rows stand, which for rows out of a shuffle is any of them.
+
     The stored users are matched against the candidates' names and e-mails (candidates on the
     build side), so a short candidate list never shuffles the user table."""
     names = (users.select(F.col("username").alias("_u"))
              .join(candidates.select(F.col("username").alias("_u")).distinct(), "_u", "left_semi").distinct())
     mails = (users.select(F.col("email").alias("_e"))
              .join(candidates.select(F.col("email").alias("_e")).distinct(), "_e", "left_semi").distinct())
-    c = (candidates.withColumn("_at", F.monotonically_increasing_id())
+    at = F.col(order_col) if order_col else F.monotonically_increasing_id()
+    c = (candidates.withColumn("_at", at)
          .join(names, candidates.username == names._u, "left")
          .join(mails, candidates.email == mails._e, "left"))
     # users are added one at a time: a name or an e-mail belongs to the first candidate that the stored users let pass

@@ -64,12 +64,13 @@ def drop_columns(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def prediction_details(predictions: DataFrame, models: DataFrame) -> DataFrame:
-    """Every prediction as a detail record: defaults for missing values, model name,
-    accuracy and absolute difference (0 when either price is missing or zero)."""
+    """Every prediction as a detail record: ``success`` and the nested ``prediction`` with defaults for missing
+    values, the model as a record of its own, the time of creation in ISO form, accuracy and absolute difference
+    (0 when either price is missing or zero)."""
     j = join_prediction_model(predictions, models)
     acc = accuracy_value("predicted_modal_price", "actual_price")
     ok = acc.isNotNull()
-    return j.select(
+    return j.select(F.lit(True).alias("success"), F.struct(
         "id",
         default_value("market", "-").alias("market"),
         F.date_format("forecast_date", "yyyy-MM-dd").alias("forecast_date"),
@@ -78,9 +79,10 @@ def prediction_details(predictions: DataFrame, models: DataFrame) -> DataFrame:
         F.coalesce("predicted_max_price", F.lit(0.0)).alias("predicted_max_price"),
         F.coalesce("confidence_interval", F.lit(0.0)).alias("confidence_interval"),
         F.when(F.col("actual_price") != 0, F.col("actual_price")).alias("actual_price"),
-        F.coalesce("model_name", F.lit("N/A")).alias("model_name"),
+        F.struct(F.coalesce("model_name", F.lit("N/A")).alias("name")).alias("model_used"),
+        F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
         F.coalesce(acc, F.lit(0.0)).alias("accuracy"),
-        F.when(ok, F.abs(F.col("predicted_modal_price") - F.col("actual_price"))).otherwise(F.lit(0.0)).alias("difference"))
+        F.when(ok, F.abs(F.col("predicted_modal_price") - F.col("actual_price"))).otherwise(F.lit(0.0)).alias("difference")).alias("prediction"))
 
 
 # ----------------------------------------------------------------------------- joins

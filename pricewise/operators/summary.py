@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .forecast import price_trend
+from .forecast import forecast_from_summary, market_summary, trend_from_summary
 from .selection import top_recent
+from .series import as_of_column
 
 
 def _count_row(df: DataFrame, name: str) -> DataFrame:
@@ -34,14 +35,20 @@ def home_summary(prices: DataFrame, factors: DataFrame, predictions: DataFrame,
             .unionByName(_count_row(predictions, "total_predictions")))
 
 
-def dashboard_summary(prices: DataFrame, factors: DataFrame, n_factors: int = 5) -> DataFrame:
-    """Per-market trend rows plus the first active factors."""
-    tr = price_trend(prices, rows=2).select(F.lit("trend").alias("section"), F.col("market").alias("label"),
-                                            F.col("trend").alias("text"), F.col("current_price").alias("value"))
+def dashboard_summary(prices: DataFrame, factors: DataFrame, n_factors: int = 5, as_of=None, horizon: int = 7, model=None) -> DataFrame:
+    """Per-market trend rows, the forecast of the next days (text: the day) and the first active factors.  Trend and
+    forecast come from one stored summary row per market."""
+    a = as_of_column(prices, as_of)
+    s = market_summary(prices, as_of)
+    tr = trend_from_summary(s).select(F.lit("trend").alias("section"), F.col("market").alias("label"),
+                                      F.col("trend").alias("text"), F.col("current_price").alias("value"))
+    days = forecast_from_summary(s, a, horizon, model=model).select(
+        F.lit("prediction").alias("section"), F.col("market").alias("label"), F.date_format("date", "yyyy-MM-dd").alias("text"),
+        F.col("predicted_price").alias("value"))
     fac = factors.filter("is_active").orderBy("id").limit(n_factors).select(
         F.lit("factor").alias("section"), F.col("name").alias("label"), F.col("factor_type").alias("text"),
         F.col("impact_score").alias("value"))
-    return tr.unionByName(fac)
+    return tr.unionByName(days).unionByName(fac)
 
 
 def historical_data(prices: DataFrame, market=None, start=None, end=None) -> DataFrame:
@@ -56,7 +63,6 @@ def prediction_results(predictions: DataFrame, market=None, date_range: str = "a
     """The results page: market (case-insensitive), prediction made within the last
     week/month/quarter, verified/pending, newest forecast first, first ``limit`` rows."""
     from ..functions import predicates as P
-    from .series import as_of_column
     a = as_of_column(predictions, as_of, "prediction_date")
     f = (P.iexact("market", market) & P.relative_range("prediction_date", date_range, a)
          & P.status("actual_price", status))
@@ -65,17 +71,17 @@ def prediction_results(predictions: DataFrame, market=None, date_range: str = "a
 
 def generate_predictions(prices: DataFrame, path: str, as_of=None, horizon: int = 7, market=None,
                          model=None, model_id=None) -> DataFrame:
-    """The generate-predictions job: history guards (table >= 30 rows in the load window,
-    series >= 7 rows), forecast every qualifying market (or those matching ``market``), append
+    """The generate-predictions job: history guards (>= 30 rows in the load window of the whole table, whatever
+    ``market`` asks for; series >= 7 rows), forecast every qualifying market (or those matching ``market``), append
     the rows to the predictions table at ``path``, and return what was written."""
     from ..functions import predicates as P
     from ..sources.files import to_prediction_rows
     from .forecast import forecast_7d
-    from .series import MIN_TOTAL_ROWS, as_of_column, load_recent_window
+    from .series import MIN_TOTAL_ROWS, load_recent_window
     a = as_of_column(prices, as_of)
-    hist = load_recent_window(prices.filter(P.contains("market", market)), a)
+    hist = load_recent_window(prices, a)
     enough = hist.agg(F.count(F.lit(1))).scalar() >= MIN_TOTAL_ROWS
-    fc = forecast_7d(hist, a, horizon, model=model, window_days=None).filter(enough)
+    fc = forecast_7d(hist.filter(P.contains("market", market)), a, horizon, model=model, window_days=None).filter(enough)
     rows = to_prediction_rows(fc, a, model_id)
     rows.write.mode("append").partitionBy("prediction_date").parquet(path)
     # read back with the known schema: a guarded-out run writes no data files at all
@@ -103,8 +109,8 @@ def training_report(prices: DataFrame, models=("lr", "rf", "xgb"), frac: float =
                                         F.col("mae").alias("value")))
     best = (metrics.orderBy(F.col("r2").desc(), "model").limit(1)
             .select(F.lit("best").alias("section"), F.col("model").alias("name"), F.col("r2").alias("value")))
-    prof = profile_numeric(prices, exact_median=False).select(
-        F.lit("profile").alias("section"), F.lit("mean").alias("name"), F.col("mean").alias("value"))
+    prof = profile_numeric(prices).unpivot([], ["min", "max", "mean", "median", "std"], "name", "value") \
+        .select(F.lit("profile").alias("section"), "name", "value")
     span = profile_date_span(prices).select(F.lit("profile").alias("section"), F.lit("days").alias("name"),
                                             F.col("total_days").cast("double").alias("value"))
     return rows.unionByName(best).unionByName(prof).unionByName(span)

@@ -176,10 +176,10 @@ SELECT p.id, coalesce(nullif(p.market, ''), '-') AS market, strftime(p.forecast_
        coalesce(p.predicted_max_price, 0.0) AS predicted_max_price,
        coalesce(p.confidence_interval, 0.0) AS confidence_interval,
        CASE WHEN p.actual_price <> 0 THEN p.actual_price END AS actual_price,
-       coalesce(m.name, 'N/A') AS model_name,
+       coalesce(m.name, 'N/A') AS model_name, strftime(p.created_at, '%Y-%m-%dT%H:%M:%S') AS created_at,
        {sround(f"coalesce(CASE WHEN {_ACC_OK} THEN 100 - abs(p.predicted_modal_price - p.actual_price) / p.actual_price * 100 END, 0.0)", 8)} AS accuracy,
        {sround(f"CASE WHEN {_ACC_OK} THEN abs(p.predicted_modal_price - p.actual_price) ELSE 0.0 END", 8)} AS difference
 FROM predictions p LEFT JOIN models m ON p.model_used_id = m.id""")
 def q_prediction_details(spark, sf):
-    d = S.prediction_details(T(spark, sf, "predictions"), T(spark, sf, "models"))
-    return d.withColumn("accuracy", F.round("accuracy", 8)).withColumn("difference", F.round("difference", 8))
+    d = S.prediction_details(T(spark, sf, "predictions"), T(spark, sf, "models")).select("prediction.*")
+    return d.withColumn("model_name", F.col("model_used.name")).drop("model_used").withColumn("accuracy", F.round("accuracy", 8)).withColumn("difference", F.round("difference", 8))

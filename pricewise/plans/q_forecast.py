@@ -147,8 +147,8 @@ SELECT td.market, 'FARMER', td.trend, 'DELAY_SELL', printf('Prices expected to r
 FROM td JOIN fa ON td.market = fa.market WHERE fa.avg_predicted > td.current_price * 1.05""")
 def q_recommend(spark, sf):
     p = _prices(spark, sf)
-    h = load_recent_window(p)
-    return fc.recommend(fc.price_trend(h, 2), fc.forecast_7d(p))
+    s = fc.market_summary(p)
+    return fc.recommend(fc.trend_from_summary(s), fc.forecast_from_summary(s, p.agg(F.max("date")).scalar()))
 
 
 @query("market_analysis", forecast_sql(bands=True) + "," + _TREND_SQL.replace("tt AS", "tt0 AS", 0) + f""",

@@ -138,7 +138,14 @@ def q_forecast_7d_model(spark, sf):
     return fc.forecast_bands(fc.forecast_7d(P(spark, sf), model=m))
 
 
-@query("one_hot_align")
+@query("one_hot_align", """
+WITH t AS (SELECT market, arg_max(district, (date, id)) AS district, arg_max(variety, (date, id)) AS variety FROM prices GROUP BY market HAVING count(*) >= 7)
+SELECT market, CAST(district = 'AMERICA' AS INTEGER) AS district_AMERICA, CAST(district = 'ASIA' AS INTEGER) AS district_ASIA,
+       CAST(district = 'EUROPE' AS INTEGER) AS district_EUROPE, CAST(district = 'MIDDLE EAST' AS INTEGER) AS "district_MIDDLE EAST",
+       CAST(variety = 'LARGE' AS INTEGER) AS variety_LARGE, CAST(variety = 'MEDIUM' AS INTEGER) AS variety_MEDIUM,
+       CAST(variety = 'PROMO' AS INTEGER) AS variety_PROMO, CAST(variety = 'SMALL' AS INTEGER) AS variety_SMALL,
+       CAST(variety = 'STANDARD' AS INTEGER) AS variety_STANDARD
+FROM t""")
 def q_one_hot_align(spark, sf):
     p = P(spark, sf)
     _, layout = E.one_hot(p, ("district", "variety"))

@@ -124,15 +124,18 @@ SELECT id,
          AS doubled,
        coalesce(CASE WHEN confidence_interval - 50 <> 0 THEN predicted_modal_price / (confidence_interval - 50) END, 0.0)
          AS per_point,
-       abs(TRY_CAST(market AS DOUBLE)) AS abs_text, abs(actual_price - predicted_modal_price) AS abs_diff
-FROM predictions""")
+       coalesce(CAST(abs(TRY_CAST(market AS DOUBLE)) AS VARCHAR), market) AS abs_text,
+       coalesce(CAST(TRY_CAST(market AS DOUBLE) - id AS VARCHAR), market) AS less_text,
+       coalesce(CAST(TRY_CAST(t AS DOUBLE) * 2 AS VARCHAR), t) AS twice_text, abs(actual_price - predicted_modal_price) AS abs_diff
+FROM (SELECT *, CASE WHEN id % 3 = 0 THEN 'n/a' ELSE CAST(id % 1000 AS VARCHAR) END AS t FROM predictions)""")
 def q_safe_arith(spark, sf):
     p = T(spark, sf, "predictions")
     return p.select("id", X.safe_subtract("actual_price", "predicted_modal_price").alias("diff"),
                     X.safe_multiply("confidence_interval",
                                     F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise(F.lit("2"))).alias("doubled"),
                     X.safe_divide("predicted_modal_price", F.col("confidence_interval") - 50).alias("per_point"),
-                    X.safe_abs("market").alias("abs_text"),
+                    X.safe_abs("market", keep_text=True).alias("abs_text"), X.safe_subtract("market", "id", keep_text=True).alias("less_text"),
+                    X.safe_multiply(F.when(F.col("id") % 3 == 0, "n/a").otherwise((F.col("id") % 1000).cast("string")), F.lit(2), keep_text=True).alias("twice_text"),
                     X.safe_abs(F.col("actual_price") - F.col("predicted_modal_price")).alias("abs_diff"))
 
 
@@ -146,11 +149,16 @@ def q_format_price(spark, sf):
                     X.format_price("market").alias("market_text"))
 
 
-@query("format_price_lakh")
+@query("format_price_lakh", f"""
+WITH t AS (SELECT id, v < 0 AS minus, printf('%.3f', abs(v)) AS s FROM (SELECT id, {sround('predicted_modal_price * 100 - 30000.5', 3)} AS v FROM predictions)),
+x AS (SELECT id, minus, split_part(s, '.', 1) AS w, rtrim(split_part(s, '.', 2), '0') AS f FROM t)
+SELECT id, CASE WHEN minus THEN '-' ELSE '' END
+           || CASE WHEN length(w) <= 3 THEN w ELSE ltrim(reverse(regexp_replace(reverse(left(w, length(w) - 3)), '(..)', '\\1,', 'g')), ',') || ',' || right(w, 3) END
+           || CASE WHEN f <> '' THEN '.' || f ELSE '' END AS lakh_text
+FROM x""")
 def q_format_price_lakh(spark, sf):
-    # RE2 (the oracle's regex engine) has no lookahead, so this one is checked on rows only.
     p = T(spark, sf, "predictions")
-    return p.select("id", X.format_price_lakh(F.col("predicted_modal_price") * 100).alias("lakh_text"))
+    return p.select("id", X.format_price_lakh(F.col("predicted_modal_price") * 100 - 30000.5).alias("lakh_text"))
 
 
 @query("truncate_text", """
@@ -179,7 +187,9 @@ def q_json_preferences(spark, sf):
     return p.select("user_id", m["k"].alias("pref_k"), F.size(m).alias("n_keys"))
 
 
-@query("json_preferences_roundtrip")
+@query("json_preferences_roundtrip", """
+SELECT user_id, '{' || coalesce((SELECT string_agg('"' || k || '":"' || json_extract_string(preferences, '$."' || k || '"') || '"', ',')
+                                 FROM (SELECT unnest(json_keys(preferences)) AS k)), '') || '}' AS preferences FROM profiles""")
 def q_json_preferences_roundtrip(spark, sf):
     # map -> text -> map round trip (text formatting differs between engines: rows only)
     p = T(spark, sf, "profiles")

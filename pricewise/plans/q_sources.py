@@ -8,6 +8,7 @@ from ..operators import forecast as fc
 from ..schemas import PRICES
 from ..sources import files as IO
 from ..sources.canonical import materialize, table
+from .q_forecast import forecast_sql
 from .registry import query
 from .sqltext import AS_OF_PRICES, sround
 
@@ -93,7 +94,6 @@ def q_append_prices(spark, sf):
 
 
 def _save_predictions_sql():
-    from .q_forecast import forecast_sql
     return forecast_sql() + f"""
 SELECT a.as_of AS prediction_date, fc.date AS forecast_date, market,
        predicted_price * 0.95 AS predicted_min_price, predicted_price * 1.05 AS predicted_max_price,
@@ -184,9 +184,10 @@ def q_prices_json(spark, sf):
     return IO.prices_json(T(spark, sf, "prices"), None, 60, "SUPPLIER#000000011")
 
 
-@query("prediction_json")
+@query("prediction_json", forecast_sql() + """
+SELECT market, step, '{"date":"' || strftime(date, '%Y-%m-%d') || '","predicted_price":' || CAST(predicted_price AS VARCHAR)
+       || ',"lower_bound":' || CAST(predicted_price * 0.95::DOUBLE AS VARCHAR) || ',"upper_bound":' || CAST(predicted_price * 1.05::DOUBLE AS VARCHAR) || '}' AS json FROM fc""")
 def q_prediction_json(spark, sf):
-    # JSON number formatting of arbitrary doubles differs between engines: rows only
     return IO.prediction_json(fc.forecast_7d(T(spark, sf, "prices")))
 
 
@@ -208,8 +209,8 @@ def q_home_summary(spark, sf):
     return home_summary(*_summary_parts(spark, sf))
 
 
-@query("dashboard_summary", """
-WITH t AS (SELECT market, modal_price, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM prices),
+@query("dashboard_summary", forecast_sql() + """,
+t AS (SELECT market, modal_price, row_number() OVER (PARTITION BY market ORDER BY date DESC, id DESC) AS rn FROM h),
 g AS (SELECT market, max(CASE WHEN rn = 1 THEN modal_price END) AS c, max(CASE WHEN rn = 2 THEN modal_price END) AS p
       FROM t WHERE rn <= 2 GROUP BY market)
 SELECT 'trend' AS section, market AS label,
@@ -217,6 +218,7 @@ SELECT 'trend' AS section, market AS label,
             WHEN coalesce((c - p) / p * 100, 0) < -5 THEN 'Decreasing Rapidly' WHEN coalesce((c - p) / p * 100, 0) < -2 THEN 'Decreasing'
             ELSE 'Stable' END AS text, c AS value
 FROM g
+UNION ALL SELECT 'prediction', market, strftime(date, '%Y-%m-%d'), predicted_price FROM fc
 UNION ALL SELECT * FROM (SELECT 'factor', name, factor_type, impact_score FROM factors WHERE is_active ORDER BY id LIMIT 5)""")
 def q_dashboard_summary(spark, sf):
     from ..operators.summary import dashboard_summary

@@ -26,7 +26,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..session import shared_path
 
@@ -193,18 +192,30 @@ _MEMO: dict[tuple, DataFrame] = {}
 LAYOUT_VERSION = 3
 
 
-def _source_signature(sf_dir: str) -> str:
+def _store(spark: SparkSession, path: str):
+    """(Hadoop file system, path): any store that Spark reads, local folders included."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _source_signature(spark: SparkSession, sf_dir: str) -> str:
+    """From the place of the source tables, and from the size, number of files and time of each."""
     h = hashlib.sha1(os.path.abspath(sf_dir).encode() if "://" not in sf_dir else sf_dir.encode())
     h.update(f"layout:{LAYOUT_VERSION}".encode())
-    if "://" not in sf_dir:
-        for t in RAW_TABLES:
-            p = os.path.join(sf_dir, f"{t}.parquet")
-            if os.path.exists(p):
-                st = os.stat(p)
-                h.update(f"{t}:{st.st_size}:{int(st.st_mtime)}".encode())
+    for t in RAW_TABLES:
+        fs, p = _store(spark, f"{sf_dir}/{t}.parquet")
+        if fs.exists(p):
+            size = fs.getContentSummary(p)
+            h.update(f"{t}:{size.getLength()}:{size.getFileCount()}:{fs.getFileStatus(p).getModificationTime()}".encode())
     return h.hexdigest()[:16]
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """A copy counts once its writer has committed it."""
+    fs, p = _store(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
 # Literal tables are built in place, never written.
 LITERAL = {"models"}
 
@@ -212,17 +223,13 @@ LITERAL = {"models"}
 def materialize(spark: SparkSession, sf_dir: str, names=None, force: bool = False) -> dict[str, str]:
     """Write the canonical tables derived from the driver's data to the shared folder once;
     return name -> path."""
-    sig = _source_signature(sf_dir)
+    sig = _source_signature(spark, sf_dir)
     out = {}
     for name in names or [n for n in CANONICAL if n not in LITERAL]:
         path = shared_path(spark, "pricewise-tables", sig, name)
-        if not force:
-            try:
-                spark.read.parquet(path).schema
-                out[name] = path
-                continue
-            except AnalysisException:
-                pass
+        if not force and _complete(spark, path):
+            out[name] = path
+            continue
         df = BUILDERS[name](spark, sf_dir)
         if name in _LAYOUT:
             key = _LAYOUT[name]

@@ -6,9 +6,9 @@ import __spark_entry__ as E
 from pricewise.sources import files as IO
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"format_price_lakh", "json_preferences_roundtrip", "prediction_json", "train_linear",
+ROWS_ONLY = {"train_linear",
              "train_random_forest", "train_boosted_trees", "train_all", "train_seasonal",
-             "train_seasonal_by_market", "forecast_recursive_trees", "save_load_model", "forecast_7d_model", "one_hot_align", "save_model", "load_model",
+             "train_seasonal_by_market", "forecast_recursive_trees", "save_load_model", "forecast_7d_model", "save_model", "load_model",
              "training_report"}
 
 needs_data = pytest.mark.skipif(not os.path.exists(SF), reason="driver test data not present")

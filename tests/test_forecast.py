@@ -114,3 +114,5 @@ def test_generate_predictions_guards_and_writes(spark, tmp_path):
     out = generate_predictions(big, str(tmp_path / "p2")).collect()
     assert sorted({r.market for r in out}) == ["A", "B"] and len(out) == 14
     assert {r.confidence_interval for r in out} == {85.0, 80.0, 75.0, 70.0, 65.0, 60.0, 55.0}
+    # the guard counts the whole table, not the rows of the market asked for
+    assert sorted({r.market for r in generate_predictions(big, str(tmp_path / "p3"), market="a").collect()}) == ["A"]

@@ -34,6 +34,15 @@ def test_season_and_lakh(spark):
     assert [r.s for r in df.select(X.season("m").alias("s")).collect()] == [3, 3, 0, 0, 0, 1, 1, 1, 1, 2, 2, 3]
     v = spark.createDataFrame([(1234567.0,)], "v double").select(X.format_price_lakh("v").alias("t")).first().t
     assert v == "12,34,567"
+    texts = [(1234567.89, "12,34,567.89"), (-1234.5, "-1,234.5"), (999.0, "999"), (0.1255, "0.126"), (100000.0, "1,00,000"), (None, None)]
+    got = spark.createDataFrame([(a,) for a, _ in texts], "v double").select(X.format_price_lakh("v").alias("t")).collect()
+    assert [r.t for r in got] == [t for _, t in texts]
+
+
+def test_arithmetic_keeps_text(spark):
+    df = spark.createDataFrame([("n/a", "2"), ("-3", "2"), ("-3", "x"), (None, "2")], "v string, a string")
+    got = df.select(X.safe_subtract("v", "a", keep_text=True), X.safe_multiply("v", "a", keep_text=True), X.safe_abs("v", keep_text=True), X.safe_divide("v", "a")).collect()
+    assert [tuple(r) for r in got] == [("n/a", "n/a", "n/a", 0.0), ("-5.0", "-6.0", "3.0", -1.5), ("-3", "-3", "3.0", 0.0), (None, None, None, 0.0)]
 
 
 def test_exact_quantile_matches_numpy(spark):

@@ -136,6 +136,8 @@ def test_flags_changes_and_candidates(spark):
     users = spark.createDataFrame([("old", "o@x")], "username string, email string")
     new = spark.createDataFrame([("a", "a@x"), ("a", "b@x"), ("c", "a@x"), ("old", "z@x")], "username string, email string").coalesce(1)
     got = {(r.username, r.email): r.status for r in Q.check_unique_users(users, new).collect()}
+    twins = spark.createDataFrame([(i, "same", f"{i}@x") for i in (5, 2, 9)], "n long, username string, email string").repartition(3)
+    assert {r.n: r.status for r in Q.check_unique_users(users, twins, order_col="n").collect()} == {2: "accepted", 5: "username exists", 9: "username exists"}
     assert got == {("a", "a@x"): "accepted", ("a", "b@x"): "username exists", ("c", "a@x"): "email exists", ("old", "z@x"): "username exists"}
     names = spark.createDataFrame([("all",), ("b",)], "name string")
     assert names.filter(P.contains("name", "all")).count() == 1 and names.filter(~P.exact("name", "all")).count() == 1
