@@ -85,14 +85,8 @@ def loaded(ranks_path: str, pattern: str) -> Assembler:
     return _LOADED[ranks_path]
 
 
-def ordered(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text: dealt by conversation, in order within each."""
-    return (conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-            .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"))
-
-
-def format_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per turn in order: conv_id, turn, ids, loss_mask (0/1 per id), formatted text."""
+def encoded_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """One row per turn, where it stands: conv_id, turn, role, text, ids, loss_mask (0/1 per id)."""
     python_ready(conversations.sparkSession)
 
     def run(batches):
@@ -101,25 +95,71 @@ def format_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> Dat
 
         a = loaded(ranks_path, pattern)
         for b in batches:
-            ids, masks, texts = [], [], []
+            ids, masks = [], []
             for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 i, steps = a.turn_ids(role, text)
                 ids.append(i)
                 masks.append(np.cumsum(steps[:-1]).astype(np.int8))
-                texts.append(a.read(i)[2])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8())), pa.array(texts, pa.string())], names=["conv_id", "turn", "ids", "loss_mask", "formatted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int8()))], names=["conv_id", "turn", "role", "text", "ids", "loss_mask"])
 
-    return ordered(conversations).mapInArrow(run, "conv_id bigint, turn bigint, ids array<int>, loss_mask array<tinyint>, formatted string")
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, ids array<int>, loss_mask array<tinyint>")
 
 
-def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per conversation, read back from ids and mask: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens."""
-    turns = format_turns(conversations, ranks_path, pattern)  # in order; the next step runs in the same task
+def read_turns(turns: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """What ids and masks say, each decoded once: conv_id, turn, role, text, loss (text under the mask; null if it is
+    the whole text), formatted, n_tokens, loss_tokens."""
+    def run(batches):
+        import pyarrow as pa
+
+        a = loaded(ranks_path, pattern)
+        for b in batches:
+            rows = []
+            for ids, mask in zip(b.column(2), b.column(3)):
+                ids, mask = ids.values.to_numpy(), mask.values.to_numpy().astype(bool)
+                role, text, formatted = a.read(ids.tolist())
+                loss = unescaped(a.enc.decode(ids[mask].tolist()))
+                rows.append((role, text, None if loss == text else loss, formatted, len(ids), int(mask.sum())))
+            cols = list(zip(*rows)) if rows else [()] * 6
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["conv_id", "turn", "role", "text", "loss", "formatted", "n_tokens", "loss_tokens"])
+
+    return turns.select("conv_id", "turn", "ids", "loss_mask").mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, loss string, formatted string, n_tokens bigint, loss_tokens bigint")
+
+
+def in_order(turns: DataFrame) -> DataFrame:
+    """Dealt by conversation, in order within each."""
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def format_turns(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """One row per turn in order: conv_id, turn, ids, loss_mask (0/1 per id), formatted text.  Turns are encoded where
+    they stand, before they are dealt, so a conversation of any length is encoded by all tasks."""
+    turns = encoded_turns(conversations, ranks_path, pattern)
 
     def run(batches):
         import pyarrow as pa
 
         a = loaded(ranks_path, pattern)
+        for b in batches:
+            texts = [a.read(ids)[2] for ids in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "formatted"])
+
+    made = turns.mapInArrow(run, "conv_id bigint, turn bigint, role string, text string, ids array<int>, loss_mask array<tinyint>, formatted string")
+    return in_order(made).select("conv_id", "turn", "ids", "loss_mask", "formatted")
+
+
+def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Per conversation, read back from ids and mask: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_tokens, loss_tokens.
+
+    Encoding and reading back are done turn by turn before the shuffle; only the digests, which need the order,
+    run behind it."""
+    read = read_turns(encoded_turns(conversations, ranks_path, pattern), ranks_path, pattern)
+    turns = in_order(read.withColumn("formatted_chars", F.char_length("formatted")).drop("formatted"))
+
+    def run(batches):
+        import pyarrow as pa
+
         state, out = None, []
 
         def done():
@@ -135,22 +175,21 @@ def conversation_digests(conversations: DataFrame, ranks_path: str, pattern: str
             return made
 
         for b in batches:
-            for conv, ids, mask in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for conv, role, text, loss, n_tokens, loss_tokens, formatted_chars in zip(*[c.to_pylist() for c in b.columns]):
                 if state is None or state[0] != conv:
                     done()
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                role, text, formatted = a.read(ids)
+                loss = text if loss is None else loss
                 state[1] += 1
                 state[2].update(f"{role}\n{text}\n".encode())
-                loss = unescaped(a.enc.decode([i for i, m in zip(ids, mask) if m]))
                 state[3] += len(loss)
                 state[4].update(loss.encode())
-                state[5] += len(formatted)
-                state[6] += len(ids)
-                state[7] += sum(mask)
+                state[5] += formatted_chars
+                state[6] += n_tokens
+                state[7] += loss_tokens
             if len(out) >= 5000:
                 yield batch()
         done()
         yield batch()
 
-    return turns.mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")
+    return turns.drop("turn").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_tokens bigint, loss_tokens bigint")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricewise.llm.common import python_ready, text_or_empty
+from pricewise.llm.common import keep, python_ready, text_or_empty
 
 #: Lengths per block of the suffix sums.
 BLOCK = 4096
@@ -50,7 +50,8 @@ def encoded_lengths(df: DataFrame, ranks_path: str, pattern: str, text: str = "t
 def length_histogram(lengths: DataFrame) -> DataFrame:
     """Per distinct length: n_docs, and for that length as the context limit: docs_within, tokens_within,
     docs_longer, truncated_total (sum of min(length, limit)), total_tokens, quantile (share of documents within)."""
-    by_length = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # One row per length, written once: both levels of the suffix sums read it, and no text is encoded again.
+    by_length = keep(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     by_length = by_length.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = by_length.groupBy("block").agg(F.sum("n_docs").alias("b_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("b_tokens"))
     # One row per block: as many as the longest text has blocks of lengths, whatever the number of documents.

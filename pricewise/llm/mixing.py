@@ -7,13 +7,15 @@ hash of (seed, doc_id, copy).  Means over ``PIECE`` are sums of independent smal
 distribution tables stay short and exp() cannot underflow.
 
 Sizes are code points of text, summed per source before the shuffle.  Rates have one row per source
-and join to the documents; Spark broadcasts them only under its size limit and else splits hot
-sources (adaptive skew join).
+and are written as a table of their own, so that Spark knows their size when it plans the join with the
+documents: under its limit they are broadcast and texts move only once, in the final shuffle; beyond it
+hot sources are split (adaptive skew join).
 
 Defined cases: null source is a source of its own; null text has size 0; a source of size 0 gets
 rate 0 unless all sources are empty (then 1); null doc_id hashes as ``null``; repeated rows of one
-doc_id get the same count; an empty table gives an empty table; other columns are carried along,
-whatever their names (they travel inside one struct).
+doc_id get the same count; an empty table gives an empty table; other columns are carried along
+inside one struct, whatever their names; one named like an output is replaced by it (or stays, where no
+outputs are asked for).
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricewise.llm.common import keep
+
 #: Largest mean that is inverted at once; the table of its distribution function ends below 2**-52.
 PIECE = 16.0
 TAIL = 80
@@ -54,9 +58,9 @@ def with_tables(rated: DataFrame) -> DataFrame:
         F.expr("aggregate(pmf, cast(array() as array<double>), (a, p) -> array_append(a, coalesce(try_element_at(a, -1), 0D) + p))").alias("cdf"))
 
 
-def replicate(docs: DataFrame, seed: int = 17, power: float = 0.7, total_rate: float = 1.0, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Columns of docs, then ``mix_copy`` (from 0) and ``mix_key``; partitions hold random documents, sorted by the key."""
-    table = with_tables(rates(docs, power, total_rate, source, text))
+def replicate(docs: DataFrame, seed: int = 17, power: float = 0.7, total_rate: float = 1.0, doc_id: str = "doc_id", source: str = "source", text: str = "text", outputs: bool = True) -> DataFrame:
+    """Columns of docs, then (with ``outputs``) ``mix_copy`` (from 0) and ``mix_key``; partitions hold random documents, sorted by the key."""
+    table = keep(with_tables(rates(docs, power, total_rate, source, text)), "rates")
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
     joined = packed.join(table, F.col(f"d.`{source}`").eqNullSafe(F.col("source")))
     draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda j: uniform(F.lit(seed), F.col(f"d.`{doc_id}`"), j))
@@ -64,5 +68,6 @@ def replicate(docs: DataFrame, seed: int = 17, power: float = 0.7, total_rate: f
     count = F.aggregate("draws", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda c: c < u)))
     copies = joined.select("d", "cdf", draws.alias("draws")).select("d", count.alias("n")).where("n > 0").select("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed} order"), F.coalesce(F.col(f"d.`{doc_id}`").cast("string"), F.lit("null")), F.col("mix_copy").cast("string"))))
-    spread = keyed.repartition(F.col("mix_key"))
-    return spread.sortWithinPartitions("mix_key").select("d.*", "mix_copy", "mix_key")
+    spread = keyed.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    more = ["mix_copy", "mix_key"] if outputs else []
+    return spread.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in more], *more)

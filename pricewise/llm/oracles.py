@@ -20,29 +20,34 @@ _FOUND = r"""
 
 
 def _secrets() -> str:
-    from pricewise.llm.secret_scan import ACCESS, ASSIGN, HEX, WINDOW
+    from pricewise.llm.secret_scan import ACCESS, ALLOWED, ASSIGN, HEX, WINDOW
 
     assign = ASSIGN.replace("'", "''")
     found = [_FOUND.format(no=n, pattern=p) for n, p in enumerate((assign, ACCESS, HEX, "[A-Za-z0-9+/=_-]{20,}"))]
+    allowed = "|".join(f"(?:{p})" for p in ALLOWED)
+    known = _FOUND.replace("FROM d)", "FROM (SELECT cid AS rid, s AS t FROM candidate))").format(no=4, pattern=allowed)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(found)}),
-base AS (SELECT rid, kind_no, start, start + length(s) AS fin FROM found
+base AS (SELECT rid, kind_no, start::BIGINT AS start, (start + length(s))::BIGINT AS fin FROM found
          WHERE kind_no < 3 AND (kind_no > 0 OR length(regexp_extract(s, '{assign}', 2)) >= 6)),
-candidate AS (
-    SELECT row_number() OVER () AS cid, f.* FROM found f WHERE kind_no = 3
-      AND NOT regexp_matches(s, '(?i)example|placeholder|0123456789|abcdefghij')
-      AND NOT regexp_matches(s, '(?i)^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$')
-      AND NOT regexp_matches(s, '^[-=_+/]|[-=_]{{4}}')
-      AND replace(s, s[1], '') <> ''
-      AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = f.rid AND b.start < f.start + length(f.s) AND f.start < b.fin)),
+candidate AS (SELECT row_number() OVER () AS cid, rid, s, start::BIGINT AS start, (start + length(s))::BIGINT AS fin FROM found WHERE kind_no = 3),
+known AS ({known}),
+cut AS (SELECT cid, b.start AS a, b.fin AS z FROM candidate c JOIN base b ON b.rid = c.rid AND b.start < c.fin AND c.start < b.fin
+        UNION ALL SELECT cid, (c.start + k.start)::BIGINT, (c.start + k.start + length(k.s))::BIGINT FROM candidate c JOIN known k ON k.rid = c.cid
+        UNION ALL SELECT cid, fin, fin FROM candidate),
+gap AS (SELECT cid, a, z, max(z) OVER (PARTITION BY cid ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM cut),
+piece AS (SELECT cid, rid, greatest(coalesce(upto, start), start) AS start, a AS fin, substr(s, greatest(coalesce(upto, start), start) - start + 1, a - greatest(coalesce(upto, start), start)) AS s, a < c.fin AS inner_
+          FROM gap JOIN candidate c USING (cid) WHERE a - greatest(coalesce(upto, start), start) >= {WINDOW}),
+core AS (SELECT *, row_number() OVER () AS pid, regexp_replace(CASE WHEN inner_ THEN regexp_replace(s, '[-=_+/]+$', '') ELSE s END, '^[-=_+/]+', '') AS k FROM piece),
 need AS (
-    SELECT *, CASE WHEN regexp_matches(s, '^[0-9a-fA-F]*$') THEN 2.9::DOUBLE
-                   WHEN regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[0-9]') THEN 3.6::DOUBLE
-                   WHEN regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, '[0-9]') THEN 3.5::DOUBLE ELSE 4.15::DOUBLE END AS bits FROM candidate),
-letter AS (SELECT cid, pos, substr(s, pos + k, 1) AS c FROM need, generate_series(1, length(s) - {WINDOW - 1}) AS a(pos), generate_series(0, {WINDOW - 1}) AS o(k)),
-entropy AS (SELECT cid, pos, -sum(n / {WINDOW}.0::DOUBLE * log2(n / {WINDOW}.0::DOUBLE)) AS h FROM (SELECT cid, pos, c, count(*)::DOUBLE AS n FROM letter GROUP BY ALL) GROUP BY ALL),
-added AS (SELECT rid, 3 AS kind_no, start + min(pos) - 1 AS start, start + max(pos) - 1 + {WINDOW} AS fin FROM need JOIN entropy USING (cid) WHERE h >= bits GROUP BY cid, rid, start),
+    SELECT *, CASE WHEN regexp_matches(k, '^[0-9a-fA-F]*$') THEN 2.9::DOUBLE
+                   WHEN regexp_matches(k, '[a-z]') AND regexp_matches(k, '[A-Z]') AND regexp_matches(k, '[0-9]') THEN 3.6::DOUBLE
+                   WHEN regexp_matches(k, '[A-Za-z]') AND regexp_matches(k, '[0-9]') THEN 3.5::DOUBLE ELSE 4.15::DOUBLE END AS bits FROM core
+    WHERE NOT regexp_matches(k, '(?i)^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$') AND NOT (k <> '' AND replace(k, k[1], '') = '')),
+letter AS (SELECT pid, pos, substr(s, pos + o, 1) AS c FROM need, generate_series(1, length(s) - {WINDOW - 1}) AS a(pos), generate_series(0, {WINDOW - 1}) AS o(o)),
+entropy AS (SELECT pid, pos, -sum(n / {WINDOW}.0::DOUBLE * log2(n / {WINDOW}.0::DOUBLE)) AS h FROM (SELECT pid, pos, c, count(*)::DOUBLE AS n FROM letter GROUP BY ALL) GROUP BY ALL),
+added AS (SELECT rid, 3 AS kind_no, start + min(pos) - 1 AS start, start + max(pos) - 1 + {WINDOW} AS fin FROM need JOIN entropy USING (pid) WHERE h >= bits GROUP BY pid, rid, start),
 spans AS (SELECT rid, kind_no, start, ['assign', 'access', 'hex', 'entropy'][kind_no + 1] || ':' || start::BIGINT || ':' || fin::BIGINT AS said
           FROM (SELECT * FROM base UNION ALL SELECT * FROM added))
 SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
@@ -87,14 +92,14 @@ again AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM win, generate
 m AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '{_BLANK}', '', 'g')) AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
              coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines FROM d LEFT JOIN again USING (rid)),
-r AS (SELECT rid, lang, source, 'symbols' AS k, 100 AS slack, n_symbols * 1000 // greatest(n_words, 1) AS v FROM m
-      UNION ALL SELECT rid, lang, source, 'dup_lines', 400, n_dup_lines * 1000 // greatest(n_lines, 1) FROM m
-      UNION ALL SELECT rid, lang, source, 'repeats', 200, n_repeat_words * 1000 // greatest(n_words, 1) FROM m
-      UNION ALL SELECT rid, lang, source, 'word_len', 3000, word_chars * 1000 // greatest(n_words, 1) FROM m),
+r AS (SELECT rid, lang, source, 'symbols' AS k, 100 AS slack, 1000 AS most, n_symbols * 1000 // greatest(n_words, 1) AS v FROM m
+      UNION ALL SELECT rid, lang, source, 'dup_lines', 400, 700, n_dup_lines * 1000 // greatest(n_lines, 1) FROM m
+      UNION ALL SELECT rid, lang, source, 'repeats', 200, 500, n_repeat_words * 1000 // greatest(n_words, 1) FROM m
+      UNION ALL SELECT rid, lang, source, 'word_len', 3000, 20000, word_chars * 1000 // greatest(n_words, 1) FROM m),
 b AS (SELECT *, v - v % pow(2, greatest(0, length(bin(v)) - 5))::BIGINT AS b FROM r),
-q AS (SELECT lang, source, k, slack, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.9) AS high FROM b GROUP BY ALL),
+q AS (SELECT lang, source, k, slack, most, quantile_disc(b, 0.5) AS mid, quantile_disc(b, 0.75) AS high FROM b GROUP BY ALL),
 bad AS (SELECT DISTINCT rid FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source AND r.k = q.k
-        WHERE v > mid + greatest(q.slack, 4 * (high - mid)))
+        WHERE v > least(mid + greatest(q.slack, 4 * (high - mid)), q.most))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.rid IS NULL AS kept

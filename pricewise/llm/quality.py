@@ -4,8 +4,9 @@ Fixed part (base): a text fails with under 50 words, or when over half of its wo
 windows that occur twice or more in it.  Adaptive part: four ratios per document go into quantile
 sketches per (language, source) - counts in buckets of bounded relative width, which merge by
 addition, so partial sums run before the shuffle and a hot group costs no more than its buckets.
-A threshold is the sketch's median plus ``REACH`` times the distance to its upper quantile, but at
-least ``SLACK`` above the median; documents join to their group's thresholds and fall out above one.
+A threshold is the sketch's median plus ``REACH`` times the distance to its upper quartile, but at
+least ``SLACK`` above the median and at most ``CEILING``, so that a group in which up to a quarter of the
+documents is junk still loses it; documents join to their group's thresholds and fall out above one.
 
 Defined cases: null text = no words; null language or source is a group of its own; ties share a
 bucket; repeated rows count each; an empty table gives an empty result.  Other columns are not read
@@ -24,9 +25,11 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Sub-buckets per power of two: a bucket is at most 1/16 wide, relative to its values.
 SUB = 16
-UPPER, REACH = 0.90, 4
+UPPER, REACH = 0.75, 4
 #: Least distance of a threshold from the median, in thousandths (word length: of a character): one repeated line in a text of three is not an outlier.
 SLACK = {"symbols": 100, "dup_lines": 400, "repeats": 200, "word_len": 3000}
+#: Largest threshold: a symbol a word, seven lines in ten, the base rule's share of repeats, twenty characters a word.
+CEILING = {"symbols": 1000, "dup_lines": 700, "repeats": 10 * MAX_REPEAT_PERCENT, "word_len": 20_000}
 
 
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,8 +83,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     q = up.groupBy("lang", "source", "k").agg(
         F.min(F.when(F.col("upto") >= F.col("of") * F.lit(0.5), F.col("b"))).alias("mid"),
         F.min(F.when(F.col("upto") >= F.col("of") * F.lit(UPPER), F.col("b"))).alias("high"))
-    slack = F.coalesce(*[F.when(F.col("k") == k, F.lit(v)) for k, v in SLACK.items()])
-    limit = F.col("mid") + F.greatest(slack, REACH * (F.col("high") - F.col("mid")))
+    of = lambda table: F.coalesce(*[F.when(F.col("k") == k, F.lit(v)) for k, v in table.items()])
+    limit = F.least(F.col("mid") + F.greatest(of(SLACK), REACH * (F.col("high") - F.col("mid"))), of(CEILING))
     return q.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("k", limit.cast("long").alias("v")))).alias("limits"))
 
 
@@ -99,12 +102,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
     written once, as both the sketches and the joined filter need them."""
     m = measure(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "m")
     m = keep(m, "quality")
-    return judged(m, thresholds(m)).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+    return judged(m, keep(thresholds(m), "limits")).select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns.  Texts are measured twice rather than moved."""
+    """The documents that are kept, with all their columns.  Documents are measured once and written with their
+    measures, of which the sketches then read only columns of numbers; the thresholds, a few rows a group, are a table
+    whose size Spark knows, so that it is broadcast while it is small and no text is dealt by group."""
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("d"))
     packed = packed.select("d", F.col("d.lang").alias("lang"), F.col("d.source").alias("source"), F.col("d.text").alias("text"))
-    limits = thresholds(measure(packed).select("lang", "source", "m"))
-    return judged(measure(packed), limits).where("kept").select("d.*")
+    measured = keep(measure(packed).select("d", "lang", "source", "m"), "measured")
+    return judged(measured, keep(thresholds(measured), "limits")).where("kept").select("d.*")

@@ -52,24 +52,55 @@ WHOLE = ("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$", r"^(.)\1*$")
 FRONT, BACK = "^[-=_+/]+", "[-=_+/]+$"
 
 
+#: Elements of an array that a running value passes at a time, and code points of a stretch of text that lists its base matches.
+RUN, STRETCH = 256, 4096
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once, however often and in whatever lambda it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, add, zero: Column) -> Column:
+    """For each element, what ``add`` (associative) makes of ``zero`` and all elements before it; the last entry has all.
+
+    In runs of RUN elements and then over the runs, so arrays that grow step by step stay short."""
+    def grow(array: Column) -> Column:
+        start = F.struct(zero.alias("now"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(array, start, lambda a, x: F.struct(add(a["now"], x).alias("now"), F.array_append(a["out"], a["now"]).alias("out")))
+
+    def over(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda k: grow(F.slice(v, k * RUN + 1, F.lit(RUN))))
+        return let(runs, lambda r: let(grow(F.transform(r, lambda x: x["now"])), lambda o: F.array_append(
+            F.flatten(F.zip_with(r, o["out"], lambda x, n: F.transform(x["out"], lambda w: add(n, w)))), o["now"])))
+
+    return let(values, over)
+
+
 def places(text: Column, pattern: str) -> Column:
     """Array of (start, end, s) of the leftmost non-overlapping matches."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        at = a["pos"] + F.char_length(x["gap"])
-        end = at + F.char_length(x["s"])
-        return F.struct(end.alias("pos"), F.array_append(a["out"], F.struct(at.alias("start"), end.alias("end"), x["s"].alias("s"))).alias("out"))
+    def placed(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda s, gap: F.struct(F.char_length(gap).alias("gap"), s.alias("s")))
+        out = lambda p: F.zip_with(p, F.slice(before(F.transform(p, lambda x: x["gap"] + F.char_length(x["s"])), lambda a, x: a + x, F.lit(0)), F.lit(1), F.size(p)),
+                                   lambda x, n: F.struct((n + x["gap"]).alias("start"), (n + x["gap"] + F.char_length(x["s"])).alias("end"), x["s"].alias("s")))
+        return F.when(F.size(found) > 0, let(pairs, out)).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)"))
+
+    return let(found, placed)
+
 
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda s, gap: F.struct(gap.alias("gap"), s.alias("s")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,s:string>>)"))
+def by_stretch(base: Column, chars: Column) -> Column:
+    """For every STRETCH of a text the spans of ``base`` that touch it, so that a place need not look at all of them."""
+    return F.transform(F.sequence(F.lit(0), F.floor(chars / STRETCH).cast("int")), lambda k: F.filter(base, lambda b: (b["start"] < (k + 1) * STRETCH) & (b["end"] > k * STRETCH)))
 
 
-def rests(s: Column, base: Column, allowed: tuple[str, ...]) -> Column:
-    """Array of (start, s, core) of what the matches of ``base`` and ``allowed`` leave of candidate ``s``; ``core`` is without the signs at its ends."""
-    cuts = F.filter(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def rests(s: Column, stretches: Column, allowed: tuple[str, ...]) -> Column:
+    """Array of (start, s, core) of what the base matches (``by_stretch``) and ``allowed`` leave of candidate ``s``; ``core`` is without the signs at its ends."""
+    first, last = F.floor(s["start"] / STRETCH).cast("int"), F.floor(s["end"] / STRETCH).cast("int")
+    near = F.flatten(F.slice(stretches, first + 1, last - first + 1))
+    cuts = F.filter(near, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     cuts = F.transform(cuts, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
     if allowed:
         known = places(s["s"], "|".join(f"(?:{p})" for p in allowed))
@@ -121,7 +152,7 @@ def scan(docs: DataFrame, text: str = "text", allowed: tuple[str, ...] = ALLOWED
     shape = lambda c, n: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("kind_no"), s["end"].alias("end")))
     long_enough = F.filter("assign", lambda s: F.char_length(F.regexp_extract(s["s"], ASSIGN, 2)) >= LEAST_VALUE)
     x = x.withColumn("base", F.concat(shape(long_enough, 0), shape(F.col("access"), 1), shape(F.col("hex"), 2)))
-    left = F.flatten(F.transform("keys", lambda s: rests(s, F.col("base"), allowed)))
+    left = let(by_stretch(F.col("base"), F.char_length("t")), lambda near: F.flatten(F.transform("keys", lambda s: rests(s, near, allowed))))
     parts = F.transform(left, lambda s: F.struct(s["start"].alias("start"), busy_part(s["s"], s["core"]).alias("p")))
     added = F.transform(F.filter(parts, lambda s: s["p"].isNotNull()), lambda s: F.struct((s["start"] + s["p"]["first"]).alias("start"), F.lit(3).alias("kind_no"), (s["start"] + s["p"]["last"] + WINDOW).alias("end")))
     return x.select("d", "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.when(F.size("keys") > 0, added).otherwise(F.expr("cast(array() as array<struct<start:int,kind_no:int,end:int>>)")))).alias("spans"))
@@ -150,14 +181,14 @@ def span_digests(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span replaced by a mark, overlapping spans by one; ``n_chars``, where there is one, follows."""
     x = scan(docs, text)
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    upto = before(F.transform("spans", lambda s: s["end"]), lambda a, e: F.greatest(a, e), F.lit(0))
 
-    def step(a: Column, s: Column) -> Column:
-        inside = s["start"] < a["pos"]
-        out = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.substring(F.col("t"), a["pos"] + 1, s["start"] - a["pos"]), F.lit(mark)))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"), out.alias("out"))
+    def marked(upto: Column) -> Column:
+        parts = F.zip_with("spans", F.slice(upto, F.lit(1), F.size("spans")), lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(
+            F.concat(F.substring(F.col("t"), at + 1, s["start"] - at), F.lit(mark))))
+        return F.concat(F.array_join(parts, ""), F.substring(F.col("t"), F.element_at(upto, -1) + 1, F.char_length("t")))
 
-    clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("t"), a["pos"] + 1, F.char_length("t") - a["pos"])))
+    clean = let(upto, marked)
     x = x.withColumn("clean", F.when(F.size("spans") > 0, clean).otherwise(F.col(f"d.`{text}`")))
     out = []
     for c, kind in docs.dtypes:

@@ -129,7 +129,7 @@ def test_quality_thresholds(odd_docs, odd_rows):
             v = int(r[k])
             groups.setdefault((r["lang"], r["source"]), {}).setdefault(k, []).append(v - v % 2 ** max(0, v.bit_length() - 5))
     q = lambda vs, p: sorted(vs)[max(0, math.ceil(p * len(vs)) - 1)]
-    want = {g: {k: q(vs, 0.5) + max(Q.SLACK[k], Q.REACH * (q(vs, Q.UPPER) - q(vs, 0.5))) for k, vs in x.items()} for g, x in groups.items()}
+    want = {g: {k: min(q(vs, 0.5) + max(Q.SLACK[k], Q.REACH * (q(vs, Q.UPPER) - q(vs, 0.5))), Q.CEILING[k]) for k, vs in x.items()} for g, x in groups.items()}
     assert {g: (got[g], want[g]) for g in want if got[g] != want[g]} == {} and len(got) == len(want)
     m.unpersist()
 
