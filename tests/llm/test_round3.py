@@ -325,3 +325,35 @@ def test_many_matches_in_one_text(spark):
     assert len(spans) == 4 * n and spans[-4:] == [f"{k}:{a + len(part) * (n - 1)}:{b + len(part) * (n - 1)}" for k, a, b in
                                                   (("access", 2, 22), ("assign", 23, 37), ("entropy", 38, 63), ("assign", 63, 76))]
     assert redact(df).first().text == "é [SECRET] [SECRET] [SECRET][SECRET] " * n
+
+
+@pytest.mark.parametrize("percent", [60, 85, 100])
+def test_merged_group_over_several_sizes(spark, monkeypatch, percent):
+    """One shingle shared by texts from a few words to hundreds, in small blocks: links only between near sizes, and none lost."""
+    from pricewise.llm import jaccard as J
+    from test_copies import plain_classes
+    monkeypatch.setattr(J, "HOT", 4)
+    monkeypatch.setattr(J, "BLOCK", 6)
+    rnd = random.Random(percent)
+    rows = []
+    for base in range(6):
+        words = ["all", "share", "these", "four"] + [f"w{base}_{i}" for i in range(rnd.randint(5, 200))]
+        for _ in range(15):
+            w = list(words)
+            for _ in range(rnd.randint(0, max(1, len(w) // 40))):
+                w[rnd.randrange(4, len(w))] = f"x{rnd.randrange(40)}"
+            rows.append((len(rows), " ".join(w[:len(w) - rnd.randint(0, 3)])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = plain_classes([{"doc_id": d, "text": t} for d, t in rows], 4, percent)
+    assert sorted(map(tuple, J.classes(df, 4, percent).collect())) == sorted(want)
+
+
+def test_signatures_that_share_a_half(spark, monkeypatch):
+    """Strangers with one first half of a signature stay apart (the second half tells them apart)."""
+    from pricewise.llm import jaccard as J
+    rows = [(i, " ".join(f"w{i // 2}_{k}" for k in range(20))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    whole = J.signature
+    monkeypatch.setattr(J, "signature", lambda x: (whole(x)[0] % 3, whole(x)[1]))
+    got = sorted(map(tuple, J.classes(df, 4, 85).collect()))
+    assert got == [(i, 17, i - i % 2) for i in range(40)]
