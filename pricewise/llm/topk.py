@@ -4,8 +4,10 @@ Vectors are cut into blocks where they are read; each block of rows meets each b
 task, so nothing is gathered whole.  Both blocks are indexed by a cover tree: a node's children are a
 farthest-first net of its points, each with its exact covering radius.  A pair of nodes is dropped
 when <qc, c> + |qc| r + |c| rq + r rq, the most that any of its pairs can score, is under the worst
-kth score of the node's queries; pairs are visited in order of that bound.  The best k per block are
-then ranked over all blocks.
+kth score of the node's queries; pairs are visited in order of that bound.  A task builds each tree once and
+carries the kth scores of a block of queries from one block of rows to the next.  The best k per task are then
+ranked over all tasks.  A net of at most NET points can end a level before the radius is halved: radii are
+exact all the same, so bounds hold.
 
 Components are floor(1024 * x), scores are exact integers (sums over 2**53 are an error).
 Defined cases: vectors that are null or hold null or non-finite components take no part; ties go to
@@ -26,6 +28,8 @@ from pricewise.llm.common import python_ready
 SCALE = 1024.0
 ROWS, QUERIES = 2048, 1024
 LEAF, NET = 32, 48
+#: Blocks of queries whose trees and scores a task keeps.
+HELD = 64
 
 
 class Tree:
@@ -71,33 +75,47 @@ class Tree:
         return top
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, ids, scores) of each query's k best among the rows; ids of -1 are no result."""
-    q, d = Tree(queries), Tree(rows)
-    qid, did = query_ids[q.order], ids[d.order]
-    best, who = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
-
-    def bound(x, y):
-        return float(x.centre @ y.centre) + x.norm * y.radius + y.norm * x.radius + x.radius * y.radius + 1e-6 * (1 + x.norm * y.norm)
-
-    todo = [(bound(q.root, d.root), q.root, d.root)]
-    while todo:
-        most, x, y = todo.pop()
-        if most < best[x.a:x.b, -1].min():
-            continue
-        if y.children and (not x.children or y.radius >= x.radius):
-            todo += sorted(((bound(x, c), x, c) for c in y.children), key=lambda t: t[0])
-        elif x.children:
-            todo += sorted(((bound(c, y), c, y) for c in x.children), key=lambda t: t[0])
-        else:
-            score = q.points[x.a:x.b] @ d.points[y.a:y.b].T
-            score[qid[x.a:x.b, None] == did[None, y.a:y.b]] = -np.inf
-            s = np.concatenate([best[x.a:x.b], score], axis=1)
-            w = np.concatenate([who[x.a:x.b], np.broadcast_to(did[y.a:y.b], score.shape)], axis=1)
-            top = np.lexsort((w, -s), axis=1)[:, :k]
-            best[x.a:x.b], who[x.a:x.b] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-    who[np.isneginf(best)] = -1
-    return qid, who, best
+class Asked:
+    """A block of queries: its tree, and the best k found so far for each query."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.tree, self.k = Tree(queries), k
+        self.ids = ids[self.tree.order]
+        self.best, self.who = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def search(self, did: np.ndarray, d: Tree) -> None:
+        """Take in the rows of another tree (``did``: their ids in tree order); what was found before prunes it."""
+        def bound(x, y):
+            return float(x.centre @ y.centre) + x.norm * y.radius + y.norm * x.radius + x.radius * y.radius + 1e-6 * (1 + x.norm * y.norm)
+
+        q, qid, best, who = self.tree, self.ids, self.best, self.who
+        todo = [(bound(q.root, d.root), q.root, d.root)]
+        while todo:
+            most, x, y = todo.pop()
+            if most < best[x.a:x.b, -1].min():
+                continue
+            if y.children and (not x.children or y.radius >= x.radius):
+                todo += sorted(((bound(x, c), x, c) for c in y.children), key=lambda t: t[0])
+            elif x.children:
+                todo += sorted(((bound(c, y), c, y) for c in x.children), key=lambda t: t[0])
+            else:
+                score = q.points[x.a:x.b] @ d.points[y.a:y.b].T
+                score[qid[x.a:x.b, None] == did[None, y.a:y.b]] = -np.inf
+                some = np.flatnonzero((score >= best[x.a:x.b, -1:]).any(axis=1)) + x.a  # the others keep what they have
+                if not len(some):
+                    continue
+                score = score[some - x.a]
+                s = np.concatenate([best[some], score], axis=1)
+                w = np.concatenate([who[some], np.broadcast_to(did[y.a:y.b], score.shape)], axis=1)
+                top = np.lexsort((w, -s), axis=1)[:, :self.k]
+                best[some], who[some] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+
+    def found(self):
+        """query_id, vec_id and score of what was found."""
+        import pyarrow as pa
+
+        ok = ~np.isneginf(self.best.ravel())
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.k)[ok]), pa.array(self.who.ravel()[ok]), pa.array(self.best.ravel()[ok].astype(np.int64))], names=["query_id", "vec_id", "score"])
 
 
 def blocks(vectors: DataFrame, most: int) -> DataFrame:
@@ -141,15 +159,25 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, vec: str =
     ask = blocks(asked, QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
     def run(batches):
-        import pyarrow as pa
-
+        held: dict[tuple, Asked] = {}  # the blocks of queries met last, with what was found for them
+        last, did, tree = None, None, None
         for b in batches:
             for dim, ids, data, q_ids, q_data in zip(*(c.to_pylist() for c in b.columns)):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                q, who, best = search(q_ids, np.frombuffer(q_data).reshape(len(q_ids), dim), ids, np.frombuffer(data).reshape(len(ids), dim), k)
-                ok = ~np.isneginf(best.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[ok]), pa.array(who.ravel()[ok]), pa.array(best.ravel()[ok].astype(np.int64))], names=["query_id", "vec_id", "score"])
-
-    found = rows.join(ask, ["dim", "salt"]).select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+                if last != (dim, ids):  # a block of rows meets all blocks of queries before the next one comes
+                    tree = Tree(np.frombuffer(data).reshape(len(ids) // 8, dim))
+                    last, did = (dim, ids), np.frombuffer(ids, np.int64)[tree.order]
+                asked = held.pop((dim, q_ids), None)
+                if asked is None:
+                    if len(held) >= HELD:
+                        yield held.pop(next(iter(held))).found()
+                    asked = Asked(np.frombuffer(q_ids, np.int64), np.frombuffer(q_data).reshape(len(q_ids) // 8, dim), k)
+                held[dim, q_ids] = asked
+                asked.search(did, tree)
+        for asked in held.values():
+            yield asked.found()
+
+    # (a given number of partitions: few bytes, but much work, which must not be put together into fewer tasks)
+    dealt = rows.repartition(salts, "dim", "salt").join(ask.repartition(salts, "dim", "salt").hint("merge"), ["dim", "salt"])
+    found = dealt.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
