@@ -162,6 +162,74 @@ SELECT record_id, key AS canonical_url, s AS at_s, CASE WHEN etag = theirs THEN
                                     || 'etag: ' || etag || chr(10) || 'server: s0' END AS headers
 FROM x"""
 
+#: CRC-32 of the id's digits by its definition, bit by bit; then every pair of equal words, whose unbroken rows at one distance are the
+#: stretches with that period, of which those of a multiple of a smaller period fall out.
+PERIODS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+                  CASE WHEN doc_id IS NOT NULL THEN list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)) END AS digits FROM documents),
+c AS (SELECT rid, doc_id, w, len(w) AS n, xor(list_reduce(digits, lambda crc, b: list_reduce([xor(crc, b), 1, 2, 3, 4, 5, 6, 7, 8],
+                 lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295::BIGINT) AS h FROM d),
+g AS (SELECT *, h // 10 AS g FROM c),
+a AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM g),
+t AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM a),
+word AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM t),
+pair AS (SELECT u.rid, u.i, v.i - u.i AS p FROM word u JOIN word v ON u.rid = v.rid AND u.x = v.x AND u.i < v.i),
+isle AS (SELECT rid, p, i, i - row_number() OVER (PARTITION BY rid, p ORDER BY i) AS k FROM pair),
+run AS (SELECT rid, p, min(i) AS s, max(i) + p + 1 AS e FROM isle GROUP BY rid, p, k HAVING count(*) + p >= greatest(12, 2 * p)),
+best AS (SELECT * FROM run r WHERE NOT EXISTS (SELECT 1 FROM run q WHERE q.rid = r.rid AND q.p < r.p AND r.p % q.p = 0 AND q.s <= r.s AND q.e >= r.e)),
+per AS (SELECT rid, count(*) AS n_runs, arg_min(struct_pack(s := s, l := e - s, p := p), (s - e, s, p)) AS m,
+               string_agg(s || ',' || (e - s) || ',' || p || chr(10), '' ORDER BY s, p) AS said FROM best GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + p, e)) AS i FROM best),
+kept AS (SELECT word.rid, string_agg(x, ' ' ORDER BY word.i) AS said FROM word ANTI JOIN gone ON word.rid = gone.rid AND word.i = gone.i GROUP BY word.rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, m.s AS start, m.l AS length, m.p AS period, 1000 * m.l // m.p AS exponent_milli,
+       sha256(coalesce(per.said, '')) AS runs_sha256, sha256(coalesce(kept.said, '')) AS collapsed_sha256
+FROM t LEFT JOIN per USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+
+def _simhash() -> str:
+    """XXH64 from its definition, in 128-bit integers modulo 2**64, over distinct shingles; then bits and all pairs."""
+    p1, p2, p3, p4, p5 = (f"{v}::UHUGEINT" for v in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole = "18446744073709551616::UHUGEINT"
+    add = lambda *x: "((" + " + ".join(x) + f") % {whole})"
+    mul = lambda a, b: f"(({a} * {b}) % {whole})"
+    rot = lambda a, r: f"((({a} * {1 << r}::UHUGEINT) % {whole}) + {a} // {1 << (64 - r)}::UHUGEINT)"
+    let = lambda value, use: f"list_transform([{value}], lambda v: {use})[1]"
+    fold = lambda start, items, step: f"list_reduce(list_prepend({start}, {items}), lambda h, x: {step})"
+    turn = lambda acc, lane: mul(let(add(acc, mul(lane, p2)), rot("v", 31)), p1)
+    seeds = (add("42::UHUGEINT", p1, p2), add("42::UHUGEINT", p2), "42::UHUGEINT", add("42::UHUGEINT", whole, f"({whole} - {p1})"))
+    lanes = ", ".join(f"{fold(z, f'list_filter(lanes[1:stripes * 4], lambda x, i: i % 4 = {(k + 1) % 4})', turn('h', 'x'))} AS v{k}" for k, z in enumerate(seeds))
+    merged = add(*(rot(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))
+    for k in range(4):
+        merged = add(mul(f"xor({merged}, {turn('0::UHUGEINT', f'v{k}')})", p1), p4)
+    eight = add(mul(let(f"xor(h, {turn('0::UHUGEINT', 'x')})", rot("v", 27)), p1), p4)
+    four = add(mul(let(f"xor(h, {mul('x', p1)})", rot("v", 23)), p2), p3)
+    one = mul(let(f"xor(h, {mul('x', p5)})", rot("v", 11)), p1)
+    last = mul(let(mul(let("h", "xor(v, v // 8589934592::UHUGEINT)"), p2), "xor(v, v // 536870912::UHUGEINT)"), p3)
+    little = lambda n, at: "('0x' || " + " || ".join(f"substr(x, 2 * ({at} + {k}) + 1, 2)" for k in reversed(range(n))) + ")::UBIGINT::UHUGEINT"
+    return rf"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS rid, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+sh AS (SELECT rid, array_to_string(w[i:i + 3], ' ') AS s FROM d, generate_series(1, greatest(len(w) - 3, 1)) AS g(i) WHERE len(w) > 0),
+b AS (SELECT s, hex(encode(s)) AS x, length(hex(encode(s))) // 2 AS n FROM (SELECT DISTINCT s FROM sh)),
+l AS (SELECT s, x, n, n // 32 AS stripes, list_transform(range(n // 8), lambda i: {little(8, "8 * i")}) AS lanes FROM b),
+v AS (SELECT *, {lanes} FROM l),
+h0 AS (SELECT *, {add(f"CASE WHEN n >= 32 THEN {merged} ELSE {add('42::UHUGEINT', p5)} END", "n::UHUGEINT")} AS h FROM v),
+h1 AS (SELECT s, x, n, {fold("h", "lanes[stripes * 4 + 1:]", eight)} AS h FROM h0),
+h2 AS (SELECT s, x, n, n - n % 4 AS m, CASE WHEN n % 8 >= 4 THEN list_transform([{little(4, "(n - n % 8)")}], lambda x: {four})[1] ELSE h END AS h FROM h1),
+h3 AS (SELECT s, {fold("h", "list_transform(range(m, n), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::UBIGINT::UHUGEINT)", one)} AS h FROM h2),
+h4 AS (SELECT s, {let(last, "xor(v, v // 4294967296::UHUGEINT)")}::UBIGINT AS h FROM h3),
+bits AS (SELECT rid, k, count(*) FILTER (h // (1::UBIGINT << k) % 2 = 1) AS n, count(*) AS of FROM sh JOIN h4 USING (s), generate_series(0, 63) AS g(k) GROUP BY rid, k),
+fp AS (SELECT d.rid, doc_id, coalesce(bit_or(1::UBIGINT << k) FILTER (2 * n > of), 0::UBIGINT) AS fp FROM d LEFT JOIN bits USING (rid) GROUP BY d.rid, doc_id),
+one AS (SELECT fp, min(doc_id) AS least FROM fp GROUP BY fp),
+link AS (SELECT a.fp AS x, b.fp AS y FROM one a JOIN one b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)::UHUGEINT::HUGEINT) <= 4),
+reach AS (SELECT fp AS x, fp AS y FROM one UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT doc_id, lpad(lower(to_hex(fp.fp)), 16, '0') AS fingerprint, c.component_id
+FROM fp JOIN (SELECT r.x, min(o.least) AS component_id FROM reach r JOIN one o ON o.fp = r.y GROUP BY r.x) c ON c.x = fp.fp"""
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scans": _secrets(), "op2_chat_formatting": CHAT, "op3_source_mixing": MIXING, "op4_quality_rules": QUALITY, "op5_jaccard_join": JACCARD,
-    "op6_suffix_dedup": SUFFIXES, "op9_exact_topk": TOPK, "op10_warc_revisits": REVISITS}
+    "op6_suffix_dedup": SUFFIXES, "op9_exact_topk": TOPK, "op10_warc_revisits": REVISITS,
+    "op11_simhash_dedup": _simhash(), "op13_periodic_runs": PERIODS}

@@ -357,3 +357,22 @@ def test_signatures_that_share_a_half(spark, monkeypatch):
     monkeypatch.setattr(J, "signature", lambda x: (whole(x)[0] % 3, whole(x)[1]))
     got = sorted(map(tuple, J.classes(df, 4, 85).collect()))
     assert got == [(i, 17, i - i % 2) for i in range(40)]
+
+
+def test_revisit_validators(spark):
+    """Each rule that accepts or refuses a response: entity tags first, then the time of change, then the digest."""
+    from datetime import datetime
+
+    from pricewise.llm.revisits import resolve
+    cases = [  # response headers, digest; revisit headers, digest; outcome
+        ({"etag": "1"}, "a", {"ETag": "W/1"}, "b", "resolved"), ({"etag": "1"}, "a", {"ETag": "2"}, "a", "changed"),
+        ({"Last-Modified": "x"}, "a", {"last-modified": "x"}, "b", "resolved"), ({"Last-Modified": "x"}, "a", {"last-modified": "y"}, "a", "changed"),
+        ({"etag": "1", "Last-Modified": "x"}, "a", {"last-modified": "y"}, "a", "changed"), ({"etag": "1"}, "a", {"last-modified": "y"}, "a", "resolved"),
+        ({}, "a", {}, "a", "resolved"), ({}, "a", {}, "b", "changed"), (None, "a", None, None, "resolved"), ({"etag": "1"}, None, {}, "b", "resolved")]
+    rows = []
+    for i, (rh, rd, vh, vd, _) in enumerate(cases):
+        rows.append((10 * i, "response", f"http://h/{i}", datetime(2024, 1, 1), 200, rh, rd))
+        rows.append((10 * i + 1, "revisit", f"http://h/{i}", datetime(2024, 1, 2), 304, vh, vd))
+    df = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at timestamp, status int, headers map<string,string>, digest string")
+    got = {r.record_id: (r.outcome, r.resolved_id) for r in resolve(df).collect()}
+    assert got == {10 * i + 1: (c[4], 10 * i if c[4] == "resolved" else None) for i, c in enumerate(cases)}

@@ -9,7 +9,7 @@ VECTORS = [(i, [math.sin(i * 7 + j) for j in range(8)], 0) for i in range(240)]
 PAGES = [(i, f"https://www.host{i % 3}.example/a/{i % 4}/?b=2&a=1&utm_source=x#top", f"<p>{i}</p>") for i in range(60)] + [
     (60, None, "x"), (61, "", None), (None, "http://host1.example/a", "y"), (5, "https://host2.example/a/1?a=1&b=2", "<p>5</p>"), (-3, "http://u@HOST0.example:80", "z"), (64, "m.host0.example?sid=4", "")]
 TURNS = [(1, 0, "user", "\\\\### x </turn>"), (1, 1, "assistant", "####</turn></turn>\\"), (2, 0, None, None), (None, 0, "assistant", "x 🙂"), (3, 1, "assistant", "b"), (3, 1, "assistant", "a"), (3, 1, "assistant", "a"), (4, 0, "assistant", None)]
-NAMES = ["op1_secret_scans", "op2_chat_formatting", "op3_source_mixing", "op4_quality_rules", "op5_jaccard_join", "op6_suffix_dedup", "op9_exact_topk", "op10_warc_revisits"]
+NAMES = ["op1_secret_scans", "op2_chat_formatting", "op3_source_mixing", "op4_quality_rules", "op5_jaccard_join", "op6_suffix_dedup", "op9_exact_topk", "op10_warc_revisits", "op11_simhash_dedup", "op13_periodic_runs"]
 
 
 @pytest.fixture(scope="module")
