@@ -20,15 +20,28 @@ def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+#: Tables that ``keep`` has written and ``release`` has not removed, oldest first.
+KEPT: list[str] = []
+
+
 def keep(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the cluster's shared folder and read it back: cuts the lineage,
-    so that a lost executor costs one read and no recomputation."""
+    so that a lost executor costs one read and no recomputation.  ``release`` removes such tables."""
     spark = df.sparkSession
     path = shared_path(spark, "llm", what, unique=True)
     df.write.parquet(path)
+    KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of ``keep`` once what was made from them is itself written."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        KEPT.remove(path)
+
+
 def python_ready(spark: SparkSession) -> None:
     """Before work in Python: send the code, and bound Arrow batches by bytes as well as by rows (unless the session has a lower bound)."""
     ship(spark)

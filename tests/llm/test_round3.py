@@ -376,3 +376,13 @@ def test_revisit_validators(spark):
     df = spark.createDataFrame(rows, "record_id bigint, kind string, url string, at timestamp, status int, headers map<string,string>, digest string")
     got = {r.record_id: (r.outcome, r.resolved_id) for r in resolve(df).collect()}
     assert got == {10 * i + 1: (c[4], 10 * i if c[4] == "resolved" else None) for i, c in enumerate(cases)}
+
+
+def test_run_leaves_no_tables_of_its_stages(spark, odd_docs, tmp_path):
+    import corpus_pipeline as C
+
+    from pricewise.llm.common import KEPT
+    odd_docs.where("doc_id < 60").write.parquet(str(tmp_path / "documents.parquet"))
+    before = list(KEPT)
+    assert C.run(spark, str(tmp_path)).count() > 0
+    assert before == KEPT
