@@ -236,19 +236,20 @@ WITH f AS (SELECT id, market, date, modal_price, CAST(year(date) AS INTEGER) AS
                   CASE WHEN count(modal_price) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) = 30
                        THEN {window_mean('modal_price', 'w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW')} END AS m30,
                   CAST(dense_rank() OVER (ORDER BY market) - 1 AS INTEGER) AS market_code,
-                  CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code
+                  CAST(dense_rank() OVER (ORDER BY state) - 1 AS INTEGER) AS state_code,
+                  CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_code,
+                  CAST(dense_rank() OVER (ORDER BY variety) - 1 AS INTEGER) AS variety_code
            FROM prices WINDOW w AS (PARTITION BY market ORDER BY date, id))
 SELECT id, market, date, modal_price, year, month, day, day_of_week, day_of_year, week_of_year, quarter, season,
        price_lag_1, price_lag_7, price_lag_30, price_lag_90, m7 AS price_rolling_mean_7,
-       {sround('s7', 4)} AS price_rolling_std_7, m30 AS price_rolling_mean_30, market_code, state_code
+       {sround('s7', 4)} AS price_rolling_std_7, m30 AS price_rolling_mean_30, market_code, state_code, district_code, variety_code
 FROM f WHERE price_lag_90 IS NOT NULL AND price_lag_30 IS NOT NULL AND m7 IS NOT NULL AND s7 IS NOT NULL AND m30 IS NOT NULL""")
-def q_build_features_full(spark, sf):
-    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "date", "modal_price"))
+def q_build_features_full(spark, sf, hot_series=False):
+    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "district", "variety", "date", "modal_price"), hot_series=hot_series)
     return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
                     "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
-                    "price_rolling_mean_7",
-                    F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
-                    "price_rolling_mean_30", "market_code", "state_code")
+                    "price_rolling_mean_7", F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
+                    "price_rolling_mean_30", "market_code", "state_code", "district_code", "variety_code")
 
 
 # ----------------------------------------------------------------------------- long series
@@ -332,11 +333,7 @@ def q_label_encode_distributed(spark, sf):
 
 @_same_oracle("build_features_full_split", "build_features_full")
 def q_build_features_full_split(spark, sf):
-    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "date", "modal_price"), hot_series=True)
-    return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
-                    "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
-                    "price_rolling_mean_7", F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
-                    "price_rolling_mean_30", "market_code", "state_code")
+    return q_build_features_full(spark, sf, True)
 
 
 # ----------------------------------------------------------------------------- feature sets over all rows
@@ -359,22 +356,9 @@ def _simple_all(spark, sf, leak_free, hot_series=False):
                     F.concat_ws(",", F.lit(None).cast("string"), *[F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in names]).alias("dummies"))
 
 
-def _full_all(spark, sf, hot_series=False):
-    d, _ = E.build_features_full(P(spark, sf).select("id", "market", "state", "district", "variety", "date", "modal_price"), hot_series=hot_series)
-    return d.select("id", "market", "date", "modal_price", "year", "month", "day", "day_of_week", "day_of_year",
-                    "week_of_year", "quarter", "season", "price_lag_1", "price_lag_7", "price_lag_30", "price_lag_90",
-                    "price_rolling_mean_7",
-                    F.round("price_rolling_std_7", 4).alias("price_rolling_std_7"),
-                    "price_rolling_mean_30",
-                    "market_code", "state_code", "district_code", "variety_code")
-
-
 for _name, _leak_free in (("build_features_simple", False), ("build_features_simple_leak_free", True)):
     query(f"{_name}_all", _simple_all_sql(_leak_free))(lambda spark, sf, _l=_leak_free: _simple_all(spark, sf, _l))
     query(f"{_name}_all_split", _simple_all_sql(_leak_free))(lambda spark, sf, _l=_leak_free: _simple_all(spark, sf, _l, True))
 
-query("build_features_full_all", f"""
-SELECT f.*, c.district_code, c.variety_code FROM ({_ORACLES["build_features_full"]}) f JOIN (
-    SELECT id, CAST(dense_rank() OVER (ORDER BY district) - 1 AS INTEGER) AS district_code,
-           CAST(dense_rank() OVER (ORDER BY variety) - 1 AS INTEGER) AS variety_code FROM prices) c USING (id)""")(_full_all)
-query("build_features_full_all_split", _ORACLES["build_features_full_all"])(lambda spark, sf: _full_all(spark, sf, True))
+query("build_features_full_all", _ORACLES["build_features_full"])(lambda spark, sf: q_build_features_full(spark, sf))
+query("build_features_full_all_split", _ORACLES["build_features_full"])(lambda spark, sf: q_build_features_full(spark, sf, True))

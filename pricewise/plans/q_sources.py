@@ -3,7 +3,6 @@ back what they wrote (into a fresh folder under the shared checkpoint folder).""
 
 from pyspark.sql import functions as F
 
-from ..functions import predicates as Pr
 from ..operators import forecast as fc
 from ..schemas import PRICES
 from ..sources import files as IO

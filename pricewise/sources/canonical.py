@@ -57,10 +57,10 @@ def build_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.sum(cents).alias("_cents"),
                   F.count(F.lit(1)).alias("_n"),
                   F.sum("l_quantity").alias("arrival_quantity")))
-    # nation/region have a fixed size (25 / 5 rows): broadcasting them is bounded.
+    # nation and region are small files: Spark broadcasts them by their size.
     sup = (raw(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-           .join(F.broadcast(raw(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-           .join(F.broadcast(raw(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+           .join(raw(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+           .join(raw(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
            .select("s_suppkey", "s_name", "n_name", "r_name"))
     # modal = avg unit price rounded half-up to 4 decimals, computed exactly in integers.
     modal = F.expr("(_cents * 200 + _n) div (2 * _n)").cast("double") / 10000
@@ -140,7 +140,7 @@ def build_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = raw(spark, sf_dir, "customer")
-    nation = F.broadcast(raw(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nation = raw(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     # Latest event per user: partial-aggregatable max_by, so a hot user costs nothing extra.
     ev = (raw(spark, sf_dir, "events").groupBy("user_id")
           .agg(F.max_by("props", F.struct("ts", "event_id")).alias("props")))

@@ -163,3 +163,10 @@ def test_metrics_of_several_columns(spark):
     for c in ("p", "q"):
         one = A.regression_metrics(df, "modal_price", c).first()
         assert (got[c].mse, got[c].mae, got[c].r2, got[c].n) == (one.mse, one.mae, one.r2, one.n)
+
+
+def test_filter_in_lists_on_both_sides_of_the_limit(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    for n in (0, 3, S.ISIN_LIMIT, S.ISIN_LIMIT + 1, 2500):
+        ids = list(range(0, 2 * n, 2))
+        assert [r.k for r in S.filter_in(df, "k", ids).orderBy("k").collect()] == [i for i in ids if i < 5000], n
