@@ -141,18 +141,17 @@ def facet_values(df: DataFrame, col: str, drop_empty: bool = False) -> DataFrame
 def exact_quantile(df: DataFrame, col: str, q: float = 0.5) -> Column:
     """Exact interpolated quantile (``quantile_cont``) of the values that are neither null nor NaN.
 
-    The one or two values at the wanted places come from rank selection (``ranks.key_at``): passes of partial
+    The one or two values at the wanted places come from rank selection (``ranks.keys_at``): passes of partial
     counts that narrow the range holding a place, so no task or driver holds more than a bounded number of values.
     Returns the value as a literal Column (a scalar computed by a few bounded jobs)."""
-    from .ranks import key_at
+    from .ranks import keys_at
     vals = df.select(F.col(col).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     n = vals.count()
     if not n:
         return F.lit(None).cast("double")
     place = (n - 1) * q
     k = int(place)
-    (v1,), _ = key_at(vals, [("v", True)], k, n)
-    v2 = key_at(vals, [("v", True)], k + 1, n)[0][0] if place > k else v1
+    (v1,), (v2,), _ = keys_at(vals, [("v", True)], k, k + 1 if place > k else k, n)
     return F.lit(v1 + (v2 - v1) * (place - k))
 
 

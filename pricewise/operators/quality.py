@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from ..schemas import PRICE_COLUMNS
 
 # Rejection reasons, in the order the rules are applied.
@@ -122,9 +123,11 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
             if id_col in src.columns:
                 used = used.unionByName(src.select(id_col))
             last_id = used.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
-        src = src.join(hits, ks, "left").withColumn(id_col, F.coalesce("_old_id", given)).drop("_old_id")
-        new = number_new(src.filter(F.col(id_col).isNull()).select(*cols), ks, id_col, last_id)
-        src = src.filter(F.col(id_col).isNotNull()).select(*cols).unionByName(new.select(*cols))
+        # The upload, without duplicates and with the ids it has so far, is written once: the parts below read it.
+        src = stored(src.join(hits, ks, "left").withColumn(id_col, F.coalesce("_old_id", given)).select(*cols), "upload")
+        src_keys = src.select(*ks)
+        new = number_new(src.filter(F.col(id_col).isNull()), ks, id_col, last_id)
+        src = src.filter(F.col(id_col).isNotNull()).unionByName(new.select(*cols))
     kept = target.join(src_keys, ks, "left_anti")
     return kept.unionByName(src.select(*cols))
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..functions.scalars import accuracy_value, default_value
-from .ranks import before, key_at, order_of, same, sort_columns
+from .ranks import before, keys_at, order_of, same, sort_columns
 
 # ----------------------------------------------------------------------------- filters
 
@@ -151,7 +151,7 @@ def paginate(df: DataFrame, order, page_size: int, page, total: int | None = Non
     """Page ``page`` (1-based, clamped to [1, last]) of ``page_size`` rows in ``order``.
 
     The page number is clamped with one count (a scalar).  A page beyond the first is a range of keys:
-    rank selection (``ranks.key_at``) finds its first and last key, and only rows in between are sorted, so the
+    rank selection (``ranks.keys_at``) finds its first and last key, and only rows in between are sorted, so the
     last page costs no more than any other.  ``order`` is names ("-name" descends) or plain, ``asc()`` or
     ``desc()`` columns, and should end in a unique column; rows with equal keys have no fixed place among
     themselves.  ``page_after`` (key-set paging) needs no count.
@@ -168,8 +168,7 @@ def paginate(df: DataFrame, order, page_size: int, page, total: int | None = Non
     first, last = (p - 1) * page_size, min(p * page_size, total) - 1
     if not first:
         return df.orderBy(*sort_columns(order)).limit(page_size)
-    low, skipped = key_at(df, order, first, total)
-    high, _ = key_at(df, order, last, total)
+    low, high, skipped = keys_at(df, order, first, last, total)
     page_rows = df.filter(~before(order, low) & (before(order, high) | same(order, high))).orderBy(*sort_columns(order))
     return (page_rows.offset(first - skipped) if first > skipped else page_rows).limit(page_size)
 
