@@ -42,13 +42,13 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         KEPT.remove(path)
 
 
-def python_ready(spark: SparkSession) -> None:
+def python_ready(spark: SparkSession, most: int = ARROW_BYTES) -> None:
     """Before work in Python: send the code, and bound Arrow batches by bytes as well as by rows (unless the session has a lower bound)."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key).rstrip("b")
-    if not now.isdigit() or int(now) > ARROW_BYTES:
-        spark.conf.set(key, f"{ARROW_BYTES}b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, f"{most}b")
 
 
 #: Bits of the filter below, held as 2 ** (FILTER_BITS - 6) rows of 16 bytes: 4 MB, whatever the keys.
