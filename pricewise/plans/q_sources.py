@@ -237,7 +237,7 @@ def q_save_model(spark, sf):
     from ..operators import ml as M
     from .q_models import _split
     tr, _ = _split(spark, sf)
-    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), IO.new_output_path(spark, "model"))
+    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES, held=True), IO.new_output_path(spark, "model"))
     return spark.read.json(f"{path}/metadata").select("class", "uid")
 
 
@@ -246,7 +246,7 @@ def q_load_model(spark, sf):
     from ..operators import ml as M
     from .q_models import _split
     tr, te = _split(spark, sf)
-    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES), IO.new_output_path(spark, "model"))
+    path = M.save_model(M.train_linear(tr, M.SIMPLE_FEATURES, held=True), IO.new_output_path(spark, "model"))
     return M.load_model(path).transform(te).select("id", "market", "prediction")
 
 
