@@ -7,6 +7,8 @@ upsert = (target anti-join source keys) union (deduplicated source).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,6 +101,13 @@ def number_new(new: DataFrame, order, id_col: str = "id", last_id: Column | int
     return rows.withColumn(id_col, (base + 1 + F.col(POS)).cast("long")).drop("_all", POS)
 
 
+def _between(source: DataFrame, keys) -> Column:
+    """The row's keys lie between the least and the greatest of ``source``, one by one; false for null keys, which match none."""
+    b = source.agg(*[f(k).alias(f"{n}_{k}") for k in keys for n, f in (("min", F.min), ("max", F.max))]).first()
+    inside = reduce(lambda x, y: x & y, [F.col(k).between(F.lit(b[f"min_{k}"]), F.lit(b[f"max_{k}"])) for k in keys])
+    return F.coalesce(inside, F.lit(False))
+
+
 def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"), order_col: str = "file_row",
                   id_col: str = "id", last_id: Column | int | None = None) -> DataFrame:
     """Update rows whose key exists, insert the rest.  An updated row keeps the stored id; an inserted row keeps an
@@ -108,15 +117,17 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
     Every join keeps the (usually small) upload on the build side, so Spark can broadcast it
     when its size allows and the stored table is scanned without a shuffle:
     ids of updated keys = target INNER JOIN source keys; kept rows = target ANTI JOIN source
-    keys.  With a large upload the same plan runs as shuffle joins.  Where the table format
+    keys.  With a large upload the same plan runs as shuffle joins, of those stored rows only whose keys lie
+    between the least and the greatest of the upload (all others are kept as they are).  Where the table format
     supports it, this is a ``MERGE INTO``.
     """
     ks = list(keys)
     src = dedupe_last(source, ks, order_col) if order_col in source.columns else source
     cols = target.columns
     src_keys = src.select(*ks)
+    near = _between(source, ks)
     if id_col in cols:
-        hits = target.select(*ks, F.col(id_col).alias("_old_id")).join(src_keys, ks, "inner")
+        hits = target.filter(near).select(*ks, F.col(id_col).alias("_old_id")).join(src_keys, ks, "inner")
         given = F.col(id_col) if id_col in src.columns else F.lit(None).cast("long")
         if last_id is None:
             used = target.select(id_col)
@@ -128,8 +139,8 @@ def upsert_prices(target: DataFrame, source: DataFrame, keys=("market", "date"),
         src_keys = src.select(*ks)
         new = number_new(src.filter(F.col(id_col).isNull()), ks, id_col, last_id)
         src = src.filter(F.col(id_col).isNotNull()).unionByName(new.select(*cols))
-    kept = target.join(src_keys, ks, "left_anti")
-    return kept.unionByName(src.select(*cols))
+    kept = target.filter(near).join(src_keys, ks, "left_anti")
+    return target.filter(~near).unionByName(kept).unionByName(src.select(*cols))
 
 
 def check_unique_users(users: DataFrame, candidates: DataFrame, order_col: str | None = None) -> DataFrame:
