@@ -66,6 +66,13 @@ def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
     return _read_months(spark, table_dir, folders) if version >= 0 else None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def _remove_replaced(spark: SparkSession, table_dir: str, version: int, months: list[str]) -> None:
     """Delete the writes of ``months`` that a version before ``version`` already replaced (a few a month: earlier
     batches removed theirs)."""
@@ -73,10 +80,7 @@ def _remove_replaced(spark: SparkSession, table_dir: str, version: int, months:
     old = (_log(spark, table_dir).filter((F.col("version") < version) & F.col("month").isin(months))
            .withColumn("n", F.row_number().over(w)).filter(F.col("n").between(2, 4)).collect()) if months else []
     for r in old:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_month_path(table_dir, r["folder"], r["month"]))
-        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            fs.delete(path, True)
+        _remove(spark, _month_path(table_dir, r["folder"], r["month"]))
 
 
 def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rejects_dir: str, checkpoint_dir: str,
@@ -95,7 +99,10 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
     def merge(batch: DataFrame, batch_id: int) -> None:
         # the latest upload decides which duplicate key wins: file time, file name, place in the file
         order = F.struct("_uploaded", F.monotonically_increasing_id().alias("row"))
-        v = validate_prices(batch.withColumn("file_row", order).drop("_uploaded")).cache()
+        # the typed rows are written once for the steps below, outside of executor memory, and removed after the batch
+        staged = f"{table_dir.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+        validate_prices(batch.withColumn("file_row", order).drop("_uploaded")).write.parquet(staged)
+        v = spark.read.parquet(staged)
         try:
             # per-batch folders written with overwrite: a retried batch replaces its own output
             v.filter(F.col("reject_reason").isNotNull()).drop("file_row").withColumn("batch_id", F.lit(batch_id)) \
@@ -119,7 +126,7 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
             spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").parquet(_versions_path(table_dir))
             _remove_replaced(spark, table_dir, version + 1, touched)
         finally:
-            v.unpersist()
+            _remove(spark, staged)
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))
