@@ -259,13 +259,13 @@ def q_stream_ingest_prices(spark, sf):
     from ..streaming.ingest import read_table, start_price_ingest
     base = IO.new_output_path(spark, "stream")
     p = T(spark, sf, "prices")
-    IO.export_prices_csv(p, f"{base}/uploads/1")
+    IO.export_prices_csv(p, f"{base}/uploads/1", compression="gzip")
     paths = (f"{base}/uploads/*", f"{base}/table", f"{base}/rejects", f"{base}/_checkpoint")
     start_price_ingest(spark, *paths).awaitTermination()
     changed = p.filter(F.col("id") % 10 < 2).withColumns({
         "arrival_quantity": F.col("arrival_quantity") + 1,
         "modal_price": F.when(F.col("id") % 10 == 1, F.lit(-1.0)).otherwise(F.col("modal_price"))})
-    IO.export_prices_csv(changed, f"{base}/uploads/2")
+    IO.export_prices_csv(changed, f"{base}/uploads/2", compression="gzip")
     start_price_ingest(spark, *paths).awaitTermination()
     out = read_table(spark, f"{base}/table")
     if out is None:      # nothing ingested: an empty table with the price columns

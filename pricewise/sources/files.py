@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.scalars import accuracy_text
 from ..schemas import PRICE_REQUIRED, PRICES_CSV_TEXT
-from ..session import shared_path
+from ..session import shared_path, shuffles_dropped
 
 
 def scan(spark: SparkSession, path: str, schema=None, fmt: str = "parquet", **options) -> DataFrame:
@@ -113,11 +113,12 @@ PRICE_EXPORT = ["date", "market", "state", "district", "variety", "min_price", "
                 "arrival_quantity"]
 
 
-def export_prices_csv(prices: DataFrame, path: str, market=None, state=None, start=None, end=None) -> str:
-    """Filtered prices, newest first, the 9 upload columns, with header."""
+def export_prices_csv(prices: DataFrame, path: str, market=None, state=None, start=None, end=None, compression: str = "none") -> str:
+    """Filtered prices, newest first, the 9 upload columns, with header; plain text unless ``compression`` names a codec."""
     out = (prices.filter(P.contains("market", market) & P.contains("state", state) & P.date_range("date", start, end))
            .orderBy(F.col("date").desc(), F.col("id").desc()).select(*PRICE_EXPORT))
-    out.write.mode("overwrite").option("header", True).csv(path)
+    with shuffles_dropped(prices.sparkSession):
+        out.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
     return path
 
 

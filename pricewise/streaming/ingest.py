@@ -25,6 +25,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators.quality import upsert_prices, validate_prices
 from ..schemas import PRICE_COLUMNS, PRICES, PRICES_CSV_TEXT
+from ..session import remove, shuffles_dropped, stored_removed
 
 LOG = "version long, month string, folder string, last_id long"
 MONTH = "month"
@@ -66,13 +67,6 @@ def read_table(spark: SparkSession, table_dir: str) -> DataFrame | None:
     return _read_months(spark, table_dir, folders) if version >= 0 else None
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path):
-        fs.delete(path, True)
-
-
 def _remove_replaced(spark: SparkSession, table_dir: str, version: int, months: list[str]) -> None:
     """Delete the writes of ``months`` that a version before ``version`` already replaced (a few a month: earlier
     batches removed theirs)."""
@@ -80,7 +74,7 @@ def _remove_replaced(spark: SparkSession, table_dir: str, version: int, months:
     old = (_log(spark, table_dir).filter((F.col("version") < version) & F.col("month").isin(months))
            .withColumn("n", F.row_number().over(w)).filter(F.col("n").between(2, 4)).collect()) if months else []
     for r in old:
-        _remove(spark, _month_path(table_dir, r["folder"], r["month"]))
+        remove(spark, _month_path(table_dir, r["folder"], r["month"]))
 
 
 def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rejects_dir: str, checkpoint_dir: str,
@@ -97,10 +91,15 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
            .withColumn("source_file", F.col("_metadata.file_path")))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        # a batch leaves its rejects, its months and a row of the log: shuffle files go with each step, its tables at the end
+        with shuffles_dropped(spark), stored_removed(spark):
+            merge_rows(batch, batch_id)
+
+    def merge_rows(batch: DataFrame, batch_id: int) -> None:
         # the latest upload decides which duplicate key wins: file time, file name, place in the file
         order = F.struct("_uploaded", F.monotonically_increasing_id().alias("row"))
-        # the typed rows are written once for the steps below, outside of executor memory, and removed after the batch
-        staged = f"{table_dir.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+        # the typed rows are written once for the steps below, outside of executor memory, and removed after the upsert
+        staged, whole = (f"{table_dir.rstrip('/')}/_staged/{uuid.uuid4().hex}" for _ in range(2))
         validate_prices(batch.withColumn("file_row", order).drop("_uploaded")).write.parquet(staged)
         v = spark.read.parquet(staged)
         try:
@@ -115,6 +114,10 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
             version, last_id, folders = _newest(spark, table_dir)
             current = _read_months(spark, table_dir, {m: folders[m] for m in touched if m in folders})
             merged = upsert_prices(current, good, keys, last_id=last_id).select(*current.columns, month)
+            # the files of the upsert's joins and numbering go before the rows are dealt by month
+            merged.write.parquet(whole)
+            merged = spark.read.schema(merged.schema).parquet(whole)
+            remove(spark, staged)
             folder = uuid.uuid4().hex
             data = f"{table_dir.rstrip('/')}/data/{folder}"
             # rebalance: few files a month, and a large month is split over tasks
@@ -126,7 +129,8 @@ def start_price_ingest(spark: SparkSession, upload_dir: str, table_dir: str, rej
             spark.createDataFrame(log, LOG).coalesce(1).write.mode("append").parquet(_versions_path(table_dir))
             _remove_replaced(spark, table_dir, version + 1, touched)
         finally:
-            _remove(spark, staged)
+            remove(spark, staged)
+            remove(spark, whole)
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(**(trigger or {"availableNow": True}))
